@@ -30,13 +30,13 @@ NAME_BITS = 40
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
-    """A row per block: _row, _id, _chars, _sha (of the document), _n blocks, _pos, and the batch's first such block.
+    """A row per block: _row, _id, _chars, _sha and _md5 (of the document), _n blocks, _pos, and the batch's first such block.
 
     Only that first block carries its bytes in _block.
     """
     kind = df.schema[id_col].dataType
     src = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", kind), T.StructField("_chars", T.LongType()), T.StructField("_sha", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("_n", "_pos", "_same_row", "_same_pos")), T.StructField("_block", T.BinaryType())])
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", kind), T.StructField("_chars", T.LongType()), T.StructField("_sha", T.StringType()), T.StructField("_md5", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("_n", "_pos", "_same_row", "_same_pos")), T.StructField("_block", T.BinaryType())])
 
     def run(chunks):
         for b in chunks:
@@ -45,18 +45,18 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
                 texts = b.column(2).slice(lo, hi - lo)
                 chars = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
                 seen: dict[bytes, tuple[int, int]] = {}
-                of, cols = [], [[] for _ in range(8)]
+                of, cols = [], [[] for _ in range(9)]
                 for k, text in enumerate(texts.cast(pa.binary()).to_pylist()):
                     norm = (text or b"").translate(None, BLANKS)
-                    sha, n = hashlib.sha256(norm).hexdigest(), max(1, -(-len(norm) // block))
+                    sha, md5, n = hashlib.sha256(norm).hexdigest(), hashlib.md5(text or b"", usedforsecurity=False).hexdigest(), max(1, -(-len(norm) // block))
                     for pos in range(n):
                         part = norm[pos * block : (pos + 1) * block]
                         same = seen.setdefault(part, (rows[k], pos))
                         of.append(k)
-                        for c, v in zip(cols, (rows[k], chars[k], sha, n, pos, *same, part if same == (rows[k], pos) else None), strict=True):
+                        for c, v in zip(cols, (rows[k], chars[k], sha, md5, n, pos, *same, part if same == (rows[k], pos) else None), strict=True):
                             c.append(v)
                 ids = b.column(1).slice(lo, hi - lo).take(pa.array(of, pa.int64()))
-                kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary()]
                 first, *rest = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
                 yield pa.RecordBatch.from_arrays([first, ids, *rest], names=[f.name for f in schema])
 
@@ -83,7 +83,7 @@ def named(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
 
 
 def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row per row of ``df``: _row, _id, _chars, _sha, and the identity (_n, _name)."""
+    """A row per row of ``df``: _row, _id, _chars, _sha, _md5, and the identity (_n, _name)."""
     made = scratch.table(blocks(df, id_col, text_col, block), "blocks", "zstd")
     names = named(made.where(F.col("_block").isNotNull()), "_block", ["_same_row", "_same_pos"])
     occurrences = made.select("_row", "_n", "_pos", "_same_row", "_same_pos").join(names, ["_same_row", "_same_pos"]).select("_row", "_n", "_pos", "_name")
@@ -98,11 +98,12 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         open_ = scratch.table(pairs.join(names, ["_l", "_r"]).select("_row", "_n", "_pos", "_name"), "names")
         most = (most + 1) // 2
     last = open_.select("_row", "_n", "_name")
-    return made.where("_pos = 0").select("_row", "_id", "_chars", "_sha").join(done.unionByName(last), "_row")
+    return made.where("_pos = 0").select("_row", "_id", "_chars", "_sha", "_md5").join(done.unionByName(last), "_row")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row per row of ``df``: the id column, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """A row per row of ``df``: the id column, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``
+    (of the normalised text), ``text_md5`` (of the text as it is).
 
     Texts are equal when they are after deleting every character of [\\x20\\x09-\\x0D]; null counts as empty. Of equal
     texts the row with the most code points stays, then the smallest id (nulls last), then the first row, so repeated
@@ -112,4 +113,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     order = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r"))
     groups = every.groupBy("_n", "_name").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_size"))
     out = every.join(groups, ["_n", "_name"])
-    return out.select(F.col("_id").alias(id_col), F.col("_best.i").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), F.col("_sha").alias("text_sha256"))
+    return out.select(F.col("_id").alias(id_col), F.col("_best.i").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), F.col("_sha").alias("text_sha256"), F.col("_md5").alias("text_md5"))

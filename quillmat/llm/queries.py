@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, scratch, token_files, url_filter
+from . import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, scratch, token_files, toxicity, url_filter, vptree
 
 #: The rule list of the production filter.
 RULES = [
@@ -37,10 +37,19 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, folder, "documents"))
 
 
+def op3_vantage_points(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), url_filter.rules_table(spark, RULES))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"), n=3, num=90, den=100)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = f"{scratch.shared_dir(spark).rstrip('/')}/quillmat-tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, folder, "documents"), out, tokenizer())
@@ -52,17 +61,29 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("doc_id", F.col("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer())
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_vantage_points": op3_vantage_points,
     "op4_url_filter": op4_url_filter,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
     "op9_best_fit": op9_best_fit,
+    "op10_toxicity": op10_toxicity,
 }
 
 _BLANK = "[\\x20\\x09-\\x0D]"
@@ -72,8 +93,23 @@ ORACLES = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g') AS k FROM documents)
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id,
                count(*) OVER (PARTITION BY k) AS group_size,
-               row_number() OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) = 1 AS kept, sha256(k) AS text_sha256
+               row_number() OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) = 1 AS kept, sha256(k) AS text_sha256, md5(t) AS text_md5
         FROM d""",
+    "op3_vantage_points": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op5_ngram_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, text, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.a, r.seen FROM r JOIN l ON l.b = r.doc_id AND r.seen < l.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT min(seen) FROM r WHERE r.doc_id = s.doc_id) AS component_id, md5(coalesce(s.text, '')) AS text_md5 FROM s""",
     "op4_url_filter": """
         WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
         h AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS raw, r FROM u),

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_open: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +32,25 @@ def table(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillmat-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _written.append((spark, path))
+    for made in _open:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep() -> None:
-    """Delete the tables written so far; for callers whose results no longer need them."""
-    while _written:
-        spark, path = _written.pop()
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+@contextmanager
+def noted():
+    """A list of the tables that are written meanwhile, for :func:`delete`."""
+    made: list[tuple[SparkSession, str]] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+
+
+def delete(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete tables that no result needs any more."""
+    for spark, path in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    tables.clear()
