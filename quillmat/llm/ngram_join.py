@@ -21,12 +21,14 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe, components, scratch
 
@@ -126,8 +128,8 @@ class Bounds:
 
 
 def parity(x: np.ndarray) -> bytes:
-    """Bitmap of at least twice as many bits as shingles: for each place, whether an odd number of them fall there."""
-    bits = max(6, int(2 * len(x) - 1).bit_length())
+    """Bitmap of at least as many bits as shingles: for each place, whether an odd number of them fall there."""
+    bits = max(6, int(len(x) - 1).bit_length())
     return np.packbits(np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1, bitorder="little").tobytes()
 
 
@@ -140,7 +142,7 @@ def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
 def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str) -> DataFrame:
     """row, id, size, key (of the set), text (its digest), long (the long prefix), bits."""
     src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
-    schema = src.select("row", "id", F.lit(0).cast("long").alias("size"), *(F.lit(b"").alias(c) for c in ("key", "text", "long", "bits"))).schema
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("size", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("key", "text", "long", "bits"))])
 
     def run(chunks):
         for b in chunks:
@@ -229,7 +231,7 @@ def entries(docs: DataFrame, counts: DataFrame, first: DataFrame, bounds: Bounds
             places = places[held[places] > 1]
             if not len(places):
                 continue
-            marks = (x[places] & U(0xFFFF)).astype("<u2").tobytes()
+            marks = (x[places] & U(0xFFFF)).astype("<u2").tobytes() if matches > 1 else b""
             for c, v in zip(cols, (x[places].view(np.int64).tolist(), [row] * len(places), [size] * len(places), held[places].tolist(), [matches] * len(places), [bits] * len(places), [marks] * len(places)), strict=True):
                 c += v
         kinds = [pa.int64()] * 5 + [pa.binary()] * 2
@@ -270,7 +272,7 @@ def close(rows: list[tuple], bounds: Bounds, cross: bool) -> np.ndarray:
 
 
 def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame:
-    """a < b: a spanning forest of each block's graph, or (``all_between``) all its pairs of different parts."""
+    """a < b, token: a spanning forest of each block's graph, or (``all_between``) all its pairs of different parts."""
     src = meeting(found).select("token", "lo", "hi", "row", "side", "size", "matches", "bits", "marks", *(["part"] if all_between else []))
 
     def pairs(rows: list[tuple], cross: bool) -> list[tuple[int, int]]:
@@ -303,31 +305,33 @@ def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame
 
     def run(chunks):
         block, rows = None, []
-        for b in chunks:
-            made: list[tuple[int, int]] = []
-            for token, lo, hi, row, side, size, matches, bits, marks, *part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for b in chain(chunks, [None]):  # the end closes the last block
+            made: list[tuple[int, int, int]] = []
+            for token, lo, hi, row, side, size, matches, bits, marks, *part in zip(*(c.to_pylist() for c in b.columns), strict=True) if b is not None else [(None,) * 9]:
                 if (token, lo, hi) != block:
-                    made += pairs(rows, block is not None and block[1] != block[2])
+                    made += [(*p, block[0]) for p in pairs(rows, block[1] != block[2])] if block else []
                     block, rows = (token, lo, hi), []
-                rows.append((row, side, size, matches, bits, np.frombuffer(marks, "<u2").tolist() if matches > 1 else (), *part))
-            made = list(set(made))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["a", "b"])
-        made = list(set(pairs(rows, block is not None and block[1] != block[2])))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["a", "b"])
+                rows.append((row, side, size, matches, bits, np.frombuffer(marks or b"", "<u2").tolist(), *part))
+            cols = list(zip(*made, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "token"])
 
-    return src.mapInArrow(run, "a long, b long").distinct()
+    return src.mapInArrow(run, "a long, b long, token long")
 
 
-def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFrame:
-    """row, shingles: the sets of the documents in ``wanted`` (row, text digest), from their texts."""
+def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``wanted``: by a bitmap of FETCH_BITS, however many keys there are."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FETCH_BITS))
-    # FETCH_BITS / 8 bytes however many documents are wanted
-    maps = wanted.select(bit("text").alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    docs = df.select(F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL").withColumn("text", F.unhex(F.md5("_text"))).withColumn("_bit", bit("text"))
-    docs = docs.withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_bucket")
+    maps = wanted.select(bit(key).alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
     place = F.bitmap_bit_position("_bit")
     byte = F.conv(F.hex(F.substring("_map", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    docs = docs.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("text", "_text")
+    marked = df.withColumn("_bit", bit(key)).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_bucket")
+    return marked.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
+def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFrame:
+    """row, shingles: the sets of the documents in ``wanted`` (row, text digest), from their texts."""
+    docs = df.select(F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL").select(F.unhex(F.md5("_text")).alias("text"), "_text")
+    docs = thinned(docs, "text", wanted)
 
     def run(chunks):
         seen: set[bytes] = set()
@@ -380,12 +384,15 @@ def link(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     total = docs.agg(F.sum(F.length("long") / 8)).first()[0] or 0
     counts = frequencies(docs, max(8, int(total // BUCKET) + 1))
     found = scratch.table(entries(docs, counts, classes.select("row"), bounds), "entries")
-    tried = scratch.table(verified(scratch.table(candidates(found, bounds, False), "pairs"), docs, df, n, bounds, text_col), "tried")
-    links = tried.where("linked").select("a", "b")
+    met = scratch.table(candidates(found, bounds, False), "pairs")
+    tried = scratch.table(verified(met.select("a", "b").distinct(), docs, df, n, bounds, text_col), "tried")
+    links, failed = tried.where("linked").select("a", "b"), tried.where("NOT linked").select("a", "b")
     parts = components.labels(links)
-    if not tried.where("NOT linked").isEmpty():
-        parted = found.join(parts.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
-        rest = candidates(parted, bounds, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    if not failed.isEmpty():
+        # two documents of a block that are near but in different parts had a failed pair between them in that block
+        split = scratch.table(met.join(failed, ["a", "b"]).select("token").distinct(), "split")
+        parted = thinned(found, "token", split).join(split, "token", "left_semi").join(parts.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
+        rest = candidates(parted, bounds, True).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = verified(scratch.table(rest, "pairs"), docs, df, n, bounds, text_col)
         parts = components.labels(links.unionByName(scratch.table(more.where("linked").select("a", "b"), "links")))
     named = classes.join(parts.select(F.col("node").alias("row"), "label"), "row", "left").select("key", "least", F.coalesce("label", "row").alias("label"))
