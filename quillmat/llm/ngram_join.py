@@ -19,7 +19,6 @@ Words are hashed to 64 bits, and so are shingles of ``n`` words; a document is t
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -251,6 +250,15 @@ def meeting(found: DataFrame) -> DataFrame:
     return dealt.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "row")
 
 
+def common(rows: list[tuple]) -> np.ndarray:
+    """Shared marks of each two documents, at least as many as shared shingles: marks may be equal for unequal ones."""
+    marks = np.concatenate([np.array(r[5], np.int64) for r in rows])
+    mark, at = np.unique(marks, return_inverse=True)
+    held = np.zeros((len(rows), len(mark)), np.float32)
+    np.add.at(held, (np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows]), at), 1)
+    return held @ held.T
+
+
 def close(rows: list[tuple], bounds: Bounds, cross: bool) -> np.ndarray:
     """Which documents of a block may be linked: a symmetric matrix. Rows: (row, side, size, matches, bits, marks, part)."""
     size = np.array([r[2] for r in rows], np.int64)
@@ -264,10 +272,9 @@ def close(rows: list[tuple], bounds: Bounds, cross: bool) -> np.ndarray:
     sides = np.array([r[1] for r in rows])
     if cross:
         out &= sides[:, None] != sides
-    for i, j in zip(*np.nonzero(out), strict=True):
-        need = min(rows[i][3], rows[j][3])
-        if need > 1 and (Counter(rows[i][5]) & Counter(rows[j][5])).total() < need:  # marks may be equal for unequal shingles
-            out[i, j] = False
+    need = np.minimum.outer(matches := np.array([r[3] for r in rows]), matches)
+    if (need[out] > 1).any():
+        out &= (need == 1) | (common(rows) >= need)
     return out | out.T
 
 

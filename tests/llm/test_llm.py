@@ -129,7 +129,7 @@ def test_exact_search_with_ties(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6)).round(1)
     x[100:180] = x[100]  # a common vector
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(400, None, 0), (440, [0.0] * 6, 0), (460, [1.0, None, 0, 0, 0, 0], 0), (480, [float("nan")] * 6, 0), (500, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (520, [1.0, 2.0], 0)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(400, None, 0), (440, [0.0] * 6, 0), (460, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (480, [float("nan")] * 6, 0), (500, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (520, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = collections.defaultdict(list)
     for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
@@ -363,7 +363,7 @@ def test_pseudonyms():
     counts = collections.Counter()
     new = pii.Pseudonyms(b"k").text(f"{text} | {stay}", counts)
     head, _, tail = new.partition(" | ")
-    assert tail == stay and counts.total() == 13
+    assert tail == stay and counts.total() == 12
     assert [c if not c.isalnum() else 0 for c in head if c not in ascii_lowercase + ascii_uppercase] and len(head.split()) == len(text.split())
     for old in ("eau.42", "599", "78.24.37.177", "4111", "2021-02-28", "31/12/1999", "1234 5698", "123-45-6789", "04dbebab"):
         assert old not in head
