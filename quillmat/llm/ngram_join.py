@@ -252,11 +252,18 @@ def meeting(found: DataFrame) -> DataFrame:
 
 def common(rows: list[tuple]) -> np.ndarray:
     """Shared marks of each two documents, at least as many as shared shingles: marks may be equal for unequal ones."""
-    marks = np.concatenate([np.array(r[5], np.int64) for r in rows])
-    mark, at = np.unique(marks, return_inverse=True)
-    held = np.zeros((len(rows), len(mark)), np.float32)
-    np.add.at(held, (np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows]), at), 1)
-    return held @ held.T
+    marks, who = np.concatenate([np.array(r[5], np.int64) for r in rows]), np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
+    mark, at, times = np.unique(marks, return_inverse=True, return_counts=True)
+    who, at = who[times[at] > 1], (np.cumsum(times > 1) - 1)[at[times[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    who, at, total = who[order], at[order], int((times > 1).sum())
+    out, width = np.zeros((len(rows), len(rows)), np.float32), max(1, 1_000_000 // len(rows))
+    for first in range(0, total, width):
+        lo, hi = np.searchsorted(at, [first, first + width])
+        held = np.zeros((len(rows), min(width, total - first)), np.float32)
+        np.add.at(held, (who[lo:hi], at[lo:hi] - first), 1)
+        out += held @ held.T
+    return out
 
 
 def close(rows: list[tuple], bounds: Bounds, cross: bool) -> np.ndarray:
@@ -272,7 +279,7 @@ def close(rows: list[tuple], bounds: Bounds, cross: bool) -> np.ndarray:
     sides = np.array([r[1] for r in rows])
     if cross:
         out &= sides[:, None] != sides
-    need = np.minimum.outer(matches := np.array([r[3] for r in rows]), matches)
+    need = np.minimum.outer(matches := np.array([r[3] for r in rows], np.int8), matches)
     if (need[out] > 1).any():
         out &= (need == 1) | (common(rows) >= need)
     return out | out.T
