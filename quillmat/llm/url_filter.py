@@ -38,34 +38,35 @@ class Level:
     bits: DataFrame  # one row, one array of integers
     size: int
     hashes: int
+    salt: int
 
     def holds(self, key: Column) -> Column:
         words = self.bits.scalar()
-        tests = [F.getbit(F.element_at(words, (p.bitwiseAND(F.lit(self.size - 1)) / 64).cast("int") + 1), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places(key, self.size, self.hashes)]
+        tests = [F.getbit(F.element_at(words, (p.bitwiseAND(F.lit(self.size - 1)) / 64).cast("int") + 1), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places(key, self.size, self.hashes, self.salt)]
         return reduce(lambda a, b: a & b, tests)
 
 
-def places(key: Column, size: int, hashes: int) -> list[Column]:
-    """Double hashing; ``size`` is a power of two of at most 2**27, so no sum overflows."""
-    one = F.xxhash64(F.lit(11), key).bitwiseAND(F.lit(size - 1))
-    two = F.xxhash64(F.lit(23), key).bitwiseAND(F.lit(size - 1)).bitwiseOR(F.lit(1))
+def places(key: Column, size: int, hashes: int, salt: int) -> list[Column]:
+    """Double hashing, other hashes for each level; ``size`` is a power of two of at most 2**27, so no sum overflows."""
+    one = F.xxhash64(F.lit(2 * salt), key).bitwiseAND(F.lit(size - 1))
+    two = F.xxhash64(F.lit(2 * salt + 1), key).bitwiseAND(F.lit(size - 1)).bitwiseOR(F.lit(1))
     return [(one + two * F.lit(i)).bitwiseAND(F.lit(size - 1)) for i in range(hashes)]
 
 
-def level(keys: DataFrame, count: int, wrong: float) -> Level:
+def level(keys: DataFrame, count: int, wrong: float, salt: int) -> Level:
     """A Bloom filter over ``keys`` (one column, key) that lets a share ``wrong`` of other keys through."""
     hashes = max(1, min(30, round(math.log2(1 / wrong))))
     size = max(64, 1 << math.ceil(math.log2(max(1, count) * hashes / math.log(2))))
     spark = keys.sparkSession
-    bits = keys.select(F.explode(F.array(*places(F.col("key"), size, hashes))).alias("p"))
+    bits = keys.select(F.explode(F.array(*places(F.col("key"), size, hashes, salt))).alias("p"))
     words = bits.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("x"))
     packed = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))  # size / 64 entries at most
     full = F.transform(F.sequence(F.lit(0), F.lit(size // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
     if size <= 4096:
-        return Level(scratch.table(packed.select(full.alias("bits")), "bloom"), size, hashes)
+        return Level(scratch.table(packed.select(full.alias("bits")), "bloom"), size, hashes, salt)
     slots = spark.range(size // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")))), lambda z: z["x"])
-    return Level(scratch.table(slots.agg(in_order.alias("bits")), "bloom"), size, hashes)
+    return Level(scratch.table(slots.agg(in_order.alias("bits")), "bloom"), size, hashes, salt)
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
@@ -74,11 +75,11 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     total = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
     if not n:
         return []
-    levels = [level(listed, n, min(0.5, n / (math.sqrt(2) * total)))]
+    levels = [level(listed, n, min(0.5, n / (math.sqrt(2) * total)), 0)]
     wrong = scratch.table(universe.where(levels[0].holds(F.col("key"))).join(F.broadcast(listed) if n <= 100_000 else listed, "key", "left_anti").distinct(), "passed")
     own = listed
     while count := wrong.count():
-        levels.append(level(wrong, count, 0.5))
+        levels.append(level(wrong, count, 0.5, len(levels)))
         own, wrong = wrong, scratch.table(own.where(levels[-1].holds(F.col("key"))), "passed")
     return levels
 
