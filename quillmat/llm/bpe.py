@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts whose ids a worker keeps; when so many are kept, it starts anew.
-KEPT_PARTS = 600_000
+#: Parts and pieces whose ids a worker keeps in each of two generations of a table.
+KEPT_PARTS, KEPT_PIECES = 400_000, 300_000
 NO_PAIR = np.int64(1) << 62
 
 
@@ -41,10 +41,30 @@ def clean(part: str) -> bool:
     return part != "" and part[0] > " " and part[-1] > " " and not part[0].isspace() and not part[-1].isspace()
 
 
+class Kept:
+    """A bounded table in two generations: when the new one is full it becomes the old one, whose hits are carried over."""
+
+    def __init__(self, most: int):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+
+    def aged(self, key: str) -> bytes | None:
+        """From the old generation, carried over."""
+        found = self.old.get(key)
+        if found is not None:
+            self.new[key] = found
+        return found
+
+
 class Bpe:
     """``engine``: "tree" merges with the segment tree; "library" lets the tokenizers library encode the parts."""
 
-    def __init__(self, path: str, engine: str = "tree", kept: int = KEPT_PARTS):
+    def __init__(self, path: str, engine: str = "tree"):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = {c: b for b, c in byte_letters().items()}
@@ -77,10 +97,8 @@ class Bpe:
         self.made = made
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.engine, self.kept = engine, kept
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.engine = engine
+        self.first, self.later, self.pieces = Kept(KEPT_PARTS), Kept(KEPT_PARTS), Kept(KEPT_PIECES)
         if engine == "library":
             from tokenizers import Tokenizer
 
@@ -175,24 +193,29 @@ class Bpe:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _pieces(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of the split pattern."""
+        if self.engine == "tree" or not pieces:
+            return self.merge([p.encode("utf-8", "surrogatepass") for p in pieces])
+        made = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        cuts = (np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(pieces) + 1)) * 4).tolist()
+        raw = np.array(made.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _stretches(self, texts: list[str]) -> list[bytes]:
         """Ids of stretches that begin and end at piece borders."""
-        if self.engine == "library":
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces.turn()
+        kept, aged = self.pieces.new, self.pieces.aged
         split = [self.split.findall(t) for t in texts]
-        known = self.pieces
-        if len(known) > self.kept:
-            known.clear()
-        new = list({p for ps in split for p in ps if p not in known})
-        known.update(zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        return [b"".join([known[p] for p in ps]) for ps in split]
+        new = list({p: None for ps in split for p in ps if p not in kept and aged(p) is None})
+        kept.update(zip(new, self._encoded(new), strict=True))
+        return [kept[ps[0]] if len(ps) == 1 else b"".join([kept[p] for p in ps]) for ps in split]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text (null: empty) as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > self.kept:
-            self.first.clear()
-            self.later.clear()
-        first, later = self.first, self.later
+        self.first.turn()
+        self.later.turn()
+        first, later = self.first.new, self.later.new
         plans: list[list] = []
         new_first: dict[str, int] = {}
         new_later: dict[str, int] = {}
@@ -208,7 +231,12 @@ class Bpe:
                 parts = run.split(" ")
                 got = list(map(later.get, parts))
                 got[0] = first.get(parts[0])
-                missing = [i for i, ids in enumerate(got) if ids is None]
+                missing = []
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        got[i] = ids = self.later.aged(parts[i]) if i else self.first.aged(parts[i])
+                        if ids is None:
+                            missing.append(i)
                 if any(not clean(parts[i]) for i in missing):
                     parts = self._whole(parts)
                     got = [None if type(p) is tuple else later.get(p) if i else first.get(p) for i, p in enumerate(parts)]
@@ -226,7 +254,7 @@ class Bpe:
                     plan.append(missing)
             plans.append(plan)
         stretches = [*new_first, *(" " + p for p in new_later), *odd]
-        made = self._pieces(stretches) if stretches else []
+        made = self._stretches(stretches) if stretches else []
         n, m = len(new_first), len(new_first) + len(new_later)
         first.update(zip(new_first, made[:n], strict=True))
         later.update(zip(new_later, made[n:m], strict=True))
