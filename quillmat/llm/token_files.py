@@ -27,6 +27,8 @@ from . import bpe
 BLOCK = 512
 #: A segment is closed when it holds this many tokens; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1 << 18
+#: So many files have their first tokens broadcast (16 bytes each); more are joined.
+FILES = 1_000_000
 
 
 class Codes:
@@ -84,9 +86,9 @@ class Codes:
             words = bits.view("<u8").reshape(-1, BLOCK // 64)[block]
             word, bit = inner // 64, (inner % 64).astype(np.uint64)
             full = np.arange(BLOCK // 64) < word[:, None]
-            before = np.where(full, np.bitwise_count(words), 0).sum(axis=1)
+            before = np.where(full, np.bitwise_count(words), 0).sum(axis=1, dtype=np.int64)
             part = words[np.arange(len(words)), word] & ((np.uint64(1) << bit) - np.uint64(1))
-            places = ranks[block].astype(np.int64) + before + np.bitwise_count(part)
+            places = ranks[block].astype(np.int64) + before + np.bitwise_count(part).astype(np.int64)
         return out
 
     def run(self, lo: int, hi: int) -> np.ndarray:
@@ -153,6 +155,8 @@ def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     segments = spark.read.parquet(folder)
     sizes = segments.groupBy("file").agg(F.sum("n_tokens").alias("_n"))  # one row for each file
     base = sizes.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_base"))
+    if sizes.count() <= FILES:
+        base = F.broadcast(base)
     src = segments.join(base, "file").select((F.col("_base") + F.col("start")).alias("start"), "ids", "lengths", "codes")
     kind = segments.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
