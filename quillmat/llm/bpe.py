@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts and pieces whose ids a worker keeps in each of two generations of a table.
-KEPT_PARTS, KEPT_PIECES = 400_000, 300_000
+#: Parts and pieces whose ids a worker keeps in each of two generations of a table, and parts that begin a text.
+KEPT_PARTS, KEPT_PIECES, KEPT_FIRST = 250_000, 200_000, 20_000
 NO_PAIR = np.int64(1) << 62
 
 
@@ -98,7 +98,7 @@ class Bpe:
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.engine = engine
-        self.first, self.later, self.pieces = Kept(KEPT_PARTS), Kept(KEPT_PARTS), Kept(KEPT_PIECES)
+        self.first, self.later, self.pieces = Kept(KEPT_FIRST), Kept(KEPT_PARTS), Kept(KEPT_PIECES)
         if engine == "library":
             from tokenizers import Tokenizer
 
