@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from . import bpe, scratch
 ORDER, MARGIN = 6, 3.0
 #: Contexts seen less often say nothing of a class.
 LEAST_CONTEXT = 30
-#: Contexts and letters after them with a smaller share of the training events are left to the back-off, so the model
-#: has at most 2**21 entries of each kind and may be sent to every task.
-LEAST_SHARE = 2.0**-21
+#: Entries of the model that are sent to every task at most, those of the most frequent contexts; words that need others
+#: get their values by a join with the whole model.
+MODEL_ROWS = 1 << 20
 #: Labelled rows of the logistic fit at most, and of a labels table that is broadcast.
 FIT_ROWS, BROADCAST_ROWS = 50_000, 1_000_000
 KEPT_WORDS = 500_000
@@ -86,65 +87,120 @@ def shared(types: DataFrame, order: int, discount: float = 0.75) -> DataFrame:
     return below
 
 
-def models(train: DataFrame, order: int = ORDER) -> dict[str, float]:
-    """Log-likelihood ratios: of each event in the model, and under "context" + "\\0" where the next letter isn't in it."""
+class Model(NamedTuple):
+    """Log-likelihood ratios of the events in the model and, where the next letter isn't in it, of a context alone.
+
+    ``sent`` has whole contexts, under "context" + letter and "context" + "\\0". ``contexts`` has all of them: _h, _n
+    (events), _other (the ratio of other letters), _letters (ratios by letter); None where all of them are sent.
+    """
+
+    sent: dict[str, float]
+    contexts: DataFrame | None
+
+
+def models(train: DataFrame, order: int = ORDER) -> Model:
     types = scratch.table(counted(train, order), "grams")
-    once = types.agg(*(F.count(F.when(F.col(c) == n, 1)).alias(f"{c}{n}") for c in ("toxic", "ordinary") for n in (1, 2)), F.sum(F.col("toxic") + F.col("ordinary")).alias("all")).first()
-    least = max(1.0, (once["all"] or 0) * LEAST_SHARE)
+    once = types.agg(*(F.count(F.when(F.col(c) == n, 1)).alias(f"{c}{n}") for c in ("toxic", "ordinary") for n in (1, 2))).first()
     cut = {c: once[f"{c}1"] / max(1, once[f"{c}1"] + 2 * once[f"{c}2"]) or 0.5 for c in ("toxic", "ordinary")}
     w = Window.partitionBy("_h")
     full = types.withColumn("_h", context(F.col("gram"))).select("gram", "toxic", "ordinary", "_h", *(F.sum(c).over(w).alias(f"_n_{c}") for c in cut), *(F.count(F.when(F.col(c) > 0, 1)).over(w).alias(f"_t_{c}") for c in cut))
-    full = full.where(F.col("_n_toxic") + F.col("_n_ordinary") >= max(LEAST_CONTEXT, least))
+    full = full.where(F.col("_n_toxic") + F.col("_n_ordinary") >= LEAST_CONTEXT)
     back = {c: F.when(F.col(f"_n_{c}") > 0, F.lit(cut[c]) * F.col(f"_t_{c}") / F.col(f"_n_{c}")).otherwise(F.lit(1.0)) for c in cut}
-    contexts = full.select(F.concat("_h", F.lit("\0")).alias("gram"), (F.log(back["toxic"]) - F.log(back["ordinary"])).alias("r")).distinct()
-    full = full.where(F.col("toxic") + F.col("ordinary") >= least)
     full = full.withColumn("_low", F.substring("gram", 2, order)).join(shared(types, order).select(F.col("gram").alias("_low"), "p"), "_low", "left").withColumn("p", F.coalesce("p", F.lit(1e-4)))
     own = {c: F.when(F.col(f"_n_{c}") > 0, F.greatest(F.col(c) - cut[c], F.lit(0.0)) / F.col(f"_n_{c}")).otherwise(F.lit(0.0)) + back[c] * F.col("p") for c in cut}
-    events = full.select("gram", (F.log(own["toxic"]) - F.log(own["ordinary"])).alias("r"))
-    return {r["gram"]: r["r"] for r in events.unionByName(contexts).collect()}
+    events = full.select("_h", (F.col("_n_toxic") + F.col("_n_ordinary")).alias("_n"), (F.log(back["toxic"]) - F.log(back["ordinary"])).alias("_other"), F.substring("gram", -1, 1).alias("c"), (F.log(own["toxic"]) - F.log(own["ordinary"])).alias("r"))
+    contexts = scratch.table(events.groupBy("_h").agg(F.max("_n").alias("_n"), F.max("_other").alias("_other"), F.map_from_entries(F.collect_list(F.struct("c", "r"))).alias("_letters")), "contexts")
+    size = F.floor(4 * F.log2("_n"))
+    least, rows, whole = None, 0, True
+    for r in sorted(contexts.groupBy(size.alias("size")).agg(F.sum(F.size("_letters") + 1).alias("n")).collect(), reverse=True):
+        rows += r["n"]
+        if rows > MODEL_ROWS:
+            whole = False
+            break
+        least = r["size"]
+    sent = contexts.where(size >= least) if least is not None else contexts.limit(0)
+    sent = sent.select(F.col("_h"), F.explode(F.map_concat("_letters", F.create_map(F.lit("\0"), "_other"))).alias("c", "r")).select(F.concat("_h", "c").alias("gram"), "r").toArrow()
+    return Model(dict(zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), strict=True)), None if whole else contexts)
 
 
 class Scorer:
-    """Evidence of documents under a model; words' values are kept in a bounded table."""
+    """Evidence of documents under what was sent of a model; words' values are kept in a bounded table."""
 
-    def __init__(self, model: dict[str, float], order: int = ORDER, margin: float = MARGIN):
-        self.model, self.order, self.margin, self.known = model, order, margin, {}
+    def __init__(self, model: dict[str, float], whole: bool = True, order: int = ORDER, margin: float = MARGIN):
+        self.model, self.whole, self.order, self.margin, self.known = model, whole, order, margin, {}
 
-    def word(self, w: str) -> float:
-        get, total = self.model.get, 0.0
+    def parts(self, w: str) -> tuple[float, list[str]]:
+        """The ratio of the word's events that the sent contexts give, and the events of other contexts."""
+        get, total, rest = self.model.get, 0.0, []
         for g in grams(w, self.order):
             r = get(g)
-            total += get(g[:-1] + "\0", 0.0) if r is None else r
-        return max(0.0, total - self.margin)
+            if r is None:
+                r = get(g[:-1] + "\0")
+            if r is not None:
+                total += r
+            elif not self.whole:
+                rest.append(g)
+        return total, rest
+
+    def word(self, w: str) -> float:
+        """The word's evidence; nan where it takes more than was sent."""
+        total, rest = self.parts(w)
+        return math.nan if rest else max(0.0, total - self.margin)
 
-    def text(self, text: str | None) -> float:
+    def text(self, text: str | None) -> tuple[float, int, Counter]:
+        """The sum over the words whose values are known here, the number of words, and the other words."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         found = words((text or "").lower())
-        if not found:
-            return 0.0
         values = list(map(self.known.get, found))
         if None in values:
             for i, v in enumerate(values):
                 if v is None:
                     values[i] = self.known[found[i]] = self.word(found[i])
-        return math.fsum(values) / len(found)
+        total = math.fsum(values)
+        if not math.isnan(total):
+            return total, len(found), Counter()
+        return math.fsum(v for v in values if v == v), len(found), Counter(w for w, v in zip(found, values, strict=True) if v != v)
 
 
-def evidence(df: DataFrame, model: dict[str, float], order: int, margin: float) -> DataFrame:
-    """``df`` (_text and others) with _text replaced by _evidence."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c != "_text"]
-    schema = df.select(*keep, F.lit(0.0).alias("_evidence")).schema
+def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFrame:
+    """``df`` (_id, _text and others) with _text replaced by _evidence."""
+    sent, whole = df.sparkSession.sparkContext.broadcast(model.sent), model.contexts is None
+    keep = [c for c in df.columns if c != "_text"] if whole else ["_key"]
 
     def run(chunks):
-        scorer = Scorer(sent.value, order, margin)
+        scorer = Scorer(sent.value, whole, order, margin)
         for b in chunks:
             at = b.schema.get_field_index("_text")
             values = [scorer.text(t) for lo, hi in bpe.batches(b.column(at)) for t in b.column(at).slice(lo, hi - lo).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(values, pa.float64())], names=[*keep, "_evidence"])
-
-    return df.select(*keep, "_text").mapInArrow(run, schema)
+            made = {"_sum": pa.array([v[0] for v in values], pa.float64()), "_words": pa.array([v[1] for v in values], pa.int64())}
+            if not whole:
+                made |= {"_rest": pa.array([list(v[2]) for v in values], pa.list_(pa.string())), "_times": pa.array([list(v[2].values()) for v in values], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *made.values()], names=[*keep, *made])
+
+    mean = F.col("_sum") / F.greatest("_words", F.lit(1))
+    if whole:
+        schema = df.select(*keep, F.lit(0.0).alias("_sum"), F.lit(0).cast("long").alias("_words")).schema
+        return df.select(*keep, "_text").mapInArrow(run, schema).select(*keep, mean.alias("_evidence"))
+
+    def split(chunks):
+        scorer = Scorer(sent.value, whole, order, margin)
+        for b in chunks:
+            rows = []
+            for w in b.column(0).to_pylist():
+                total, rest = scorer.parts(w)
+                rows += [(w, g[:-1], g[-1], 0.0 if i else total) for i, g in enumerate(rest)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("_word", "_h", "_c", "_sent"), r, strict=True)) for r in rows], pa.schema([("_word", pa.string()), ("_h", pa.string()), ("_c", pa.string()), ("_sent", pa.float64())]))
+
+    df = df.withColumn("_key", F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce("_text", F.lit(""))))))
+    seen = scratch.table(df.select("_key", "_text").mapInArrow(run, "_key binary, _sum double, _words long, _rest array<string>, _times array<long>"), "evidence")
+    rest = seen.select("_key", F.explode(F.arrays_zip("_rest", "_times")).alias("r")).select("_key", F.col("r")["_rest"].alias("_word"), F.col("r")["_times"].alias("_times")).distinct()
+    values = rest.select("_word").distinct().mapInArrow(split, "_word string, _h string, _c string, _sent double").join(model.contexts, "_h", "left")
+    values = values.groupBy("_word").agg(F.sum(F.col("_sent") + F.coalesce(F.col("_letters")[F.col("_c")], "_other", F.lit(0.0))).alias("_value")).where(F.col("_value") > margin)
+    more = rest.join(values, "_word").groupBy("_key").agg(F.sum(F.col("_times") * (F.col("_value") - margin)).alias("_more"))
+    made = seen.groupBy("_key").agg(F.max("_sum").alias("_sum"), F.max("_words").alias("_words")).join(more, "_key", "left")
+    made = made.select("_key", ((F.col("_sum") + F.coalesce("_more", F.lit(0.0))) / F.greatest("_words", F.lit(1))).alias("_evidence"))
+    return df.drop("_text").join(made, "_key", "left").drop("_key")
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
@@ -183,7 +239,7 @@ def score(df: DataFrame, labels: DataFrame, order: int = ORDER, margin: float =
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     marked = docs.join(marks, "_id")
     model = models(marked.where("_fold <> 1"), order)
-    fit = evidence(marked.where("_fold = 1").withColumn("_o", F.xxhash64("_id")).orderBy("_o").limit(FIT_ROWS).select("_text", "_toxic") if labels.count() > 4 * FIT_ROWS else marked.where("_fold = 1").select("_text", "_toxic"), model, order, margin).collect()
+    fit = evidence(marked.where("_fold = 1").withColumn("_o", F.xxhash64("_id")).orderBy("_o").limit(FIT_ROWS).select("_id", "_text", "_toxic") if labels.count() > 4 * FIT_ROWS else marked.where("_fold = 1").select("_id", "_text", "_toxic"), model, order, margin).collect()
     weights = logistic(np.array([r["_evidence"] for r in fit]), np.array([r["_toxic"] for r in fit]))
     src = df.select(*(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = evidence(src, model, order, margin)

@@ -481,6 +481,28 @@ def test_toxicity(spark, small):
     assert {round(r["score"], 6) for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.25}
 
 
+def test_toxicity_keeps_rare_events_of_large_corpora(spark):
+    """The whole counted model stays: an event seen twice among 4.5 million."""
+    rows = [("anerothi " * 50_000, 0)] * 10 + [("zubana " * 40 + "zubaqa zubaqa", 1)]
+    model = toxicity.models(spark.createDataFrame(rows, "_text string, _toxic int"))
+    assert model.contexts is None and "^zubaq" in model.sent and "^zuba\0" in model.sent
+
+
+@pytest.mark.parametrize("most", [0, 60, 400])
+def test_toxicity_by_join_is_the_same(spark, monkeypatch, most):
+    rng = random.Random(3)
+    plain = ["".join(rng.choice(["an", "er", "on", "th", "re", "in"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(30)] + ["zubon zubth"] * (i % 5 == 0))) for i in range(200)]
+    rows += [(900, None), (901, ""), (None, "anon zubon"), (5, rows[5][1]), (5, "zubon"), (902, "zubon qqq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit("m"))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = []
+    for n in (toxicity.MODEL_ROWS, most):
+        monkeypatch.setattr(toxicity, "MODEL_ROWS", n)
+        got.append(sorted((str(r["doc_id"]), round(r["score"], 9), r["predicted"], r["more"]) for r in toxicity.score(docs, labels, keep=("more",)).collect()))
+    assert len(got[0]) == len(rows) and got[0] == got[1] and len({r[2] for r in got[0]}) == 2
+
+
 # pipeline and SQL
 
 
