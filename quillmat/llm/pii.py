@@ -4,6 +4,9 @@ Cards, bank accounts, social security numbers, phone numbers, network addresses,
 the names in mail addresses are found by pattern, validated (check digits, ranges, calendar), and replaced by another valid value of the same
 format. A keyed Feistel network permutes each format's values, so equal values get equal pseudonyms in all documents
 and different ones stay different; no value is its own pseudonym. Whoever has the key can undo it.
+
+A card or account may have other numbers beside it, so each span of whole groups is tried. Where a pseudonym would be
+read as another span or kind than the value was, the permutation is applied again until it isn't.
 """
 
 from __future__ import annotations
@@ -169,6 +172,17 @@ class Pseudonyms:
         new = self.day(text[6:], text[3:5], text[:2])
         return new and text[2].join(reversed(new))
 
+    def mdy(self, text: str) -> str | None:
+        new = self.day(text[6:], text[:2], text[3:5])
+        return new and text[2].join((new[1], new[2], new[0]))
+
+    def abroad(self, text: str) -> str | None:
+        """All but the country code, which is taken to be the first group or, where that is longer, two digits."""
+        first = GROUP.search(text).group()
+        at = 1 + (len(first) if len(first) <= 3 else 2)
+        own = "".join(c for c in text[at:] if c.isdigit())
+        return text[:at] + self.digits("abroad", text[at:], self.letters("abroad", own))
+
     def secret(self, text: str) -> str | None:
         size = 16 ** len(text)
         return f"{self.permute('secret', size, int(text, 16)):0{len(text)}x}"
@@ -181,34 +195,99 @@ class Pseudonyms:
             seen = self.known[kind, text] = getattr(self, kind)(text)
         return seen
 
+    def at(self, text: str, start: int) -> tuple[int, int, str] | None:
+        """The value that begins at ``start``: begin, end, kind."""
+        for kind, pattern in KINDS.items():
+            m = pattern.match(text, start)
+            for end in spans(kind, m) if m else ():
+                if self.one(kind, text[start:end]) is not None:
+                    return start, end, kind
+        return None
+
+    def first(self, text: str, pos: int) -> tuple[int, int, str] | None:
+        """The first value from ``pos`` on."""
+        while m := PATTERN.search(text, pos):
+            hit = self.at(text, m.start())
+            if hit and hit[2] == "card" and not usual("card", text[hit[0] : hit[1]]):
+                for g in GROUP.finditer(text, hit[0] + 1, hit[1]):
+                    later = self.at(text, g.start())
+                    if later and later[2] == "card" and usual("card", text[later[0] : later[1]]):
+                        return later
+            if hit:
+                return hit
+            pos = m.start() + 1
+        return None
+
     def text(self, text: str, counts: Counter) -> str:
         if not HINT.search(text):
             return text
-
-        def put(m: re.Match) -> str:
-            new = self.one(m.lastgroup, m.group())
-            if new is None:
-                return m.group()
-            counts[m.lastgroup] += 1
-            return new
-
-        return PATTERN.sub(put, text)
-
-
+        out, done = [], 0
+        while hit := self.first(text, done):
+            start, end, kind = hit
+            # what stands before may be read together with the new value
+            near = max(done, start - REACH)
+            head, tail = text[max(0, near - 1) : start], text[end : end + REACH]
+            old = new = text[start:end]
+            while True:
+                new = self.one(kind, new)
+                if new == old or self.first(head + new + tail, near - max(0, near - 1)) == (len(head), len(head) + len(new), kind):
+                    break
+            counts[kind] += 1
+            out += [text[done:start], new]
+            done = end
+        return "".join(out) + text[done:]
+
+
+def usual(kind: str, text: str) -> bool:
+    """Whether a card's digits are grouped, or an account is as long, as usual."""
+    if kind == "card":
+        sizes = tuple(map(len, GROUP.findall(text)))
+        return len(sizes) == 1 or len(set(text) & {" ", "-"}) == 1 and sizes in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
+    return ACCOUNTS.get(text[:2]) == len(text.replace(" ", ""))
+
+
+def spans(kind: str, m: re.Match) -> list[int]:
+    """Ends of the spans to try of a match: the whole, or those of whole groups, usual and then long ones first."""
+    if kind not in ("card", "account"):
+        return [m.end()]
+    ends = [g.end() for g in GROUP.finditer(m.string, m.start(), m.end())]
+    sizes = {e: sum(map(len, GROUP.findall(m.string, m.start(), e))) for e in ends}
+    least = 13 if kind == "card" else 15
+    return sorted((e for e in ends if sizes[e] >= least), key=lambda e: (not usual(kind, m.string[m.start() : e]), -e))
+
+
+GROUP = re.compile(r"[A-Za-z0-9]+")
+#: Characters before and after a value that may be read together with it.
+REACH = 400
+#: Lengths of bank accounts by country.
+ACCOUNTS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 #: Texts without a match of this hold none of the values.
 HINT = re.compile(r"@|\d[\d().\-/ ]{6,}|[A-Z]{2}\d\d|[\"'][0-9a-f]{32}")
-PATTERN = re.compile(
-    r"""(?P<mail>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-]))
-    |(?P<account>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<=[ .-])\d{3}[ .-]|(?<!\d)\d{3}[.-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d))
-    |(?P<security>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))
-    |(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w]|-\d))
-    |(?P<dmy>(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d))
-    |(?P<address>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-    |(?P<secret>(?<=["'])[0-9a-f]{32,64}(?=["']))
-    |(?P<card>(?<![\w])\d(?:[ -]?\d){12,18}(?![\w]))""",
-    re.VERBOSE | re.ASCII,
-)
+KINDS = {
+    kind: re.compile(pattern, re.ASCII)
+    for kind, pattern in {
+        "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+        "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<![^\s.,;:\"'(\[-])\d{3}[ .-]|(?<!\d)\d{3}[.-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)",
+        "abroad": r"(?<![\w+])\+[1-9](?:[ .-]?[()]?[ .-]?\d){7,14}(?![\w]|[.-]\d)",
+        "security": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
+        "iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?=T\d\d|(?![\w]|-\d))",
+        "dmy": r"(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d)",
+        "mdy": r"(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d)",
+        "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+        "secret": r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])",
+        "card": r"(?<![\w])\d(?:[ -]?\d){12,18}(?![\w])",
+    }.items()
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in KINDS.items()), re.ASCII)
 #: The key of tests and of queries on made-up data; a real one is handed in.
 TEST_KEY = b"quillmat test key"
 

@@ -374,6 +374,39 @@ def test_pseudonyms():
     assert pii.Pseudonyms(b"other").text(text, collections.Counter()) != head
 
 
+NEIGHBOURS = {
+    "at 4111 1111 1111 1111 12 times": "4111 1111 1111 1111",
+    "12 4111 1111 1111 1111": "4111 1111 1111 1111",
+    "9999 4111-1111-1111-1111 x": "4111-1111-1111-1111",
+    "to 3782 822463 10005 77 units": "3782 822463 10005",
+    "ES91 2100 0418 4502 0005 1332 EUR": "ES91 2100 0418 4502 0005 1332",
+    "GB82 WEST 1234 5698 7654 32 ABCD": "GB82 WEST 1234 5698 7654 32",
+    "on 2020-05-06T10:00:00Z": "2020-05-06",
+    "born 12/25/1990.": "12/25/1990",
+    "call +44 20 7946 0958 now": "+44 20 7946 0958",
+    "call +4915112345678": "+4915112345678",
+    "555 123 4567": "555 123 4567",
+    "x\n555 123 4567 y": "555 123 4567",
+}
+
+
+@pytest.mark.parametrize("text", list(NEIGHBOURS))
+@pytest.mark.parametrize("key", [b"k", b"l", b"m", b"n", b"o", b"p", b"q", b"r"])
+def test_pseudonyms_beside_other_tokens(text, key):
+    value, counts = NEIGHBOURS[text], collections.Counter()
+    before, _, after = text.partition(value)
+    new = pii.Pseudonyms(key).text(text, counts)
+    assert new != text and counts.total() == 1 and new.startswith(before) and new.endswith(after) and len(new) == len(text)
+    assert pii.Pseudonyms(key, undo=True).text(new, collections.Counter()) == text
+
+
+def test_pseudonyms_of_digit_groups_can_be_undone():
+    rng = random.Random(4)
+    for i in range(300):
+        text = "".join("".join(rng.choice("0123456789") for _ in range(rng.choice([1, 2, 3, 4, 4, 4, 10]))) + rng.choice("  -/.") for _ in range(40))
+        assert pii.Pseudonyms(b"k", undo=True).text(pii.Pseudonyms(b"k").text(text, collections.Counter()), collections.Counter()) == text, i
+
+
 def test_pii_rows(odd, none):
     df = odd.withColumn("text", F.concat("text", F.lit(" a.b@c.org")))
     got = {(r["doc_id"], r["text"]): r["n_replaced"] for r in pii.pseudonymise(df).collect()}
