@@ -3,8 +3,10 @@
 Two models, of toxic and of ordinary text, give the letters of each word: the next letter after up to ``order`` - 1
 letters of the word so far. The longest contexts have counts of their own class. Below, both back off to the same
 Kneser-Ney continuation counts of all training text, so a rare expression gets nearly equal likelihoods from both and
-cannot tip the balance. A word's evidence is its log-likelihood ratio beyond ``margin``; a document's is the sum over
-its words divided by their number, turned into a score by a logistic fit on labelled rows that the counts have not seen.
+cannot tip the balance. A document has two measures: the log-likelihood ratio of all its events divided by their number,
+to which ordinary words add as toxic ones do, and the ratio of each word beyond ``margin`` divided by the number of words,
+which a few strong words in a long text decide. A logistic fit on labelled rows that the counts have not seen makes a
+score of both.
 """
 
 from __future__ import annotations
@@ -142,13 +144,13 @@ class Scorer:
                 rest.append(g)
         return total, rest
 
-    def word(self, w: str) -> float:
-        """The word's evidence; nan where it takes more than was sent."""
+    def word(self, w: str) -> complex:
+        """The word's ratio beyond the margin and, as the imaginary part, all of it; nan where it takes more than was sent."""
         total, rest = self.parts(w)
-        return math.nan if rest else max(0.0, total - self.margin)
+        return complex(math.nan, math.nan) if rest else complex(max(0.0, total - self.margin), total)
 
-    def text(self, text: str | None) -> tuple[float, int, Counter]:
-        """The sum over the words whose values are known here, the number of words, and the other words."""
+    def text(self, text: str | None) -> tuple[complex, int, int, Counter]:
+        """The sum over the words whose values are known here, the numbers of words and events, and the other words."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         found = words((text or "").lower())
@@ -157,14 +159,14 @@ class Scorer:
             for i, v in enumerate(values):
                 if v is None:
                     values[i] = self.known[found[i]] = self.word(found[i])
-        total = math.fsum(values)
-        if not math.isnan(total):
-            return total, len(found), Counter()
-        return math.fsum(v for v in values if v == v), len(found), Counter(w for w, v in zip(found, values, strict=True) if v != v)
+        total, sizes = sum(values, 0j), (len(found), sum(map(len, found)) + len(found))
+        if total == total:
+            return total, *sizes, Counter()
+        return sum((v for v in values if v == v), 0j), *sizes, Counter(w for w, v in zip(found, values, strict=True) if v != v)
 
 
 def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFrame:
-    """``df`` (_id, _text and others) with _text replaced by _evidence."""
+    """``df`` (_id, _text and others) with _text replaced by _strong (a word) and _ratio (an event)."""
     sent, whole = df.sparkSession.sparkContext.broadcast(model.sent), model.contexts is None
     keep = [c for c in df.columns if c != "_text"] if whole else ["_key"]
 
@@ -173,15 +175,15 @@ def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFram
         for b in chunks:
             at = b.schema.get_field_index("_text")
             values = [scorer.text(t) for lo, hi in bpe.batches(b.column(at)) for t in b.column(at).slice(lo, hi - lo).to_pylist()]
-            made = {"_sum": pa.array([v[0] for v in values], pa.float64()), "_words": pa.array([v[1] for v in values], pa.int64())}
+            made = {"_sum": pa.array([v[0].real for v in values], pa.float64()), "_all": pa.array([v[0].imag for v in values], pa.float64()), "_words": pa.array([v[1] for v in values], pa.int64()), "_events": pa.array([v[2] for v in values], pa.int64())}
             if not whole:
-                made |= {"_rest": pa.array([list(v[2]) for v in values], pa.list_(pa.string())), "_times": pa.array([list(v[2].values()) for v in values], pa.list_(pa.int64()))}
+                made |= {"_rest": pa.array([list(v[3]) for v in values], pa.list_(pa.string())), "_times": pa.array([list(v[3].values()) for v in values], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *made.values()], names=[*keep, *made])
 
-    mean = F.col("_sum") / F.greatest("_words", F.lit(1))
+    means = [(F.col(a) / F.greatest(n, F.lit(1))).alias(c) for a, n, c in (("_sum", "_words", "_strong"), ("_all", "_events", "_ratio"))]
     if whole:
-        schema = df.select(*keep, F.lit(0.0).alias("_sum"), F.lit(0).cast("long").alias("_words")).schema
-        return df.select(*keep, "_text").mapInArrow(run, schema).select(*keep, mean.alias("_evidence"))
+        schema = df.select(*keep, F.lit(0.0).alias("_sum"), F.lit(0.0).alias("_all"), F.lit(0).cast("long").alias("_words"), F.lit(0).cast("long").alias("_events")).schema
+        return df.select(*keep, "_text").mapInArrow(run, schema).select(*keep, *means)
 
     def split(chunks):
         scorer = Scorer(sent.value, whole, order, margin)
@@ -193,29 +195,29 @@ def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFram
             yield pa.RecordBatch.from_pylist([dict(zip(("_word", "_h", "_c", "_sent"), r, strict=True)) for r in rows], pa.schema([("_word", pa.string()), ("_h", pa.string()), ("_c", pa.string()), ("_sent", pa.float64())]))
 
     df = df.withColumn("_key", F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce("_text", F.lit(""))))))
-    seen = scratch.table(df.select("_key", "_text").mapInArrow(run, "_key binary, _sum double, _words long, _rest array<string>, _times array<long>"), "evidence")
+    seen = scratch.table(df.select("_key", "_text").mapInArrow(run, "_key binary, _sum double, _all double, _words long, _events long, _rest array<string>, _times array<long>"), "evidence")
     rest = seen.select("_key", F.explode(F.arrays_zip("_rest", "_times")).alias("r")).select("_key", F.col("r")["_rest"].alias("_word"), F.col("r")["_times"].alias("_times")).distinct()
     values = rest.select("_word").distinct().mapInArrow(split, "_word string, _h string, _c string, _sent double").join(model.contexts, "_h", "left")
-    values = values.groupBy("_word").agg(F.sum(F.col("_sent") + F.coalesce(F.col("_letters")[F.col("_c")], "_other", F.lit(0.0))).alias("_value")).where(F.col("_value") > margin)
-    more = rest.join(values, "_word").groupBy("_key").agg(F.sum(F.col("_times") * (F.col("_value") - margin)).alias("_more"))
-    made = seen.groupBy("_key").agg(F.max("_sum").alias("_sum"), F.max("_words").alias("_words")).join(more, "_key", "left")
-    made = made.select("_key", ((F.col("_sum") + F.coalesce("_more", F.lit(0.0))) / F.greatest("_words", F.lit(1))).alias("_evidence"))
+    values = values.groupBy("_word").agg(F.sum(F.col("_sent") + F.coalesce(F.col("_letters")[F.col("_c")], "_other", F.lit(0.0))).alias("_value"))
+    more = rest.join(values, "_word").groupBy("_key").agg(F.sum(F.col("_times") * F.greatest(F.col("_value") - margin, F.lit(0.0))).alias("_more"), F.sum(F.col("_times") * F.col("_value")).alias("_more_all"))
+    made = seen.groupBy("_key").agg(*(F.max(c).alias(c) for c in ("_sum", "_all", "_words", "_events"))).join(more, "_key", "left")
+    made = made.withColumn("_sum", F.col("_sum") + F.coalesce("_more", F.lit(0.0))).withColumn("_all", F.col("_all") + F.coalesce("_more_all", F.lit(0.0))).select("_key", *means)
     return df.drop("_text").join(made, "_key", "left").drop("_key")
 
 
-def features(evidence: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(evidence)), evidence, np.log(evidence + 1e-3)])
+def features(strong: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(strong)), strong, np.log(strong + 1e-3), ratio])
 
 
-def logistic(evidence: np.ndarray, toxic: np.ndarray) -> list[float]:
+def logistic(strong: np.ndarray, ratio: np.ndarray, toxic: np.ndarray) -> list[float]:
     """Weights of :func:`features` by Newton's method with a small ridge; the prior alone where a class is missing."""
     if len(set(toxic.tolist())) < 2:
         p = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.25
-        return [math.log(p / (1 - p)), 0.0, 0.0]
-    x, w = features(evidence), np.zeros(3)
+        return [math.log(p / (1 - p)), 0.0, 0.0, 0.0]
+    x, w = features(strong, ratio), np.zeros(4)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (toxic - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(4), x.T @ (toxic - p) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -240,9 +242,9 @@ def score(df: DataFrame, labels: DataFrame, order: int = ORDER, margin: float =
     marked = docs.join(marks, "_id")
     model = models(marked.where("_fold <> 1"), order)
     fit = evidence(marked.where("_fold = 1").withColumn("_o", F.xxhash64("_id")).orderBy("_o").limit(FIT_ROWS).select("_id", "_text", "_toxic") if labels.count() > 4 * FIT_ROWS else marked.where("_fold = 1").select("_id", "_text", "_toxic"), model, order, margin).collect()
-    weights = logistic(np.array([r["_evidence"] for r in fit]), np.array([r["_toxic"] for r in fit]))
+    weights = logistic(*(np.array([r[c] for r in fit]) for c in ("_strong", "_ratio", "_toxic")))
     src = df.select(*(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = evidence(src, model, order, margin)
-    x = F.lit(weights[0]) + F.lit(weights[1]) * F.col("_evidence") + F.lit(weights[2]) * F.log(F.col("_evidence") + 1e-3)
+    x = F.lit(weights[0]) + F.lit(weights[1]) * F.col("_strong") + F.lit(weights[2]) * F.log(F.col("_strong") + 1e-3) + F.lit(weights[3]) * F.col("_ratio")
     out = out.withColumn("_score", 1 / (1 + F.exp(-x)))
     return out.select(F.col("_id").alias(id_col), (fold(F.col("_id")) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)))

@@ -536,6 +536,16 @@ def test_toxicity_by_join_is_the_same(spark, monkeypatch, most):
     assert len(got[0]) == len(rows) and got[0] == got[1] and len({r[2] for r in got[0]}) == 2
 
 
+def test_toxicity_of_ordinary_words(spark):
+    """Words of which none is strong tell the classes apart together."""
+    rng = random.Random(5)
+    plain = ["".join(rng.choice(["an", "er", "on", "th", "re", "in"]) for _ in range(rng.randint(2, 4))) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(plain, [3 if (n < 20) == (i % 3 == 0) else 1 for n in range(40)], k=120)), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = toxicity.score(docs.drop("toxic"), docs.drop("text")).where("held_out").collect()
+    assert np.mean([(r["doc_id"] % 3 == 0) == r["predicted"] for r in held]) >= 0.9
+
+
 # pipeline and SQL
 
 
