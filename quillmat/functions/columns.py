@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,10 +72,12 @@ def compression(products: Column, nnz: Column) -> Column:
     return products / nnz
 
 
-def upper_median(x: Column | str) -> Column:
-    """The value of rank n div 2 (from 0) in ascending order."""
-    every = F.array_sort(F.collect_list(col(x)))
-    return F.element_at(every, (F.size(every) / 2).cast("int") + 1)
+def upper_medians(df: DataFrame, key: str, x: str) -> DataFrame:
+    """key, x: of each group the value of rank n div 2 (from 0) in ascending order, from counts of equal values."""
+    w = Window.partitionBy(key)
+    counts = df.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = counts.select(key, x, F.sum("_n").over(w.orderBy(x)).alias("_to"), F.sum("_n").over(w).alias("_all"))
+    return ranks.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min(x).alias(x))
 
 
 def popped(mask: Column, slot: Column) -> Column:

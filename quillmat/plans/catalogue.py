@@ -498,7 +498,10 @@ def super16_heatmap(spark, folder):
 
 @query("SELECT l_returnflag, median(l_quantity) AS middle, min(l_quantity) AS least, max(l_quantity) AS most, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_middle FROM lineitem GROUP BY 1")
 def sample_median_stats(spark, folder):
-    return data.table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("middle"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), fn.upper_median("l_quantity").alias("upper_middle"))
+    lines = data.table(spark, folder, "lineitem")
+    made = lines.groupBy("l_returnflag").agg(F.median("l_quantity").alias("middle"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    upper = fn.upper_medians(lines, "l_returnflag", "l_quantity").toDF("_flag", "upper_middle")
+    return made.join(upper, F.col("l_returnflag").eqNullSafe(F.col("_flag")), "left").drop("_flag")
 
 
 @query(w("np", tile_sql("np", "t")) + "SELECT mask, (nnz + 7) // 8 AS eighths, bit_count((mask & -mask) - 1)::BIGINT AS lowest, least(9223372036854775807::HUGEINT, mask::HUGEINT * 9000000000)::BIGINT AS product, least(9223372036854775807::HUGEINT, mask::HUGEINT + 9223372036854000000)::BIGINT AS total FROM t")

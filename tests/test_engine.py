@@ -270,3 +270,12 @@ def test_heat_map_counts_every_entry(spark):
     plan = reorder.identity_plan(a)
     assert mtx.heat_meta(a, plan, 16).count() == 4 + len(plan.stats)
     assert len(plan.stats) == 32
+
+
+def test_upper_medians_collect_no_group(spark):
+    from quillmat.functions import columns
+
+    df = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 3), ("b", None), (None, 2), (None, 4)], "k string, x int")
+    got = columns.upper_medians(df, "k", "x")
+    assert {tuple(r) for r in got.collect()} == {("a", 5), ("b", 3), (None, 4)}
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
