@@ -5,8 +5,9 @@ the lowest rank and its leftmost place, a merge updates three leaves and their a
 root holds no mergeable pair. Many pieces are encoded side by side, one row of a matrix each, so the tree's point
 updates are numpy operations over all pieces that still merge.
 
-A text is cut at single spaces between two non-blank characters; such places are always piece borders of the
-vocabulary's split pattern, so the ids of each part can be kept in a bounded table per worker.
+A batch of texts is cut at places that are always piece borders of the vocabulary's split pattern: around blanks and
+between letters, digits and other ASCII signs. Arrow finds the distinct stretches of the batch, only those that a bounded
+table of the worker lacks are encoded, and numpy gathers the ids of all stretches.
 """
 
 from __future__ import annotations
@@ -24,9 +25,42 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts and pieces whose ids a worker keeps in each of two generations of a table, and parts that begin a text.
-KEPT_PARTS, KEPT_PIECES, KEPT_FIRST = 250_000, 200_000, 20_000
+#: Stretches whose ids a worker keeps in each of two generations of a table.
+KEPT = 300_000
+#: Fixed value: blanks beyond ASCII. The runs they are in may reach over a cut, so texts that hold one are split whole.
+WIDE_BLANKS = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 NO_PAIR = np.int64(1) << 62
+SPACE, BLANK, LETTER, DIGIT, SIGN, APOSTROPHE, WIDE = range(7)
+
+
+def byte_kinds() -> np.ndarray:
+    kinds = np.full(256, SIGN, np.uint8)
+    kinds[128:] = WIDE
+    for kind, chars in ((SPACE, b" "), (BLANK, bytes(range(9, 14))), (LETTER, bytes([*range(65, 91), *range(97, 123)])), (DIGIT, bytes(range(48, 58))), (APOSTROPHE, b"'")):
+        kinds[list(chars)] = kind
+    return kinds
+
+
+def sure_borders() -> tuple[np.ndarray, np.ndarray]:
+    """For each two kinds of neighbouring bytes (8 * first + second): a border between them; a border before the first.
+
+    A run of blanks begins a piece, and so does its last blank where more text follows; only a space goes on with it.
+    After an apostrophe may come the rest of a contraction, and beside bytes beyond ASCII nothing is known.
+    """
+    between, before = np.zeros(64, bool), np.zeros(64, bool)
+    for a in range(7):
+        for b in range(7):
+            if b <= BLANK:
+                between[8 * a + b] = a > BLANK
+            elif a <= BLANK:
+                between[8 * a + b], before[8 * a + b] = a == BLANK, True
+            elif a in (LETTER, DIGIT, SIGN) and b != WIDE:
+                between[8 * a + b] = min(a, SIGN) != min(b, SIGN)
+    return between, before
+
+
+KIND = byte_kinds()
+BETWEEN, BEFORE = sure_borders()
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,29 +70,45 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def clean(part: str) -> bool:
-    """Whether a part between single spaces neither begins nor ends with a blank, so that both spaces are borders."""
-    return part != "" and part[0] > " " and part[-1] > " " and not part[0].isspace() and not part[-1].isspace()
-
-
 class Kept:
     """A bounded table in two generations: when the new one is full it becomes the old one, whose hits are carried over."""
 
     def __init__(self, most: int):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.most = most
 
-    def turn(self) -> None:
+    def find(self, keys: list[bytes]) -> list[bytes | None]:
+        found = list(map(self.new.get, keys))
+        if self.old and None in found:
+            for i, x in enumerate(found):
+                if x is None and (x := self.old.get(keys[i])) is not None:
+                    found[i] = self.new[keys[i]] = x
+        return found
+
+    def add(self, keys: list[bytes], values: list[bytes]) -> None:
         if len(self.new) > self.most:
             self.new, self.old = {}, self.new
+        self.new.update(zip(keys, values, strict=True))
 
-    def aged(self, key: str) -> bytes | None:
-        """From the old generation, carried over."""
-        found = self.old.get(key)
-        if found is not None:
-            self.new[key] = found
-        return found
+
+def as_bytes(values: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without nulls, faster than to_pylist()."""
+    cuts = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = (values.buffers()[2] or b"") and values.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def gathered(values: list[bytes], which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """values[w] for each w one after another as unsigned integers of ``width`` bytes, and the ends (from 0 on)."""
+    flat = np.frombuffer(b"".join(values), f"<u{width}")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    starts = np.cumsum(sizes) - sizes
+    ends = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(sizes[which], out=ends[1:])
+    at = np.repeat(starts[which] - ends[:-1], sizes[which])
+    at += np.arange(len(at))
+    return flat[at], ends
 
 
 class Bpe:
@@ -98,7 +148,7 @@ class Bpe:
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.engine = engine
-        self.first, self.later, self.pieces = Kept(KEPT_FIRST), Kept(KEPT_PARTS), Kept(KEPT_PIECES)
+        self.kept = Kept(KEPT)
         if engine == "library":
             from tokenizers import Tokenizer
 
@@ -193,104 +243,86 @@ class Bpe:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces of the split pattern."""
         if self.engine == "tree" or not pieces:
-            return self.merge([p.encode("utf-8", "surrogatepass") for p in pieces])
-        made = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+            return self.merge(pieces)
+        made = self.library.encode([p.decode("utf-8", "replace") for p in pieces], is_pretokenized=True, add_special_tokens=False)
         cuts = (np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(pieces) + 1)) * 4).tolist()
         raw = np.array(made.ids, "<u4").tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _stretches(self, texts: list[str]) -> list[bytes]:
-        """Ids of stretches that begin and end at piece borders."""
-        self.pieces.turn()
-        kept, aged = self.pieces.new, self.pieces.aged
-        split = [self.split.findall(t) for t in texts]
-        new = list({p: None for ps in split for p in ps if p not in kept and aged(p) is None})
-        kept.update(zip(new, self._encoded(new), strict=True))
-        return [kept[ps[0]] if len(ps) == 1 else b"".join([kept[p] for p in ps]) for ps in split]
+    def _stretches(self, stretches: list[bytes]) -> list[bytes]:
+        """Ids of distinct stretches that begin and end at piece borders. A piece is a stretch of its own."""
+        got = self.kept.find(stretches)
+        missing = [i for i, x in enumerate(got) if x is None]
+        if not missing:
+            return got
+        new = [stretches[i] for i in missing]
+        split = {}
+        for s in new:
+            if not s.isascii() or b"'" in s:
+                ps = self.split.findall(s.decode("utf-8", "replace"))
+                if len(ps) > 1 or ps[0].encode() != s:
+                    split[s] = [p.encode() for p in ps]
+        pieces = list(dict.fromkeys([*(s for s in new if s not in split), *(p for ps in split.values() for p in ps)]))
+        made = dict(zip(pieces, self._encoded(pieces), strict=True))
+        values = [made[s] if s not in split else b"".join([made[p] for p in split[s]]) for s in new]
+        for i, x in zip(missing, values, strict=True):
+            got[i] = x
+        self.kept.add(new, values)
+        return got
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Ids of a text that may hold special tokens or blanks beyond ASCII."""
+        out = []
+        for k, run in enumerate(self.cut.split(text) if self.cut else [text]):
+            if k % 2:
+                out.append(np.array([self.special[run]], "<u4").tobytes())
+                continue
+            pieces = [p.encode() for p in self.split.findall(run)]
+            names = list(dict.fromkeys(pieces))
+            known = dict(zip(names, self._stretches(names), strict=True))
+            out += [known[p] for p in pieces]
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every whole text (null: empty), one after another, and the ends of the texts among them (from 0 on)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, WIDE_BLANKS)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(odd, "", texts) if len(which) else texts
+        offsets = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+        raw = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+        if not len(raw):
+            ids, ends = np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        else:
+            kinds = KIND[raw]
+            pair = kinds[:-1] * np.uint8(8) + kinds[1:]
+            first = offsets[:-1][offsets[:-1] < len(raw)]
+            pair[first[first > 0] - 1] = 63
+            cut = np.zeros(len(raw), bool)
+            cut[1:], cut[first] = BETWEEN[pair], True
+            cut[:-1] |= BEFORE[pair]
+            borders = np.append(np.flatnonzero(cut), len(raw))
+            parts = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(raw)]).dictionary_encode()
+            ids, at = gathered(self._stretches(as_bytes(parts.dictionary)), parts.indices.to_numpy(), 4)
+            ends = at[np.searchsorted(borders, offsets)]
+        if len(which):
+            more = [self._odd(texts[int(i)].as_py()) for i in which]
+            ids = np.concatenate([x for pair in zip(np.split(ids, ends[which]), [*more, more[0][:0]], strict=True) for x in pair])
+            ends = ends.copy()
+            ends[1:] += np.cumsum(np.bincount(which, [len(x) for x in more], len(texts)).astype(np.int64))
+        return ids, ends
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text (null: empty) as little-endian unsigned 32-bit integers."""
-        self.first.turn()
-        self.later.turn()
-        first, later = self.first.new, self.later.new
-        plans: list[list] = []
-        new_first: dict[str, int] = {}
-        new_later: dict[str, int] = {}
-        odd: dict[str, int] = {}
-        for text in texts:
-            plan: list = []
-            for k, run in enumerate(self.cut.split(text) if self.cut and text and any(s in text for s in self.special) else [text or ""]):
-                if k % 2:
-                    plan.append([np.array([self.special[run]], "<u4").tobytes()])
-                    continue
-                if not run:
-                    continue
-                parts = run.split(" ")
-                got = list(map(later.get, parts))
-                got[0] = first.get(parts[0])
-                missing = []
-                for i, ids in enumerate(got):
-                    if ids is None:
-                        got[i] = ids = self.later.aged(parts[i]) if i else self.first.aged(parts[i])
-                        if ids is None:
-                            missing.append(i)
-                if any(not clean(parts[i]) for i in missing):
-                    parts = self._whole(parts)
-                    got = [None if type(p) is tuple else later.get(p) if i else first.get(p) for i, p in enumerate(parts)]
-                    missing = [i for i, ids in enumerate(got) if ids is None]
-                for i in missing:
-                    p = parts[i]
-                    if type(p) is tuple:
-                        got[i] = (2, odd.setdefault(p[0], len(odd)))
-                    elif i:
-                        got[i] = (1, new_later.setdefault(p, len(new_later)))
-                    else:
-                        got[i] = (0, new_first.setdefault(p, len(new_first)))
-                plan.append(got)
-                if missing:
-                    plan.append(missing)
-            plans.append(plan)
-        stretches = [*new_first, *(" " + p for p in new_later), *odd]
-        made = self._stretches(stretches) if stretches else []
-        n, m = len(new_first), len(new_first) + len(new_later)
-        first.update(zip(new_first, made[:n], strict=True))
-        later.update(zip(new_later, made[n:m], strict=True))
-        base = (0, n, m)
-        out = []
-        for plan in plans:
-            done: list[bytes] = []
-            for k, got in enumerate(plan):
-                if got and type(got[0]) is int:
-                    continue
-                if k + 1 < len(plan) and type(plan[k + 1][0]) is int:
-                    for i in plan[k + 1]:
-                        kind, j = got[i]
-                        got[i] = made[base[kind] + j]
-                done += got
-            out.append(b"".join(done))
-        return out
-
-    @staticmethod
-    def _whole(parts: list[str]) -> list:
-        """Join parts again where the space between them is no sure border; joined stretches come as 1-tuples."""
-        good = [clean(p) for p in parts]
-        borders = [a and b for a, b in zip(good, good[1:], strict=False)]
-        if all(borders):
-            return parts
-        out: list = []
-        run = [0]
-        for i, sure in enumerate([*borders, True]):
-            if sure:
-                text = " ".join(parts[run[0] : i + 1])
-                if not all(good[run[0] : i + 1]):
-                    out.append(((" " if run[0] else "") + text,))
-                else:
-                    out.append(text)
-                run = [i + 1]
-        return out
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of little-endian 32-bit ids, in UTF-8; byte sequences that are none become U+FFFD."""
@@ -308,7 +340,7 @@ def coder(path: str, engine: str = "tree") -> Bpe:
     return Bpe(path, engine)
 
 
-def batches(texts: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
+def batches(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
     """Ranges of rows that hold about ``most`` characters each, so that a batch of long texts stays small."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts, start = [], 0
@@ -320,6 +352,15 @@ def batches(texts: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
     return cuts
 
 
+def as_binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``end_id`` after each text's ids."""
+    return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", engine: str = "tree") -> DataFrame:
     """``df`` with ``out_col``: ids of the whole text as little-endian unsigned 32-bit integers (binary).
 
@@ -334,9 +375,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
         for b in chunks:
             texts = b.column(b.schema.get_field_index(text_col))
             for lo, hi in batches(texts):
-                ids = bpe.encode_batch(texts.slice(lo, hi - lo).to_pylist())
+                ids, ends = bpe.encode_array(texts.slice(lo, hi - lo))
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary())], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), as_binary(ids, ends)], names=[*names, out_col])
 
     return df.drop(out_col).mapInArrow(run, schema)
 
@@ -368,7 +409,8 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         bpe = coder(path)
         for b in chunks:
             for lo, hi in batches(b.column(1)):
-                ids = bpe.encode_batch(b.column(1).slice(lo, hi - lo).to_pylist())
+                flat, ends = bpe.encode_array(b.column(1).slice(lo, hi - lo))
+                ids = as_binary(flat, ends).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),

@@ -7,13 +7,14 @@ neighbours.
 
 A file set is a folder of Parquet files that hold segments, one row each: the number of the file, the segment's first
 token within that file, its documents' ids and lengths, and the code bytes. Spark's writer commits them, so retried
-tasks leave no second copy, and any store that Spark reads will do.
+tasks leave no second copy, and any store that Spark reads will do. Codes are stored as they are, without compression,
+in row groups of about a segment, so that :func:`token_at` fetches no more than the segments it needs and decodes no
+token but those it was asked for.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe
+from . import bpe, scratch
 
 BLOCK = 512
 #: A segment is closed when it holds this many tokens; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1 << 18
 #: So many files have their first tokens broadcast (16 bytes each); more are joined.
 FILES = 1_000_000
+#: Bytes of a row group, about one segment; segments that are fetched by number; positions of a bucket of the lookup.
+ROW_GROUP, FEW, SPAN_BITS = 1 << 20, 1000, 18
 
 
 class Codes:
@@ -123,41 +126,78 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
 
     def run(chunks):
         coder, file = bpe.coder(tokenizer, "library"), TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
-        start, ids, parts, size = 0, [], [], 0
+        start, keys, lengths, parts, size = 0, [], [], [], 0
 
         def segment():
-            codes = Codes.build(np.frombuffer(b"".join(parts), "<u4")).to_bytes()
+            codes = Codes.build(np.concatenate(parts)).to_bytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int64()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([[x for b in ids for x in b]], arrow), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), pa.array([codes], pa.binary())],
+                [pa.array([file], pa.int64()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.ListArray.from_arrays([0, sum(map(len, keys))], pa.concat_arrays(keys)), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([codes], pa.binary())],
                 names=["file", "start", "n_tokens", "ids", "lengths", "codes"],
             )
 
         for b in chunks:
-            arrow = pa.list_(b.column(0).type)
             for lo, hi in bpe.batches(b.column(1)):
-                keys = b.column(0).slice(lo, hi - lo).to_pylist()
-                for key, raw in zip(keys, coder.encode_batch(b.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
-                    ids.append([key])
-                    parts.append(raw + end)
-                    size += len(raw) // 4 + 1
+                flat, ends = bpe.ended(*coder.encode_array(b.column(1).slice(lo, hi - lo)), end_id)
+                done = 0  # documents of this batch that are in a segment
+                while done < hi - lo:
+                    upto = min(hi - lo, int(np.searchsorted(ends, ends[done] + segment_tokens - size)))
+                    keys.append(b.column(0).slice(lo + done, upto - done))
+                    lengths.append(np.diff(ends[done : upto + 1]))
+                    parts.append(flat[ends[done] : ends[upto]])
+                    size, done = size + int(ends[upto] - ends[done]), upto
                     if size >= segment_tokens:
                         yield segment()
-                        start, ids, parts, size = start + size, [], [], 0
+                        start, keys, lengths, parts, size = start + size, [], [], [], 0
         if parts:
             yield segment()
 
-    src.mapInArrow(run, schema).write.mode("overwrite").parquet(folder)
+    made = src.mapInArrow(run, schema)
+    made.write.mode("overwrite").option("compression", "none").option("parquet.block.size", ROW_GROUP).option("parquet.page.size.row.check.min", 1).parquet(folder)
 
 
-def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the files: the id, start (tokens of all documents before it), n_tokens, ids (binary, uint32)."""
-    segments = spark.read.parquet(folder)
+def based(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``_base``: the tokens of the files before."""
     sizes = segments.groupBy("file").agg(F.sum("n_tokens").alias("_n"))  # one row for each file
     base = sizes.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_base"))
     if sizes.count() <= FILES:
         base = F.broadcast(base)
-    src = segments.join(base, "file").select((F.col("_base") + F.col("start")).alias("start"), "ids", "lengths", "codes")
+    return segments.join(base, "file")
+
+
+def token_at(spark: SparkSession, folder: str, positions: DataFrame, position_col: str = "position") -> DataFrame:
+    """position, token_id: for each distinct position (from 0 over all files), one row; outside the files, or null: null.
+
+    Only the segments that hold a position are fetched: a few by their numbers, which Parquet's row groups are skipped
+    by, many by a semi-join. Of a segment only the asked tokens' chunks, bitmap words and ranks are looked at.
+    """
+    asked = positions.select(F.col(position_col).cast("long").alias("position")).distinct()
+    segments = spark.read.parquet(folder)
+    spans = based(segments.select("file", "start", "n_tokens")).withColumn("_first", F.col("_base") + F.col("start"))
+    spans = spans.withColumn("_span", F.explode(F.sequence(F.shiftright("_first", SPAN_BITS), F.shiftright(F.col("_first") + F.col("n_tokens") - 1, SPAN_BITS))))
+    inside = (F.col("position") >= F.col("_first")) & (F.col("position") < F.col("_first") + F.col("n_tokens"))
+    met = asked.withColumn("_span", F.shiftright("position", SPAN_BITS)).join(spans, "_span").where(inside)
+    met = scratch.table(met.select("position", "file", "start", (F.col("position") - F.col("_first")).alias("place")), "positions")
+    wanted = met.select("file", "start").distinct()
+    if wanted.count() <= FEW:
+        rows = wanted.collect()
+        held = segments.where(F.col("file").isin([r["file"] for r in rows]) & F.col("start").isin([r["start"] for r in rows]))
+    else:
+        held = segments
+    held = held.select("file", "start", "codes").join(wanted, ["file", "start"], "left_semi")
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = Codes.from_bytes(right["codes"][0].as_py()).at(left["place"].to_numpy())
+        return pa.table({"position": left["position"], "token_id": pa.array(found.astype(np.int64))})
+
+    # distinct positions of one segment are no more than its tokens
+    found = met.groupBy("file", "start").cogroup(held.groupBy("file", "start")).applyInArrow(pick, "position long, token_id long")
+    return asked.join(found, "position", "left")
+
+
+def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """Per document, from the files: the id, start (tokens of all documents before it), n_tokens, ids (binary, uint32)."""
+    segments = spark.read.parquet(folder)
+    src = based(segments).select((F.col("_base") + F.col("start")).alias("start"), "ids", "lengths", "codes")
     kind = segments.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -177,7 +217,3 @@ def digests(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of :func:`read` with crc32 of the ids in place of the ids."""
     return documents.select(id_col, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-
-def crc32(ids: bytes) -> int:
-    """crc32 as the digest columns have it."""
-    return zlib.crc32(ids)

@@ -57,8 +57,7 @@ def test_encoding_is_the_librarys(engine, library):
 
 
 def test_generations_keep_results(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_PARTS", 50)
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 50)
+    monkeypatch.setattr(bpe, "KEPT", 50)
     coder, rng = bpe.Bpe(PATH), random.Random(2)
     for _ in range(30):
         texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(5)]
@@ -313,6 +312,24 @@ def test_token_files(spark, odd, none, library, segment):
         assert token_files.read(spark, f"{d}/n").count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_tokens_at_random_positions(spark, odd, none, library, monkeypatch, few):
+    monkeypatch.setattr(token_files, "FEW", few)
+    monkeypatch.setattr(token_files, "SPAN_BITS", 10)
+    monkeypatch.setattr(token_files.Codes, "run", None)  # no token but those asked for is decoded
+    with tempfile.TemporaryDirectory() as d:
+        docs = odd.where("doc_id <> 3 AND doc_id IS NOT NULL")
+        token_files.write(docs, f"{d}/t", PATH, segment_tokens=700)
+        ids = [x for r in docs.orderBy("doc_id").collect() for x in [*library(r["text"]), 0]]
+        rng = random.Random(5)
+        asked = [rng.randrange(len(ids)) for _ in range(300)] + [0, 0, len(ids) - 1, len(ids), -1, None]
+        got = token_files.token_at(spark, f"{d}/t", spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+        assert {r["position"]: r["token_id"] for r in got} == {p: ids[p] if p is not None and 0 <= p < len(ids) else None for p in asked}
+        assert len(got) == len(set(asked))
+        token_files.write(none, f"{d}/n", PATH)
+        assert [tuple(r) for r in token_files.token_at(spark, f"{d}/n", spark.range(1).toDF("position")).collect()] == [(0, None)]
+
+
 def test_codes_are_addressable():
     rng = np.random.default_rng(2)
     for top in (200, 60000, 2**24, 2**32):
