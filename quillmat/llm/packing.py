@@ -107,18 +107,18 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
     def run(chunks):
         coder, task = bpe.coder(tokenizer, "library"), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64).tolist()
-        end = np.array([end_id], "<u4").tobytes()
         for b in chunks:
             for lo, hi in bpe.batches(b.column(1)):
                 of, cols = [], [[], [], [], [], []]
-                for k, raw in enumerate(coder.encode_batch(b.column(1).slice(lo, hi - lo).to_pylist())):
-                    raw += end
-                    size = len(raw) // 4
+                flat, ends = bpe.ended(*coder.encode_array(b.column(1).slice(lo, hi - lo)), end_id)
+                raw, ends = memoryview(flat.tobytes()), ends.tolist()
+                for k, (first, last) in enumerate(zip(ends, ends[1:], strict=False)):
+                    size = last - first
                     head = size if size <= capacity else size % capacity or capacity
                     cuts = [0, *range(head, size + 1, capacity)]
                     for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         of.append(k)
-                        for c, v in zip(cols, (i, x, y - x, zlib.crc32(raw[4 * x : 4 * y]), seen[y - x]), strict=True):
+                        for c, v in zip(cols, (i, x, y - x, zlib.crc32(raw[4 * (first + x) : 4 * (first + y)]), seen[y - x]), strict=True):
                             c.append(v)
                         seen[y - x] += 1
                 ids = b.column(0).slice(lo, hi - lo).take(pa.array(of, pa.int64()))
