@@ -2,17 +2,20 @@
 
 Words are hashed to 64 bits, and so are shingles of ``n`` words; a document is the set of its shingles.
 
-1. Documents with equal sets are one class. Only one document of each class is compared.
+1. Documents with equal sets are one class. Only the first document of each class is compared.
 2. A document's long prefix is its first shingles in hash order. Two linked documents share at least
    min(reach(x), reach(y)) shingles of their long prefixes.
-3. Document frequencies of the long prefixes' shingles are counted over all documents, pre-aggregated for groups of
-   rows; only shingles that occur more than once come back.
+3. Document frequencies of the long prefixes' shingles are counted over the classes, pre-aggregated for groups of rows;
+   only shingles that occur more than once come back.
 4. Of its long prefix a document indexes the rarest shingles. How many is decided by the estimated cost of its
-   candidates: a prefix longer by l - 1 shingles asks for l shared shingles before a pair is verified.
+   candidates: a prefix longer by l - 1 shingles asks for l shared shingles before a pair is verified. An entry holds
+   the shingle, numbers, and a parity bitmap of at most SIGN_BYTES, whatever the document's length.
 5. Documents that index a shingle meet; very common shingles in blocks of bounded size. Pairs must differ little
-   enough by size and by parity bitmaps (whose distance never exceeds the sets' difference) and share enough marks.
-   Of each such graph a spanning forest is verified exactly, on the whole sets. Where that splits a forest, all
-   remaining pairs between the parts are verified too, so no link between different components is lost.
+   enough by size and by the bitmaps, whose distance never exceeds the sets' difference. A rare shingle (FEW documents
+   at most) gives its pairs, and those of a pair are counted against what it is asked for; a common one gives a spanning
+   forest of its block's graph, since its documents are mostly copies of each other. Pairs that pass are held against
+   the whole bitmaps and then verified exactly, on the whole sets. Where that splits a forest, all remaining pairs
+   between the parts are verified too, so no link between different components is lost.
 6. Links give components, by stars.
 """
 
@@ -20,23 +23,21 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, components, scratch
+from . import bitmap, bpe, components, scratch
 
 #: Rows of a group are 2**GROUP_BITS neighbours; documents of a block; prefix shingles of a counting bucket.
-GROUP_BITS, MEET, BUCKET = 12, 1024, 2_000_000
+GROUP_BITS, MEET, BUCKET = 12, 512, 2_000_000
+#: Documents of a rare shingle; bytes of an entry's bitmap at most.
+FEW, SIGN_BYTES = 8, 64
 #: Cost of a verification in list entries; the longest lengthening of a prefix.
 VERIFY, MOST_MATCHES = 8.0, 3
-#: Bits of the filter that thins the documents before their sets are fetched; a fixed size.
-FETCH_BITS = 1 << 24
 
 U = np.uint64
 SPREAD, SPREAD2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -139,9 +140,9 @@ def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
 
 
 def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str) -> DataFrame:
-    """row, id, size, key (of the set), text (its digest), long (the long prefix), bits."""
+    """row, id, size, key (of the set), text (its digest), long (the long prefix), bits, sign (bits of bounded size)."""
     src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("size", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("key", "text", "long", "bits"))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("size", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("key", "text", "long", "bits", "sign"))])
 
     def run(chunks):
         for b in chunks:
@@ -149,12 +150,14 @@ def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str)
                 part = b.slice(lo, hi - lo)
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
                 sets = shingles(texts, n)
+                bits = [parity(x) if len(x) else b"" for x in sets]
                 cols = [
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                     pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], pa.binary()),
                     pa.array([x[: bounds.long(len(x))].tobytes() for x in sets], pa.binary()),
-                    pa.array([parity(x) if len(x) else b"" for x in sets], pa.binary()),
+                    pa.array(bits, pa.binary()),
+                    pa.array([x if len(x) <= SIGN_BYTES else fold(np.frombuffer(x, np.uint8), SIGN_BYTES).tobytes() for x in bits], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=[f.name for f in schema])
 
@@ -162,7 +165,7 @@ def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str)
 
 
 def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
-    """grp, tokens, counts: for each group of rows its long-prefix shingles that more than one document holds."""
+    """grp, tokens, counts: for each group of rows its long-prefix shingles that more than one of ``docs`` hold."""
 
     def gather(chunks):
         for b in chunks:
@@ -185,10 +188,10 @@ def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
         for x in tokens:
             n = total[at[start : start + len(x)]]
             start += len(x)
-            out.append((x[n > 1].tobytes(), n[n > 1].tobytes()))
+            out.append((x[n > 1].tobytes(), np.minimum(n[n > 1], 0xFFFFFFFF).astype("<u4").tobytes()))
         return pa.table({"grp": group["grp"], "tokens": pa.array([a for a, _ in out], pa.binary()), "counts": pa.array([b for _, b in out], pa.binary())})
 
-    parts = docs.where("size > 0").select("row", "long").mapInArrow(gather, "bucket long, grp long, tokens binary, counts binary")
+    parts = docs.select("row", "long").mapInArrow(gather, "bucket long, grp long, tokens binary, counts binary")
     return parts.groupBy("bucket").applyInArrow(count, "grp long, tokens binary, counts binary")
 
 
@@ -203,41 +206,41 @@ def choose(frequency: np.ndarray, token: np.ndarray, size: int, bounds: Bounds)
     return order[: min(short + matches - 1, len(token))], matches
 
 
-ENTRY = "token long, row long, size long, held long, matches long, bits binary, marks binary"
+ENTRY = "token long, row long, size int, held long, matches int, common int, sign binary"
 
 
-def entries(docs: DataFrame, counts: DataFrame, first: DataFrame, bounds: Bounds) -> DataFrame:
-    """Index entries of the classes' first documents (``first``: row): only shingles that another document holds."""
-    group = F.shiftright("row", GROUP_BITS)
-    rows = first.groupBy(group.alias("grp")).agg(F.collect_list("row").alias("rows"))  # 2**GROUP_BITS at most
-    told = counts.select("grp", "tokens", "counts", F.lit(None).cast("array<long>").alias("rows")).unionByName(rows.select("grp", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("counts"), "rows"))
+def entries(docs: DataFrame, counts: DataFrame, bounds: Bounds) -> DataFrame:
+    """Index entries of ``docs`` (the first of each class): only shingles that another of them holds.
+
+    ``held``: the documents that hold the shingle; ``common``: how many of the document's entries more than FEW hold.
+    """
     names = [x.split()[0] for x in ENTRY.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keep = {r for rs in right["rows"].to_pylist() if rs for r in rs}
-        token = np.frombuffer(b"".join(x or b"" for x in right["tokens"].to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(x or b"" for x in right["counts"].to_pylist()), np.int64)
+        token = np.frombuffer(b"".join(right["tokens"].to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(right["counts"].to_pylist()), "<u4").astype(np.int64)
         order = np.argsort(token)
         token, n = token[order], n[order]
-        cols: list[list] = [[] for _ in names]
-        for row, size, raw, bits in zip(left["row"].to_pylist(), left["size"].to_pylist(), left["long"].to_pylist(), left["bits"].to_pylist(), strict=True):
-            if row not in keep or not len(token):
-                continue
+        cols: list[list] = [[np.zeros(0, np.int64)] for _ in kinds]
+        which: list[int] = []
+        for k, (row, size, raw) in enumerate(zip(left["row"].to_pylist(), left["size"].to_pylist(), left["long"].to_pylist(), strict=True)):
+            if not len(token):
+                break
             x = np.frombuffer(raw, np.uint64)
             at = np.minimum(np.searchsorted(token, x), len(token) - 1)
             held = np.where(token[at] == x, n[at], 1)
             places, matches = choose(held, x, size, bounds)
             places = places[held[places] > 1]
-            if not len(places):
-                continue
-            marks = (x[places] & U(0xFFFF)).astype("<u2").tobytes() if matches > 1 else b""
-            for c, v in zip(cols, (x[places].view(np.int64).tolist(), [row] * len(places), [size] * len(places), held[places].tolist(), [matches] * len(places), [bits] * len(places), [marks] * len(places)), strict=True):
-                c += v
-        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-        return pa.table({name: pa.array(c, k) for name, c, k in zip(names, cols, kinds, strict=True)})
+            same = np.ones(len(places), np.int64)
+            for c, v in zip(cols, (x[places].view(np.int64), row * same, size * same, held[places], matches * same, (held[places] > FEW).sum() * same), strict=True):
+                c.append(v)
+            which += [k] * len(places)
+        signs = left["sign"].combine_chunks().take(pa.array(which, pa.int64()))
+        return pa.table({**{name: pa.array(np.concatenate(c)).cast(k) for name, c, k in zip(names, cols, kinds, strict=False)}, "sign": signs})
 
-    long = docs.where("size > 0").select("row", "size", "long", "bits", group.alias("grp"))
-    return long.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, ENTRY)
+    grouped = docs.select("row", "size", "long", "sign", F.shiftright("row", GROUP_BITS).alias("grp")).groupBy("grp")
+    return grouped.cogroup(counts.groupBy("grp")).applyInArrow(run, ENTRY)
 
 
 def meeting(found: DataFrame) -> DataFrame:
@@ -250,102 +253,146 @@ def meeting(found: DataFrame) -> DataFrame:
     return dealt.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "row")
 
 
-def common(rows: list[tuple]) -> np.ndarray:
-    """Shared marks of each two documents, at least as many as shared shingles: marks may be equal for unequal ones."""
-    marks, who = np.concatenate([np.array(r[5], np.int64) for r in rows]), np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
-    mark, at, times = np.unique(marks, return_inverse=True, return_counts=True)
-    who, at = who[times[at] > 1], (np.cumsum(times > 1) - 1)[at[times[at] > 1]]
-    order = np.argsort(at, kind="stable")
-    who, at, total = who[order], at[order], int((times > 1).sum())
-    out, width = np.zeros((len(rows), len(rows)), np.float32), max(1, 1_000_000 // len(rows))
-    for first in range(0, total, width):
-        lo, hi = np.searchsorted(at, [first, first + width])
-        held = np.zeros((len(rows), min(width, total - first)), np.float32)
-        np.add.at(held, (who[lo:hi], at[lo:hi] - first), 1)
-        out += held @ held.T
-    return out
+def aligned(signs: list[bytes], least: int) -> np.ndarray:
+    """Bitmaps folded to ``least`` bytes, a row each."""
+    rows = np.stack([np.frombuffer(s, np.uint8) if len(s) == least else fold(np.frombuffer(s, np.uint8), least) for s in signs])
+    return rows.view(np.uint64) if least % 8 == 0 else rows
 
 
-def close(rows: list[tuple], bounds: Bounds, cross: bool) -> np.ndarray:
-    """Which documents of a block may be linked: a symmetric matrix. Rows: (row, side, size, matches, bits, marks, part)."""
-    size = np.array([r[2] for r in rows], np.int64)
-    least = min(len(r[4]) for r in rows)
-    folded = np.stack([np.frombuffer(r[4], np.uint8) if len(r[4]) == least else fold(np.frombuffer(r[4], np.uint8), least) for r in rows])
-    folded = folded.view(np.uint64) if least % 8 == 0 else folded
-    out = np.zeros((len(rows), len(rows)), bool)
-    for i in range(len(rows)):
-        apart = np.bitwise_count(folded[i + 1 :] ^ folded[i]).sum(axis=1, dtype=np.int64)
-        out[i, i + 1 :] = apart <= bounds.differ(size[i + 1 :], size[i])
-    sides = np.array([r[1] for r in rows])
-    if cross:
-        out &= sides[:, None] != sides
-    need = np.minimum.outer(matches := np.array([r[3] for r in rows], np.int8), matches)
-    if (need[out] > 1).any():
-        out &= (need == 1) | (common(rows) >= need)
+def close(size: np.ndarray, signs: list[bytes], apart: np.ndarray | None, bounds: Bounds) -> np.ndarray:
+    """Which documents of a block may be linked: a symmetric matrix. ``apart``: sides; only different ones meet."""
+    folded = aligned(signs, min(map(len, signs)))
+    out = np.zeros((len(size), len(size)), bool)
+    for i in range(len(size)):
+        differ = np.bitwise_count(folded[i + 1 :] ^ folded[i]).sum(axis=1, dtype=np.int64)
+        out[i, i + 1 :] = differ <= bounds.differ(size[i + 1 :], size[i])
+    if apart is not None:
+        out &= apart[:, None] != apart
     return out | out.T
 
 
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix, from documents with many neighbours on."""
+    made, todo = [], np.ones(len(near), bool)
+    for i in np.argsort(-near.sum(axis=1), kind="stable").tolist():
+        if not todo[i]:
+            continue
+        todo[i], edge = False, [i]
+        while edge:
+            new = near[edge] & todo
+            to = np.flatnonzero(new.any(axis=0))
+            made += [(edge[int(np.argmax(new[:, k]))], k) for k in to.tolist()]
+            todo[to], edge = False, to.tolist()
+    return made
+
+
+def rare_pairs(token: np.ndarray, row: np.ndarray, size: np.ndarray, matches: np.ndarray, common: np.ndarray, signs: list[bytes], bounds: Bounds) -> list[np.ndarray]:
+    """a, b, need of the pairs of sorted entries with equal tokens that may be linked; FEW entries a token at most."""
+    first, second = [], []
+    for d in range(1, FEW):
+        i = np.flatnonzero(token[d:] == token[:-d])
+        if not len(i):
+            break
+        low, high = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
+        i = i[bounds.den * low >= bounds.num * high]
+        first.append(i)
+        second.append(i + d)
+    i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (first, second))
+    long = np.array([len(s) for s in signs], np.int64)
+    least = np.minimum(long[i], long[j])
+    near = np.zeros(len(i), bool)
+    for width in np.unique(least).tolist():
+        at = np.flatnonzero(least == width)
+        used, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        folded = aligned([signs[k] for k in used.tolist()], width)
+        differ = np.bitwise_count(folded[back[: len(at)]] ^ folded[back[len(at) :]]).reshape(len(at), -1).sum(axis=1, dtype=np.int64)
+        near[at] = differ <= bounds.differ(size[i[at]], size[j[at]])
+    i, j = i[near], j[near]
+    need = np.maximum(1, np.minimum(matches[i], matches[j]) - np.minimum(common[i], common[j]))
+    return [np.minimum(row[i], row[j]), np.maximum(row[i], row[j]), need]
+
+
 def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame:
-    """a < b, token: a spanning forest of each block's graph, or (``all_between``) all its pairs of different parts."""
-    src = meeting(found).select("token", "lo", "hi", "row", "side", "size", "matches", "bits", "marks", *(["part"] if all_between else []))
+    """a < b, need, token: pairs of rare shingles, which ``need`` of them must give; pairs of common ones, with a token.
+
+    Those of a common shingle are a spanning forest of each block's graph, or (``all_between``) all of its pairs of
+    different parts.
+    """
+    src = meeting(found).select("token", "lo", "hi", "row", "held", "size", "matches", "common", "side", "sign", *(["part"] if all_between else []))
 
-    def pairs(rows: list[tuple], cross: bool) -> list[tuple[int, int]]:
-        if len(rows) < 2 or all_between and len({r[6] for r in rows}) < 2:
+    def block(b: pa.Table, cross: bool) -> list[tuple[int, int]]:
+        """Pairs of rows of a common shingle's block."""
+        row, size, side = (b[c].to_numpy() for c in ("row", "size", "side"))
+        part = b["part"].to_numpy() if all_between else None
+        if len(row) < 2 or all_between and len(np.unique(part)) < 2:
             return []
-        rows = sorted(rows, key=lambda r: r[2])
-        sizes = [r[2] for r in rows]
-        gaps = [i for i in range(1, len(rows)) if not bounds.linked(sizes[i - 1], sizes[i - 1], sizes[i])]  # only like sizes can link
-        groups = [rows[i:j] for i, j in zip([0, *gaps], [*gaps, len(rows)], strict=True)]
+        signs, order = b["sign"].to_pylist(), np.argsort(size, kind="stable")
+        sorted_ = size[order].astype(np.int64)
+        gaps = np.flatnonzero(bounds.den * sorted_[:-1] < bounds.num * sorted_[1:]) + 1  # only like sizes can link
         made = []
-        for group in groups:
-            if len(group) < 2:
+        for g in np.split(order, gaps):
+            if len(g) < 2:
                 continue
-            near = close(group, bounds, cross)
-            if all_between:
-                part = np.array([r[6] for r in group])
-                made += [(group[i][0], group[j][0]) for i, j in zip(*np.nonzero(np.triu(near & (part[:, None] != part))), strict=True)]
-                continue
-            todo = np.ones(len(group), bool)
-            for i in np.argsort(-near.sum(axis=1), kind="stable").tolist():
-                if not todo[i]:
-                    continue
-                todo[i], edge = False, [i]
-                while edge:
-                    new = near[edge] & todo
-                    to = np.flatnonzero(new.any(axis=0))
-                    made += [(group[edge[int(np.argmax(new[:, k]))]][0], group[k][0]) for k in to.tolist()]
-                    todo[to], edge = False, to.tolist()
+            near = close(size[g].astype(np.int64), [signs[k] for k in g.tolist()], side[g] if cross else None, bounds)
+            pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near & (part[g][:, None] != part[g])))), strict=True) if all_between else forest(near)
+            made += [(int(row[g[x]]), int(row[g[y]])) for x, y in pairs]
         return [(min(p), max(p)) for p in made]
 
+    def pairs(b: pa.Table) -> pa.RecordBatch:
+        """Of whole blocks, in order."""
+        token, lo, hi, held = (b[c].to_numpy() for c in ("token", "lo", "hi", "held"))
+        rare = np.flatnonzero(held <= FEW)
+        some = b.take(pa.array(rare))
+        a, c, need = rare_pairs(*(some[x].to_numpy() for x in ("token", "row", "size", "matches", "common")), some["sign"].to_pylist(), bounds) if len(rare) and not all_between else [np.zeros(0, np.int64)] * 3
+        of = [None] * len(a)
+        much = np.flatnonzero(held > FEW)
+        if len(much):
+            new = (np.diff(token[much]) != 0) | (np.diff(lo[much]) != 0) | (np.diff(hi[much]) != 0)
+            made = []
+            for g in np.split(much, np.flatnonzero(new) + 1):
+                made += [(*p, int(token[g[0]])) for p in block(b.slice(g[0], len(g)), lo[g[0]] != hi[g[0]])]
+            a, c, need = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((a, c, need), ([p[0] for p in made], [p[1] for p in made], [0] * len(made)), strict=True))
+            of += [p[2] for p in made]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(need, pa.int64()), pa.array(of, pa.int64())], names=["a", "b", "need", "token"])
+
+    def run(chunks):
+        kept = None  # the last block of a batch may go on in the next one
+        for b in chunks:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([kept, t]).combine_chunks() if kept is not None else t
+            keys = [t[c].to_numpy() for c in ("token", "lo", "hi")]
+            last = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield pairs(t.slice(0, cut).combine_chunks())
+            kept = t.slice(cut)
+        if kept is not None and len(kept):
+            yield pairs(kept.combine_chunks())
+
+    return src.mapInArrow(run, "a long, b long, need long, token long")
+
+
+def near(pairs: DataFrame, docs: DataFrame, bounds: Bounds) -> DataFrame:
+    """``pairs`` (a, b) whose whole bitmaps differ little enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    held = docs.select("row", "size", "bits").join(ends, "row", "left_semi")
+    met = pairs.join(held.select(F.col("row").alias("b"), F.col("size").alias("_m"), F.col("bits").alias("_y")), "b").join(held.select(F.col("row").alias("a"), F.col("size").alias("_n"), F.col("bits").alias("_x")), "a")
+
     def run(chunks):
-        block, rows = None, []
-        for b in chain(chunks, [None]):  # the end closes the last block
-            made: list[tuple[int, int, int]] = []
-            for token, lo, hi, row, side, size, matches, bits, marks, *part in zip(*(c.to_pylist() for c in b.columns), strict=True) if b is not None else [(None,) * 9]:
-                if (token, lo, hi) != block:
-                    made += [(*p, block[0]) for p in pairs(rows, block[1] != block[2])] if block else []
-                    block, rows = (token, lo, hi), []
-                rows.append((row, side, size, matches, bits, np.frombuffer(marks or b"", "<u2").tolist(), *part))
-            cols = list(zip(*made, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "token"])
-
-    return src.mapInArrow(run, "a long, b long, token long")
-
-
-def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``wanted``: by a bitmap of FETCH_BITS, however many keys there are."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FETCH_BITS))
-    maps = wanted.select(bit(key).alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    place = F.bitmap_bit_position("_bit")
-    byte = F.conv(F.hex(F.substring("_map", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    marked = df.withColumn("_bit", bit(key)).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_bucket")
-    return marked.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+        for c in chunks:
+            keep = []
+            for n, m, x, y in zip(*(c.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                both = aligned([x, y], min(len(x), len(y)))
+                keep.append(int(np.bitwise_count(both[0] ^ both[1]).sum()) <= bounds.differ(n, m))
+            yield c.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return met.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFrame:
     """row, shingles: the sets of the documents in ``wanted`` (row, text digest), from their texts."""
     docs = df.select(F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL").select(F.unhex(F.md5("_text")).alias("text"), "_text")
-    docs = thinned(docs, "text", wanted)
+    docs = bitmap.thinned(docs, F.xxhash64("text"), wanted.select(F.xxhash64("text").alias("_hash")))
 
     def run(chunks):
         seen: set[bytes] = set()
@@ -382,35 +429,48 @@ def verified(pairs: DataFrame, docs: DataFrame, df: DataFrame, n: int, bounds: B
 
 
 def link(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``df``: the id column, ``n_shingles``, ``component_id`` and ``text_md5``.
+    """A row per row of ``df``: the id column, ``n_shingles``, ``component_id``, ``kept`` and ``text_md5``.
 
     Two documents are linked when den * |intersection| >= num * |union| of their sets of distinct shingles of ``n``
-    words; ``component_id`` is the smallest id that links reach, its own included. A text of fewer words has one
-    shingle, the whole sequence; null, empty and blank texts have none and link with nothing. Null ids are passed over
-    where another id is reachable, else the component id is null. Repeated rows are copies of each other; an empty
-    table gives no rows; other columns don't matter. Sizes and overlaps are of 64-bit hashes of shingles.
+    words; ``component_id`` is the smallest id that links reach, its own included, and ``kept`` holds for one row of
+    each component, the first with that id. A text of fewer words has one shingle, the whole sequence; null, empty and
+    blank texts have none, link with nothing, and are all kept. Null ids are passed over where another id is reachable,
+    else the component id is null. Repeated rows are copies of each other; an empty table gives no rows; other columns
+    don't matter. Index entries of very long texts are as small as those of others. Sizes and overlaps are of 64-bit
+    hashes of shingles.
     """
     if not 0 < num <= den or 2 * num < den:
         raise ValueError("the similarity must be from 1/2 to 1")
     bounds = Bounds(num, den)
     docs = scratch.table(described(df, n, bounds, id_col, text_col), "described")
-    classes = scratch.table(docs.where("size > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("least")), "classes")
+    some = docs.where("size > 0")
+    best = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("row").alias("r"))).alias("best")
+    classes = scratch.table(some.groupBy("key").agg(F.min("row").alias("row"), best, F.count(F.lit(1)).alias("copies")), "classes")
+    copied = classes.where("copies > 1").select(F.xxhash64("key").alias("_hash"))
+    firsts = classes.select(F.col("row").alias("_first"))
+    reps = bitmap.within(some, F.xxhash64("key"), copied, firsts, F.col("row") == F.col("_first"))
     total = docs.agg(F.sum(F.length("long") / 8)).first()[0] or 0
-    counts = frequencies(docs, max(8, int(total // BUCKET) + 1))
-    found = scratch.table(entries(docs, counts, classes.select("row"), bounds), "entries")
+    counts = frequencies(reps, max(8, int(total // BUCKET) + 1))
+    found = scratch.table(entries(reps, counts, bounds), "entries")
     met = scratch.table(candidates(found, bounds, False), "pairs")
-    tried = scratch.table(verified(met.select("a", "b").distinct(), docs, df, n, bounds, text_col), "tried")
-    links, failed = tried.where("linked").select("a", "b"), tried.where("NOT linked").select("a", "b")
+    asked = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    tried = scratch.table(near(asked, docs, bounds), "near")
+    links = scratch.table(verified(tried, docs, df, n, bounds, text_col).where("linked").select("a", "b"), "linked")
     parts = components.labels(links)
-    if not failed.isEmpty():
+    failed = met.where("token IS NOT NULL").join(links, ["a", "b"], "left_anti")
+    split = scratch.table(failed.select("token").distinct(), "split")
+    if not split.isEmpty():
         # two documents of a block that are near but in different parts had a failed pair between them in that block
-        split = scratch.table(met.join(failed, ["a", "b"]).select("token").distinct(), "split")
-        parted = thinned(found, "token", split).join(split, "token", "left_semi").join(parts.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
-        rest = candidates(parted, bounds, True).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = verified(scratch.table(rest, "pairs"), docs, df, n, bounds, text_col)
-        parts = components.labels(links.unionByName(scratch.table(more.where("linked").select("a", "b"), "links")))
-    named = classes.join(parts.select(F.col("node").alias("row"), "label"), "row", "left").select("key", "least", F.coalesce("label", "row").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = named.select("key", "label").join(least, "label").select("key", "component")
-    out = docs.select("id", "size", "key", "text").join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.lower(F.hex("text")).alias("text_md5"))
+        marks = split.select(F.xxhash64("token").alias("_hash"))
+        parted = bitmap.thinned(found, F.xxhash64("token"), marks).join(split, "token", "left_semi").join(parts.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
+        rest = candidates(parted, bounds, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        more = verified(scratch.table(near(scratch.table(rest, "pairs"), docs, bounds), "near"), docs, df, n, bounds, text_col)
+        parts = components.labels(links.unionByName(scratch.table(more.where("linked").select("a", "b"), "linked")))
+    named = classes.join(parts.select(F.col("node").alias("row"), "label"), "row", "left").select("key", "best", F.coalesce("label", "row").alias("label"))
+    least = named.groupBy("label").agg(F.min("best").alias("component"))
+    named = named.select("key", "label").join(least, "label").select("key", F.col("component.i").alias("component"), F.col("component.r").alias("_stays"))
+    out = docs.select("row", "id", "size", "key", "text").join(named, "key", "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        F.coalesce(F.col("row") == F.col("_stays"), F.lit(True)).alias("kept"), F.lower(F.hex("text")).alias("text_md5"),
+    )

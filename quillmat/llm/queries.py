@@ -47,7 +47,7 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.link(table(spark, folder, "documents"), n=3, num=90, den=100)
+    return ngram_join.link(table(spark, folder, "documents"), n=3, num=90, den=100).drop("kept")
 
 
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:

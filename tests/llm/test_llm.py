@@ -241,8 +241,46 @@ def test_ngram_join(spark, monkeypatch, n, num, meet):
     monkeypatch.setattr(ngram_join, "MEET", meet)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, n, num, 100).collect()}
+    out = ngram_join.link(df, n, num, 100).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out}
     assert got == brute_link(rows, n, num, 100)
+    assert {r["doc_id"] for r in out if r["kept"]} == {c for _, c in got.values()}
+
+
+def indexed(df, n, num):
+    """The index entries of ``df``."""
+    made, keep = [], ngram_join.entries
+    try:
+        ngram_join.entries = lambda *a: made.append(keep(*a)) or made[-1]
+        out = ngram_join.link(df, n, num, 100).collect()
+    finally:
+        ngram_join.entries = keep
+    return made[0], out
+
+
+def test_ngram_index_of_long_near_copies(spark):
+    """Entries stay in proportion to the text, however long it is."""
+    base = [f"w{i}" for i in range(20_000)]
+    other = [w if i % 2000 else f"x{i}" for i, w in enumerate(base)]
+    texts = [" ".join(base), " ".join(other), " ".join(base[::-1]), " ".join(base[:12_000] + other[1::2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    entries, out = indexed(df, 3, 90)
+    r = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sign") + 40).alias("bytes")).first()
+    assert 0 < r["bytes"] < 4 * sum(map(len, texts)) and r["bytes"] <= r["n"] * (40 + ngram_join.SIGN_BYTES)
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in brute_link(list(enumerate(texts)), 3, 90, 100).items()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_ngram_index_ignores_copies(spark):
+    """10,000 copies of one text index no more than one of them does."""
+    text = " ".join(f"c{i}" for i in range(60))
+    near = " ".join(f"c{i}" for i in range(59)) + " d"
+    few = [(0, text), (1, near), (2, "a b c d e")]
+    entries, _ = indexed(spark.createDataFrame(few, "doc_id long, text string"), 3, 90)
+    want = {r["token"]: r["count"] for r in entries.groupBy("token").count().collect()}
+    many = spark.createDataFrame(few, "doc_id long, text string").unionByName(spark.range(10, 10_010).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")))
+    entries, out = indexed(many, 3, 90)
+    assert {r["token"]: r["count"] for r in entries.groupBy("token").count().collect()} == want
+    assert {r["component_id"] for r in out if r["doc_id"] != 2} == {0} and sum(r["kept"] for r in out) == 2
 
 
 def test_ngram_join_odd_rows(odd, none):
