@@ -288,12 +288,10 @@ KINDS = {
     }.items()
 }
 PATTERN = re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in KINDS.items()), re.ASCII)
-#: The key of tests and of queries on made-up data; a real one is handed in.
-TEST_KEY = b"quillmat test key"
 
 
-def pseudonymise(df: DataFrame, key: bytes = TEST_KEY, text_col: str = "text", count_col: str | None = "n_replaced", undo: bool = False) -> DataFrame:
-    """``df`` with the values in ``text_col`` replaced, and their number in ``count_col`` (None: no such column).
+def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = "n_replaced", undo: bool = False) -> DataFrame:
+    """``df`` with the values in ``text_col`` replaced under ``key``, and their number in ``count_col`` (None: no such column).
 
     Null texts stay null with 0 replaced, empty ones empty. Other columns and all rows stay; a column named
     ``count_col`` is replaced. Dates outside 1900 to 2099, numbers whose check digits are wrong and addresses out of

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,17 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key in hexadecimal that the session sets as ``spark.quillmat.pii.secret``; where it sets none, a new random one
+    is put there, so equal values stay linked as long as the session lives and nobody can undo them afterwards.
+    """
+    held = spark.conf.get("spark.quillmat.pii.secret", None)
+    if not held:
+        held = secrets.token_hex(32)
+        spark.conf.set("spark.quillmat.pii.secret", held)
+    return bytes.fromhex(held)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -62,7 +74,7 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op9_best_fit(spark: SparkSession, folder: str) -> DataFrame:

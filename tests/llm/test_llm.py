@@ -464,10 +464,10 @@ def test_pseudonyms_of_digit_groups_can_be_undone():
 
 def test_pii_rows(odd, none):
     df = odd.withColumn("text", F.concat("text", F.lit(" a.b@c.org")))
-    got = {(r["doc_id"], r["text"]): r["n_replaced"] for r in pii.pseudonymise(df).collect()}
+    got = {(r["doc_id"], r["text"]): r["n_replaced"] for r in pii.pseudonymise(df, b"k").collect()}
     assert all(n == (t is not None) for (_, t), n in got.items()) and not any("a.b@" in (t or "") for _, t in got)
-    assert pii.pseudonymise(odd).drop("n_replaced").exceptAll(odd).count() == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(odd, b"k").drop("n_replaced").exceptAll(odd).count() == 0
+    assert pii.pseudonymise(none, b"k").count() == 0
 
 
 # packing
@@ -569,11 +569,76 @@ def test_toxicity(spark, small):
     assert {round(r["score"], 6) for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.25}
 
 
+def brute_models(rows, order=toxicity.ORDER, strength=toxicity.STRENGTH, discount=0.75):
+    """Log-likelihood ratio of a letter after a context, by the textbook."""
+    count = {c: collections.Counter() for c in (0, 1)}
+    for text, toxic in rows:
+        for w in toxicity.words((text or "").lower()):
+            s = f"^{w}$"
+            count[toxic].update((s[max(0, j - order + 1) : j], s[j]) for j in range(1, len(s)))
+    types = {h + c for k in (0, 1) for h, c in count[k]}
+    levels = [types]
+    for _ in range(order - 1):
+        levels.append(collections.Counter(g[1:] for g in levels[-1] if len(g) > 1))
+    cut = {k: (lambda v: v.count(1) / max(1, v.count(1) + 2 * v.count(2)) or 0.5)(list(count[k].values())) for k in (0, 1)}
+
+    def below(g, k=1):
+        if k >= order or g not in levels[k]:
+            return 1e-4
+        held = [n for x, n in levels[k].items() if x[:-1] == g[:-1]]
+        low = below(g[1:], k + 1) if k + 1 < order and any(levels[k + 1:]) and len(g) > 1 else 1e-4
+        return max(levels[k][g] - discount, 0) / sum(held) + discount * len(held) / sum(held) * low
+
+    def ratio(h, c):
+        p = below((h + c)[1:]) if len(h) else 1e-4
+        out = []
+        for k in (1, 0):
+            after = {x: n for (a, x), n in count[k].items() if a == h}
+            n, d = sum(after.values()), cut[k]
+            out.append((max(after.get(c, 0) - d, 0) + (strength + d * len(after)) * p) / (strength + n))
+        return np.log(out[0] / out[1])
+
+    return types, ratio
+
+
+def test_toxicity_models_are_kneser_ney(spark):
+    rng = random.Random(12)
+    rows = [(" ".join("".join(rng.choice("abc\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(12)), int(i % 4 == 0)) for i in range(24)] + [(None, 0), ("", 1)]
+    model = toxicity.models(spark.createDataFrame(rows, "_text string, _toxic int"))
+    types, ratio = brute_models(rows)
+    names = sorted(types)
+    found, hit = model.find(toxicity.hashes(names, toxicity.ORDER))
+    assert hit.all() and len(model.keys) == len(types) + len({g[:-1] for g in types})
+    assert np.allclose(found, [ratio(g[:-1], g[-1]) for g in names])
+    text = [" ".join(r[0].split()[:5]) for r in rows[:3]] + ["", None]
+    import pyarrow as pa
+
+    made = toxicity.measured(model, pa.array(text), toxicity.ORDER, 0.5)
+    for k, t in enumerate(text):
+        each = [[(g[:-1], g[-1]) for g in toxicity.grams(w)] for w in toxicity.words((t or "").lower())]
+        sums = [sum(ratio(*g) for g in gs) for gs in each]
+        assert np.isclose(made["_all"][k].as_py(), sum(sums)) and np.isclose(made["_sum"][k].as_py(), sum(max(0, x - 0.5) for x in sums))
+        assert (made["_words"][k].as_py(), made["_events"][k].as_py()) == (len(each), sum(map(len, each)))
+
+
 def test_toxicity_keeps_rare_events_of_large_corpora(spark):
     """The whole counted model stays: an event seen twice among 4.5 million."""
     rows = [("anerothi " * 50_000, 0)] * 10 + [("zubana " * 40 + "zubaqa zubaqa", 1)]
     model = toxicity.models(spark.createDataFrame(rows, "_text string, _toxic int"))
-    assert model.contexts is None and "^zubaq" in model.sent and "^zuba\0" in model.sent
+    assert model.contexts is None and model.find(toxicity.hashes(["^zubaq", "^zuba\0", "^zubax"], toxicity.ORDER))[1].tolist() == [True, True, False]
+
+
+def test_toxicity_of_very_long_texts(spark):
+    """A text of 300,000 words is read whole: what is toxic in it stands at its end."""
+    rng = random.Random(10)
+    plain = ["".join(rng.choice(["an", "er", "on", "th"]) for _ in range(3)) for _ in range(50)]
+    rows = [(i, " ".join(rng.choices(plain, k=60) + ["zubqa zubqo"] * (i % 3 == 0))) for i in range(300)]
+    long = " ".join(rng.choices(plain, k=300_000))
+    rows += [(1000, long), (1001, long + " zubqa zubqo" * 12_000), (1002, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).where("doc_id >= 1000").collect()}
+    assert got[1000] == 0 and got[1001] == 1 and len(got) == 3
 
 
 @pytest.mark.parametrize("most", [0, 60, 400])
@@ -582,12 +647,12 @@ def test_toxicity_by_join_is_the_same(spark, monkeypatch, most):
     plain = ["".join(rng.choice(["an", "er", "on", "th", "re", "in"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
     rows = [(i, " ".join([rng.choice(plain) for _ in range(30)] + ["zubon zubth"] * (i % 5 == 0))) for i in range(200)]
     rows += [(900, None), (901, ""), (None, "anon zubon"), (5, rows[5][1]), (5, "zubon"), (902, "zubon qqq")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit("m"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("predicted", F.lit("m"))
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
     got = []
     for n in (toxicity.MODEL_ROWS, most):
         monkeypatch.setattr(toxicity, "MODEL_ROWS", n)
-        got.append(sorted((str(r["doc_id"]), round(r["score"], 9), r["predicted"], r["more"]) for r in toxicity.score(docs, labels, keep=("more",)).collect()))
+        got.append(sorted((str(r["doc_id"]), round(r["score"], 9), r["predicted"]) for r in toxicity.score(docs, labels).collect()))
     assert len(got[0]) == len(rows) and got[0] == got[1] and len({r[2] for r in got[0]}) == 2
 
 
@@ -616,7 +681,7 @@ def test_pipeline(spark, small):
     assert ids[1] == ids[0] - bad
     assert ids[2] == {v[0] for v in brute_dedup(steps[1].collect()).values()}
     assert ids[3] == {i for i, (_, c) in brute_link([(r["doc_id"], r["text"]) for r in steps[2].collect()], 5, 80, 100).items() if i == c}
-    names = pii.Pseudonyms(pii.TEST_KEY)
+    names = pii.Pseudonyms(queries.pii_key(spark))
     assert {(r["doc_id"], r["text"]) for r in steps[4].collect()} == {(r["doc_id"], names.text(r["text"] or "", collections.Counter())) for r in steps[3].collect()}
     rows = corpus_pipeline.run(spark, small).collect()
     assert {r["doc_id"] for r in rows} == ids[4]
