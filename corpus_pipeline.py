@@ -2,68 +2,50 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmat.llm import exact_dedup, ngram_join, packing, pii, scratch, toxicity
-from quillmat.llm.queries import tokenizer
-
-#: Tables that the stage before has left; its result is written by then.
-_left: list = []
+from quillmat.llm import bitmap, exact_dedup, ngram_join, packing, pii, scratch, toxicity
+from quillmat.llm.queries import pii_key, tokenizer
 
 
-def stage(run):
-    """A stage; the tables that it needs are deleted when the next one begins, but for the last stage's."""
-
-    @wraps(run)
-    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.delete(_left)
-        with scratch.noted() as made:
-            out = run(spark, docs, sf_dir)
-        if run is not STAGES[-1][1].__wrapped__:
-            _left.extend(made)
-        return out
+def chosen(docs: DataFrame, decided: DataFrame, once: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose id and text ``decided`` (doc_id, text_md5, kept) keeps.
 
-    return staged
+    Where a row is kept and another with the same id and text is not, one of them stays (``once``); any, if other
+    columns differ. Only rows that may be dropped, by a bitmap of those that are, are joined; the others' texts aren't
+    sent anywhere.
+    """
+    decided = scratch.table(decided.select("doc_id", "text_md5", "kept"), "decided")
+    key = lambda text: F.xxhash64("doc_id", text)
+    rows = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit(""))))
+    gone = decided.where("NOT kept").select(key("text_md5").alias("_hash"))
+    keep = bitmap.thinned(decided.where("kept"), key("text_md5"), gone).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_kept"))
+    return bitmap.within(rows, key("_md5"), gone, keep, same, ["doc_id", "_md5"] if once else None).drop("_md5")
 
 
-def chosen(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id and text ``keep`` (doc_id, text_md5) names; repeated rows once."""
-    docs = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit(""))))
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5_kept")).distinct()
-    held = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_md5_kept")), "left_semi")
-    return held.dropDuplicates(["doc_id", "_md5"]).drop("_md5")
-
-
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, labels, keep=rest).where("predicted = 0").select(*docs.columns)
+    return chosen(docs, toxicity.score(docs, labels).withColumn("kept", F.col("predicted") == 0), once=False)
 
 
-@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for blanks the longest stays."""
-    return chosen(docs, exact_dedup.dedup(docs).where("kept"))
+    return chosen(docs, exact_dedup.dedup(docs))
 
 
-@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that five-word shingles link at 0.8 or more the document with the smallest id stays."""
-    return chosen(docs, ngram_join.link(docs, n=5, num=80, den=100).where("doc_id <=> component_id"))
+    return chosen(docs, ngram_join.link(docs, n=5, num=80, den=100))
 
 
-@stage
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms."""
-    return pii.pseudonymise(docs, count_col=None)
+    """Personal data become pseudonyms under the key that the session's ``spark.quillmat.pii.secret`` holds in hexadecimal."""
+    return pii.pseudonymise(docs, pii_key(spark), count_col=None)
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens."""
     return packing.pack(docs, tokenizer())
@@ -75,8 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written and read again."""
+    """The stages over ``documents``, each written and read again; what only a stage before needed is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left: list = []
     for name, step in STAGES[:-1]:
-        docs = scratch.table(step(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch.noted() as made:
+            docs = scratch.table(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.delete(left + made[:-1])  # all but the stage's result
+        left = made[-1:]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # has read its input by now
+    scratch.delete(left)
+    return out
