@@ -394,8 +394,10 @@ def brute_lines(rows, least, chars=1):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("hot", [0, 2, 100])
 @pytest.mark.parametrize("least,chars", [(2, 1), (3, 5), (1, 1)])
-def test_line_dedup(odd, none, least, chars):
+def test_line_dedup(odd, none, monkeypatch, least, chars, hot):
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot)
     got = sorted((tuple(r) for r in line_dedup.dedup_lines(odd, least, chars).collect()), key=repr)
     assert got == brute_lines([(r["doc_id"], r["text"]) for r in odd.collect()], least, chars)
     assert line_dedup.dedup_lines(none).count() == 0
