@@ -34,6 +34,10 @@ ORDER, MARGIN, STRENGTH = 6, 3.0, 10.0
 MODEL_ROWS = 1 << 20
 #: Labelled rows of the logistic fit at most, and of a labels table that is broadcast.
 FIT_ROWS, BROADCAST_ROWS = 50_000, 1_000_000
+#: Characters of the texts that are split into words at once, about; a longer text is alone.
+BATCH = 1_000_000
+#: Stretches whose sums a worker keeps.
+KEPT = 200_000
 
 U = np.uint64
 FACTOR = 0x9E3779B97F4A7C15
@@ -79,7 +83,7 @@ def counted(df: DataFrame, order: int) -> DataFrame:
 
     def run(chunks):
         for b in chunks:
-            for lo, hi in bpe.batches(b.column(0)):
+            for lo, hi in bpe.batches(b.column(0), BATCH):
                 seen = (Counter(), Counter())
                 for text, toxic in zip(b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
                     seen[toxic].update(words((text or "").lower()))
@@ -202,37 +206,58 @@ def values(model: Model, found: list[str], order: int, margin: float) -> Words:
     return Words(np.maximum(0.0, total - margin), total, sizes - 1, rest)
 
 
-def measured(model: Model, texts: pa.Array, order: int, margin: float) -> dict[str, pa.Array]:
-    """For each text: sums over its words whose values are known here, numbers of words and events, and the other words."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    cut = blank.copy()
-    cut[1:] &= ~blank[:-1]
-    cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
-    borders = np.append(np.flatnonzero(cut), len(raw))
-    parts = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(raw)]).dictionary_encode()
-    split = [words(s.decode("utf-8", "replace").lower()) for s in bpe.as_bytes(parts.dictionary)]
-    number: dict[str, int] = {}
-    flat = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
-    of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
-    w = values(model, list(number), order, margin)
-    which = parts.indices.to_numpy()
-    document = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(borders, offsets)))
-    closed = ~w.open[flat]
-    sums = [np.bincount(of, x, len(split)) for x in (np.where(closed, w.strong[flat], 0.0), np.where(closed, w.ratio[flat], 0.0), np.ones(len(flat)), w.events[flat])]
-    strong, ratio, n_words, n_events = (np.bincount(document, x[which], len(texts)) for x in sums)
-    out = {"_sum": pa.array(strong), "_all": pa.array(ratio), "_words": pa.array(n_words.astype(np.int64)), "_events": pa.array(n_events.astype(np.int64))}
-    if model.contexts is not None:
-        odd = np.zeros(len(split), bool)
-        odd[of[~closed]] = True
-        rest: list[Counter] = [Counter() for _ in range(len(texts))]
-        for d, k in zip(document[odd[which]].tolist(), which[odd[which]].tolist(), strict=True):
-            rest[d].update(x for x in split[k] if w.open[number[x]])
-        out |= {"_rest": pa.array([list(c) for c in rest], pa.list_(pa.string())), "_times": pa.array([list(c.values()) for c in rest], pa.list_(pa.int64()))}
-    return out
+class Scorer:
+    """Measures texts under what was sent of a model; sums of stretches between blanks are kept in a bounded table."""
+
+    def __init__(self, model: Model, order: int = ORDER, margin: float = MARGIN):
+        self.model, self.order, self.margin = model, order, margin
+        self.known: dict[bytes, int] = {}
+        self.sums = np.zeros((4, 0))
+
+    def stretches(self, parts: list[bytes]) -> tuple[np.ndarray, dict[int, list[str]]]:
+        """Sums over each stretch's words (the ratio beyond the margin, all of it, words, events) and its open words."""
+        split = [words(s.decode("utf-8", "replace").lower()) for s in parts]
+        number: dict[str, int] = {}
+        flat = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
+        of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        w = values(self.model, list(number), self.order, self.margin)
+        closed = ~w.open[flat]
+        sums = np.stack([np.bincount(of, x, len(split)) for x in (np.where(closed, w.strong[flat], 0.0), np.where(closed, w.ratio[flat], 0.0), np.ones(len(flat)), w.events[flat])])
+        return sums, {k: [x for x in split[k] if w.open[number[x]]] for k in np.unique(of[~closed]).tolist()}
+
+    def measured(self, texts: pa.Array) -> dict[str, pa.Array]:
+        """For each text: sums over the words whose values are known here, numbers of words and events, the other words."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        cut = blank.copy()
+        cut[1:] &= ~blank[:-1]
+        cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        borders = np.append(np.flatnonzero(cut), len(raw))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(raw)]).dictionary_encode()
+        names, which, open_ = bpe.as_bytes(parts.dictionary), parts.indices.to_numpy(), {}
+        if self.model.contexts is None:
+            if len(self.known) > KEPT:
+                self.known, self.sums = {}, np.zeros((4, 0))
+            new = [s for s in names if s not in self.known]
+            if new:
+                self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+                self.sums = np.concatenate([self.sums, self.stretches(new)[0]], axis=1)
+            sums = self.sums[:, np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))]
+        else:
+            sums, open_ = self.stretches(names)
+        document = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(borders, offsets)))
+        strong, ratio, n_words, n_events = (np.bincount(document, x[which], len(texts)) for x in sums)
+        out = {"_sum": pa.array(strong), "_all": pa.array(ratio), "_words": pa.array(n_words.astype(np.int64)), "_events": pa.array(n_events.astype(np.int64))}
+        if self.model.contexts is not None:
+            odd = np.isin(which, list(open_))
+            rest: list[Counter] = [Counter() for _ in range(len(texts))]
+            for d, k in zip(document[odd].tolist(), which[odd].tolist(), strict=True):
+                rest[d].update(open_[k])
+            out |= {"_rest": pa.array([list(c) for c in rest], pa.list_(pa.string())), "_times": pa.array([list(c.values()) for c in rest], pa.list_(pa.int64()))}
+        return out
 
 
 def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFrame:
@@ -245,12 +270,12 @@ def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFram
         schema = T.StructType([*schema, T.StructField("_rest", T.ArrayType(T.StringType())), T.StructField("_times", T.ArrayType(T.LongType()))])
 
     def run(chunks):
-        here = Model(*sent.value, None if whole else ())
+        scorer = Scorer(Model(*sent.value, None if whole else ()), order, margin)
         for b in chunks:
             at = b.schema.get_field_index("_text")
-            for lo, hi in bpe.batches(b.column(at), 4_000_000):
+            for lo, hi in bpe.batches(b.column(at), BATCH):
                 part = b.slice(lo, hi - lo)
-                made = measured(here, part.column(at), order, margin)
+                made = scorer.measured(part.column(at))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made.values()], names=[*keep, *made])
 
     means = [(F.col(a) / F.greatest(n, F.lit(1))).alias(c) for a, n, c in (("_sum", "_words", "_strong"), ("_all", "_events", "_ratio"))]

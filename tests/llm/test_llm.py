@@ -179,6 +179,18 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge(df, url_filter.rules_table(spark, []), otherwise="block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("most", [0, 24])
+def test_url_rules_of_many_shapes(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_SHAPES", most)
+    rng = random.Random(11)
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), ".".join(["a"] * n), "/" + "p" * m) for n in (1, 2, 3) for m in range(0, 60 if not most else 3, 2)]
+    rules = list({r.key: r for r in rules}.values())
+    urls = [f"http://{'.'.join(['a'] * rng.randint(1, 5))}/{'p' * rng.randint(0, 70)}{rng.choice(['', 'q', '?p', '#'])}" for _ in range(120)] + [None, "", "x://b/", "http://a.a/" + "p" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, url_filter.rules_table(spark, rules)).collect()}
+    assert got == {i: brute_url(u, rules) for i, u in enumerate(urls)}
+
+
 def test_url_list_by_join(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MOST_BITS", 1)
     df = spark.createDataFrame([(1, "http://a.example.org/es/x"), (2, "http://q.net/"), (3, None)], "page_id long, url string")
@@ -615,7 +627,7 @@ def test_toxicity_models_are_kneser_ney(spark):
     text = [" ".join(r[0].split()[:5]) for r in rows[:3]] + ["", None]
     import pyarrow as pa
 
-    made = toxicity.measured(model, pa.array(text), toxicity.ORDER, 0.5)
+    made = toxicity.Scorer(model, margin=0.5).measured(pa.array(text))
     for k, t in enumerate(text):
         each = [[(g[:-1], g[-1]) for g in toxicity.grams(w)] for w in toxicity.words((t or "").lower())]
         sums = [sum(ratio(*g) for g in gs) for gs in each]
