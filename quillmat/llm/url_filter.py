@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: A level's bits; a list that needs more is looked up by a join.
+#: A level's bits, which every task holds; a list that needs more is looked up by a join.
 MOST_BITS = 1 << 27
+#: Shapes of rules that are columns of a url's row; with more of them the keys are rows.
+MOST_SHAPES = 24
 
 
 @dataclass(frozen=True)
@@ -130,33 +132,48 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
     each; an empty table gives none; an empty rule list lets every row have ``otherwise``; a key that both actions
     list is blocked. Other columns of ``df`` don't matter.
 
-    Beyond MOST_BITS for level 0 the keys are looked up by a join on the key instead.
+    Very long urls are read whole. Beyond MOST_BITS for level 0 the keys are looked up by a join on the key instead,
+    since every task holds a cascade's levels.
     """
     listed = rules.select("action", F.concat(F.lower("host"), "path").alias("key"), F.struct((F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("n"), F.length("path").alias("m")).alias("shape"))
-    shapes = [(r["shape"]["n"], r["shape"]["m"]) for r in listed.select("shape").distinct().collect()]
+    # at most the labels of a host times the lengths of a path
+    shapes = sorted((r["shape"]["n"], r["shape"]["m"]) for r in listed.select("shape").distinct().collect())
     host, path = host_and_path(F.col(url_col))
     rows = df.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"))
-    names = [f"_key{i}" for i in range(len(shapes))]
-    rows = rows.select("_id", "_host", "_path", *(k.alias(n) for k, n in zip(candidates(F.col("_host"), F.col("_path"), shapes), names, strict=True)))
     if not shapes:
         return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     count = listed.count()
     blocked, allowed = listed.where("action = 'block'").select("key").distinct(), listed.where("action = 'allow'").select("key").distinct().join(listed.where("action = 'block'").select("key"), "key", "left_anti")
-    if count * 40 > MOST_BITS:
-        return _joined(rows, names, blocked, allowed, id_col, otherwise)
+    if len(shapes) > MOST_SHAPES or count * 40 > MOST_BITS:
+        return _as_rows(rows, shapes, blocked, allowed, count * 40 <= MOST_BITS, id_col, otherwise)
+    names = [f"_key{i}" for i in range(len(shapes))]
+    rows = rows.select("_id", "_host", "_path", *(k.alias(n) for k, n in zip(candidates(F.col("_host"), F.col("_path"), shapes), names, strict=True)))
     universe = rows.select(F.explode(F.array(*names)).alias("key")).where("key IS NOT NULL")
     no, yes = cascade(blocked, universe), cascade(allowed, universe)
     fits = [F.when(F.col(n).isNotNull() & (member(no, F.col(n)) | member(yes, F.col(n))), order(F.col(n))) for n in names]
-    rows = rows.withColumn("_rule", F.array_max(F.array(*fits))["key"])
+    rows = rows.withColumn("_rule", F.array_max(F.array(*fits))["key"] if len(fits) > 1 else fits[0]["key"])
     verdict = F.when(F.col("_rule").isNull(), F.lit(otherwise)).when(member(no, F.col("_rule")), "block").otherwise("allow")
     return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"))
 
 
-def _joined(rows: DataFrame, names: list[str], blocked: DataFrame, allowed: DataFrame, id_col: str, otherwise: str) -> DataFrame:
-    """The same by a join on the key, for lists whose filters would be too large to hand to every task."""
+def _as_rows(rows: DataFrame, shapes: list[tuple[int, int]], blocked: DataFrame, allowed: DataFrame, small: bool, id_col: str, otherwise: str) -> DataFrame:
+    """The same with a row for each key of a url: for many shapes, and (not ``small``) for lists that must be joined."""
     rows = scratch.table(rows.withColumn("_row", F.monotonically_increasing_id()), "urls")
-    both = blocked.select("key", F.lit("block").alias("action")).unionByName(allowed.select("key", F.lit("allow").alias("action")))
-    keys = rows.select("_row", F.explode(F.array(*names)).alias("key")).where("key IS NOT NULL")
-    hit = keys.join(both, "key").groupBy("_row").agg(F.max(F.struct(order(F.col("key")).alias("o"), "key", "action")).alias("_hit"))
+    labels = F.length("_host") - F.length(F.replace("_host", F.lit("."), F.lit(""))) + 1
+    by_labels = {n: [m for k, m in shapes if k == n] for n, _ in shapes}
+
+    def cut(n: int, lengths: list[int]) -> Column:
+        fit = F.filter(F.array(*map(F.lit, lengths)), lambda m: m <= F.length("_path"))
+        return F.when(labels >= n, F.transform(fit, lambda m: F.concat(F.substring_index("_host", ".", -n), F.call_function("substring", F.col("_path"), F.lit(1), m))))
+
+    cuts = [cut(n, lengths) for n, lengths in by_labels.items()]
+    keys = rows.select("_row", F.explode(F.flatten(F.filter(F.array(*cuts), lambda x: x.isNotNull()))).alias("key"))
+    if small:
+        no, yes = cascade(blocked, keys.select("key")), cascade(allowed, keys.select("key"))
+        hit = keys.withColumn("action", F.when(member(no, F.col("key")), "block").when(member(yes, F.col("key")), "allow")).where("action IS NOT NULL")
+    else:
+        both = blocked.select("key", F.lit("block").alias("action")).unionByName(allowed.select("key", F.lit("allow").alias("action")))
+        hit = keys.join(both, "key")
+    hit = hit.groupBy("_row").agg(F.max(F.struct(order(F.col("key")).alias("o"), "key", "action")).alias("_hit"))
     rows = rows.join(hit, "_row", "left")
     return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_hit.key").alias("rule"), F.coalesce("_hit.action", F.lit(otherwise)).alias("verdict"))
