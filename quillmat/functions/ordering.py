@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir; only where it is unset, a temporary one."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on one machine only (master local), where it is unset, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(where)
+    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return where or spark.sparkContext.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -33,16 +40,14 @@ def numbered(df: DataFrame, keys: list[Column | str], name: str, start: int = 0)
     return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + F.lit(start)).drop("_range", "_at", "_before")
 
 
-def running(df: DataFrame, group: str, keys: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before it in the order (``group``, ``keys``).
+def running(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before it in the order of ``keys``.
 
-    Sums of the groups are put in order first; only those cross groups.
+    Sums run within ranges of the keys, however many rows share the first one; only the ranges' sums cross them.
     """
-    sums = numbered(df.groupBy(group).agg(F.sum(value).alias("_sum")), [group], "_place")
-    blocks = sums.withColumn("_block", F.floor(F.col("_place") / 4096).cast("long"))
-    whole = blocks.groupBy("_block").agg(F.sum("_sum").alias("_whole"))  # a row for each 4096 groups
-    whole = whole.select("_block", (F.sum("_whole").over(Window.orderBy("_block")) - F.col("_whole")).alias("_earlier"))
-    within = F.sum("_sum").over(Window.partitionBy("_block").orderBy("_place")) - F.col("_sum")
-    base = blocks.withColumn("_within", within).join(whole, "_block").select(group, (F.col("_within") + F.col("_earlier")).alias("_base"))
-    own = F.sum(value).over(Window.partitionBy(group).orderBy(*keys)) - F.col(value)
-    return df.withColumn("_own", own).join(base, group).withColumn(name, F.col("_base") + F.col("_own")).drop("_own", "_base")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))  # one row for each range
+    base = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_base"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(*keys)) - F.col(value)
+    return dealt.withColumn("_own", own).join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_own")).drop("_own", "_base", "_range")

@@ -52,9 +52,13 @@ class Matrix:
     def column_counts(self) -> DataFrame:
         return self.df.groupBy("k").agg(F.count(F.lit(1)).alias("entries"))
 
-    def sequential(self, modulus: int = 10) -> Matrix:
-        """Values e mod ``modulus``, e being an entry's place in row order."""
-        rows = numbered(self.df, ["i", "k", "v"], "_e")
+    def sequential(self, modulus: int = 10, entry_id: str | None = None) -> Matrix:
+        """Values e mod ``modulus``, e being an entry's place in row order.
+
+        Entries with equal coordinates are in the order of the column ``entry_id`` (their place in a file), else of
+        their values.
+        """
+        rows = numbered(self.df, ["i", "k", entry_id or "v"], "_e")
         return Matrix(rows.select("i", "k", F.pmod(F.col("_e"), F.lit(modulus)).cast("double").alias("v")), self.m, self.n)
 
     def scrambled(self, most: int = 9) -> Matrix:
@@ -65,5 +69,5 @@ class Matrix:
         """r, ptr for r = 0..m: entries of the rows before r."""
         from ..functions.ordering import running
 
-        counts = self.df.sparkSession.range(self.m + 1).select(F.col("id").alias("r")).join(self.row_counts().withColumnRenamed("i", "r"), "r", "left").select("r", F.coalesce("entries", F.lit(0)).alias("entries"), F.floor(F.col("r") / 4096).cast("long").alias("_g"))
-        return running(counts, "_g", ["r"], "entries", "ptr").select("r", "ptr")
+        counts = self.df.sparkSession.range(self.m + 1).select(F.col("id").alias("r")).join(self.row_counts().withColumnRenamed("i", "r"), "r", "left").select("r", F.coalesce("entries", F.lit(0)).alias("entries"))
+        return running(counts, ["r"], "entries", "ptr").select("r", "ptr")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import settled
 from .matrix import Matrix
 
 
@@ -45,14 +46,33 @@ def multiply(a: Matrix, mode: str = "aat", b: Matrix | None = None, semiring: Se
     return Matrix(c.select("i", F.col("j").alias("k"), "v"), a.m, b.n)
 
 
-def multiply_split(a: Matrix, b: Matrix, parts: int = 8) -> Matrix:
-    """The same in two steps: sums over ``parts`` slices of the inner index, then over the slices.
+#: Pairs of entries that one inner index gives, from which it is split; parts of an inner index at most; inner indices
+#: that are broadcast with their parts.
+SPLIT_PRODUCTS, MOST_PARTS, BROADCAST_KEYS = 1 << 20, 256, 100_000
 
-    A hot cell of C is then summed by several tasks.
+
+def hot_keys(a: Matrix, b: Matrix, most: int = SPLIT_PRODUCTS) -> DataFrame:
+    """_k, _parts: inner indices that give more than ``most`` pairs, and into how many parts they are split."""
+    left = a.column_counts().withColumnRenamed("entries", "_x")
+    right = b.row_counts().select(F.col("i").alias("k"), F.col("entries").alias("_y"))
+    both = left.join(right, "k").where(F.col("_x") * F.col("_y") > most)
+    return both.select(F.col("k").alias("_k"), F.least(F.ceil(F.col("_x") * F.col("_y") / most), F.lit(MOST_PARTS)).cast("long").alias("_parts"))
+
+
+def multiply_split(a: Matrix, b: Matrix, most: int = SPLIT_PRODUCTS) -> Matrix:
+    """The product, where no task gets all pairs of a hot inner index.
+
+    The left entries of such an index are dealt to parts by their rows, the right ones go to every part. Sums of a
+    cell are combined in each task before they cross to others.
     """
-    met = products(a, b).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)))
-    partial = met.groupBy("i", "j", "part").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    c = partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    hot = settled(hot_keys(a, b, most))
+    count = hot.count()
+    if not count:
+        return multiply(a, "ab", b)
+    hot = F.broadcast(hot) if count <= BROADCAST_KEYS else hot
+    left = a.df.join(hot, a.df["k"] == F.col("_k"), "left").select("i", "k", "v", F.coalesce(F.pmod(F.xxhash64("i"), "_parts"), F.lit(0)).alias("_part"))
+    right = b.df.join(hot, b.df["i"] == F.col("_k"), "left").select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1)).alias("_part"))
+    c = left.join(right, ["k", "_part"]).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return Matrix(c.select("i", F.col("j").alias("k"), "v"), a.m, b.n)
 
 

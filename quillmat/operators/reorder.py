@@ -7,6 +7,8 @@ order packs similar ids inside small windows. Exact tile counts decide whether e
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -15,8 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bit, degree_bucket, div, panel_sketches, popcount, soft_bucket
-from ..functions.ordering import numbered, settled
+from ..functions.ordering import numbered, settled, shared_dir
+from .graph import components
 from .matrix import Matrix
+from .product import multiply, right_operand
 from .tiles import DENSE, tiles, totals
 
 #: Window and group of ids and extent of the opposite panels, by axis; rounds of the traversal.
@@ -36,6 +40,14 @@ def reversal(a: Matrix) -> DataFrame:
     return identity(a).withColumn("new_id", last - F.col("old_id"))
 
 
+def by_degree(a: Matrix) -> DataFrame:
+    """Each axis by rising number of entries, then id; ids without entries last."""
+    v = vertices(a).withColumn("_none", F.col("degree") == 0)
+    rows = numbered(v.where(F.col("vid") < a.m), ["_none", "degree", "vid"], "new_id").select(F.lit("row").alias("axis"), F.col("vid").alias("old_id"), "new_id")
+    inner = numbered(v.where(F.col("vid") >= a.m), ["_none", "degree", "vid"], "new_id").select(F.lit("inner").alias("axis"), (F.col("vid") - a.m).alias("old_id"), "new_id")
+    return rows.unionByName(inner)
+
+
 def inverse(perm: DataFrame) -> DataFrame:
     return perm.select("axis", F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id"))
 
@@ -111,25 +123,27 @@ def traversal(a: Matrix, budget: int = LEVEL_BUDGET) -> tuple[DataFrame, int, in
     before; parents emit theirs by degree bucket and id. One round expands one level of one component; at ``budget``
     rounds the traversal stops.
     """
+    spark = a.df.sparkSession
     ranks, adj = settled(seeds(a).where("degree > 0").select("vid", "rank")), settled(neighbours(a))
-    label = ranks.select("vid", F.col("rank").alias("component"))
-    while True:
-        least = adj.join(label.withColumnRenamed("vid", "src"), "src").groupBy(F.col("dst").alias("vid")).agg(F.min("component").alias("_c"))
-        nearer = settled(label.join(least, "vid").select("vid", F.least("component", "_c").alias("component"), (F.col("_c") < F.col("component")).alias("_changed")))
-        label = nearer.select("vid", "component")
-        if nearer.where("_changed").isEmpty():
-            break
-    first = ranks.join(label, "vid").where("rank = component").select("vid", "component", F.lit(0).cast("long").alias("level"), F.col("rank").alias("place"))
-    reached, frontier, level = settled(first), settled(first), 0
+    label = ranks.join(components(adj.select("src", "dst")), "vid")
+    label = label.join(label.groupBy("label").agg(F.min("rank").alias("component")), "label").select("vid", "component")
+    first = ranks.join(label, "vid").where("rank = component").select("vid", "component", F.col("rank").alias("place"))
+    # each level is written once; rows and inner indices alternate, so a level can only meet the one before the last
+    folder = f"{shared_dir(spark).rstrip('/')}/quillmat-levels-{uuid.uuid4().hex}"
+    levels = lambda n: spark.read.schema("vid long, component long, place long").parquet(f"{folder}/level={n}")
+    first.write.parquet(f"{folder}/level=0")
+    level = 0
     while level < budget:
-        parents = frontier.select(F.col("vid").alias("src"), "component", F.col("place").alias("_p"))
-        new = adj.join(parents, "src").join(reached.select(F.col("vid").alias("dst")), "dst", "left_anti").groupBy("dst", "bucket", "component").agg(F.min("_p").alias("_p"))
-        new = numbered(new, ["_p", "bucket", "dst"], "place")
+        parents = levels(level).select(F.col("vid").alias("src"), "component", F.col("place").alias("_p"))
+        new = adj.join(parents, "src")
+        if level:
+            new = new.join(levels(level - 1).select(F.col("vid").alias("dst")), "dst", "left_anti")
+        new = numbered(new.groupBy("dst", "bucket", "component").agg(F.min("_p").alias("_p")), ["_p", "bucket", "dst"], "place")
         level += 1
-        frontier = settled(new.select(F.col("dst").alias("vid"), "component", F.lit(level).cast("long").alias("level"), "place"))
-        if frontier.isEmpty():
+        new.select(F.col("dst").alias("vid"), "component", "place").write.parquet(f"{folder}/level={level}")
+        if levels(level).isEmpty():
             break
-        reached = settled(reached.unionByName(frontier))
+    reached = spark.read.schema("vid long, component long, place long, level long").parquet(folder)
     depth = reached.groupBy("component").agg((F.max("level") + 1).alias("_rounds"))
     depth = numbered(depth, ["component"], "_n").withColumn("_block", div("_n", 4096))
     whole = depth.groupBy("_block").agg(F.sum("_rounds").alias("_whole"))
@@ -140,6 +154,11 @@ def traversal(a: Matrix, budget: int = LEVEL_BUDGET) -> tuple[DataFrame, int, in
     return seen.select("vid", "component", "level", "place"), sums[0], min(sums[1], budget)
 
 
+def residual(a: Matrix, budget: int = LEVEL_BUDGET) -> DataFrame:
+    """vid of the vertices with entries that the traversal doesn't reach within its rounds."""
+    return vertices(a).where("degree > 0").select("vid").join(traversal(a, budget)[0].select("vid"), "vid", "left_anti")
+
+
 def coarse(a: Matrix, budget: int = LEVEL_BUDGET) -> tuple[DataFrame, int, int]:
     """The proposal: the traversal, then unreached vertices by falling seed rank, all reversed, axes apart, empty ids last."""
     seen, components, rounds = traversal(a, budget)
@@ -248,8 +267,8 @@ class Plan:
     stats: dict = field(default_factory=dict)
 
     def table(self) -> DataFrame:
-        """key, value."""
-        return self.perm.sparkSession.createDataFrame([(k, str(v)) for k, v in self.stats.items()], "key string, value string")
+        """key, value; null where nothing was measured."""
+        return self.perm.sparkSession.createDataFrame([(k, None if v is None else str(v)) for k, v in self.stats.items()], "key string, value string")
 
 
 def finished(a: Matrix, algorithm: str, perm: DataFrame, stats: dict) -> Plan:
@@ -260,7 +279,7 @@ def finished(a: Matrix, algorithm: str, perm: DataFrame, stats: dict) -> Plan:
     out = {"algorithm": algorithm, "sweeps": 1, "row_window": WINDOW["row"], "inner_window": WINDOW["inner"], "active_rows": ends["row"], "active_inner": ends["inner"]}
     out |= {"moved_rows": moved.get("row", (0, 0))[0], "moved_inner": moved.get("inner", (0, 0))[0], "row_displacement_sum": moved.get("row", (0, 0))[1], "inner_displacement_sum": moved.get("inner", (0, 0))[1]}
     out |= {n: stats.get(n, 0) for n in names} | {"coarse_level_budget": stats.get("coarse_level_budget", LEVEL_BUDGET), "coarse_candidate_accepted": int(stats.get("coarse_candidate_accepted", 0)), "coarse_tile_reduction": stats.get("coarse_tile_reduction", 0)}
-    out |= {"coarse_ms": 0.0, "fine_ms": 0.0, "reorder_peak_workspace_bytes": 0, "num_tiles": t["tiles"], "active_row_tiles": -(-ends["row"] // 8), "active_k_tiles": -(-ends["inner"] // 4), "sparse_tiles": t["tiles"] - t["dense_tiles"], "dense_tiles": t["dense_tiles"], "payload": t["payload"]}
+    out |= {"coarse_ms": stats.get("coarse_ms", 0.0), "fine_ms": stats.get("fine_ms", 0.0), "reorder_peak_workspace_bytes": None, "num_tiles": t["tiles"], "active_row_tiles": -(-ends["row"] // 8), "active_k_tiles": -(-ends["inner"] // 4), "sparse_tiles": t["tiles"] - t["dense_tiles"], "dense_tiles": t["dense_tiles"], "payload": t["payload"]}
     return Plan(algorithm, perm, out)
 
 
@@ -272,13 +291,15 @@ def plan(a: Matrix, variant: str = "full", budget: int = LEVEL_BUDGET) -> Plan:
     if variant not in VARIANTS:
         raise ValueError(f"no variant {variant}")
     free, current, stats = variant == "unguarded", settled(identity(a)), {"coarse_level_budget": budget}
-    before = tile_count(a, current)
+    before, started = tile_count(a, current), time.monotonic()
     if variant != "fine":
         proposal, stats["coarse_components"], stats["coarse_levels"] = coarse(a, budget)
         after = tile_count(a, proposal)
         if free or after < before:
             stats |= {"coarse_candidate_accepted": 1, "coarse_tile_reduction": before - after}
             current = proposal
+        stats["coarse_ms"] = round(1000 * (time.monotonic() - started), 3)
+    started = time.monotonic()
     for name in ("row", "inner"):
         if variant in ("coarse", f"coarse-{'inner' if name == 'row' else 'row'}"):
             continue
@@ -290,11 +311,13 @@ def plan(a: Matrix, variant: str = "full", budget: int = LEVEL_BUDGET) -> Plan:
         mine = axis(current, name, "old_id", "p0").withColumn("win", div("p0", WINDOW[name])).join(taken.withColumn("_taken", F.lit(True)), "win", "left").join(proposal, "old_id")
         mine = mine.select(F.lit(name).alias("axis"), "old_id", F.when(F.col("_taken"), F.col("new_id")).otherwise(F.col("p0")).alias("new_id"))
         current = settled(current.where(F.col("axis") != name).unionByName(mine))
-    return finished(a, "bgrf-v1" if variant == "full" else f"bgrf-v1-{variant}", current, stats)
+    if variant != "coarse":
+        stats["fine_ms"] = round(1000 * (time.monotonic() - started), 3)
+    return finished(a, "coarse-fine" if variant == "full" else f"coarse-fine-{variant}", current, stats)
 
 
 def identity_plan(a: Matrix) -> Plan:
-    return finished(a, "identity-baseline", settled(identity(a)), {})
+    return finished(a, "identity_baseline", settled(identity(a)), {})
 
 
 def external_plan(a: Matrix, perm: DataFrame, name: str) -> Plan:
@@ -302,3 +325,10 @@ def external_plan(a: Matrix, perm: DataFrame, name: str) -> Plan:
     if not (bijective(perm, "row", a.m) and bijective(perm, "inner", a.n)):
         raise ValueError("the order is no bijection")
     return finished(a, f"external:{name}", settled(perm), {})
+
+
+def multiply_reordered(a: Matrix, mode: str = "aat", b: Matrix | None = None, made: Plan | None = None) -> tuple[Matrix, Plan]:
+    """C = A B through an order: both operands renamed, multiplied, and C's rows put back. Without a plan, one is made."""
+    right, made = right_operand(a, mode, b), made or plan(a)
+    c = multiply(apply(a, made.perm), "ab", apply_inner_to_rows(right, made.perm))
+    return restore_rows(c, made.perm, made.stats["active_rows"]), made

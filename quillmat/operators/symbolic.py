@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bit, div, popcount
+from ..functions.columns import TILE_K, TILE_M, bit, div, popcount
 from .matrix import Matrix
 from .tiles import tiles
 
@@ -18,8 +18,9 @@ def met(a: Matrix, b: Matrix) -> DataFrame:
 
 
 def candidates(a: Matrix, b: Matrix) -> DataFrame:
-    """tile_row, tile_col of output tiles that may hold entries."""
-    return met(a, b).select("tile_row", "tile_col").distinct()
+    """tile_row, tile_col of output tiles that may hold entries. Only coordinates meet, no masks."""
+    left, right = a.df.select(div("i", TILE_M).alias("tile_row"), div("k", TILE_K).alias("tk")).distinct(), b.df.select(div("i", TILE_K).alias("tk"), div("k", TILE_M).alias("tile_col")).distinct()
+    return left.join(right, "tk").select("tile_row", "tile_col").distinct()
 
 
 def parent_pairs(a: Matrix, b: Matrix) -> DataFrame:
@@ -88,9 +89,9 @@ def numeric(a: Matrix, b: Matrix) -> DataFrame:
     return c.withColumn("place", F.row_number().over(Window.partitionBy("tile_row", "tile_col").orderBy("slot")).cast("long") - 1)
 
 
-def wide_rows(a: Matrix, b: Matrix, width: int) -> DataFrame:
-    """tile_row, degree, work, bitset: rows whose candidates a bitset of ``width`` columns finds cheaper than a merge."""
-    right = tiles(b, right=True).groupBy(F.col("tile_row").alias("tk")).agg(F.count(F.lit(1)).alias("n"))
-    rows = tiles(a).select("tile_row", F.col("tile_col").alias("tk")).join(right, "tk", "left").groupBy("tile_row").agg(F.count(F.lit(1)).alias("degree"), F.sum(F.coalesce("n", F.lit(0))).alias("work"))
-    w, d = F.col("work"), F.col("degree")
-    return rows.withColumn("bitset", (w >= 2 * width) | ((d >= 32) & (2 * w >= width)) | ((d >= 128) & (8 * w >= width)))
+def row_work(a: Matrix, b: Matrix) -> DataFrame:
+    """tile_row, degree, pairs, candidates: a tile row's inner tiles, the tile pairs they meet, output tiles at most."""
+    right = tiles(b, right=True).groupBy(F.col("tile_row").alias("tk")).agg(F.count(F.lit(1)).alias("fan"))
+    rows = tiles(a).select("tile_row", F.col("tile_col").alias("tk")).join(right, "tk", "left")
+    rows = rows.groupBy("tile_row").agg(F.count(F.lit(1)).alias("degree"), F.sum(F.coalesce("fan", F.lit(0))).alias("pairs"))
+    return rows.withColumn("candidates", F.least("pairs", F.lit((b.n + TILE_M - 1) // TILE_M).cast("long")))

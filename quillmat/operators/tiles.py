@@ -37,14 +37,20 @@ def totals(t: DataFrame) -> DataFrame:
 
 def offsets(t: DataFrame) -> DataFrame:
     """``t`` with value_offset: payload slots of the tiles before it, in (tile_row, tile_col) order."""
-    return running(t, "tile_row", ["tile_col"], "span", "value_offset")
+    return running(t, ["tile_row", "tile_col"], "span", "value_offset")
 
 
 def row_pointer(t: DataFrame, tile_rows: int) -> DataFrame:
     """r, ptr for r = 0..tile_rows: tiles of the tile rows before r, empty ones included."""
     counts = t.groupBy(F.col("tile_row").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    every = t.sparkSession.range(tile_rows + 1).select(F.col("id").alias("r")).join(counts, "r", "left").select("r", F.coalesce("n", F.lit(0)).alias("n"), div("r", 4096).alias("_g"))
-    return running(every, "_g", ["r"], "n", "ptr").select("r", "ptr")
+    every = t.sparkSession.range(tile_rows + 1).select(F.col("id").alias("r")).join(counts, "r", "left").select("r", F.coalesce("n", F.lit(0)).alias("n"))
+    return running(every, ["r"], "n", "ptr").select("r", "ptr")
+
+
+def axis_sums(t: DataFrame) -> DataFrame:
+    """axis, id, tiles, entries of every tile row and tile column that has tiles."""
+    one = lambda axis, c: t.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("tiles"), F.sum("nnz").alias("entries")).select(F.lit(axis).alias("axis"), "id", "tiles", "entries")
+    return one("row", "tile_row").unionByName(one("column", "tile_col"))
 
 
 def column_order(t: DataFrame) -> DataFrame:

@@ -41,20 +41,20 @@ def tile_sql(m: str, name: str, right: bool = False) -> str:
 
 
 FULL = "SELECT tile_row, tile_col, mask, nnz, nnz >= 24 AS dense, CASE WHEN nnz >= 24 THEN 32 ELSE nnz END::BIGINT AS span"
-#: Output tiles of np x its transpose, through entries.
-NPT = "npt AS (SELECT k AS i, i AS k, v FROM np)"
-CELLS = "cells AS (SELECT DISTINCT a.i AS i, b.k AS k FROM np a JOIN npt b ON a.k = b.i)"
-#: Work of the output tiles of np x npt, from its lists of inner tiles.
+#: Output tiles of sp x its transpose, through entries.
+SPT = "spt AS (SELECT k AS i, i AS k, v FROM sp)"
+CELLS = "cells AS (SELECT DISTINCT a.i AS i, b.k AS k FROM sp a JOIN spt b ON a.k = b.i)"
+#: Work of the output tiles of sp x spt, from its lists of inner tiles.
 WORK = """out AS (SELECT i // 8 AS tile_row, k // 8 AS tile_col, count(*) AS output_nnz FROM cells GROUP BY ALL),
-    la AS (SELECT DISTINCT i // 8 AS tile_row, k // 4 AS tk FROM np), lb AS (SELECT DISTINCT i // 4 AS tk, k // 8 AS tile_col FROM npt),
+    la AS (SELECT DISTINCT i // 8 AS tile_row, k // 4 AS tk FROM sp), lb AS (SELECT DISTINCT i // 4 AS tk, k // 8 AS tile_col FROM spt),
     ends AS (SELECT tile_row, tile_col, output_nnz, least((SELECT max(tk) FROM la WHERE la.tile_row = out.tile_row), (SELECT max(tk) FROM lb WHERE lb.tile_col = out.tile_col)) AS m FROM out),
     work AS (SELECT tile_row, tile_col, output_nnz, (SELECT count(*) FROM la JOIN lb USING (tk) WHERE la.tile_row = ends.tile_row AND lb.tile_col = ends.tile_col) AS matches,
         (SELECT count(*) FROM la WHERE la.tile_row = ends.tile_row AND tk <= m) + (SELECT count(*) FROM lb WHERE lb.tile_col = ends.tile_col AND tk <= m) AS steps,
         (SELECT count(*) FROM la WHERE la.tile_row = ends.tile_row) + (SELECT count(*) FROM lb WHERE lb.tile_col = ends.tile_col) AS steps_union FROM ends)"""
 
 
-def npt(spark: SparkSession, folder: str) -> tuple[Matrix, Matrix]:
-    a = data.nation_size(spark, folder)
+def both_ways(spark: SparkSession, folder: str) -> tuple[Matrix, Matrix]:
+    a = data.supplier_part(spark, folder)
     return a, a.transpose()
 
 
@@ -71,9 +71,9 @@ def spgemm_ab_op_ps(spark, folder):
     return product.multiply(data.order_part(spark, folder), "ab", data.supplier_part(spark, folder).transpose()).df
 
 
-@query(w("nn") + "SELECT a.i, b.k, sum(a.v * b.v) AS v FROM nn a JOIN nn b ON a.k = b.i GROUP BY ALL")
-def spgemm_aa_nn(spark, folder):
-    return product.multiply(data.nation_nation(spark, folder), "aa").df
+@query(w("pp") + "SELECT a.i, b.k, sum(a.v * b.v) AS v FROM pp a JOIN pp b ON a.k = b.i GROUP BY ALL")
+def spgemm_aa_pp(spark, folder):
+    return product.multiply(data.part_succession(spark, folder), "aa").df
 
 
 @query(w("op") + "SELECT a.k AS i, b.k, sum(a.v * b.v) AS v FROM op a JOIN op b ON a.i = b.i GROUP BY ALL")
@@ -110,9 +110,9 @@ def nnz_cub_ab(spark, folder):
     return product.product_count(data.order_part(spark, folder), data.supplier_part(spark, folder).transpose())
 
 
-@query(w("nn") + "SELECT count(*) AS nnz_cub FROM nn a JOIN nn b ON a.k = b.i")
+@query(w("pp") + "SELECT count(*) AS nnz_cub FROM pp a JOIN pp b ON a.k = b.i")
 def nnz_cub_aa(spark, folder):
-    a = data.nation_nation(spark, folder)
+    a = data.part_succession(spark, folder)
     return product.product_count(a, a)
 
 
@@ -122,9 +122,9 @@ def row_products(spark, folder):
     return product.row_product_counts(a, a.transpose())
 
 
-@query(w("np", NPT, CELLS, "p AS (SELECT count(*) AS nnz_cub FROM np a JOIN npt b ON a.k = b.i)") + "SELECT nnz_cub, (SELECT count(*) FROM cells) AS nnz_c, nnz_cub / (SELECT count(*) FROM cells) AS compression, 2 * nnz_cub / (8.0 * 1e6) AS gflops_at_8_ms FROM p")
+@query(w("sp", SPT, CELLS, "p AS (SELECT count(*) AS nnz_cub FROM sp a JOIN spt b ON a.k = b.i)") + "SELECT nnz_cub, (SELECT count(*) FROM cells) AS nnz_c, nnz_cub / (SELECT count(*) FROM cells) AS compression, 2 * nnz_cub / (8.0 * 1e6) AS gflops_at_8_ms FROM p")
 def compression(spark, folder):
-    a, b = npt(spark, folder)
+    a, b = both_ways(spark, folder)
     both = product.product_count(a, b).withColumn("_x", F.lit(1)).join(product.structure(a, b).agg(F.count(F.lit(1)).alias("nnz_c")).withColumn("_x", F.lit(1)), "_x")
     return both.select("nnz_cub", "nnz_c", fn.compression(F.col("nnz_cub"), F.col("nnz_c")).alias("compression"), fn.gflops(F.col("nnz_cub"), F.lit(8.0)).alias("gflops_at_8_ms"))
 
@@ -144,9 +144,9 @@ def semiring_bool(spark, folder):
     return product.multiply(data.supplier_part(spark, folder), "aat", semiring=product.BOOLEAN).df
 
 
-@query(w("np", NPT, CELLS, "t AS (SELECT DISTINCT i, k FROM np)") + "SELECT 'left' AS side, i, k AS j FROM (SELECT * FROM cells EXCEPT SELECT * FROM t) UNION ALL SELECT 'right', i, k FROM (SELECT * FROM t EXCEPT SELECT * FROM cells)")
+@query(w("sp", SPT, CELLS, "t AS (SELECT DISTINCT i, k FROM sp)") + "SELECT 'left' AS side, i, k AS j FROM (SELECT * FROM cells EXCEPT SELECT * FROM t) UNION ALL SELECT 'right', i, k FROM (SELECT * FROM t EXCEPT SELECT * FROM cells)")
 def structural_difference(spark, folder):
-    a, b = npt(spark, folder)
+    a, b = both_ways(spark, folder)
     return product.structural_difference(product.structure(a, b), a.df.select("i", F.col("k").alias("j")).distinct())
 
 
@@ -163,9 +163,9 @@ def dedup(spark, folder):
     return data.supplier_part(spark, folder, merged=False).merged().df
 
 
-@query(w("nn") + "SELECT i, k, v FROM nn UNION ALL SELECT k, i, v FROM nn WHERE i <> k")
+@query(w("pp") + "SELECT i, k, v FROM pp UNION ALL SELECT k, i, v FROM pp WHERE i <> k")
 def symmetrize(spark, folder):
-    return data.nation_nation(spark, folder).symmetrised("symmetric").df
+    return data.part_succession(spark, folder).symmetrised("symmetric").df
 
 
 @query(w("sl") + "SELECT count(*) AS entries, count(*) FILTER (WHERE i < 0 OR i >= (SELECT count(*) FROM supplier) OR k < 0 OR k >= (SELECT count(*) FROM part) - 7) AS faults FROM sl")
@@ -194,14 +194,14 @@ def axis_degrees(spark, folder):
 # tiles
 
 
-@query(w("np", tile_sql("np", "t")) + FULL + " FROM t")
+@query(w("sp", tile_sql("sp", "t")) + FULL + " FROM t")
 def tile_a_8x4(spark, folder):
-    return tiles.tiles(data.nation_size(spark, folder))
+    return tiles.tiles(data.supplier_part(spark, folder))
 
 
-@query(w("np", tile_sql("np", "t", True)) + FULL + " FROM t")
+@query(w("sp", tile_sql("sp", "t", True)) + FULL + " FROM t")
 def tile_b_4x8(spark, folder):
-    return tiles.tiles(data.nation_size(spark, folder), right=True)
+    return tiles.tiles(data.supplier_part(spark, folder), right=True)
 
 
 @query(w("sp", tile_sql("sp", "t"), "u AS (" + FULL + " FROM t)") + "SELECT count(*) AS tiles, sum(nnz)::BIGINT AS entries, count(*) FILTER (WHERE dense) AS dense_tiles, sum(span)::BIGINT AS payload FROM u")
@@ -225,25 +225,25 @@ def tile_csc_order(spark, folder):
     return tiles.column_order(tiles.tiles(data.supplier_part(spark, folder), right=True))
 
 
-PAYLOAD = tile_sql("np", "t"), "e AS (SELECT i // 8 AS tile_row, k // 4 AS tile_col, (i % 8) * 4 + k % 4 AS slot, v FROM np)"
+PAYLOAD = tile_sql("sp", "t"), "e AS (SELECT i // 8 AS tile_row, k // 4 AS tile_col, (i % 8) * 4 + k % 4 AS slot, v FROM sp)"
 
 
-@query(w("np", *PAYLOAD) + """SELECT tile_row, tile_col, CASE WHEN nnz >= 24 THEN s.range ELSE bit_count(mask & ((1::BIGINT << s.range::INT) - 1)) END::BIGINT AS place, s.range AS slot, coalesce(e.v, 0) AS v
+@query(w("sp", *PAYLOAD) + """SELECT tile_row, tile_col, CASE WHEN nnz >= 24 THEN s.range ELSE bit_count(mask & ((1::BIGINT << s.range::INT) - 1)) END::BIGINT AS place, s.range AS slot, coalesce(e.v, 0) AS v
     FROM t CROSS JOIN range(32) s LEFT JOIN e USING (tile_row, tile_col) WHERE e.slot = s.range OR nnz >= 24 AND e.slot IS NULL
     UNION ALL SELECT t.tile_row, t.tile_col, s.range, s.range, 0 FROM t CROSS JOIN range(32) s WHERE nnz >= 24 AND (mask >> s.range::INT) & 1 = 0""")
 def tile_payload(spark, folder):
-    return tiles.payload(data.nation_size(spark, folder))
+    return tiles.payload(data.supplier_part(spark, folder))
 
 
-@query(w("np") + "SELECT i, k, v FROM np")
+@query(w("sp") + "SELECT i, k, v FROM sp")
 def tile_decode(spark, folder):
-    a = data.nation_size(spark, folder)
+    a = data.supplier_part(spark, folder)
     return tiles.entries(tiles.packed(a), a.m, a.n).df
 
 
-@query(w("np") + "SELECT i, k, v FROM np")
+@query(w("sp") + "SELECT i, k, v FROM sp")
 def tile_decode_right(spark, folder):
-    a = data.nation_size(spark, folder)
+    a = data.supplier_part(spark, folder)
     return tiles.entries(tiles.packed(a, right=True), a.m, a.n, right=True).df
 
 
@@ -266,17 +266,17 @@ def cand_tiles(spark, folder):
     return symbolic.candidates(a.transpose(), a)
 
 
-PARENTS = "pa AS (SELECT DISTINCT i // 16 AS parent_row, k // 16 AS pk FROM np), pb AS (SELECT DISTINCT k // 16 AS pk, i // 16 AS parent_col FROM np)"
+PARENTS = "pa AS (SELECT DISTINCT i // 16 AS parent_row, k // 16 AS pk FROM sp), pb AS (SELECT DISTINCT k // 16 AS pk, i // 16 AS parent_col FROM sp)"
 
 
-@query(w("np", PARENTS) + "SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)")
+@query(w("sp", PARENTS) + "SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)")
 def cand_parents(spark, folder):
-    return symbolic.parents(*npt(spark, folder))
+    return symbolic.parents(*both_ways(spark, folder))
 
 
-@query(w("np", PARENTS) + "SELECT count(*) AS raw_pairs, count(DISTINCT (parent_row, parent_col)) AS parents, count(DISTINCT (parent_row, parent_col)) <= 16000000 AND count(*) <= 16 * count(DISTINCT (parent_row, parent_col)) AS admitted FROM pa JOIN pb USING (pk)")
+@query(w("sp", PARENTS) + "SELECT count(*) AS raw_pairs, count(DISTINCT (parent_row, parent_col)) AS parents, count(DISTINCT (parent_row, parent_col)) <= 16000000 AND count(*) <= 16 * count(DISTINCT (parent_row, parent_col)) AS admitted FROM pa JOIN pb USING (pk)")
 def raw_pairs(spark, folder):
-    pairs = symbolic.parent_pairs(*npt(spark, folder)).agg(F.count(F.lit(1)).alias("raw_pairs"), F.count_distinct("parent_row", "parent_col").alias("parents"))
+    pairs = symbolic.parent_pairs(*both_ways(spark, folder)).agg(F.count(F.lit(1)).alias("raw_pairs"), F.count_distinct("parent_row", "parent_col").alias("parents"))
     return pairs.withColumn("admitted", planner.admission(F.col("parents"), F.col("raw_pairs")))
 
 
@@ -295,35 +295,35 @@ def c_tile_nnz(spark, folder):
     return symbolic.exact_masks(a.transpose(), a).groupBy("tile_row").agg(F.count(F.lit(1)).alias("tiles"), F.sum("nnz").alias("nnz"))
 
 
-@query(w("np", NPT, CELLS, PARENTS, "q AS (SELECT i // 16 AS parent_row, k // 16 AS parent_col, count(DISTINCT (i // 8, k // 8)) AS children FROM cells GROUP BY ALL)") + "SELECT coalesce(children, 0) AS children, count(*) AS parents FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)) LEFT JOIN q USING (parent_row, parent_col) GROUP BY 1")
+@query(w("sp", SPT, CELLS, PARENTS, "q AS (SELECT i // 16 AS parent_row, k // 16 AS parent_col, count(DISTINCT (i // 8, k // 8)) AS children FROM cells GROUP BY ALL)") + "SELECT coalesce(children, 0) AS children, count(*) AS parents FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)) LEFT JOIN q USING (parent_row, parent_col) GROUP BY 1")
 def c16_children_hist(spark, folder):
-    return symbolic.children(*npt(spark, folder)).groupBy("children").agg(F.count(F.lit(1)).alias("parents"))
+    return symbolic.children(*both_ways(spark, folder)).groupBy("children").agg(F.count(F.lit(1)).alias("parents"))
 
 
-@query(w("np", NPT, CELLS, PARENTS) + "SELECT (SELECT count(*) FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk))) AS candidates, count(DISTINCT (i // 16, k // 16)) AS nonempty, count(DISTINCT (i // 8, k // 8)) AS children, true AS holds FROM cells")
+@query(w("sp", SPT, CELLS, PARENTS) + "SELECT (SELECT count(*) FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk))) AS candidates, count(DISTINCT (i // 16, k // 16)) AS nonempty, count(DISTINCT (i // 8, k // 8)) AS children, count(DISTINCT (i // 16, k // 16)) <= count(DISTINCT (i // 8, k // 8)) AND count(DISTINCT (i // 8, k // 8)) <= 4 * count(DISTINCT (i // 16, k // 16)) AS holds FROM cells")
 def super16_invariants(spark, folder):
-    return symbolic.invariants(*npt(spark, folder))
+    return symbolic.invariants(*both_ways(spark, folder))
 
 
-@query(w("np") + "SELECT i // 16 AS parent_row, k // 16 AS parent_col, i % 16 AS r, bit_or(1::BIGINT << (k % 16)::INT) AS bits FROM np GROUP BY ALL")
+@query(w("sp") + "SELECT i // 16 AS parent_row, k // 16 AS parent_col, i % 16 AS r, bit_or(1::BIGINT << (k % 16)::INT) AS bits FROM sp GROUP BY ALL")
 def parent_boolean_rows(spark, folder):
-    return symbolic.parent_rows(data.nation_size(spark, folder))
+    return symbolic.parent_rows(data.supplier_part(spark, folder))
 
 
-@query(w("np") + "SELECT i // 16 AS parent_row, k // 16 AS parent_col, bit_or(1::BIGINT << ((i // 8 % 2) * 4 + k // 4 % 4)::INT) AS child_mask FROM np GROUP BY ALL")
+@query(w("sp") + "SELECT i // 16 AS parent_row, k // 16 AS parent_col, bit_or(1::BIGINT << ((i // 8 % 2) * 4 + k // 4 % 4)::INT) AS child_mask FROM sp GROUP BY ALL")
 def parent_child_masks(spark, folder):
-    return symbolic.parent_children(data.nation_size(spark, folder))
+    return symbolic.parent_children(data.supplier_part(spark, folder))
 
 
-@query(w("np", "c AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM np a JOIN np b ON a.k = b.k GROUP BY ALL)") + "SELECT i // 8 AS tile_row, k // 8 AS tile_col, (i % 8) * 8 + k % 8 AS slot, row_number() OVER (PARTITION BY i // 8, k // 8 ORDER BY i % 8, k % 8) - 1 AS place, v FROM c")
+@query(w("sp", "c AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL)") + "SELECT i // 8 AS tile_row, k // 8 AS tile_col, (i % 8) * 8 + k % 8 AS slot, row_number() OVER (PARTITION BY i // 8, k // 8 ORDER BY i % 8, k % 8) - 1 AS place, v FROM c")
 def numeric_tiles_c(spark, folder):
-    return symbolic.numeric(*npt(spark, folder))
+    return symbolic.numeric(*both_ways(spark, folder))
 
 
-@query(w("op", "ta AS (SELECT DISTINCT k // 8 AS tile_row, i // 4 AS tk FROM op)", "f AS (SELECT tk, count(*) AS n FROM ta GROUP BY 1)", "r AS (SELECT tile_row, count(*) AS degree, sum(n)::BIGINT AS work FROM ta JOIN f USING (tk) GROUP BY 1)") + "SELECT tile_row, degree, work, work >= 512 OR degree >= 32 AND 2 * work >= 256 OR degree >= 128 AND 8 * work >= 256 AS bitset FROM r")
+@query(w("op", "ta AS (SELECT DISTINCT k // 8 AS tile_row, i // 4 AS tk FROM op)", "f AS (SELECT tk, count(*) AS n FROM ta GROUP BY 1)", "r AS (SELECT tile_row, count(*) AS degree, sum(n)::BIGINT AS work FROM ta JOIN f USING (tk) GROUP BY 1)") + "SELECT tile_row, degree, work FROM r")
 def wide_row_classes(spark, folder):
     a = data.order_part(spark, folder)
-    return symbolic.wide_rows(a.transpose(), a, 256)
+    return symbolic.row_work(a.transpose(), a).select("tile_row", "degree", F.col("pairs").alias("work"))
 
 
 # work and splitting
@@ -331,44 +331,53 @@ def wide_row_classes(spark, folder):
 POLICY = planner.TailPolicy(threshold=60.0, target=40.0, heavy_fraction=1.0)
 
 
-@query(w("np", NPT, CELLS, WORK) + "SELECT tile_row, tile_col, matches, steps - matches AS scans_trajectory, steps_union - matches AS scans_union, output_nnz, (steps - matches + 8 * matches)::DOUBLE AS splittable, (steps - matches + 8 * matches + 0.25 * output_nnz)::DOUBLE AS \"full\" FROM work")
+@query(w("sp", SPT, CELLS, WORK) + "SELECT tile_row, tile_col, matches, steps - matches AS scans_trajectory, steps_union - matches AS scans_union, output_nnz, (steps - matches + 8 * matches)::DOUBLE AS splittable, (steps - matches + 8 * matches + 0.25 * output_nnz)::DOUBLE AS \"full\" FROM work")
 def tile_work(spark, folder):
-    return planner.tile_work(*npt(spark, folder))
+    return planner.tile_work(*both_ways(spark, folder))
 
 
 CHUNKS = "ch AS (SELECT *, steps_union - matches + 8 * matches AS w, CASE WHEN steps_union - matches + 8 * matches > 60 AND steps_union - matches > 1 THEN least(greatest(ceil((steps_union - matches + 8 * matches)::FLOAT / 40::FLOAT), 2), 8, steps_union - matches) ELSE 0 END::BIGINT AS chunks FROM work)"
 
 
-@query(w("np", NPT, CELLS, WORK, CHUNKS) + "SELECT tile_row, tile_col, chunks FROM ch")
+@query(w("sp", SPT, CELLS, WORK, CHUNKS) + "SELECT tile_row, tile_col, chunks FROM ch")
 def chunk_counts(spark, folder):
-    return planner.with_chunks(planner.tile_work(*npt(spark, folder)), POLICY).select("tile_row", "tile_col", "chunks")
+    return planner.with_chunks(planner.tile_work(*both_ways(spark, folder)), POLICY).select("tile_row", "tile_col", "chunks")
+
+
+TAIL = "SELECT count(*) AS tiles, count(*) FILTER (WHERE chunks > 0) AS heavy, sum(chunks)::BIGINT AS chunks, CASE WHEN count(*) FILTER (WHERE chunks > 0) = 0 THEN 'zero-heavy' WHEN count(*) FILTER (WHERE chunks > 0) > {} * count(*) THEN 'heavy-fraction' ELSE 'enabled' END AS gate FROM ch"
 
 
-@query(w("np", NPT, CELLS, WORK, CHUNKS) + "SELECT count(*) AS tiles, count(*) FILTER (WHERE chunks > 0) AS heavy, sum(chunks)::BIGINT AS chunks, 16 * sum(chunks)::BIGINT AS descriptor_bytes, 512 * sum(chunks)::BIGINT AS partial_bytes, (count(*) + 31) // 32 * 4 AS flag_bytes, CASE WHEN count(*) FILTER (WHERE chunks > 0) = 0 THEN 'zero-heavy' ELSE 'enabled' END AS gate FROM ch")
+@query(w("sp", SPT, CELLS, WORK, CHUNKS) + TAIL.format("1.0"))
 def tail_plan(spark, folder):
-    return planner.tail_plan(planner.tile_work(*npt(spark, folder)), POLICY)
+    return planner.tail_plan(planner.tile_work(*both_ways(spark, folder)), POLICY)
 
 
-@query(w("np", NPT, CELLS, WORK) + "SELECT count(*) AS tiles, 0::BIGINT AS heavy, 0::BIGINT AS chunks, 4::BIGINT AS worker_cap, 0::BIGINT AS split_workers, 'base-fallback' AS gate FROM work")
+@query(w("sp", SPT, CELLS, WORK, CHUNKS) + TAIL.format("0.001"))
 def early_split_plan(spark, folder):
-    return planner.early_split_plan(planner.tile_work(*npt(spark, folder)), workers=8)
+    return planner.tail_plan(planner.tile_work(*both_ways(spark, folder)), planner.TailPolicy(60.0, 40.0, 8, 0.001))
 
 
-@query(w("np", NPT, CELLS, WORK, "s AS (SELECT o.tile_row, o.tile_col, tk, CASE WHEN a.tile_row IS NOT NULL AND b.tile_col IS NOT NULL THEN 9 ELSE 1 END AS wt, m FROM ends o, (SELECT DISTINCT tk FROM la UNION SELECT DISTINCT tk FROM lb) t LEFT JOIN la a ON a.tk = t.tk AND a.tile_row = o.tile_row LEFT JOIN lb b ON b.tk = t.tk AND b.tile_col = o.tile_col WHERE t.tk <= m AND (a.tile_row IS NOT NULL OR b.tile_col IS NOT NULL))".replace("t.tk <= m", "t.tk <= o.m").replace(" tk, CASE", " t.tk, CASE"), "c AS (SELECT tile_row, tile_col, CASE WHEN steps + 7 * matches > 60 AND steps - matches > 1 THEN least(greatest(ceil((steps + 7 * matches)::FLOAT / 40::FLOAT), 2), 8, steps - matches) ELSE 0 END::BIGINT AS chunks FROM work)", "x AS (SELECT s.tile_row, s.tile_col, wt, floor((sum(wt) OVER (PARTITION BY s.tile_row, s.tile_col ORDER BY tk) - wt) * chunks / sum(wt) OVER (PARTITION BY s.tile_row, s.tile_col))::BIGINT AS chunk FROM s JOIN c USING (tile_row, tile_col) WHERE chunks > 0)") + "SELECT tile_row, tile_col, chunk, count(*) AS steps, sum(wt)::DOUBLE AS work FROM x GROUP BY ALL")
+@query(w("sp", SPT, CELLS, WORK, "s AS (SELECT o.tile_row, o.tile_col, tk, CASE WHEN a.tile_row IS NOT NULL AND b.tile_col IS NOT NULL THEN 9 ELSE 1 END AS wt, m FROM ends o, (SELECT DISTINCT tk FROM la UNION SELECT DISTINCT tk FROM lb) t LEFT JOIN la a ON a.tk = t.tk AND a.tile_row = o.tile_row LEFT JOIN lb b ON b.tk = t.tk AND b.tile_col = o.tile_col WHERE t.tk <= m AND (a.tile_row IS NOT NULL OR b.tile_col IS NOT NULL))".replace("t.tk <= m", "t.tk <= o.m").replace(" tk, CASE", " t.tk, CASE"), "c AS (SELECT tile_row, tile_col, CASE WHEN steps + 7 * matches > 60 AND steps - matches > 1 THEN least(greatest(ceil((steps + 7 * matches)::FLOAT / 40::FLOAT), 2), 8, steps - matches) ELSE 0 END::BIGINT AS chunks FROM work)", "x AS (SELECT s.tile_row, s.tile_col, wt, floor((sum(wt) OVER (PARTITION BY s.tile_row, s.tile_col ORDER BY tk) - wt) * chunks / sum(wt) OVER (PARTITION BY s.tile_row, s.tile_col))::BIGINT AS chunk FROM s JOIN c USING (tile_row, tile_col) WHERE chunks > 0)") + "SELECT tile_row, tile_col, chunk, count(*) AS steps, sum(wt)::DOUBLE AS work FROM x GROUP BY ALL")
 def chunk_slices(spark, folder):
-    return planner.chunk_slices(*npt(spark, folder), policy=POLICY)
+    return planner.chunk_slices(*both_ways(spark, folder), policy=POLICY)
 
 
-@query(w("np", NPT, CELLS, tile_sql("np", "ta"), tile_sql("npt", "tb", True), "o AS (SELECT count(*) AS n FROM cells GROUP BY i // 8, k // 8)") + """SELECT q.quota, (SELECT count(*) FROM ta JOIN tb ON ta.tile_col = tb.tile_row) AS pairs, (SELECT count(*) FROM ta JOIN tb ON ta.tile_col = tb.tile_row WHERE ta.nnz * tb.nnz <= 64) AS sparse_pairs,
+@query(w("sp", SPT, CELLS, tile_sql("sp", "ta"), tile_sql("spt", "tb", True), "o AS (SELECT count(*) AS n FROM cells GROUP BY i // 8, k // 8)") + """SELECT q.quota, (SELECT count(*) FROM ta JOIN tb ON ta.tile_col = tb.tile_row) AS pairs, (SELECT count(*) FROM ta JOIN tb ON ta.tile_col = tb.tile_row WHERE ta.nnz * tb.nnz <= 64) AS sparse_pairs,
     (SELECT count(*) FROM o) AS outputs, (SELECT count(*) FROM o WHERE n <= q.quota) AS sparse_outputs, (SELECT 2 * sum(nnz) <= q.quota * count(*) FROM ta) AS left_ok, (SELECT 2 * sum(nnz) <= q.quota * count(*) FROM tb) AS right_ok FROM (VALUES (4::BIGINT), (8), (12), (16)) q(quota)""")
 def low_fill_guard(spark, folder):
-    return planner.low_fill(*npt(spark, folder))
+    return planner.low_fill(*both_ways(spark, folder))
 
 
-@query(w("op", "ta AS (SELECT DISTINCT k // 8 AS tile_row, i // 4 AS tk FROM op)", "f AS (SELECT tk, count(*) AS n FROM ta GROUP BY 1)", "cols AS (SELECT (count(*) + 7) // 8 AS c FROM part)", "r AS (SELECT tile_row, sum(n)::BIGINT AS pairs, count(*) AS degree FROM ta JOIN f USING (tk) GROUP BY 1)", "e AS (SELECT *, least(pairs, c) AS candidates, ((SELECT count(*) FROM ta) + c - 1) // c AS average FROM r, cols)") + "SELECT tile_row, pairs, degree, candidates, candidates * (degree + average) AS reverse, pairs + c + candidates AS forward, pairs >= 1000 AND candidates * (degree + average) >= 2.0 * (pairs + c + candidates) AS selected FROM e")
+@query(w("op", "ta AS (SELECT DISTINCT k // 8 AS tile_row, i // 4 AS tk FROM op)", "f AS (SELECT tk, count(*) AS n FROM ta GROUP BY 1)") + "SELECT tile_row, count(*) AS degree, sum(n)::BIGINT AS pairs, least(sum(n), (SELECT (count(*) + 7) // 8 FROM part))::BIGINT AS candidates FROM ta JOIN f USING (tk) GROUP BY 1")
 def exact_forward_estimate(spark, folder):
     a = data.order_part(spark, folder)
-    return planner.forward_estimate(a.transpose(), a, least_pairs=1000)
+    return symbolic.row_work(a.transpose(), a)
+
+
+@query(w("op", "f AS (SELECT i, count(*) AS n FROM op GROUP BY 1)") + "SELECT i AS key, least(ceil(n * n / 20.0), 256)::BIGINT AS parts FROM f WHERE n * n > 20")
+def hot_inner_keys(spark, folder):
+    a = data.order_part(spark, folder)
+    return product.hot_keys(a.transpose(), a, 20).toDF("key", "parts")
 
 
 # orders
@@ -394,14 +403,20 @@ def mix_sql(x: str) -> str:
 
 
 def profile_sql(own: str, other: str, step: int, count: str) -> str:
-    bits = [f"({mix_sql(f'panel::UHUGEINT + {(word * fn.WORD_STEP) % 2**64}::UHUGEINT')} % 64)::INT" for word in (0, 1)]
-    return w("op", f"p AS (SELECT DISTINCT {other} // {step} AS panel FROM op)", f"f AS (SELECT panel, {bits[0]} AS b0, {bits[1]} AS b1 FROM p)", f"e AS (SELECT {own} AS id, panel, b0, b1 FROM op JOIN f ON panel = {other} // {step})", "g AS (SELECT id, count(*) AS degree, min(panel) AS lo, max(panel) AS hi, count(DISTINCT b0) + count(DISTINCT b1) AS occ, count(DISTINCT b0) FILTER (WHERE b0 < 32) AS low0, count(DISTINCT b1) FILTER (WHERE b1 < 32) AS low1 FROM e GROUP BY 1)") + f"SELECT r.range AS id, coalesce(degree, 0) AS degree, coalesce((length(bin(degree)) - 1) // 2, -1)::BIGINT AS soft_bucket, coalesce(occ, 0) AS panel_occupancy, coalesce(lo, -1) AS panel_min, coalesce(hi, -1) AS panel_max, coalesce(hi - lo + 1, 0) AS panel_span, coalesce(low0, 0) AS low0, coalesce(low1, 0) AS low1 FROM range((SELECT count(*) FROM {count})) r LEFT JOIN g ON g.id = r.range"
+    big = lambda x: f"{x % 2**64}::UHUGEINT"
+    bits = [f"({mix_sql(f'panel::UHUGEINT + {big(word * fn.WORD_STEP)}')} % 64)::INT" for word in (0, 1)]
+    sketches = [mix_sql(f"xor(panel::UHUGEINT, {big(fn.SKETCH_BASE + word * fn.SKETCH_STEP)})") for word in (0, 1)]
+    signed = lambda x: f"(CASE WHEN {x} >= 9223372036854775808::UHUGEINT THEN {x}::HUGEINT - 18446744073709551616::HUGEINT ELSE {x}::HUGEINT END)::BIGINT"
+    return w(
+        "op", f"p AS (SELECT DISTINCT {other} // {step} AS panel FROM op)", f"f AS (SELECT panel, {bits[0]} AS b0, {bits[1]} AS b1, {sketches[0]} AS h0, {sketches[1]} AS h1 FROM p)",
+        f"e AS (SELECT {own} AS id, panel, b0, b1, h0, h1 FROM op JOIN f ON panel = {other} // {step})",
+        "g AS (SELECT id, count(*) AS degree, min(panel) AS lo, max(panel) AS hi, count(DISTINCT b0) + count(DISTINCT b1) AS occ, bit_or(1::UHUGEINT << b0::UHUGEINT) AS f0, bit_or(1::UHUGEINT << b1::UHUGEINT) AS f1, min(h0) AS h0, min(h1) AS h1 FROM e GROUP BY 1)",
+    ) + f"SELECT r.range AS id, coalesce(degree, 0) AS degree, coalesce((length(bin(degree)) - 1) // 2, -1)::BIGINT AS soft_bucket, coalesce(occ, 0) AS panel_occupancy, coalesce(lo, -1) AS panel_min, coalesce(hi, -1) AS panel_max, coalesce(hi - lo + 1, 0) AS panel_span, coalesce({signed('f0')}, 0) AS f0, coalesce({signed('f1')}, 0) AS f1, coalesce({signed('h0')}, 0) AS h0, coalesce({signed('h1')}, 0) AS h1 FROM range((SELECT count(*) FROM {count})) r LEFT JOIN g ON g.id = r.range"
 
 
 def axis_profile(spark, folder, name):
     a = data.order_part(spark, folder)
-    low = lambda c: fn.popcount(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
-    return reorder.profiles(a, reorder.identity(a), name).select("id", "degree", "soft_bucket", "panel_occupancy", "panel_min", "panel_max", "panel_span", low("f0").alias("low0"), low("f1").alias("low1"))
+    return reorder.profiles(a, reorder.identity(a), name).drop("place").fillna(0, ["h0", "h1"])
 
 
 @query(profile_sql("i", "k", 4, "orders"))
@@ -414,13 +429,20 @@ def axis_profile_inner(spark, folder):
     return axis_profile(spark, folder, "inner")
 
 
-REVERSED = "x AS (SELECT i, k, (SELECT count(*) FROM orders) - 1 - i AS ri, (SELECT count(*) FROM part) - 1 - k AS rk FROM op)"
+def order_sql(m: str) -> tuple[str, str, str]:
+    """Each axis by degree in SQL, and the entries with their new ids."""
+    one = lambda name, c, of: f"{name} AS (SELECT r.range AS old_id, row_number() OVER (ORDER BY coalesce(d, 0) = 0, coalesce(d, 0), r.range) - 1 AS new_id FROM range((SELECT count(*) FROM {of})) r LEFT JOIN (SELECT {c} AS c, count(*) AS d FROM {m} GROUP BY 1) ON c = r.range)"
+    return one("pr", "i", "orders"), one("pk", "k", "part"), f"x AS (SELECT {m}.i, {m}.k, pr.new_id AS ri, pk.new_id AS rk, v FROM {m} JOIN pr ON pr.old_id = {m}.i JOIN pk ON pk.old_id = {m}.k)"
+
+
+MOVED = order_sql("op")
+BOTH = "b AS (SELECT 'row' AS axis, * FROM pr UNION ALL SELECT 'inner', * FROM pk)"
 
 
-@query(w("op", REVERSED, "t AS (SELECT count(DISTINCT (i // 8, k // 4)) AS before, count(DISTINCT (ri // 8, rk // 4)) AS after FROM x)") + "SELECT before, after, after < before AS accepted FROM t")
+@query(w("op", *MOVED, "t AS (SELECT count(DISTINCT (i // 8, k // 4)) AS before, count(DISTINCT (ri // 8, rk // 4)) AS after FROM x)") + "SELECT before, after, after < before AS accepted FROM t")
 def global_tile_guard(spark, folder):
     a = data.order_part(spark, folder)
-    perm = reorder.reversal(a)
+    perm = reorder.by_degree(a)
     both = a.df.join(reorder.axis(perm, "row", "i", "ri"), "i").join(reorder.axis(perm, "inner", "k", "rk"), "k")
     both = both.agg(F.count_distinct(fn.div("i", 8), fn.div("k", 4)).alias("before"), F.count_distinct(fn.div("ri", 8), fn.div("rk", 4)).alias("after"))
     return both.withColumn("accepted", F.col("after") < F.col("before"))
@@ -435,65 +457,80 @@ def window_tiles_fanout(spark, folder):
     return reorder.window_costs(a, now, now.where("axis = 'row'").select("old_id", mirrored.alias("new_id")), "row")
 
 
-@query("SELECT 'row' AS axis, count(*) FILTER (WHERE i <> n - 1 - i) AS moved, sum(abs(n - 1 - 2 * i))::BIGINT AS displacement FROM (SELECT o_orderkey AS i, (SELECT count(*) FROM orders) AS n FROM orders) UNION ALL SELECT 'inner', count(*) FILTER (WHERE i <> n - 1 - i), sum(abs(n - 1 - 2 * i))::BIGINT FROM (SELECT p_partkey AS i, (SELECT count(*) FROM part) AS n FROM part)")
+@query(w("op", *MOVED, BOTH) + "SELECT axis, count(*) FILTER (WHERE old_id <> new_id) AS moved, sum(abs(new_id - old_id))::BIGINT AS displacement FROM b GROUP BY 1")
 def perm_summary(spark, folder):
-    return reorder.summary(reorder.reversal(data.order_part(spark, folder)))
+    return reorder.summary(reorder.by_degree(data.order_part(spark, folder)))
 
 
-@query("SELECT 'row' AS axis, o_orderkey AS old_id, (SELECT count(*) FROM orders) - 1 - o_orderkey AS new_id, o_orderkey AS new_to_old_at_new_id FROM orders UNION ALL SELECT 'inner', p_partkey, (SELECT count(*) FROM part) - 1 - p_partkey, p_partkey FROM part")
+@query(w("op", *MOVED, BOTH) + "SELECT axis, old_id, new_id, old_id AS new_to_old_at_new_id FROM b")
 def perm_inverse(spark, folder):
-    return mtx.permutation_rows(reorder.reversal(data.order_part(spark, folder)))
+    return mtx.permutation_rows(reorder.by_degree(data.order_part(spark, folder)))
 
 
-@query(w("op", REVERSED) + "SELECT ri AS i, rk AS k, v FROM x JOIN op USING (i, k)")
+@query(w("op", *MOVED) + "SELECT ri AS i, rk AS k, v FROM x")
 def apply_perm(spark, folder):
     a = data.order_part(spark, folder)
-    return reorder.apply(a, reorder.reversal(a)).df
+    return reorder.apply(a, reorder.by_degree(a)).df
 
 
 @query(w("sp") + "SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL")
 def product_perm_invariant(spark, folder):
     a = data.supplier_part(spark, folder)
-    perm = reorder.reversal(a)
+    perm = reorder.by_degree(a)
     c = product.multiply(reorder.apply(a, perm), "ab", reorder.apply_inner_to_rows(a.transpose(), perm))
     return reorder.restore_rows(c, perm, a.m).df
 
 
-@query(w("op", REVERSED) + "SELECT 'row' AS axis, max(ri) + 1 AS active FROM x UNION ALL SELECT 'inner', max(rk) + 1 FROM x")
+@query(w("op", *MOVED) + "SELECT 'row' AS axis, max(ri) + 1 AS active FROM x UNION ALL SELECT 'inner', max(rk) + 1 FROM x")
 def active_prefix(spark, folder):
     a = data.order_part(spark, folder)
-    return reorder.active(a, reorder.reversal(a))
+    return reorder.active(a, reorder.by_degree(a))
 
 
 @query()
-def bgrf_coarse_order(spark, folder):
-    return reorder.coarse(data.supplier_part(spark, folder))[0]
+def coarse_order(spark, folder):
+    return reorder.coarse(data.order_part(spark, folder))[0]
 
 
 @query()
-def bgrf_plan(spark, folder):
-    return reorder.plan(data.supplier_part(spark, folder)).perm
+def reorder_plan(spark, folder):
+    return reorder.plan(data.order_part(spark, folder)).perm
+
+
+@query(w("op") + "SELECT 'row' AS axis, count(*) AS ids, count(*) AS old_ids, count(*) AS new_ids, min(o_orderkey) AS least, max(o_orderkey) AS most, (SELECT count(DISTINCT (i // 8, k // 4)) FROM op) AS tiles_before, true AS fewer FROM orders UNION ALL SELECT 'inner', count(*), count(*), count(*), min(p_partkey), max(p_partkey), (SELECT count(DISTINCT (i // 8, k // 4)) FROM op), true FROM part")
+def reorder_plan_effect(spark, folder):
+    """The plan of order x part is a bijection on both axes and gives fewer tiles."""
+    a = data.order_part(spark, folder)
+    made = reorder.plan(a)
+    before = a.df.select(fn.div("i", 8), fn.div("k", 4)).distinct().count()
+    ids = made.perm.groupBy("axis").agg(F.count(F.lit(1)).alias("ids"), F.count_distinct("old_id").alias("old_ids"), F.count_distinct("new_id").alias("new_ids"), F.min("new_id").alias("least"), F.max("new_id").alias("most"))
+    return ids.withColumn("tiles_before", F.lit(before).cast("long")).withColumn("fewer", F.lit(reorder.tile_count(a, made.perm) < before))
+
+
+@query(w("sp") + "SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL")
+def reordered_product(spark, folder):
+    return reorder.multiply_reordered(data.supplier_part(spark, folder), "aat")[0].df
 
 
 # exports
 
 
-@query(w("ol", "x AS (SELECT least(15, i * 16 // (SELECT count(*) FROM orders)) AS r, least(15, k * 16 // (SELECT count(*) FROM part)) AS c, least(15, ((SELECT count(*) FROM orders) - 1 - i) * 16 // (SELECT count(*) FROM orders)) AS rr, least(15, ((SELECT count(*) FROM part) - 1 - k) * 16 // (SELECT count(*) FROM part)) AS rc FROM ol)") + "SELECT a.range AS bin_row, b.range AS bin_col, (SELECT count(*) FROM x WHERE r = a.range AND c = b.range) AS original_nnz, (SELECT count(*) FROM x WHERE rr = a.range AND rc = b.range) AS reordered_nnz FROM range(16) a, range(16) b")
+@query(w("ol", *order_sql("ol"), "y AS (SELECT least(15, i * 16 // (SELECT count(*) FROM orders)) AS r, least(15, k * 16 // (SELECT count(*) FROM part)) AS c, least(15, ri * 16 // (SELECT count(*) FROM orders)) AS rr, least(15, rk * 16 // (SELECT count(*) FROM part)) AS rc FROM x)") + "SELECT a.range AS bin_row, b.range AS bin_col, (SELECT count(*) FROM y WHERE r = a.range AND c = b.range) AS original_nnz, (SELECT count(*) FROM y WHERE rr = a.range AND rc = b.range) AS reordered_nnz FROM range(16) a, range(16) b")
 def heatmap_16(spark, folder):
     a = data.order_part(spark, folder, merged=False)
-    return mtx.heat_map(a, reorder.reversal(a), 16)
+    return mtx.heat_map(a, reorder.by_degree(a), 16)
 
 
-@query("WITH s AS (SELECT (SELECT count(*) FROM orders) AS m, (SELECT count(*) FROM part) AS n) SELECT unnest(['moved_rows', 'moved_inner', 'row_displacement_sum', 'inner_displacement_sum']) AS key, unnest([m - m % 2, n - n % 2, m * m // 2, n * n // 2]) AS value FROM s")
+@query(w("op", *MOVED, BOTH, "s AS (SELECT axis, count(*) FILTER (WHERE old_id <> new_id) AS moved, sum(abs(new_id - old_id))::BIGINT AS d FROM b GROUP BY 1)") + "SELECT CASE axis WHEN 'row' THEN 'moved_rows' ELSE 'moved_inner' END AS key, moved AS value FROM s UNION ALL SELECT axis || '_displacement_sum', d FROM s")
 def heatmap_meta(spark, folder):
-    return mtx.movement(reorder.reversal(data.order_part(spark, folder)))
+    return mtx.movement(reorder.by_degree(data.order_part(spark, folder)))
 
 
-@query(w("np", NPT, CELLS, PARENTS, "kids AS (SELECT parent_row, parent_col, (SELECT count(DISTINCT (i // 8, k // 8)) FROM cells WHERE i // 16 = parent_row AND k // 16 = parent_col) AS n FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)))", "k AS (SELECT least(7, parent_row * 8 // 2) AS r, least(7, parent_col * 8 // 2) AS c, n FROM kids)", "ta AS (SELECT DISTINCT i // 8 AS tr, k // 4 AS tc FROM np)", "tb AS (SELECT DISTINCT i // 4 AS tr, k // 8 AS tc FROM npt)", "xa AS (SELECT least(7, tr // 2 * 8 // 2) AS r, least(7, tc // 4 * 8 // 4) AS c FROM ta)", "xb AS (SELECT least(7, tr // 4 * 8 // 4) AS r, least(7, tc // 2 * 8 // 2) AS c FROM tb)")
+@query(w("sp", SPT, CELLS, PARENTS, "dim AS (SELECT (SELECT (count(*) + 15) // 16 FROM supplier) AS pm, (SELECT (count(*) + 15) // 16 FROM part) AS pn)", "kids AS (SELECT parent_row, parent_col, (SELECT count(DISTINCT (i // 8, k // 8)) FROM cells WHERE i // 16 = parent_row AND k // 16 = parent_col) AS n FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)))", "k AS (SELECT least(7, parent_row * 8 // pm) AS r, least(7, parent_col * 8 // pm) AS c, n FROM kids, dim)", "ta AS (SELECT DISTINCT i // 8 AS tr, k // 4 AS tc FROM sp)", "tb AS (SELECT DISTINCT i // 4 AS tr, k // 8 AS tc FROM spt)", "xa AS (SELECT least(7, tr // 2 * 8 // pm) AS r, least(7, tc // 4 * 8 // pn) AS c FROM ta, dim)", "xb AS (SELECT least(7, tr // 4 * 8 // pn) AS r, least(7, tc // 2 * 8 // pm) AS c FROM tb, dim)")
     + "SELECT a.range AS bin_row, b.range AS bin_col, (SELECT count(*) FROM xa WHERE r = a.range AND c = b.range) AS a_tiles, (SELECT count(*) FROM xb WHERE r = a.range AND c = b.range) AS b_tiles, (SELECT count(*) FROM k WHERE r = a.range AND c = b.range) AS candidates, (SELECT count(*) FROM k WHERE r = a.range AND c = b.range AND n > 0) AS nonempty, (SELECT count(*) FROM k WHERE r = a.range AND c = b.range AND n = 0) AS empty, "
     + ", ".join(f"(SELECT count(*) FROM k WHERE r = a.range AND c = b.range AND n = {x}) AS children{x}" for x in (1, 2, 3, 4)) + " FROM range(8) a, range(8) b")
 def super16_heatmap(spark, folder):
-    return mtx.parent_heat_map(*npt(spark, folder), bins=8)
+    return mtx.parent_heat_map(*both_ways(spark, folder), bins=8)
 
 
 @query("SELECT l_returnflag, median(l_quantity) AS middle, min(l_quantity) AS least, max(l_quantity) AS most, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_middle FROM lineitem GROUP BY 1")
@@ -504,23 +541,36 @@ def sample_median_stats(spark, folder):
     return made.join(upper, F.col("l_returnflag").eqNullSafe(F.col("_flag")), "left").drop("_flag")
 
 
-@query(w("np", tile_sql("np", "t")) + "SELECT mask, (nnz + 7) // 8 AS eighths, bit_count((mask & -mask) - 1)::BIGINT AS lowest, least(9223372036854775807::HUGEINT, mask::HUGEINT * 9000000000)::BIGINT AS product, least(9223372036854775807::HUGEINT, mask::HUGEINT + 9223372036854000000)::BIGINT AS total FROM t")
+@query(w("sp", tile_sql("sp", "t")) + "SELECT mask, (nnz + 7) // 8 AS eighths, bit_count((mask & -mask) - 1)::BIGINT AS lowest, least(9223372036854775807::HUGEINT, mask::HUGEINT * 9000000000)::BIGINT AS product, least(9223372036854775807::HUGEINT, mask::HUGEINT + 9223372036854000000)::BIGINT AS total FROM t")
 def scalar_functions(spark, folder):
     m = F.col("mask")
-    return tiles.tiles(data.nation_size(spark, folder)).select("mask", fn.ceil_div("nnz", 8).alias("eighths"), fn.first_set("mask").alias("lowest"), fn.saturating_multiply(m, F.lit(9000000000)).alias("product"), fn.saturating_add(m, F.lit(9223372036854000000)).alias("total"))
+    return tiles.tiles(data.supplier_part(spark, folder)).select("mask", fn.ceil_div("nnz", 8).alias("eighths"), fn.first_set("mask").alias("lowest"), fn.saturating_multiply(m, F.lit(9000000000)).alias("product"), fn.saturating_add(m, F.lit(9223372036854000000)).alias("total"))
 
 
-@query(w("np", "uh") + "SELECT i, k FROM np INTERSECT SELECT i, k FROM uh")
+@query(w("sp", "uh") + "SELECT i, k FROM sp INTERSECT SELECT i, k FROM uh")
 def coordinates_in_both(spark, folder):
-    return data.nation_size(spark, folder).df.select("i", "k").intersect(data.user_hour(spark, folder).df.select("i", "k"))
+    return data.supplier_part(spark, folder).df.select("i", "k").intersect(data.user_hour(spark, folder).df.select("i", "k"))
 
 
-@query(w("np", "uh") + "SELECT i, k FROM uh UNION SELECT i, k FROM np")
+@query(w("sp", "uh") + "SELECT i, k FROM uh UNION SELECT i, k FROM sp")
 def coordinates_in_either(spark, folder):
-    return data.user_hour(spark, folder).df.select("i", "k").union(data.nation_size(spark, folder).df.select("i", "k")).distinct()
+    return data.user_hour(spark, folder).df.select("i", "k").union(data.supplier_part(spark, folder).df.select("i", "k")).distinct()
 
 
-@query(w("op") + "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT k FROM op WHERE i % 3 = 0)")
+#: Two rounds from the seed, whose component is deeper than that on the given tables.
+@query(w("op", "e AS (SELECT i AS a, k + (SELECT count(*) FROM orders) AS b FROM op)", "n AS (SELECT a AS s, b AS d FROM e UNION ALL SELECT b, a FROM e)", "ol", "g AS (SELECT i AS v, count(*) AS d FROM ol GROUP BY 1 UNION ALL SELECT k + (SELECT count(*) FROM orders), count(*) FROM ol GROUP BY k)",
+         "l0 AS (SELECT v FROM (SELECT s AS v, count(*) AS d FROM n GROUP BY 1) ORDER BY d, v LIMIT 1)", "l1 AS (SELECT d AS v FROM n WHERE s IN (SELECT v FROM l0))", "l2 AS (SELECT d AS v FROM n WHERE s IN (SELECT v FROM l1))")
+    + "SELECT DISTINCT s AS vid FROM n WHERE s NOT IN (SELECT v FROM l0 UNION SELECT v FROM l1 UNION SELECT v FROM l2)")
 def residual_ids(spark, folder):
+    return reorder.residual(data.order_part(spark, folder), budget=2)
+
+
+@query(w("op", "c AS (SELECT DISTINCT a.k // 8 AS tile_row, b.k // 8 AS tile_col FROM op a JOIN op b ON a.i = b.i)", "n AS (SELECT tile_row, count(*) AS n FROM c GROUP BY 1)") + "SELECT r.range AS r, coalesce(sum(n) OVER (ORDER BY r.range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ptr FROM range((SELECT (count(*) + 7) // 8 + 1 FROM part)) r LEFT JOIN n ON n.tile_row = r.range")
+def c_tile_row_ptr(spark, folder):
     a = data.order_part(spark, folder)
-    return data.table(spark, folder, "part").select(F.col("p_partkey").alias("k")).join(a.df.where("i % 3 = 0").select("k"), "k", "left_anti")
+    return tiles.row_pointer(symbolic.exact_masks(a.transpose(), a), (a.n + 7) // 8)
+
+
+@query(w("op", tile_sql("op", "t")) + "SELECT 'row' AS axis, tile_row AS id, count(*) AS tiles, sum(nnz)::BIGINT AS entries FROM t GROUP BY 2 UNION ALL SELECT 'column', tile_col, count(*), sum(nnz)::BIGINT FROM t GROUP BY 2")
+def tile_axis_sums(spark, folder):
+    return tiles.axis_sums(tiles.tiles(data.order_part(spark, folder)))

@@ -31,17 +31,13 @@ def order_part(spark: SparkSession, folder: str, merged: bool = True) -> Matrix:
     return a.merged() if merged else a
 
 
-def nation_size(spark: SparkSession, folder: str) -> Matrix:
-    """Supplier nation x part size (1 to 50)."""
-    df = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    df = df.groupBy(F.col("s_nationkey").cast("long").alias("i"), F.col("p_size").cast("long").alias("k")).agg(F.sum("l_quantity").alias("v"))
-    return Matrix(df, 25, 51)
-
-
-def nation_nation(spark: SparkSession, folder: str) -> Matrix:
-    """Customer nation x supplier nation: order lines."""
-    df = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return Matrix(df.groupBy(F.col("c_nationkey").cast("long").alias("i"), F.col("s_nationkey").cast("long").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v")), 25, 25)
+def part_succession(spark: SparkSession, folder: str) -> Matrix:
+    """Part x part: how often a line with the second part follows one with the first in an order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long"))
+    then = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("_k"))
+    n = size(spark, folder, "part")
+    df = lines.join(then, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_partkey").alias("i"), F.col("_k").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return Matrix(df, n, n)
 
 
 def user_hour(spark: SparkSession, folder: str) -> Matrix:
@@ -59,7 +55,6 @@ SQL = {
     "sp": "sp AS (SELECT l_suppkey AS i, l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)",
     "ps": "ps AS (SELECT l_partkey AS i, l_suppkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)",
     "op": "op AS (SELECT l_orderkey AS i, l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)",
-    "np": "np AS (SELECT s_nationkey::BIGINT AS i, p_size::BIGINT AS k, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)",
-    "nn": "nn AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS k, count(*)::DOUBLE AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)",
+    "pp": "pp AS (SELECT a.l_partkey AS i, b.l_partkey AS k, count(*)::DOUBLE AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber GROUP BY ALL)",
     "uh": "uh AS (SELECT user_id AS i, hour(ts)::BIGINT AS k, count(*)::DOUBLE AS v FROM events GROUP BY ALL)",
 }

@@ -221,9 +221,6 @@ def test_gates(spark):
     assert gate(heavy_fraction=1.0) == "enabled"
     assert gate(threshold=1e6) == "zero-heavy"
     assert gate(max_chunks=1) == "invalid-policy"
-    assert gate(heavy_fraction=1.0, workspace=8) == "workspace-capacity"
-    assert planner.clear_policy("safe-auto", dense_holes=True) == (True, "dense-holes-not-overwritten-each-update")
-    assert planner.clear_policy("noclear") == (False, "eligible-explicit-noclear")
 
 
 def test_masks_count_the_product(spark):
@@ -235,11 +232,76 @@ def test_masks_count_the_product(spark):
     assert symbolic.invariants(a, a.transpose()).first()["holds"]
 
 
+def test_hot_inner_indices_are_split(spark):
+    rng = random.Random(5)
+    e = [(rng.randrange(40), 3 if rng.random() < 0.5 else rng.randrange(12), rng.randrange(-3, 4)) for _ in range(300)]
+    a, x = matrix(spark, e, 40, 12), dense(e, 40, 12)
+    hot = {r["_k"]: r["_parts"] for r in product.hot_keys(a, a.transpose(), 500).collect()}
+    n = sum(k == 3 for _, k, _ in e)
+    assert hot[3] == min(product.MOST_PARTS, -(-n * n // 500))
+    assert np.allclose(dense(triples(product.multiply_split(a, a.transpose(), 500).df), 40, 40), x @ x.T)
+    assert product.hot_keys(a, a.transpose()).isEmpty()
+
+
+def test_product_through_a_plan(spark):
+    a = matrix(spark, FORTY, 40, 16)
+    want = dense(triples(product.multiply(a, "aat").df), 40, 40)
+    for variant in reorder.VARIANTS:
+        c, made = reorder.multiply_reordered(a, "aat", made=reorder.plan(a, variant))
+        assert np.allclose(dense(triples(c.df), 40, 40), want), variant
+        assert reorder.bijective(made.perm, "row", 40) and reorder.bijective(made.perm, "inner", 16)
+
+
+def test_plan_of_orders_and_parts(spark, small):
+    """Tile counts before, after the coarse order and after both."""
+    from quillmat.plans import data
+
+    a = data.order_part(spark, small)
+    p = reorder.plan(a)
+    before = reorder.tile_count(a, reorder.identity(a))
+    assert (before, before - p.stats["coarse_tile_reduction"], p.stats["num_tiles"]) == (4410, 3363, 3046)
+    assert p.stats["coarse_ms"] > 0 and p.stats["fine_ms"] > 0 and p.table().where("value IS NULL").count() == 1
+
+
+def test_trajectory_ranks_against_lists(spark):
+    rng = random.Random(8)
+    e = {(rng.randrange(60), rng.randrange(90)) for _ in range(160)}
+    a = matrix(spark, [(i, k, 1) for i, k in e], 60, 90)
+    left = {r: sorted({k // 4 for i, k in e if i // 8 == r}) for r in range(8)}
+    for r in planner.tile_work(a, a.transpose()).collect():
+        x, y = left[r["tile_row"]], left[r["tile_col"]]
+        end = min(x[-1], y[-1])
+        both = len(set(x) & set(y))
+        assert r["matches"] == both and r["scans_union"] == len(x) + len(y) - both
+        assert r["scans_trajectory"] == sum(t <= end for t in x) + sum(t <= end for t in y) - both
+
+
+def test_sequential_values_follow_a_file(spark):
+    df = spark.createDataFrame([(1, 1, 5.0, 0), (0, 0, 9.0, 1), (1, 1, 2.0, 2), (0, 0, 1.0, 3)], "i long, k long, v double, entry long")
+    got = numbered(df, ["i", "k", "entry"], "p").orderBy("p").collect()
+    assert [r["v"] for r in got] == [9.0, 1.0, 5.0, 2.0]
+    assert sorted(r["v"] for r in Matrix(df, 2, 2).sequential(10, "entry").df.collect()) == [0.0, 1.0, 2.0, 3.0]
+    assert {r["v"] for r in Matrix(df.drop("entry"), 2, 2).scrambled(9).df.collect()} <= set(map(float, range(1, 10)))
+
+
+def test_manifest_results_and_sketches(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Group,Name,rows,cols,nonzeros\nG,a,3,4,5\n")
+    assert tuple(mtx.read_manifest(spark, str(tmp_path / "m.csv")).first()) == ("G", "a", 3, 4, 5)
+    df = spark.createDataFrame([("x,y", 1.5)], "name string, ms double")
+    for append in (False, True):
+        mtx.write_csv(df, str(tmp_path / "out"), header=False, append=append)
+    assert sorted(tuple(r) for r in spark.read.csv(str(tmp_path / "out")).collect()) == [("x,y", "1.5")] * 2
+    plan = reorder.identity_plan(matrix(spark, FOUR, 16, 8))
+    assert plan.stats["algorithm"] == "identity_baseline"
+    mtx.write_csv(plan.table(), str(tmp_path / "stats"))
+    assert spark.read.csv(str(tmp_path / "stats"), header=True).count() == 32
+
+
 def test_global_places(spark):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("g"), "id", F.lit(2).cast("long").alias("x"))
     got = numbered(df, ["g", "id"], "p").orderBy("p").collect()
     assert [r["p"] for r in got] == list(range(1000)) and [(r["g"], r["id"]) for r in got] == sorted((r["g"], r["id"]) for r in got)
-    assert [r["s"] for r in running(df, "g", ["id"], "x", "s").orderBy("g", "id").collect()] == list(range(0, 2000, 2))
+    assert [r["s"] for r in running(df, ["g", "id"], "x", "s").orderBy("g", "id").collect()] == list(range(0, 2000, 2))
 
 
 @settings(max_examples=5, deadline=None)
