@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import heat_bin
 from ..functions.ordering import numbered
 from ..operators.matrix import Matrix
-from ..operators.reorder import Plan, apply, summary
+from ..operators.reorder import Plan, apply, external_plan, summary
 
 #: The words of a banner.
 BANNER, FIELDS, SCHEMES = "%%MatrixMarket", ("real", "complex", "pattern", "integer"), ("general", "symmetric", "hermitian", "skew-symmetric")
@@ -38,47 +38,64 @@ def banner(line: str) -> tuple[str, str]:
     return kind, scheme
 
 
-def read_mtx(spark: SparkSession, path: str, expand: bool = True) -> tuple[Matrix, Header]:
-    """The matrix (indices from 0) and its header. Complex values keep their real part, patterns are 1.
+def read_mtx(spark: SparkSession, path: str, expand: bool = True, entry_ids: bool = False) -> tuple[Matrix, Header]:
+    """The matrix (indices from 0) and its header, from a file or the parts in a folder, in the order of their names. Complex values keep their real part, patterns are 1.
 
     Symmetric and hermitian files have their off-diagonal entries mirrored; skew-symmetric ones stay as they are.
-    Missing, extra, unreadable or out-of-range entries are errors.
+    Missing, extra, unreadable or out-of-range entries are errors. ``entry_ids`` (with ``expand`` off) keeps the entries'
+    order in the file as the column entry_id. One pass finds banner and size line, one counts all faults.
     """
-    lines = spark.read.text(path)
-    kind, scheme = banner((lines.first() or [""])[0])
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("w"))
-    head = body.first()
-    if head is None or len(head[0]) < 3 or not all(x.isdigit() for x in head[0][:3]):
+    if entry_ids and expand:
+        raise ValueError("mirrored entries have no place in the file")
+    # a place in the file, or in files by name: the splits of a file in order, and lines within each
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("_at"))
+    told = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    first, head = lines.agg(F.min_by("value", "_at"), F.min_by(F.when(told, F.struct("_at", "value")), F.when(told, F.col("_at")))).first()
+    kind, scheme = banner(first or "")
+    data = lines.where(told)
+    size = head["value"].split() if head else []
+    if len(size) < 3 or not all(x.isdigit() for x in size[:3]):
         raise ValueError("no size line")
-    m, n, count = map(int, head[0][:3])
-    # the size line is the file's first data line
-    spot = lines.withColumn("_at", F.monotonically_increasing_id()).where(~F.col("value").startswith("%") & (F.trim("value") != "")).agg(F.min("_at")).first()[0]
-    rest = lines.withColumn("_at", F.monotonically_increasing_id()).where((F.col("_at") > spot) & ~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("w"))
+    m, n, count = map(int, size[:3])
+    spot = F.struct(F.lit(head["_at"]["file"]).alias("file"), F.lit(head["_at"]["split"]).alias("split"), F.lit(head["_at"]["line"]).alias("line"))
+    rest = data.where(F.col("_at") > spot).select("_at", F.split(F.trim("value"), r"\s+").alias("w"))
     value = F.lit(1.0) if kind == "pattern" else F.try_element_at("w", F.lit(3)).try_cast("double")
-    df = rest.select((F.try_element_at("w", F.lit(1)).try_cast("long") - 1).alias("i"), (F.try_element_at("w", F.lit(2)).try_cast("long") - 1).alias("k"), value.alias("v"))
-    bad = df.agg(F.count(F.lit(1)), F.count(F.when(F.col("i").isNull() | F.col("k").isNull() | F.col("v").isNull(), 1))).first()
-    if bad[0] != count or bad[1]:
-        raise ValueError(f"{bad[0]} entries, {bad[1]} of them unreadable; {count} announced")
-    a = Matrix(df, m, n).validated()
+    df = rest.select((F.try_element_at("w", F.lit(1)).try_cast("long") - 1).alias("i"), (F.try_element_at("w", F.lit(2)).try_cast("long") - 1).alias("k"), value.alias("v"), F.col("_at").alias("entry_id"))
+    outside = (F.col("i") < 0) | (F.col("i") >= m) | (F.col("k") < 0) | (F.col("k") >= n)
+    bad = df.agg(F.count(F.lit(1)), F.count(F.when(F.col("i").isNull() | F.col("k").isNull() | F.col("v").isNull(), 1)), F.count(F.when(outside, 1))).first()
+    if bad[0] != count or bad[1] or bad[2]:
+        raise ValueError(f"{bad[0]} entries, {bad[1]} of them unreadable, {bad[2]} outside {m} x {n}; {count} announced")
+    a = Matrix(df if entry_ids else df.drop("entry_id"), m, n)
     return (a.symmetrised(scheme) if expand else a), Header(kind, scheme, m, n, count)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    df.select("value").coalesce(1).write.mode("overwrite").text(path)
-
-
-def write_mtx(a: Matrix, path: str, pattern: bool = False) -> None:
-    """A coordinate file, rows in order, indices from 1; in one part, since a file has one header."""
+def write_mtx(a: Matrix, path: str, pattern: bool = False, one_file: bool = False) -> None:
+    """Coordinate files, rows in order, indices from 1. The first part begins with the header, and parts in the order of
+    their names make up the file; ``one_file`` writes a single part instead, in one task.
+    """
     spark, n = a.df.sparkSession, a.df.count()
     head = [f"{BANNER} matrix coordinate {'pattern' if pattern else 'real'} general", f"{a.m} {a.n} {n}"]
-    body = a.df.select(F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("k") + 1).cast("string"), *([] if pattern else [F.format_string("%.16g", "v")])).alias("value"), "i", "k", "v")
-    body = numbered(body, ["i", "k", "v"], "at").select("at", "value").unionByName(spark.createDataFrame([(k - 2, h) for k, h in enumerate(head)], "at long, value string"))
-    body.repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+    body = a.df.select("i", "k", "v", F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("k") + 1).cast("string"), *([] if pattern else [F.format_string("%.16g", "v")])).alias("value"))
+    top = spark.createDataFrame([(-2 + k, -1, 0.0, h) for k, h in enumerate(head)], body.schema)
+    parts = 1 if one_file else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = body.unionByName(top).repartitionByRange(parts, "i", "k", "v").sortWithinPartitions("i", "k", "v")
+    every.select("value").write.mode("overwrite").text(path)
 
 
-def write_reordered(a: Matrix, perm: DataFrame, path: str) -> None:
+def write_reordered(a: Matrix, perm: DataFrame, path: str, one_file: bool = False) -> None:
     """The pattern under new ids, every entry kept."""
-    write_mtx(apply(a, perm), path, pattern=True)
+    write_mtx(apply(a, perm), path, True, one_file)
+
+
+def write_diagnostics(a: Matrix, plan: Plan, folder: str, bins: int = 256) -> None:
+    """A plan's files below ``folder``: permutation, stats, heatmap, heatmap_meta (CSV) and reordered (Matrix Market)."""
+    folder = folder.rstrip("/")
+    write_csv(permutation_rows(plan.perm), f"{folder}/permutation")
+    write_csv(plan.table(), f"{folder}/stats")
+    write_csv(heat_map(a, plan.perm, bins), f"{folder}/heatmap")
+    write_csv(heat_meta(a, plan, bins), f"{folder}/heatmap_meta")
+    write_reordered(a, plan.perm, f"{folder}/reordered")
 
 
 def read_order(spark: SparkSession, path: str, size: int, name: str) -> DataFrame:
@@ -91,6 +108,14 @@ def read_order(spark: SparkSession, path: str, size: int, name: str) -> DataFram
     return placed.select(F.lit(name).alias("axis"), F.col("w").cast("long").alias("old_id"), "new_id")
 
 
+def read_plan(spark: SparkSession, a: Matrix, rows: str | None, inner: str | None = None, name: str = "file") -> Plan:
+    """The plan of order files: one for each axis, or one for both of a square matrix. Both or none must be given."""
+    if rows is None or (inner is None and a.m != a.n):
+        raise ValueError("an order file for each axis is needed")
+    perm = read_order(spark, rows, a.m, "row").unionByName(read_order(spark, inner or rows, a.n, "inner"))
+    return external_plan(a, perm, name)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="`Group` string, Name string, rows long, cols long, nonzeros long")
 
@@ -118,10 +143,10 @@ def heat_map(a: Matrix, perm: DataFrame, bins: int = 256) -> DataFrame:
 
 
 def heat_meta(a: Matrix, plan: Plan, bins: int = 256) -> DataFrame:
-    """key, value: dimensions, then the plan's figures under their names in heat-map files."""
+    """key, value: dimensions, then the plan's figures under their names in heat-map files (fixed values)."""
     rename = {"num_tiles": "unified_tiles", "active_row_tiles": "unified_active_row_tiles", "active_k_tiles": "unified_active_k_tiles", "sparse_tiles": "unified_sparse_tiles", "dense_tiles": "unified_dense_tiles", "payload": "unified_payload", "row_tile_reduction": "exact_row_tile_reduction", "inner_tile_reduction": "exact_inner_tile_reduction"}
     stats = {"rows": a.m, "cols": a.n, "nnz": a.df.count(), "bins": bins} | {rename.get(k, k): v for k, v in plan.stats.items()}
-    return a.df.sparkSession.createDataFrame([(k, str(v)) for k, v in stats.items()], "key string, value string")
+    return a.df.sparkSession.createDataFrame([(k, None if v is None else str(v)) for k, v in stats.items()], "key string, value string")
 
 
 def movement(perm: DataFrame) -> DataFrame:

@@ -127,6 +127,49 @@ def test_bad_entries(spark, body, tmp_path):
         mtx.read_mtx(spark, str(tmp_path / "a.mtx"))
 
 
+def test_parts_of_a_file(spark, tmp_path):
+    a = matrix(spark, FORTY, 40, 16)
+    for one in (False, True):
+        mtx.write_mtx(a, str(tmp_path / f"{one}"), one_file=one)
+        files = sorted((tmp_path / f"{one}").glob("part-*"))
+        assert len(files) == 1 if one else len(files) > 1
+        text = "".join(f.read_text() for f in files)
+        assert text.startswith("%%MatrixMarket matrix coordinate real general\n40 16 60\n1 1 ")
+        (tmp_path / f"{one}.mtx").write_text(text)
+        assert triples(mtx.read_mtx(spark, str(tmp_path / f"{one}.mtx"))[0].df) == triples(a.df)
+        assert triples(mtx.read_mtx(spark, str(tmp_path / f"{one}"))[0].df) == triples(a.df)
+
+
+def test_file_order_of_duplicates(spark, tmp_path):
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 2 3\n2 2 5\n1 1 4\n2 2 1\n")
+    a, _ = mtx.read_mtx(spark, str(tmp_path / "a.mtx"), expand=False, entry_ids=True)
+    assert [r["v"] for r in a.df.orderBy("entry_id").collect()] == [5.0, 4.0, 1.0]
+    assert triples(a.sequential(10, "entry_id").df) == [(0, 0, 0.0), (1, 1, 1.0), (1, 1, 2.0)]
+
+
+def test_command_line(spark, tmp_path):
+    from quillmat.__main__ import arguments, run
+
+    a = matrix(spark, FORTY, 40, 16)
+    mtx.write_mtx(a, str(tmp_path / "a.mtx"))
+    mtx.write_mtx(a.transpose(), str(tmp_path / "b.mtx"))
+    for f, n in (("rows", 40), ("inner", 16)):
+        (tmp_path / f).write_text("\n".join(map(str, reversed(range(n)))))
+    at = str(tmp_path)
+    want = product.structure(a, a.transpose()).count()
+    for more in (["--aat"], [f"{at}/b.mtx"], ["--aat", "--reorder", "full", "--diagnostics", f"{at}/d"], ["--aat", "--row-order", f"{at}/rows", "--inner-order", f"{at}/inner", "--out", f"{at}/c"]):
+        out = run(spark, arguments([f"{at}/a.mtx", *more, "--runs", "1", "--check"]))
+        assert out["nnz_c"] == want and out["same_structure"] and out["rows"] == 40
+    assert mtx.read_mtx(spark, f"{at}/c")[0].df.count() == want
+    assert {r["key"] for r in spark.read.csv(f"{at}/d/heatmap_meta", header=True).collect()} >= {"rows", "unified_tiles", "moved_rows"}
+    assert spark.read.csv(f"{at}/d/permutation", header=True).count() == 56 and spark.read.csv(f"{at}/d/heatmap", header=True).count() == 256 * 256
+    for bad in (["--inner-order", "x"], ["--row-order", "x", "--reorder", "full"], ["b", "--aat"], ["--runs", "0"]):
+        with pytest.raises(SystemExit):
+            arguments(["a", *bad])
+    with pytest.raises(ValueError):
+        mtx.read_plan(spark, a, f"{at}/rows")
+
+
 def test_order_files(spark, tmp_path):
     f = tmp_path / "order"
     for bad in ("0 1", "0 1 2 3", "0 1 1", "0 1 3", "0 1 x"):
