@@ -1,6 +1,8 @@
 import collections
+import datetime
 import hashlib
 import random
+import re
 import tempfile
 import unicodedata
 import zlib
@@ -680,6 +682,121 @@ def test_toxicity_of_ordinary_words(spark):
     assert np.mean([(r["doc_id"] % 3 == 0) == r["predicted"] for r in held]) >= 0.9
 
 
+# registered queries that SQL can't express
+
+
+@pytest.fixture(scope="module")
+def texts(spark, small):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
+def test_registered_bpe(spark, small, texts, library):
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.QUERIES["op1_bpe"](spark, small).collect()}
+    assert got == {i: (len(library(t)), hashlib.sha256(packed(library(t))).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+
+
+def test_registered_token_files(spark, small, texts, library):
+    at, want = 0, {}
+    for i in sorted(texts):
+        ids = [*library(texts[i]), 0]
+        want[i] = (at, len(ids), zlib.crc32(packed(ids)))
+        at += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.QUERIES["op6_token_files"](spark, small).collect()} == want
+
+
+def test_registered_packing(spark, small, texts, library):
+    rows = queries.QUERIES["op9_best_fit"](spark, small).collect()
+    used = check_packing(rows, 1024)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    total = 0
+    for i, t in texts.items():
+        ids = [*library(t), 2]
+        total += len(ids)
+        at = 0
+        for k, (piece, start, length, crc) in enumerate(sorted(by[i])):
+            assert (piece, start, crc) == (k, at, zlib.crc32(packed(ids[at : at + length]))) and (length == 1024 or k == 0)
+            at += length
+        assert at == len(ids)
+    assert len(by) == len(texts) and used <= 1.02 * -(-total // 1024) + 1
+
+
+def test_registered_toxicity(spark, small, texts):
+    got = queries.QUERIES["op10_toxicity"](spark, small).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
+def check_luhn(digits):
+    return sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def test_registered_pseudonyms(spark, small, texts):
+    """Words stay words of the same format, but for parts of network addresses, which have one to three digits."""
+    got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op8_pii"](spark, small).collect()}
+    assert got.keys() == texts.keys()
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.read.parquet(f"{small}/documents.parquet"), b"another").collect()}
+    for i, t in texts.items():
+        a, b, c = (re.split(r"[^0-9A-Za-z]+", x or "") for x in (t, got[i], other[i]))
+        assert len(a) == len(b) == len(c)
+        for x, y, z in zip(a, b, c, strict=True):
+            if x != y:  # only words with digits, hexadecimal ones or names of mail addresses
+                if all(v.isdigit() and len(v) <= 3 and int(v) <= 255 for v in (x, y, z)):
+                    continue
+                assert len(x) == len(y) == len(z) and [ch.isdigit() for ch in x if not ch.isalpha()] == [ch.isdigit() for ch in y if not ch.isalpha()]
+
+
+def test_planted_values_by_independent_rules(spark):
+    """Values of each kind between plain words: found, replaced by valid ones of the same format, linked, undone."""
+    rng, rows, places = random.Random(21), [], []
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return body + next(d for d in "0123456789" if check_luhn(body + d))
+
+    def day():
+        return f"{rng.randint(1950, 2050)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+
+    kinds = {"card": card, "date": day, "address": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "security": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"}
+    valid = {"card": lambda x: len(x) == 16 and check_luhn(x), "date": lambda x: bool(datetime.date.fromisoformat(x)), "address": lambda x: all(0 <= int(p) <= 255 for p in x.split(".")) and x.count(".") == 3, "security": lambda x: re.fullmatch(r"\d{3}-\d{2}-\d{4}", x) and x[:3] not in ("000", "666") and x[:3] < "900"}
+    pool = {k: [make() for _ in range(12)] for k, make in kinds.items()}
+    for i in range(150):
+        kind = rng.choice(list(kinds))
+        value = rng.choice(pool[kind])
+        words = [["lorem", "ipsum", "dolor", "sit", "amet"][rng.randrange(5)] for _ in range(8)]
+        at = rng.randrange(8)
+        rows.append((i, " ".join([*words[:at], value, *words[at:]])))
+        places.append((kind, value, at, words))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = pii.pseudonymise(df, b"secret")
+    new = {r["doc_id"]: (r["text"].split(" "), r["n_replaced"]) for r in made.collect()}
+    named = {}
+    for i, (kind, value, at, words) in enumerate(places):
+        out, n = new[i]
+        assert n == 1 and out[:at] == words[:at] and out[at + 1 :] == words[at:]
+        assert out[at] != value and valid[kind](out[at]) and named.setdefault((kind, value), out[at]) == out[at]
+    assert len(set(named.values())) == len(named)
+    assert {tuple(r) for r in pii.pseudonymise(made.drop("n_replaced"), b"secret", undo=True).select("doc_id", "text").collect()} == set(rows)
+    counted = spark.createDataFrame([(1, ("lorem " * 50_000) + pool["card"][0]), (2, pool["card"][0])], "doc_id long, text string")
+    assert len({r["text"].split(" ")[-1] for r in pii.pseudonymise(counted, b"secret").collect()}) == 1
+
+
+def test_recall_of_a_relaxed_search_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD", 500)
+    monkeypatch.setattr(vptree, "LEAF", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {i: set(np.argsort(-np.where(np.arange(2000) == i, -np.inf, x @ x[i]), kind="stable")[:20].tolist()) for i in range(0, 2000, 20)}
+    for relax, least in ((1.0, 1.0), (1.5, 0.9)):
+        got = collections.defaultdict(set)
+        for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=20, relax=relax).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= least
+
+
 # pipeline and SQL
 
 
