@@ -40,7 +40,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
 
     def run(chunks):
         for b in chunks:
-            for lo, hi in bpe.batches(b.column(2), 16_000_000):
+            for lo, hi in bpe.batches(b.column(2)):
                 rows = b.column(0).slice(lo, hi - lo).to_pylist()
                 texts = b.column(2).slice(lo, hi - lo)
                 chars = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()

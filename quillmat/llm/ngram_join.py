@@ -33,9 +33,11 @@ from pyspark.sql import types as T
 from . import bitmap, bpe, components, scratch
 
 #: Rows of a group are 2**GROUP_BITS neighbours; documents of a block; prefix shingles of a counting bucket.
-GROUP_BITS, MEET, BUCKET = 12, 512, 2_000_000
+GROUP_BITS, MEET, BUCKET = 12, 512, 500_000
 #: Documents of a rare shingle; bytes of an entry's bitmap at most.
 FEW, SIGN_BYTES = 8, 64
+#: Characters of the texts that are hashed at once, about; a longer text is alone.
+BATCH = 1_000_000
 #: Cost of a verification in list entries; the longest lengthening of a prefix.
 VERIFY, MOST_MATCHES = 8.0, 3
 
@@ -50,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64 and of its inverse."""
     base = STEP
@@ -74,7 +76,7 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     edge = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=1))
     starts, ends = edge[0::2], edge[1::2]  # the last byte is blank, so there is an end to each start
-    up, down = powers(1 << max(22, int(len(raw)).bit_length()))
+    up, down = powers(1 << max(BATCH.bit_length(), len(raw).bit_length()))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE[low] * up[: len(raw)], out=sums[1:])
     word = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(STEP))
@@ -146,7 +148,7 @@ def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str)
 
     def run(chunks):
         for b in chunks:
-            for lo, hi in bpe.batches(b.column(2), 2_000_000):
+            for lo, hi in bpe.batches(b.column(2), BATCH):
                 part = b.slice(lo, hi - lo)
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
                 sets = shingles(texts, n)
@@ -320,40 +322,40 @@ def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame
     """
     src = meeting(found).select("token", "lo", "hi", "row", "held", "size", "matches", "common", "side", "sign", *(["part"] if all_between else []))
 
-    def block(b: pa.Table, cross: bool) -> list[tuple[int, int]]:
+    def block(b: pa.Table, cross: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows of a common shingle's block."""
         row, size, side = (b[c].to_numpy() for c in ("row", "size", "side"))
         part = b["part"].to_numpy() if all_between else None
-        if len(row) < 2 or all_between and len(np.unique(part)) < 2:
-            return []
-        signs, order = b["sign"].to_pylist(), np.argsort(size, kind="stable")
-        sorted_ = size[order].astype(np.int64)
-        gaps = np.flatnonzero(bounds.den * sorted_[:-1] < bounds.num * sorted_[1:]) + 1  # only like sizes can link
-        made = []
-        for g in np.split(order, gaps):
-            if len(g) < 2:
-                continue
-            near = close(size[g].astype(np.int64), [signs[k] for k in g.tolist()], side[g] if cross else None, bounds)
-            pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near & (part[g][:, None] != part[g])))), strict=True) if all_between else forest(near)
-            made += [(int(row[g[x]]), int(row[g[y]])) for x, y in pairs]
-        return [(min(p), max(p)) for p in made]
-
-    def pairs(b: pa.Table) -> pa.RecordBatch:
-        """Of whole blocks, in order."""
+        first, second = [row[:0]], [row[:0]]
+        if len(row) > 1 and not (all_between and len(np.unique(part)) < 2):
+            signs, order = b["sign"].to_pylist(), np.argsort(size, kind="stable")
+            sorted_ = size[order].astype(np.int64)
+            gaps = np.flatnonzero(bounds.den * sorted_[:-1] < bounds.num * sorted_[1:]) + 1  # only like sizes can link
+            for g in np.split(order, gaps):
+                if len(g) < 2:
+                    continue
+                near = close(size[g].astype(np.int64), [signs[k] for k in g.tolist()], side[g] if cross else None, bounds)
+                x, y = np.nonzero(np.triu(near & (part[g][:, None] != part[g]))) if all_between else np.array(forest(near), np.int64).reshape(-1, 2).T
+                first.append(row[g[x]])
+                second.append(row[g[y]])
+        x, y = np.concatenate(first), np.concatenate(second)
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def batch(a: np.ndarray, b: np.ndarray, need: np.ndarray, token: int | None) -> pa.RecordBatch:
+        of = pa.nulls(len(a), pa.int64()) if token is None else pa.array(np.full(len(a), token), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(need, pa.int64()), of], names=["a", "b", "need", "token"])
+
+    def pairs(b: pa.Table):
+        """Of whole blocks, in order; those of one common shingle's block at a time."""
         token, lo, hi, held = (b[c].to_numpy() for c in ("token", "lo", "hi", "held"))
-        rare = np.flatnonzero(held <= FEW)
-        some = b.take(pa.array(rare))
-        a, c, need = rare_pairs(*(some[x].to_numpy() for x in ("token", "row", "size", "matches", "common")), some["sign"].to_pylist(), bounds) if len(rare) and not all_between else [np.zeros(0, np.int64)] * 3
-        of = [None] * len(a)
-        much = np.flatnonzero(held > FEW)
-        if len(much):
-            new = (np.diff(token[much]) != 0) | (np.diff(lo[much]) != 0) | (np.diff(hi[much]) != 0)
-            made = []
-            for g in np.split(much, np.flatnonzero(new) + 1):
-                made += [(*p, int(token[g[0]])) for p in block(b.slice(g[0], len(g)), lo[g[0]] != hi[g[0]])]
-            a, c, need = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((a, c, need), ([p[0] for p in made], [p[1] for p in made], [0] * len(made)), strict=True))
-            of += [p[2] for p in made]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(need, pa.int64()), pa.array(of, pa.int64())], names=["a", "b", "need", "token"])
+        rare, much = np.flatnonzero(held <= FEW), np.flatnonzero(held > FEW)
+        if len(rare) and not all_between:
+            some = b.take(pa.array(rare))
+            yield batch(*rare_pairs(*(some[x].to_numpy() for x in ("token", "row", "size", "matches", "common")), some["sign"].to_pylist(), bounds), None)
+        new = (np.diff(token[much]) != 0) | (np.diff(lo[much]) != 0) | (np.diff(hi[much]) != 0)
+        for g in np.split(much, np.flatnonzero(new) + 1) if len(much) else []:
+            x, y = block(b.slice(g[0], len(g)), lo[g[0]] != hi[g[0]])
+            yield batch(x, y, np.zeros(len(x), np.int64), int(token[g[0]]))
 
     def run(chunks):
         kept = None  # the last block of a batch may go on in the next one
@@ -364,10 +366,10 @@ def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame
             last = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield pairs(t.slice(0, cut).combine_chunks())
+                yield from pairs(t.slice(0, cut).combine_chunks())
             kept = t.slice(cut)
         if kept is not None and len(kept):
-            yield pairs(kept.combine_chunks())
+            yield from pairs(kept.combine_chunks())
 
     return src.mapInArrow(run, "a long, b long, need long, token long")
 
@@ -397,7 +399,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFram
     def run(chunks):
         seen: set[bytes] = set()
         for b in chunks:
-            for lo, hi in bpe.batches(b.column(1), 2_000_000):
+            for lo, hi in bpe.batches(b.column(1), BATCH):
                 keys, texts = b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).cast(pa.binary()).to_pylist()
                 if len(seen) > 500_000:
                     seen.clear()
