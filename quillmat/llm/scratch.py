@@ -1,7 +1,7 @@
 """Tables between jobs, in the folder that the cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one machine) is a temporary
-folder made and set. Tables are written with Spark's own Parquet writer, so a lost executor costs a re-read and
+The folder is ``spark.checkpoint.dir`` of the session. Where that is unset it is an error on a cluster; on one machine, as
+in tests, a temporary folder is made and set. Tables are written with Spark's own Parquet writer, so a lost executor costs a re-read and
 nothing else.
 """
 
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
     return where
