@@ -34,23 +34,41 @@ def parents(a: Matrix, b: Matrix) -> DataFrame:
     return parent_pairs(a, b).select("parent_row", "parent_col").distinct()
 
 
-def nibble(mask: Column, r: int) -> Column:
-    return F.shiftrightunsigned(mask, 4 * r).bitwiseAND(F.lit(15))
+def closer(x: Column, steps: list[tuple[int, int]]) -> Column:
+    """Groups of bits moved together step by step: x | x >> by, then only the bits of ``keep``."""
+    for by, keep in steps:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, by)).bitwiseAND(F.lit(keep))
+    return x
 
 
-def half(mask_a: Column, mask_b: Column, first: int) -> Column:
-    """Bits r*8+c of output rows first..first+3 that one pair of inner tiles sets."""
+def row_bytes(mask: Column, first: int) -> Column:
+    """Left tile rows first..first+3, four bits each, as four bytes."""
+    x = F.shiftrightunsigned(mask, 4 * first).bitwiseAND(F.lit(0xFFFF))
+    for by, keep in ((8, 0x00FF00FF), (4, 0x0F0F0F0F)):
+        x = x.bitwiseOR(F.shiftleft(x, by)).bitwiseAND(F.lit(keep))
+    return x
+
+
+def inner_byte(mask: Column, t: int) -> Column:
+    """Which columns of a right tile hold inner index t, as a byte."""
+    x = F.shiftrightunsigned(mask, t).bitwiseAND(F.lit(0x11111111))
+    return closer(x, [(3, 0x03030303), (6, 0x000F000F), (12, 0xFF)])
+
+
+def half(rows: str) -> Column:
+    """Bits r*8+c of four output rows that one pair of inner tiles sets: for each inner index, its rows times its columns."""
     out = F.lit(0).cast("long")
-    for r in range(4):
-        row = nibble(mask_a, first + r)
-        for c in range(8):
-            out = out.bitwiseOR(F.when(row.bitwiseAND(nibble(mask_b, c)) != 0, F.lit(1 << (8 * r + c)).cast("long")).otherwise(F.lit(0).cast("long")))
+    for t in range(4):
+        out = out.bitwiseOR(F.shiftrightunsigned(rows, t).bitwiseAND(F.lit(0x01010101)) * F.col(f"b{t}"))
     return out
 
 
 def exact_masks(a: Matrix, b: Matrix) -> DataFrame:
     """tile_row, tile_col, mask_lo (rows 0-3), mask_hi (rows 4-7), nnz of the output tiles that hold entries."""
-    both = met(a, b).groupBy("tile_row", "tile_col").agg(F.bit_or(half(F.col("mask_a"), F.col("mask_b"), 0)).alias("mask_lo"), F.bit_or(half(F.col("mask_a"), F.col("mask_b"), 4)).alias("mask_hi"))
+    m = F.col("mask")
+    left = tiles(a).select("tile_row", F.col("tile_col").alias("tk"), row_bytes(m, 0).alias("lo"), row_bytes(m, 4).alias("hi"))
+    right = tiles(b, right=True).select(F.col("tile_row").alias("tk"), "tile_col", *(inner_byte(m, t).alias(f"b{t}") for t in range(4)))
+    both = left.join(right, "tk").groupBy("tile_row", "tile_col").agg(F.bit_or(half("lo")).alias("mask_lo"), F.bit_or(half("hi")).alias("mask_hi"))
     return both.where("mask_lo <> 0 OR mask_hi <> 0").withColumn("nnz", popcount("mask_lo") + popcount("mask_hi"))
 
 
