@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, scratch, token_files, toxicity, url_filter, vptree
+from . import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, scratch, token_counts, token_files, toxicity, url_filter, vptree
 
 #: The rule list of the production filter.
 RULES = [
@@ -26,6 +26,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def pii_key(spark: SparkSession) -> bytes:
     """The key in hexadecimal that the session sets as ``spark.quillmat.pii.secret``; where it sets none, a new random one
     is put there, so equal values stay linked as long as the session lives and nobody can undo them afterwards.
@@ -85,6 +91,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), pieces())
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,6 +106,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_best_fit": op9_best_fit,
     "op10_toxicity": op10_toxicity,
+    "op13_token_counts": op13_token_counts,
 }
 
 _BLANK = "[\\x20\\x09-\\x0D]"
