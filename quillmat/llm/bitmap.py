@@ -9,20 +9,30 @@ from pyspark.sql import functions as F
 BITS = 1 << 24
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, after as many underscores as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def marked(df: DataFrame, hashed: Column, wanted: DataFrame, name: str = "_hit", bits: int = BITS) -> DataFrame:
-    """``df`` with ``name``: false where the hash is surely none of those in ``wanted`` (its only column, ``_hash``)."""
+    """``df`` with ``name``, a free one: false where the hash is surely none of those in ``wanted`` (its only column, ``_hash``)."""
+    bit, bucket, held = (free(df, x) for x in ("_bit", "_bucket", "_map"))
     maps = wanted.select(F.pmod("_hash", F.lit(bits)).alias("_bit"))
-    maps = maps.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    rows = df.withColumn("_bit", F.pmod(F.coalesce(hashed, F.lit(0).cast("long")), F.lit(bits))).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
-    place = F.bitmap_bit_position("_bit")
-    byte = F.conv(F.hex(F.substring("_map", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    maps = maps.groupBy(F.bitmap_bucket_number("_bit").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias(held))
+    rows = df.withColumn(bit, F.pmod(F.coalesce(hashed, F.lit(0).cast("long")), F.lit(bits))).withColumn(bucket, F.bitmap_bucket_number(bit))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(held), (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return rows.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, hit.alias(name))
+    return rows.join(F.broadcast(maps), bucket, "left").select(*df.columns, hit.alias(name))
 
 
 def thinned(df: DataFrame, hashed: Column, wanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose hash may be in ``wanted``."""
-    return marked(df, hashed, wanted).where("_hit").select(*df.columns)
+    hit = free(df, "_hit")
+    return marked(df, hashed, wanted, hit).where(F.col(hit)).select(*df.columns)
 
 
 def within(df: DataFrame, hashed: Column, wanted: DataFrame, keep: DataFrame, on: Column, once: list[str] | None = None) -> DataFrame:
@@ -30,8 +40,9 @@ def within(df: DataFrame, hashed: Column, wanted: DataFrame, keep: DataFrame, on
 
     Rows whose hash isn't there stay without a join; the others are joined, and left once for each ``once``.
     """
-    rows = marked(df, hashed, wanted)
-    exact = rows.where("_hit").join(keep, on, "left_semi")
+    hit = free(df, "_hit")
+    rows = marked(df, hashed, wanted, hit)
+    exact = rows.where(F.col(hit)).join(keep, on, "left_semi")
     if once:
         exact = exact.dropDuplicates(once)
-    return rows.where("NOT _hit").unionByName(exact).select(*df.columns)
+    return rows.where(~F.col(hit)).unionByName(exact).select(*df.columns)

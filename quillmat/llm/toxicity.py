@@ -199,7 +199,7 @@ def values(model: Model, found: list[str], order: int, margin: float) -> Words:
     miss = np.flatnonzero(~hit)
     other, known = model.find(mixed(sums[events[miss]] - flat[events[miss]] + U(1), size[miss]))
     value[miss] = other
-    total = np.bincount(word, value, len(found))
+    total = np.bincount(word, value, len(found)).astype(np.float64)  # integers where nothing is counted
     rest = np.zeros(len(found), bool)
     if model.contexts is not None:
         rest[word[miss[~known]]] = True
@@ -222,7 +222,7 @@ class Scorer:
         of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
         w = values(self.model, list(number), self.order, self.margin)
         closed = ~w.open[flat]
-        sums = np.stack([np.bincount(of, x, len(split)) for x in (np.where(closed, w.strong[flat], 0.0), np.where(closed, w.ratio[flat], 0.0), np.ones(len(flat)), w.events[flat])])
+        sums = np.stack([np.bincount(of, x, len(split)).astype(np.float64) for x in (np.where(closed, w.strong[flat], 0.0), np.where(closed, w.ratio[flat], 0.0), np.ones(len(flat)), w.events[flat])])
         return sums, {k: [x for x in split[k] if w.open[number[x]]] for k in np.unique(of[~closed]).tolist()}
 
     def measured(self, texts: pa.Array) -> dict[str, pa.Array]:
@@ -249,7 +249,7 @@ class Scorer:
         else:
             sums, open_ = self.stretches(names)
         document = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(borders, offsets)))
-        strong, ratio, n_words, n_events = (np.bincount(document, x[which], len(texts)) for x in sums)
+        strong, ratio, n_words, n_events = (np.bincount(document, x[which], len(texts)).astype(np.float64) for x in sums)
         out = {"_sum": pa.array(strong), "_all": pa.array(ratio), "_words": pa.array(n_words.astype(np.int64)), "_events": pa.array(n_events.astype(np.int64))}
         if self.model.contexts is not None:
             odd = np.isin(which, list(open_))

@@ -822,3 +822,35 @@ def test_pipeline(spark, small):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_against_sql(spark, small, name):
     same(queries.QUERIES[name](spark, small), queries.ORACLES[name], small)
+
+
+@pytest.mark.parametrize("rows", [[(1, None), (2, "")], [(1, None), (2, ""), (3, " \n"), (4, "a b"), (None, None), (4, "a b")]])
+def test_toxicity_of_batches_without_words(spark, rows):
+    """Every partition holds nulls and empty texts alone, or beside others."""
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "doc_id long, toxic int")
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = toxicity.score(docs, labels).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+        assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def pipeline_folder(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _md5 string, kept boolean, _bit int, _id long")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, null ids, repeats, batches without words, a long text and columns whose names clash, through all stages."""
+    long = " ".join(f"word{i % 977} other{i % 13}" for i in range(30000))
+    texts = [(1, None), (2, ""), (3, "a b c d e f g h"), (4, "a b c d e f  g h"), (5, long), (6, long + " x"), (3, "a b c d e f g h"), (None, "no id here at all"), (None, None), (7, " \n")]
+    folder = pipeline_folder(spark, tmp_path, [(i, t, "en", None, len(t or ""), "m", False, 5, 9) for i, t in texts])
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in got} == {7, None, 4, 5}  # the longest of equal texts, blank ones included, and the first of near copies
+    assert all(r["length"] <= 1024 for r in got)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path, [])).count() == 0
