@@ -17,12 +17,13 @@ def chosen(docs: DataFrame, decided: DataFrame, once: bool = True) -> DataFrame:
     sent anywhere.
     """
     decided = scratch.table(decided.select("doc_id", "text_md5", "kept"), "decided")
+    own, number, text = (bitmap.free(docs, x) for x in ("_md5", "_id", "_kept"))
     key = lambda text: F.xxhash64("doc_id", text)
-    rows = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn(own, F.md5(F.coalesce("text", F.lit(""))))
     gone = decided.where("NOT kept").select(key("text_md5").alias("_hash"))
-    keep = bitmap.thinned(decided.where("kept"), key("text_md5"), gone).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_kept"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_kept"))
-    return bitmap.within(rows, key("_md5"), gone, keep, same, ["doc_id", "_md5"] if once else None).drop("_md5")
+    keep = bitmap.thinned(decided.where("kept"), key("text_md5"), gone).select(F.col("doc_id").alias(number), F.col("text_md5").alias(text))
+    same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.col(own) == F.col(text))
+    return bitmap.within(rows, key(own), gone, keep, same, ["doc_id", own] if once else None).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
