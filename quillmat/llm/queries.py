@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, scratch, token_counts, token_files, toxicity, url_filter, vptree
+from . import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, runs, scratch, token_counts, token_files, toxicity, url_filter, vptree
 
 #: The rule list of the production filter.
 RULES = [
@@ -91,6 +91,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return runs.digests(runs.find_runs(docs.withColumn("text", runs.repeated_tails(F.col("text"), F.crc32(F.col("doc_id").cast("string"))))))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), pieces())
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_best_fit": op9_best_fit,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -149,4 +155,21 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id""",
+    "op11_periodic_runs": """
+        WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                          xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+                              list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295::BIGINT), 4294967295) AS h
+                   FROM documents),
+        d AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS m FROM h),
+        s AS (SELECT doc_id, i, CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // m) + 1] ELSE w[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+        p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+        g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM p),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM (
+                SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)) GROUP BY doc_id, start, length),
+        b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+        f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DECIMAL(38, 19) / period DESC, start, period) = 1),
+        k AS (SELECT s.doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = s.doc_id AND s.i >= r.start + r.period AND s.i < r.start + r.length) GROUP BY s.doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length // period)::BIGINT AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
