@@ -18,6 +18,8 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def rows(frame) -> list:
     frame = frame[sorted(frame.columns)]
     for c in frame.columns:
+        if str(frame[c].dtype).startswith("Int") and frame[c].hasnans:  # Spark's integers with nulls come as floats
+            frame[c] = frame[c].astype("float64")
         if str(frame[c].dtype).startswith("float"):
             frame[c] = frame[c].round(9)
     return sorted(map(repr, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
