@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, runs, scratch, token_counts, token_files, toxicity, url_filter, vptree
+from . import bpe, collocations, exact_dedup, line_dedup, ngram_join, packing, pii, runs, scratch, token_counts, token_files, toxicity, url_filter, vptree
 
 #: The rule list of the production filter.
 RULES = [
@@ -96,6 +96,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.digests(runs.find_runs(docs.withColumn("text", runs.repeated_tails(F.col("text"), F.crc32(F.col("doc_id").cast("string"))))))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), pieces())
 
@@ -112,6 +116,7 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -172,4 +177,20 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length // period)::BIGINT AS exponent_milli,
                sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op12_collocations": """
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+        k AS (SELECT lang, w, unnest([1, 2, 3]) AS k FROM w),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM k WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        s AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+        x AS (SELECT lang, phrase, max(a) AS longest FROM (
+                SELECT lang, array_to_string(w[:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM c WHERE k = 3) GROUP BY lang, phrase),
+        y AS (SELECT c.*, unnest(range(1, k)) AS i FROM c LEFT JOIN x USING (lang, phrase) WHERE NOT coalesce(100 * longest >= 50 * a, false)),
+        z AS (SELECT y.lang, y.phrase, y.a, l.a AS l, r.a AS r, i, ((1000000::HUGEINT * y.a * y.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+              FROM y JOIN f l ON l.lang = y.lang AND l.phrase = array_to_string(y.w[:i], ' ') JOIN f r ON r.lang = y.lang AND r.phrase = array_to_string(y.w[i + 1:], ' ')
+              QUALIFY row_number() OVER (PARTITION BY y.lang, y.phrase ORDER BY score, i) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z JOIN s USING (lang) QUALIFY rank <= 2000""",
 }

@@ -39,19 +39,23 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Words between blanks of an array of texts without nulls."""
-    offsets, raw = offsets_and_bytes(texts)
-    word = np.ones(256, bool)
-    word[list(BLANKS)] = False
-    inside = word[raw]
-    edge = offsets[(offsets > 0) & (offsets < len(raw))]
+def edges_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of bytes inside words; none reaches over one of ``offsets``, where texts begin."""
+    edge = offsets[(offsets > 0) & (offsets < len(inside))]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[edge] = inside[edge]
     ends[:-1] &= ~inside[1:]
     ends[edge - 1] = inside[edge - 1]
-    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words_of(texts: pa.Array) -> Words:
+    """Words between blanks of an array of texts without nulls."""
+    offsets, raw = offsets_and_bytes(texts)
+    word = np.ones(256, bool)
+    word[list(BLANKS)] = False
+    begins, ends = edges_of(word[raw], offsets)
     if not len(begins):
         return Words(pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
     borders = np.stack([begins, ends], 1).ravel()
