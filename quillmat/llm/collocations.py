@@ -30,7 +30,7 @@ from .runs import edges_of
 from .token_counts import offsets_and_bytes
 
 #: Bytes of texts whose words are numbered together, and words of a shard, about; a longer piece is never cut.
-TEXTS, WORDS = 1 << 24, 1 << 22
+TEXTS, WORDS = 1 << 23, 1 << 21
 #: Phrases of shards, counted anew in each, that one bucket sums up, about.
 BUCKET = 1 << 20
 #: Ways that a language's candidates are dealt before its best are chosen.
@@ -97,7 +97,9 @@ class FmIndex:
             if k + 1 < order:
                 rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
         self.bwt = ids[np.argsort(rank) - 1]
-        self.row = np.argsort(self.bwt * np.int64(n) + np.arange(n))  # row before the last-to-first mapping, by row after it
+        del rank
+        # row before the last-to-first mapping, by row after it
+        self.row = np.argsort(self.bwt * np.int64(n) + np.arange(n)).astype(np.int32)
         self.symbol = self.bwt[self.row]
         self.first = np.searchsorted(self.symbol, np.arange(base + 1))
 
@@ -241,7 +243,7 @@ def promising(parts: DataFrame, most: int, least: int, buckets: int) -> DataFram
 
     def send(chunks):
         for b in chunks:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 hashes, by, _, counts = as_shard(row).phrases(most)
                 hashes, counts = hashes[by], np.minimum(counts[by], 255).astype(np.uint8)
                 place = (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
