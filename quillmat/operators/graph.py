@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import settled
 
+#: Links up to which a graph, or what is left of one, is gathered to one task.
+LOCAL_LINKS = 1 << 20
 
-def components(links: DataFrame) -> DataFrame:
+
+def labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of links, and the least vertex of each one's component: roots hook onto lesser roots, paths halve."""
+    ids, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d = both[: len(src)], both[len(src) :]
+    label = np.arange(len(ids))
+    while True:
+        now, least = label.copy(), np.minimum(label[s], label[d])
+        np.minimum.at(now, label[s], least)
+        np.minimum.at(now, label[d], least)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == label).all():
+            return ids, ids[label]
+        label = now
+
+
+def gathered(links: pa.Table) -> pa.Table:
+    ids, label = labels(links.column("src").to_numpy(), links.column("dst").to_numpy())
+    return pa.table({"vid": ids, "label": label})
+
+
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """vid, label (the least vertex of its component) of every vertex in ``links`` (src, dst, longs).
 
-    The number of rounds grows with the logarithm of the components' sizes. Neighbours are never gathered: a vertex's
-    least neighbour is an aggregate.
+    Up to ``local`` links one task does it. Of more, the number of rounds grows with the logarithm of the components'
+    sizes, and neighbours are never gathered: a vertex's least neighbour is an aggregate.
     """
     links = settled(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    if links.count() <= local:
+        return links.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(gathered, "vid long, label long")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

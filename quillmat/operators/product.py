@@ -1,27 +1,50 @@
-"""Products of sparse matrices: an equi-join on the inner index and an aggregate."""
+"""Products of sparse matrices: entries that share an inner index meet, and what falls on one cell is added up.
+
+:func:`multiply` looks at counts first. Inner indices that give many pairs are cut on both sides into cells of bounded
+pairs. Where entries meet often, cells are dealt to groups of bounded pairs, and each group multiplies its entries in
+numpy, so only its combined cells go on to the sum; where they meet rarely, a join and an aggregate do the same.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bit, div
 from ..functions.ordering import settled
 from .matrix import Matrix
 
 
 @dataclass(frozen=True)
 class Semiring:
+    """The same two operations on columns and on arrays."""
+
     add: Callable[[Column], Column]
     times: Callable[[Column, Column], Column]
+    add_array: np.ufunc
+    times_array: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    none: float
+
 
+PLUS_TIMES = Semiring(F.sum, lambda a, b: a * b, np.add, np.multiply, 0.0)
+MIN_PLUS = Semiring(F.min, lambda a, b: a + b, np.fmin, np.add, np.inf)
+MAX_MIN = Semiring(F.max, F.least, np.maximum, np.fmin, -np.inf)
+BOOLEAN = Semiring(lambda c: F.max(c), lambda a, b: F.when((a != 0) & (b != 0), 1.0).otherwise(0.0), np.maximum, lambda a, b: ((a != 0) & (b != 0)).astype(np.float64), 0.0)
 
-PLUS_TIMES = Semiring(F.sum, lambda a, b: a * b)
-MIN_PLUS = Semiring(F.min, lambda a, b: a + b)
-MAX_MIN = Semiring(F.max, F.least)
-BOOLEAN = Semiring(lambda c: F.max(c), lambda a, b: F.when((a != 0) & (b != 0), 1.0).otherwise(0.0))
+#: Pairs of entries that one group multiplies, about; a cell of an inner index has a quarter at most.
+GROUP_PAIRS = 1 << 21
+#: Pairs an entry (of both operands) from which groups multiply in numpy; below, as many rows would come out of them.
+GAIN = 4
+#: Inner indices that are broadcast with their parts.
+BROADCAST_KEYS = 100_000
+#: Pairs that are expanded at once, and cells of a group's result that are one array at most.
+STEP, CELLS = 1 << 20, 1 << 23
 
 
 def right_operand(a: Matrix, mode: str, b: Matrix | None = None) -> Matrix:
@@ -32,67 +55,188 @@ def right_operand(a: Matrix, mode: str, b: Matrix | None = None) -> Matrix:
     return right
 
 
-def products(a: Matrix, b: Matrix) -> DataFrame:
-    """i, k, j, v, w: the pairs of entries that meet. Skewed inner indices are split by adaptive execution."""
-    right = b.df.select(F.col("i").alias("_k"), F.col("k").alias("j"), F.col("v").alias("w"))
-    return a.df.join(right, a.df["k"] == F.col("_k")).select("i", "k", "j", "v", "w")
+def meetings(a: Matrix, b: Matrix) -> DataFrame:
+    """k, x, y: entries of each inner index in A and in B, 0 where there are none."""
+    left = a.column_counts().select("k", F.col("entries").alias("x"))
+    right = b.row_counts().select(F.col("i").alias("k"), F.col("entries").alias("y"))
+    return left.join(right, "k", "full").select("k", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("x", "y")))
+
+
+def cut_sides(most: int) -> tuple[Column, Column]:
+    """Into how many parts the left and right entries of an inner index (columns x, y) are cut so that a cell has about
+    ``most`` pairs: squares, unless one side is short.
+    """
+    x, y, root = F.greatest("x", F.lit(1)), F.greatest("y", F.lit(1)), math.isqrt(most)
+    short = lambda own, other: F.when(own <= root, own).when(other <= root, F.floor(F.lit(most) / other)).otherwise(F.lit(root))
+    return tuple(F.ceil(own / short(own, other)).cast("long") for own, other in ((x, y), (y, x)))
+
+
+@dataclass(frozen=True)
+class Deal:
+    """What counts say about a product: pairs, entries of both operands, and the inner indices that are cut (_k, _px, _py)."""
+
+    pairs: int
+    entries: int
+    hot: DataFrame | None
+
+    @property
+    def dense(self) -> bool:
+        return self.pairs >= GAIN * self.entries
 
 
-def multiply(a: Matrix, mode: str = "aat", b: Matrix | None = None, semiring: Semiring = PLUS_TIMES) -> Matrix:
-    """C as (i, k, v). Entries whose products cancel stay, as structure."""
+def deal(a: Matrix, b: Matrix, most: int = GROUP_PAIRS) -> Deal:
+    """The deal of A B in cells of at most about ``most`` / 4 pairs."""
+    cell = max(1, most // 4)
+    px, py = cut_sides(cell)
+    counts = meetings(a, b).where(F.col("k").isNotNull())
+    wide = F.greatest("x", F.lit(1)) * F.greatest("y", F.lit(1)) > cell
+    sums = counts.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)), F.coalesce(F.sum(F.col("x") + F.col("y")), F.lit(0)), F.count(F.when(wide, 1))).first()
+    hot = None
+    if sums[2]:
+        hot = settled(counts.where(wide).select(F.col("k").alias("_k"), px.alias("_px"), py.alias("_py")))
+        hot = F.broadcast(hot) if sums[2] <= BROADCAST_KEYS else hot
+    return Deal(sums[0], sums[1], hot)
+
+
+def cells(a: Matrix, b: Matrix, made: Deal) -> tuple[DataFrame, DataFrame]:
+    """k, _c, i, v of A and k, _c, j, w of B: entries that share k and _c meet, each pair in one cell.
+
+    A left entry of a hot inner index belongs to one strip by a hash and goes to the cells of every right strip, and the
+    other way round.
+    """
+    right = b.df.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("v").alias("w"))
+    if made.hot is None:
+        none = F.lit(0).cast("long").alias("_c")
+        return a.df.select("k", none, "i", "v"), right.select("k", none, "j", "w")
+    px, py, zero = F.coalesce("_px", F.lit(1)), F.coalesce("_py", F.lit(1)), F.lit(0).cast("long")
+    strip = lambda n, *own: F.pmod(F.xxhash64(*own), n)
+    over = lambda n: F.explode(F.sequence(zero, n - 1))
+    left = a.df.join(made.hot, a.df["k"] == F.col("_k"), "left").select("k", "i", "v", strip(px, "i", "v").alias("_p"), py.alias("_n"), over(py).alias("_q"))
+    right = right.join(made.hot, right["k"] == F.col("_k"), "left").select("k", "j", "w", strip(py, "j", "w").alias("_q"), py.alias("_n"), over(px).alias("_p"))
+    at = (F.col("_p") * F.col("_n") + F.col("_q")).alias("_c")
+    return left.select("k", at, "i", "v"), right.select("k", at, "j", "w")
+
+
+def pairs_of(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]):
+    """Places (left, right) of the entries that share their keys (arrays k, c), at most about STEP pairs at a time."""
+    wide = np.int64(max(left[1].max(initial=0), right[1].max(initial=0)) + 1)
+    x, y = left[0] * wide + left[1], right[0] * wide + right[1]
+    order = np.argsort(y, kind="stable")
+    y = y[order]
+    low = np.searchsorted(y, x)
+    count = np.searchsorted(y, x, "right") - low
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(x):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + STEP, "right")))
+        n = count[start:end]
+        own = np.repeat(np.arange(start, end), n)
+        yield own, order[np.arange(len(own)) + np.repeat(low[start:end] - (ends[start:end] - n - base), n)]
+        start = end
+
+
+def summed(keys: np.ndarray, values: np.ndarray, ring: Semiring) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the values of each added up."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], ring.add_array.reduceat(values[by], first) if len(first) else values[:0]
+
+
+def group_product(left: pa.Table, right: pa.Table, ring: Semiring) -> pa.Table:
+    """i, j, v of a group's cells, each once. Where they would fill an array of all its rows and columns well, sums are
+    kept there, else sorted keys are added up.
+    """
+    k, c, i, v = (left.column(n).to_numpy() for n in ("k", "_c", "i", "v"))
+    kr, cr, j, w = (right.column(n).to_numpy() for n in ("k", "_c", "j", "w"))
+    rows, ri = np.unique(i, return_inverse=True)
+    cols, ci = np.unique(j, return_inverse=True)
+    size = len(rows) * len(cols)
+    whole = size <= CELLS
+    total, seen, parts = (np.full(size, ring.none), np.zeros(size, bool), []) if whole else (None, None, [])
+    for own, other in pairs_of((k, c), (kr, cr)):
+        at, x = ri[own] * len(cols) + ci[other], ring.times_array(v[own], w[other])
+        if whole:
+            ring.add_array.at(total, at, x)
+            seen[at] = True
+        else:
+            parts.append(summed(at, x, ring))
+    if whole:
+        at = np.flatnonzero(seen)
+        x = total[at]
+    else:
+        at, x = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), ring)
+    return pa.table({"i": pa.array(rows[at // max(1, len(cols))] if len(at) else at, pa.int64()), "j": pa.array(cols[at % max(1, len(cols))] if len(at) else at, pa.int64()), "v": pa.array(x, pa.float64())})
+
+
+def grouped(a: Matrix, b: Matrix, made: Deal, semiring: Semiring = PLUS_TIMES, most: int = GROUP_PAIRS) -> DataFrame:
+    """i, j, v: each group's share of C. Cells are dealt to groups by a hash; a group has about ``most`` pairs."""
+    groups = max(1, -(-made.pairs // most))
+    task = F.pmod(F.xxhash64("k", "_c"), F.lit(groups)).alias("_task")
+    left, right = (d.select(task, *d.columns) for d in cells(a, b, made))
+    return left.groupBy("_task").cogroup(right.groupBy("_task")).applyInArrow(lambda x, y: group_product(x, y, semiring), "i long, j long, v double")
+
+
+def joined(a: Matrix, b: Matrix, made: Deal | None = None, semiring: Semiring = PLUS_TIMES) -> DataFrame:
+    """i, j, v: a row for each pair of entries that meet."""
+    left, right = cells(a, b, made or Deal(0, 0, None))
+    return left.join(right, ["k", "_c"]).select("i", "j", semiring.times(F.col("v"), F.col("w")).alias("v"))
+
+
+def multiply(a: Matrix, mode: str = "aat", b: Matrix | None = None, semiring: Semiring = PLUS_TIMES, most: int = GROUP_PAIRS) -> Matrix:
+    """C as (i, k, v). Entries whose products cancel stay, as structure. Values aren't null.
+
+    Counts of both operands are taken at once (a job), then the rest is a plan that runs when C is asked for.
+    """
     b = right_operand(a, mode, b)
-    met = products(a, b)
-    c = met.groupBy("i", "j").agg(semiring.add(semiring.times(F.col("v"), F.col("w"))).alias("v"))
+    made = deal(a, b, most)
+    shares = grouped(a, b, made, semiring, most) if made.dense else joined(a, b, made, semiring)
+    c = shares.groupBy("i", "j").agg(semiring.add("v").alias("v"))
     return Matrix(c.select("i", F.col("j").alias("k"), "v"), a.m, b.n)
 
 
-#: Pairs of entries that one inner index gives, from which it is split; parts of an inner index at most; inner indices
-#: that are broadcast with their parts.
-SPLIT_PRODUCTS, MOST_PARTS, BROADCAST_KEYS = 1 << 20, 256, 100_000
+def multiply_split(a: Matrix, b: Matrix, most: int = GROUP_PAIRS) -> Matrix:
+    """The product by a join alone, inner indices of more than ``most`` / 4 pairs cut on both sides."""
+    c = joined(a, b, deal(a, b, most)).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return Matrix(c.select("i", F.col("j").alias("k"), "v"), a.m, b.n)
+
+
+def packed_columns(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, chunk, word: for each key the set of its columns, 64 to a word."""
+    return df.groupBy(key, div(column, 64).alias("chunk")).agg(F.bit_or(bit(F.pmod(F.col(column), F.lit(64)))).alias("word"))
 
 
-def hot_keys(a: Matrix, b: Matrix, most: int = SPLIT_PRODUCTS) -> DataFrame:
-    """_k, _parts: inner indices that give more than ``most`` pairs, and into how many parts they are split."""
-    left = a.column_counts().withColumnRenamed("entries", "_x")
-    right = b.row_counts().select(F.col("i").alias("k"), F.col("entries").alias("_y"))
-    both = left.join(right, "k").where(F.col("_x") * F.col("_y") > most)
-    return both.select(F.col("k").alias("_k"), F.least(F.ceil(F.col("_x") * F.col("_y") / most), F.lit(MOST_PARTS)).cast("long").alias("_parts"))
+def unpacked(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a row for each bit of ``word``, whose ``column`` is chunk * 64 + the bit's place."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: F.getbit("word", s) == 1)
+    rest = [c for c in df.columns if c not in ("chunk", "word")]
+    return df.select(*rest, "chunk", F.explode(places).alias("_s")).select(*rest, (F.col("chunk") * 64 + F.col("_s")).alias(column))
 
 
-def multiply_split(a: Matrix, b: Matrix, most: int = SPLIT_PRODUCTS) -> Matrix:
-    """The product, where no task gets all pairs of a hot inner index.
+def packed_structure(a: Matrix, b: Matrix) -> DataFrame:
+    """i, chunk, word: the columns of C's rows, 64 to a word; a row's words are the OR of those of B's rows that it meets.
 
-    The left entries of such an index are dealt to parts by their rows, the right ones go to every part. Sums of a
-    cell are combined in each task before they cross to others.
+    An entry of A meets the words of a row of B, at most as many as its entries.
     """
-    hot = settled(hot_keys(a, b, most))
-    count = hot.count()
-    if not count:
-        return multiply(a, "ab", b)
-    hot = F.broadcast(hot) if count <= BROADCAST_KEYS else hot
-    left = a.df.join(hot, a.df["k"] == F.col("_k"), "left").select("i", "k", "v", F.coalesce(F.pmod(F.xxhash64("i"), "_parts"), F.lit(0)).alias("_part"))
-    right = b.df.join(hot, b.df["i"] == F.col("_k"), "left").select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1)).alias("_part"))
-    c = left.join(right, ["k", "_part"]).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return Matrix(c.select("i", F.col("j").alias("k"), "v"), a.m, b.n)
+    right = packed_columns(b.df.select(F.col("i").alias("_k"), F.col("k").alias("j")), "_k", "j")
+    return a.df.select("i", "k").join(right, F.col("k") == F.col("_k")).groupBy("i", "chunk").agg(F.bit_or("word").alias("word"))
 
 
 def structure(a: Matrix, b: Matrix) -> DataFrame:
     """i, j of C's entries. Equal coordinates of the operands count once."""
-    left, right = a.df.select("i", "k").distinct(), b.df.select(F.col("i").alias("_k"), F.col("k").alias("j")).distinct()
-    return left.join(right, left["k"] == right["_k"]).select("i", "j").distinct()
+    return unpacked(packed_structure(a, b), "j")
 
 
 def row_sizes(a: Matrix, b: Matrix) -> DataFrame:
     """i, nnz: C's entries of every row, rows without any included."""
-    counts = structure(a, b).groupBy("i").agg(F.count(F.lit(1)).alias("nnz"))
+    counts = packed_structure(a, b).groupBy("i").agg(F.sum(F.bit_count("word")).alias("nnz"))
     return a.df.sparkSession.range(a.m).select(F.col("id").alias("i")).join(counts, "i", "left").select("i", F.coalesce("nnz", F.lit(0)).alias("nnz"))
 
 
 def product_count(a: Matrix, b: Matrix) -> DataFrame:
     """nnz_cub: how many pairs of entries meet, from counts alone, before anything is multiplied."""
-    left = a.column_counts().withColumnRenamed("entries", "x")
-    right = b.row_counts().select(F.col("i").alias("k"), F.col("entries").alias("y"))
-    return left.join(right, "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("nnz_cub"))
+    return meetings(a, b).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("nnz_cub"))
 
 
 def row_product_counts(a: Matrix, b: Matrix) -> DataFrame:

@@ -10,15 +10,15 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass, field
-from fractions import Fraction
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bit, degree_bucket, div, panel_sketches, popcount, soft_bucket
-from ..functions.ordering import numbered, settled, shared_dir
-from .graph import components
+from ..functions.ordering import delete_folder, numbered, running, settled, shared_dir
+from .graph import LOCAL_LINKS, components
 from .matrix import Matrix
 from .product import multiply, right_operand
 from .tiles import DENSE, tiles, totals
@@ -116,24 +116,68 @@ def neighbours(a: Matrix) -> DataFrame:
     return both.join(vertices(a).select(F.col("vid").alias("dst"), degree_bucket("degree").alias("bucket")), "dst").select("src", "dst", "bucket")
 
 
-def traversal(a: Matrix, budget: int = LEVEL_BUDGET) -> tuple[DataFrame, int, int]:
-    """vid, component, level, place of the vertices with entries that the rounds reach; components; rounds.
+def expanded(start: pa.Table, links: pa.Table, level: int, budget: int) -> pa.Table:
+    """vid, component, place, level of the levels after ``level`` that a gathered graph has, up to ``budget``.
 
-    Components start at their least seed rank, in that order. A vertex belongs to its earliest parent of the level
-    before; parents emit theirs by degree bucket and id. One round expands one level of one component; at ``budget``
-    rounds the traversal stops.
+    ``start`` (vid, component, place) is the level itself; ``links`` (src, dst, bucket) lead to vertices not reached yet.
     """
-    spark = a.df.sparkSession
-    ranks, adj = settled(seeds(a).where("degree > 0").select("vid", "rank")), settled(neighbours(a))
-    label = ranks.join(components(adj.select("src", "dst")), "vid")
-    label = label.join(label.groupBy("label").agg(F.min("rank").alias("component")), "label").select("vid", "component")
-    first = ranks.join(label, "vid").where("rank = component").select("vid", "component", F.col("rank").alias("place"))
-    # each level is written once; rows and inner indices alternate, so a level can only meet the one before the last
+    column = lambda t, c: t.column(c).to_numpy()
+    begin, src, dst, bucket = column(start, "vid"), column(links, "src"), column(links, "dst"), column(links, "bucket")
+    ids = np.unique(np.concatenate([begin, src, dst]))
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], ids)
+    degree = np.diff(np.append(first, len(src)))
+    to, bucket = np.searchsorted(ids, dst)[order], bucket[order]
+    component, seen = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    here = np.searchsorted(ids, begin)
+    component[here], seen[here] = column(start, "component"), True
+    here = here[np.argsort(column(start, "place"), kind="stable")]
+    out: list[tuple[np.ndarray, ...]] = [(ids[:0],) * 4]
+    while len(here) and level < budget:
+        level += 1
+        own = np.repeat(np.arange(len(here)), degree[here])
+        link = np.arange(len(own)) + np.repeat(first[here] - np.cumsum(degree[here]) + degree[here], degree[here])
+        new = ~seen[to[link]]
+        own, link = own[new], link[new]
+        next_, at = np.unique(to[link], return_index=True)  # the first link to a vertex is that of its earliest parent
+        by = np.lexsort((next_, bucket[link[at]], own[at]))
+        next_ = next_[by]
+        component[next_], seen[next_] = component[here[own[at[by]]]], True
+        out.append((ids[next_], component[next_], np.arange(len(next_)), np.full(len(next_), level)))
+        here = next_
+    return pa.table({n: pa.array(np.concatenate(x), pa.int64()) for n, x in zip(("vid", "component", "place", "level"), zip(*out, strict=True), strict=True)})
+
+
+LEVEL = "vid long, component long, place long, level long"
+
+
+def in_tasks(start: DataFrame, links: DataFrame, level: int, budget: int) -> DataFrame:
+    """The levels after ``level`` of graphs that are gathered by ``part`` (in ``start`` and ``links``), many levels a task."""
+    return start.groupBy("part").cogroup(links.groupBy("part")).applyInArrow(lambda x, y: expanded(x, y, level, budget), LEVEL)
+
+
+def level_by_level(start: DataFrame, adj: DataFrame, total: int, budget: int, local: int) -> DataFrame:
+    """vid, component, place, level from ``start`` on, one level a step, until ``local`` links at most lead on; the rest in a task.
+
+    ``total``: links in ``adj`` (src, dst, bucket). Each level is written once. Rows and inner indices alternate, so a
+    level can only meet the one before the last.
+    """
+    spark = adj.sparkSession
+    degree = settled(adj.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("_d")))
     folder = f"{shared_dir(spark).rstrip('/')}/quillmat-levels-{uuid.uuid4().hex}"
     levels = lambda n: spark.read.schema("vid long, component long, place long").parquet(f"{folder}/level={n}")
-    first.write.parquet(f"{folder}/level=0")
-    level = 0
+    start.write.parquet(f"{folder}/level=0")
+    level, left, rest = 0, total, None
     while level < budget:
+        count, links = levels(level).join(degree, "vid").agg(F.count(F.lit(1)), F.coalesce(F.sum("_d"), F.lit(0))).first()
+        if not count:
+            break
+        if left <= local:
+            reached = spark.read.schema(LEVEL).parquet(folder).select(F.col("vid").alias("dst"))
+            ahead = adj.join(reached, "dst", "left_anti").withColumn("part", F.lit(0))
+            rest = in_tasks(levels(level).withColumn("part", F.lit(0)), ahead, level, budget)
+            break
+        left -= links
         parents = levels(level).select(F.col("vid").alias("src"), "component", F.col("place").alias("_p"))
         new = adj.join(parents, "src")
         if level:
@@ -141,9 +185,43 @@ def traversal(a: Matrix, budget: int = LEVEL_BUDGET) -> tuple[DataFrame, int, in
         new = numbered(new.groupBy("dst", "bucket", "component").agg(F.min("_p").alias("_p")), ["_p", "bucket", "dst"], "place")
         level += 1
         new.select(F.col("dst").alias("vid"), "component", "place").write.parquet(f"{folder}/level={level}")
-        if levels(level).isEmpty():
-            break
-    reached = spark.read.schema("vid long, component long, place long, level long").parquet(folder)
+    seen = spark.read.schema(LEVEL).parquet(folder)
+    seen = settled(seen.unionByName(rest) if rest is not None else seen)
+    delete_folder(spark, folder)
+    return seen
+
+
+def traversal(a: Matrix, budget: int = LEVEL_BUDGET, local: int = LOCAL_LINKS) -> tuple[DataFrame, int, int]:
+    """vid, component, level, place of the vertices with entries that the rounds reach; components; rounds.
+
+    Components start at their least seed rank, in that order. A vertex belongs to its earliest parent of the level
+    before; parents emit theirs by degree bucket and id. One round expands one level of one component; at ``budget``
+    rounds the traversal stops.
+
+    Components of up to ``local`` links (both ways) are gathered, as many to a task as have that many together, and
+    expanded there level after level. Larger ones take a step a level until no more links than that are left of them.
+    """
+    ranks, adj = settled(seeds(a).where("degree > 0").select("vid", "rank")), settled(neighbours(a))
+    label = ranks.join(components(adj.select("src", "dst"), local), "vid")
+    label = settled(label.join(label.groupBy("label").agg(F.min("rank").alias("component")), "label").select("vid", "rank", "component"))
+    first = label.where("rank = component").select("vid", "component", F.col("rank").alias("place"))
+    total = adj.count()
+    if total <= local:
+        reached = in_tasks(first.withColumn("part", F.lit(0)), adj.withColumn("part", F.lit(0)), 0, budget)
+        large = 0
+    else:
+        links = adj.join(label.select(F.col("vid").alias("src"), "component"), "src")
+        sizes = settled(links.groupBy("component").agg(F.count(F.lit(1)).alias("_links")))
+        big = sizes.where(F.col("_links") > local)
+        large = big.agg(F.coalesce(F.sum("_links"), F.lit(0))).first()[0]
+        small = settled(running(sizes.where(F.col("_links") <= local), ["component"], "_links", "_before").select("component", div("_before", local).alias("part")))
+        reached = in_tasks(first.join(small, "component"), links.join(small, "component").select("part", "src", "dst", "bucket"), 0, budget)
+    reached = reached.unionByName(first.withColumn("level", F.lit(0).cast("long")))
+    if large:
+        reached = reached.join(big, "component", "left_anti").select("vid", "component", "place", "level")
+        wide = level_by_level(first.join(big, "component", "left_semi"), links.join(big, "component", "left_semi").select("src", "dst", "bucket"), large, budget, local)
+        reached = reached.unionByName(wide)
+    reached = settled(reached)
     depth = reached.groupBy("component").agg((F.max("level") + 1).alias("_rounds"))
     depth = numbered(depth, ["component"], "_n").withColumn("_block", div("_n", 4096))
     whole = depth.groupBy("_block").agg(F.sum("_rounds").alias("_whole"))
@@ -197,53 +275,74 @@ def profiles(a: Matrix, perm: DataFrame, name: str) -> DataFrame:
     return out.withColumn("soft_bucket", soft_bucket("degree")).withColumn("panel_occupancy", popcount("f0") + popcount("f1")).withColumn("panel_span", F.when(F.col("degree") == 0, 0).otherwise(F.col("panel_max") - F.col("panel_min") + 1))
 
 
-def packed_window(ids: list[dict], group: int) -> list[int]:
-    """The ids of a window in packed order.
+def least(keys: list[np.ndarray], among: np.ndarray) -> np.ndarray:
+    """For each row the place of the least of those ``among`` by the keys in turn; the last key tells all apart."""
+    for key in keys:
+        largest = np.iinfo(key.dtype).max
+        low = np.where(among, key, largest).min(axis=1, keepdims=True)
+        among = among & (key == low)
+    return among.argmax(axis=1)
+
+
+def packed_windows(cols: dict[str, np.ndarray], there: np.ndarray, group: int) -> np.ndarray:
+    """Ids of many windows in packed order, a row each; ``there`` says which places of a row hold an id.
 
     Each group starts with the best anchor left: not empty, then high bucket, many panels, low first panel, short span,
     high degree, low fingerprint words, low id. It is filled with what fits the group best: near the anchor's bucket,
     few new fingerprint bits, a large overlap of the union, a large overlap, little growth of the span, near the
     anchor's degree, low id.
     """
-    unsigned = lambda x: x & (2**64 - 1)
-    left = {r["id"]: (unsigned(r["f0"]) | unsigned(r["f1"]) << 64, r) for r in ids}
-    span = lambda lo, hi: 0 if lo < 0 else hi - lo + 1
-    out: list[int] = []
-    while left:
-        lead = min((r for _, r in left.values()), key=lambda r: (r["degree"] == 0, -r["soft_bucket"], -r["panel_occupancy"], r["panel_min"], r["panel_span"], -r["degree"], unsigned(r["f0"]), unsigned(r["f1"]), r["id"]))
-        bits, lo, hi = left.pop(lead["id"])[0], lead["panel_min"], lead["panel_max"]
-        out.append(lead["id"])
-        for _ in range(group - 1):
-            if not left:
-                break
-
-            def ends(r: dict, lo: int = lo, hi: int = hi) -> tuple[int, int]:
-                return (lo, hi) if r["panel_min"] < 0 else (r["panel_min"] if lo < 0 else min(lo, r["panel_min"]), max(hi, r["panel_max"]))
-
-            def fit(item: tuple[int, dict], bits: int = bits, lo: int = lo, hi: int = hi) -> tuple:
-                f, r = item
-                shared, union = (bits & f).bit_count(), max(1, (bits | f).bit_count())
-                return abs(lead["soft_bucket"] - r["soft_bucket"]), (f & ~bits).bit_count(), -Fraction(shared, union), -shared, span(*ends(r)) - span(lo, hi), abs(lead["degree"] - r["degree"]), r["id"]  # noqa: B023
-
-            f, best = min(left.values(), key=fit)
-            lo, hi = ends(best)
-            bits |= f
-            del left[best["id"]]
-            out.append(best["id"])
+    rows = np.arange(len(there))
+    f0, f1 = cols["f0"].view(np.uint64), cols["f1"].view(np.uint64)
+    degree, bucket, low, high, ids = (cols[c] for c in ("degree", "soft_bucket", "panel_min", "panel_max", "id"))
+    anchor = [(degree == 0).astype(np.int8), -bucket, -cols["panel_occupancy"], low, cols["panel_span"], -degree, f0, f1, ids]
+    left, out = there.copy(), np.full(there.shape, -1, np.int64)
+    bits = lambda x, y: np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y)
+    span = lambda lo, hi: np.where(lo < 0, 0, hi - lo + 1)
+    for place in range(there.shape[1]):
+        some = left.any(axis=1)
+        if place % group == 0:
+            best = least(anchor, left)
+            lead, own0, own1, lo, hi = best, f0[rows, best], f1[rows, best], low[rows, best], high[rows, best]
+        else:
+            a0, a1, lo_, hi_ = own0[:, None], own1[:, None], lo[:, None], hi[:, None]
+            shared, union = bits(a0 & f0, a1 & f1), np.maximum(1, bits(a0 | f0, a1 | f1))
+            wide_lo = np.where(low < 0, lo_, np.where(lo_ < 0, low, np.minimum(lo_, low)))
+            wide_hi = np.where(low < 0, hi_, np.maximum(hi_, high))
+            # shares of at most 128 bits differ by more than one part in 2**20 where they differ
+            fit = [np.abs(bucket[rows, lead][:, None] - bucket), bits(f0 & ~a0, f1 & ~a1), -((shared << 20) // union), -shared, span(wide_lo, wide_hi) - span(lo_, hi_), np.abs(degree[rows, lead][:, None] - degree), ids]
+            best = least(fit, left)
+            own0, own1 = np.where(some, own0 | f0[rows, best], own0), np.where(some, own1 | f1[rows, best], own1)
+            lo, hi = wide_lo[rows, best], wide_hi[rows, best]
+        out[some, place] = ids[rows, best][some]
+        left[rows, best] &= ~some
     return out
 
 
+PROFILE = ("id", "degree", "soft_bucket", "panel_occupancy", "panel_min", "panel_max", "panel_span", "f0", "f1")
+
+
 def packing(a: Matrix, perm: DataFrame, name: str) -> DataFrame:
-    """old_id, new_id: the proposal of the fine pass; no id leaves its window. Windows are independent and small."""
+    """old_id, new_id: the proposal of the fine pass; no id leaves its window. A batch's windows are packed side by side."""
     width, group = WINDOW[name], GROUP[name]
-    cols = ["id", "degree", "soft_bucket", "panel_occupancy", "panel_min", "panel_max", "panel_span", "f0", "f1"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["win"].iloc[0]) * width
-        order = packed_window(pdf[cols].astype("int64").to_dict("records"), group)
-        return pd.DataFrame({"old_id": order, "new_id": range(first, first + len(order))})
 
-    return profiles(a, perm, name).withColumn("win", div("place", width)).groupBy("win").applyInPandas(run, "old_id long, new_id long")
+    def run(batches):
+        for b in batches:
+            held = b.column("ids")
+            size = held.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            cols = {c: np.zeros((len(size), width), np.int64) for c in PROFILE}
+            there = np.zeros((len(size), width), bool)
+            there[row, at] = True
+            for c, x in zip(PROFILE, held.flatten().flatten(), strict=True):
+                cols[c][row, at] = x.to_numpy()
+            packed = packed_windows(cols, there, group)
+            win, place = np.nonzero(packed >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(packed[win, place]), pa.array(b.column("win").to_numpy()[win] * width + place)], names=["old_id", "new_id"])
+
+    ids = F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in PROFILE))).alias("ids")  # a window's, so few
+    return profiles(a, perm, name).groupBy(div("place", width).alias("win")).agg(ids).mapInArrow(run, "old_id long, new_id long")
 
 
 def window_costs(a: Matrix, current: DataFrame, proposal: DataFrame, name: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TILE_K, TILE_M, bit, div, popcount
 from .matrix import Matrix
+from .product import packed_columns, packed_structure, unpacked
 from .tiles import tiles
 
 
@@ -18,9 +19,14 @@ def met(a: Matrix, b: Matrix) -> DataFrame:
 
 
 def candidates(a: Matrix, b: Matrix) -> DataFrame:
-    """tile_row, tile_col of output tiles that may hold entries. Only coordinates meet, no masks."""
-    left, right = a.df.select(div("i", TILE_M).alias("tile_row"), div("k", TILE_K).alias("tk")).distinct(), b.df.select(div("i", TILE_K).alias("tk"), div("k", TILE_M).alias("tile_col")).distinct()
-    return left.join(right, "tk").select("tile_row", "tile_col").distinct()
+    """tile_row, tile_col of output tiles that may hold entries. Only coordinates meet, no masks.
+
+    The tile columns of an inner tile are packed 64 to a word, and a tile row's candidates are the OR of the words it
+    meets, so pairs of tiles are never rows of their own.
+    """
+    left = a.df.select(div("i", TILE_M).alias("tile_row"), div("k", TILE_K).alias("tk")).distinct()
+    right = packed_columns(b.df.select(div("i", TILE_K).alias("tk"), div("k", TILE_M).alias("tile_col")), "tk", "tile_col")
+    return unpacked(left.join(right, "tk").groupBy("tile_row", "chunk").agg(F.bit_or("word").alias("word")), "tile_col")
 
 
 def parent_pairs(a: Matrix, b: Matrix) -> DataFrame:
@@ -34,42 +40,17 @@ def parents(a: Matrix, b: Matrix) -> DataFrame:
     return parent_pairs(a, b).select("parent_row", "parent_col").distinct()
 
 
-def closer(x: Column, steps: list[tuple[int, int]]) -> Column:
-    """Groups of bits moved together step by step: x | x >> by, then only the bits of ``keep``."""
-    for by, keep in steps:
-        x = x.bitwiseOR(F.shiftrightunsigned(x, by)).bitwiseAND(F.lit(keep))
-    return x
-
-
-def row_bytes(mask: Column, first: int) -> Column:
-    """Left tile rows first..first+3, four bits each, as four bytes."""
-    x = F.shiftrightunsigned(mask, 4 * first).bitwiseAND(F.lit(0xFFFF))
-    for by, keep in ((8, 0x00FF00FF), (4, 0x0F0F0F0F)):
-        x = x.bitwiseOR(F.shiftleft(x, by)).bitwiseAND(F.lit(keep))
-    return x
-
-
-def inner_byte(mask: Column, t: int) -> Column:
-    """Which columns of a right tile hold inner index t, as a byte."""
-    x = F.shiftrightunsigned(mask, t).bitwiseAND(F.lit(0x11111111))
-    return closer(x, [(3, 0x03030303), (6, 0x000F000F), (12, 0xFF)])
-
-
-def half(rows: str) -> Column:
-    """Bits r*8+c of four output rows that one pair of inner tiles sets: for each inner index, its rows times its columns."""
-    out = F.lit(0).cast("long")
-    for t in range(4):
-        out = out.bitwiseOR(F.shiftrightunsigned(rows, t).bitwiseAND(F.lit(0x01010101)) * F.col(f"b{t}"))
-    return out
-
-
 def exact_masks(a: Matrix, b: Matrix) -> DataFrame:
-    """tile_row, tile_col, mask_lo (rows 0-3), mask_hi (rows 4-7), nnz of the output tiles that hold entries."""
-    m = F.col("mask")
-    left = tiles(a).select("tile_row", F.col("tile_col").alias("tk"), row_bytes(m, 0).alias("lo"), row_bytes(m, 4).alias("hi"))
-    right = tiles(b, right=True).select(F.col("tile_row").alias("tk"), "tile_col", *(inner_byte(m, t).alias(f"b{t}") for t in range(4)))
-    both = left.join(right, "tk").groupBy("tile_row", "tile_col").agg(F.bit_or(half("lo")).alias("mask_lo"), F.bit_or(half("hi")).alias("mask_hi"))
-    return both.where("mask_lo <> 0 OR mask_hi <> 0").withColumn("nnz", popcount("mask_lo") + popcount("mask_hi"))
+    """tile_row, tile_col, mask_lo (rows 0-3), mask_hi (rows 4-7), nnz of the output tiles that hold entries.
+
+    A word of C's packed structure is a row of eight tiles, a byte for each.
+    """
+    byte = lambda t: F.shiftrightunsigned("word", 8 * t).bitwiseAND(F.lit(0xFF))
+    rows = packed_structure(a, b).select("i", "chunk", F.posexplode(F.array(*map(byte, range(8)))).alias("t", "cols")).where("cols <> 0")
+    r = F.pmod(F.col("i"), F.lit(TILE_M))
+    at = F.call_function("shiftleft", F.col("cols"), (8 * F.pmod(r, F.lit(4))).cast("int"))
+    masks = rows.groupBy(div("i", TILE_M).alias("tile_row"), (F.col("chunk") * 8 + F.col("t")).alias("tile_col")).agg(*(F.coalesce(F.bit_or(F.when(half, at)), F.lit(0)).alias(n) for half, n in ((r < 4, "mask_lo"), (r >= 4, "mask_hi"))))
+    return masks.withColumn("nnz", popcount("mask_lo") + popcount("mask_hi"))
 
 
 def children(a: Matrix, b: Matrix) -> DataFrame:

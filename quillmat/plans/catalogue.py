@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..functions.ordering import medians
 from ..operators import planner, product, reorder, symbolic, tiles
 from ..operators.matrix import Matrix
 from ..sources import mtx
@@ -83,8 +84,15 @@ def spgemm_ata_op(spark, folder):
 
 @query(w("sp") + "SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL")
 def split_accumulate_sp(spark, folder):
+    """By a join in which every part of more than 125 pairs is cut on both sides."""
     a = data.supplier_part(spark, folder)
-    return product.multiply_split(a, a.transpose()).df
+    return product.multiply_split(a, a.transpose(), most=500).df
+
+
+@query(w("sp") + "SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL")
+def split_groups_sp(spark, folder):
+    """In groups of some 3000 pairs, in which parts of more than a quarter are cut on both sides."""
+    return product.multiply(data.supplier_part(spark, folder), "aat", most=3000).df
 
 
 @query(w("op") + "SELECT DISTINCT a.k AS i, b.k AS j FROM op a JOIN op b ON a.i = b.i")
@@ -374,10 +382,12 @@ def exact_forward_estimate(spark, folder):
     return symbolic.row_work(a.transpose(), a)
 
 
-@query(w("op", "f AS (SELECT i, count(*) AS n FROM op GROUP BY 1)") + "SELECT i AS key, least(ceil(n * n / 20.0), 256)::BIGINT AS parts FROM f WHERE n * n > 20")
+@query(w("op", "ps", "f AS (SELECT coalesce(a.k, b.i) AS key, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT k, count(*) AS x FROM op GROUP BY 1) a FULL JOIN (SELECT i, count(*) AS y FROM ps GROUP BY 1) b ON a.k = b.i)", "g AS (SELECT key, greatest(x, 1) AS x, greatest(y, 1) AS y FROM f)")
+    + "SELECT key, ceil(x / CASE WHEN x <= 10 THEN x WHEN y <= 10 THEN 100 // y ELSE 10 END)::BIGINT AS left_parts, ceil(y / CASE WHEN y <= 10 THEN y WHEN x <= 10 THEN 100 // x ELSE 10 END)::BIGINT AS right_parts FROM g WHERE x * y > 100")
 def hot_inner_keys(spark, folder):
-    a = data.order_part(spark, folder)
-    return product.hot_keys(a.transpose(), a, 20).toDF("key", "parts")
+    """Parts with more than 100 pairs of an order and a supplier, and into how many strips either side is cut."""
+    hot = product.deal(data.order_part(spark, folder), data.supplier_part(spark, folder).transpose(), most=400).hot
+    return hot.toDF("key", "left_parts", "right_parts")
 
 
 # orders
@@ -536,9 +546,14 @@ def super16_heatmap(spark, folder):
 @query("SELECT l_returnflag, median(l_quantity) AS middle, min(l_quantity) AS least, max(l_quantity) AS most, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_middle FROM lineitem GROUP BY 1")
 def sample_median_stats(spark, folder):
     lines = data.table(spark, folder, "lineitem")
-    made = lines.groupBy("l_returnflag").agg(F.median("l_quantity").alias("middle"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
-    upper = fn.upper_medians(lines, "l_returnflag", "l_quantity").toDF("_flag", "upper_middle")
-    return made.join(upper, F.col("l_returnflag").eqNullSafe(F.col("_flag")), "left").drop("_flag")
+    made = lines.groupBy(F.col("l_returnflag").alias("_flag")).agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    return medians(lines, ["l_returnflag"], "l_quantity").join(made, F.col("l_returnflag").eqNullSafe(F.col("_flag")), "left").drop("_flag")
+
+
+@query("SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[(count(*) - 1) // 2 + 1] / 2 + list_sort(list(l_extendedprice))[count(*) // 2 + 1] / 2 AS middle, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS upper_middle FROM lineitem GROUP BY ALL")
+def median_prices(spark, folder):
+    """Of values that are nearly all different."""
+    return medians(data.table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
 
 
 @query(w("sp", tile_sql("sp", "t")) + "SELECT mask, (nnz + 7) // 8 AS eighths, bit_count((mask & -mask) - 1)::BIGINT AS lowest, least(9223372036854775807::HUGEINT, mask::HUGEINT * 9000000000)::BIGINT AS product, least(9223372036854775807::HUGEINT, mask::HUGEINT + 9223372036854000000)::BIGINT AS total FROM t")

@@ -1,5 +1,6 @@
 import random
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -275,15 +276,83 @@ def test_masks_count_the_product(spark):
     assert symbolic.invariants(a, a.transpose()).first()["holds"]
 
 
-def test_hot_inner_indices_are_split(spark):
-    rng = random.Random(5)
+def hot_matrix(spark, seed=5):
+    rng = random.Random(seed)
     e = [(rng.randrange(40), 3 if rng.random() < 0.5 else rng.randrange(12), rng.randrange(-3, 4)) for _ in range(300)]
-    a, x = matrix(spark, e, 40, 12), dense(e, 40, 12)
-    hot = {r["_k"]: r["_parts"] for r in product.hot_keys(a, a.transpose(), 500).collect()}
+    return matrix(spark, e, 40, 12), dense(e, 40, 12), e
+
+
+def test_hot_inner_indices_are_cut_on_both_sides(spark):
+    a, x, e = hot_matrix(spark)
+    made = product.deal(a, a.transpose(), 500)
     n = sum(k == 3 for _, k, _ in e)
-    assert hot[3] == min(product.MOST_PARTS, -(-n * n // 500))
+    side = 11  # of squares of at most 125 pairs
+    assert {r["_k"]: (r["_px"], r["_py"]) for r in made.hot.collect()}[3] == (-(-n // side),) * 2
+    assert made.pairs == sum(sum(q == k for _, q, _ in e) for _, k, _ in e) and made.entries == 600 and made.dense
     assert np.allclose(dense(triples(product.multiply_split(a, a.transpose(), 500).df), 40, 40), x @ x.T)
-    assert product.hot_keys(a, a.transpose()).isEmpty()
+    assert product.deal(a, a.transpose()).hot is None
+
+
+def test_pairs_of_a_task_are_bounded(spark):
+    """However hot an inner index, and whether or not the other operand has it."""
+    left = [(i, 0, 1.0 + i % 7) for i in range(6000)] + [(i, 1, 1.0) for i in range(3000)] + [(i, 2 + i % 50, 1.0) for i in range(2000)]
+    right = [(0, j, 2.0) for j in range(900)] + [(2 + j % 50, j, 1.0) for j in range(500)]
+    a, b = matrix(spark, left, 6000, 52), matrix(spark, right, 52, 900)
+    most = 400_000
+    made = product.deal(a, b, most)
+    x, y = (d.groupBy("k", "_c").count() for d in product.cells(a, b, made))
+    each = x.join(y.withColumnRenamed("count", "other"), ["k", "_c"]).select((F.col("count") * F.col("other")).alias("n"))
+    assert each.agg(F.sum("n"), F.max("n") <= 1.5 * most / 4).first() == (made.pairs, True)
+    assert x.agg(F.max("count")).first()[0] <= most / 4
+    task = F.pmod(F.xxhash64("k", "_c"), F.lit(-(-made.pairs // most)))
+    tasks = x.join(y.withColumnRenamed("count", "other"), ["k", "_c"]).groupBy(task).agg(F.sum(F.col("count") * F.col("other")))
+    assert max(r[1] for r in tasks.collect()) <= 3 * most
+    want = product.multiply(a, "ab", b).df
+    assert made.dense and want.exceptAll(product.multiply(a, "ab", b, most=most).df).isEmpty()
+
+
+@pytest.mark.parametrize("cells, step", [(0, 7), (0, 1 << 20), (1 << 23, 7), (1 << 23, 1 << 20)])
+def test_groups_multiply_as_joins_do(spark, monkeypatch, cells, step):
+    """In every semiring, with sums in an array or of sorted keys, all pairs at once or a few at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(product, "CELLS", cells)
+    monkeypatch.setattr(product, "STEP", step)
+    a, x, e = hot_matrix(spark, 9)
+    b = a.transpose()
+    for ring in (product.PLUS_TIMES, product.MIN_PLUS, product.MAX_MIN, product.BOOLEAN):
+        want = triples(product.joined(a, b, None, ring).groupBy("i", "j").agg(ring.add("v").alias("v")))
+        left, right = (d.toArrow() for d in product.cells(a, b, product.deal(a, b, 500)))
+        got = product.group_product(left, right, ring)
+        assert sorted(zip(*(got.column(c).to_pylist() for c in "ijv"), strict=True)) == want
+        assert product.group_product(left.slice(0, 0), right, ring).num_rows == 0
+    assert isinstance(got, pa.Table)
+
+
+def test_both_ways_of_a_product(spark, monkeypatch):
+    a, x, _ = hot_matrix(spark)
+    for gain in (0, 10**9):
+        monkeypatch.setattr(product, "GAIN", gain)
+        for most in (300, product.GROUP_PAIRS):
+            assert np.allclose(dense(triples(product.multiply(a, "aat", most=most).df), 40, 40), x @ x.T)
+    plan = product.multiply(a, "aat").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan  # few pairs an entry: a join
+
+
+def test_packed_structure(spark):
+    rng = random.Random(2)
+    e = {(rng.randrange(30), rng.randrange(20)) for _ in range(60)} | {(0, 0), (29, 19)}
+    f = {(rng.randrange(20), rng.randrange(200)) for _ in range(90)} | {(0, 63), (19, 191), (0, 127)}
+    a, b = matrix(spark, [(i, k, 1) for i, k in e], 30, 20), matrix(spark, [(k, j, 1) for k, j in f], 20, 200)
+    want = {(i, j) for i, k in e for q, j in f if q == k}
+    assert {tuple(r) for r in product.structure(a, b).collect()} == want
+    assert {r["i"]: r["nnz"] for r in product.row_sizes(a, b).collect()} == {i: sum(x == i for x, _ in want) for i in range(30)}
+    masks = {(r["tile_row"], r["tile_col"]): (r["mask_lo"], r["mask_hi"], r["nnz"]) for r in symbolic.exact_masks(a, b).collect()}
+    at = lambda i, j: 1 << (i % 4 * 8 + j % 8)
+    tile = lambda t, half: sum(at(i, j) for i, j in want if (i // 8, j // 8) == t and i % 8 // 4 == half)
+    assert masks == {t: (tile(t, 0), tile(t, 1), sum((i // 8, j // 8) == t for i, j in want)) for t in {(i // 8, j // 8) for i, j in want}}
+    pairs = {(i // 8, j // 8) for i, k in e for q, j in f if q // 4 == k // 4}
+    assert {tuple(r) for r in symbolic.candidates(a, b).collect()} == pairs >= set(masks)
 
 
 def test_product_through_a_plan(spark):
@@ -377,10 +446,99 @@ def test_heat_map_counts_every_entry(spark):
     assert len(plan.stats) == 32
 
 
-def test_upper_medians_collect_no_group(spark):
-    from quillmat.functions import columns
-
-    df = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 3), ("b", None), (None, 2), (None, 4)], "k string, x int")
-    got = columns.upper_medians(df, "k", "x")
-    assert {tuple(r) for r in got.collect()} == {("a", 5), ("b", 3), (None, 4)}
-    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("ranges", [2, 4096])
+def test_values_at_ranks(spark, monkeypatch, ranges):
+    from quillmat.functions import ordering
+
+    monkeypatch.setattr(ordering, "RANGES", ranges)
+    inf, nan = float("inf"), float("nan")
+    rng = random.Random(4)
+    groups = {"a": [5.0, 1.0, 1.0, 9.0], "b": [3.0], None: [2.0, 4.0], "far": [-inf, inf, nan, 1e308, -1e308, 0.0, 5e-324], "same": [7.0] * 9, "many": [rng.gauss(0, 1e6) for _ in range(300)], "near": [1 + k * 2**-52 for k in range(50)]}
+    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs] + [("b", None), ("empty", None)], "k string, x double").repartition(3)
+    n = F.col("_n")
+    got = {r["k"]: tuple(r)[1:] for r in ordering.at_ranks(df, ["k"], "x", {"low": n - n, "mid": F.floor(n / 2), "top": n - 1, "out": n}).collect()}
+    order = {k: sorted(xs, key=lambda x: (x != x, x)) for k, xs in groups.items()}
+    assert repr(sorted(got.items(), key=str)) == repr(sorted(((k, (v[0], v[len(v) // 2], v[-1], None)) for k, v in order.items()), key=str))
+    both = {r["k"]: (r["middle"], r["upper_middle"]) for r in ordering.medians(df.where("k <> 'far' OR k IS NULL"), ["k"], "x").collect()}
+    assert both == {k: (v[(len(v) - 1) // 2] / 2 + v[len(v) // 2] / 2, v[len(v) // 2]) for k, v in order.items() if k != "far"}
+    every = sorted(x for k, xs in groups.items() if k != "far" for x in xs)
+    assert tuple(ordering.at_ranks(df.where("k <> 'far' OR k IS NULL"), [], "x", {"q": F.floor(n / 10)}).first()) == (every[len(every) // 10],)
+    plan = ordering.medians(df, ["k"], "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "percentile" not in plan
+
+
+def test_windows_are_packed_as_one_by_one():
+    """Against the rule written out for one window: anchor, then the best fit for the group so far."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(3)
+    cols = {c: rng.integers(0, high, (60, 32)) for c, high in (("degree", 5), ("soft_bucket", 3), ("panel_occupancy", 4), ("panel_min", 6), ("f0", 8), ("f1", 4))}
+    cols["f0"][::7] = -cols["f0"][::7] - 1  # words with the top bit
+    cols["id"] = np.argsort(rng.random((60, 32)), axis=1) + 100
+    cols["panel_max"] = cols["panel_min"] + rng.integers(0, 5, (60, 32))
+    cols["panel_min"][cols["degree"] == 0] = cols["panel_max"][cols["degree"] == 0] = -1
+    cols["panel_span"] = np.where(cols["degree"] == 0, 0, cols["panel_max"] - cols["panel_min"] + 1)
+    there = np.arange(32) < rng.integers(1, 33, 60)[:, None]
+
+    def alone(ids, group):
+        word = lambda r: (r["f0"] % 2**64) | (r["f1"] % 2**64) << 64
+        out = []
+        while ids:
+            lead = min(ids, key=lambda r: (r["degree"] == 0, -r["soft_bucket"], -r["panel_occupancy"], r["panel_min"], r["panel_span"], -r["degree"], r["f0"] % 2**64, r["f1"] % 2**64, r["id"]))
+            mine = [lead]
+            ids.remove(lead)
+            while ids and len(mine) < group:
+                bits = 0
+                for r in mine:
+                    bits |= word(r)
+                held = lambda more: [r for r in [*mine, *more] if r["panel_min"] >= 0]  # noqa: E731, B023
+                span = lambda rs: max(r["panel_max"] for r in rs) - min(r["panel_min"] for r in rs) + 1 if rs else 0
+                fit = lambda r: (abs(lead["soft_bucket"] - r["soft_bucket"]), (word(r) & ~bits).bit_count(), -Fraction((word(r) & bits).bit_count(), max(1, (word(r) | bits).bit_count())), -(word(r) & bits).bit_count(), span(held([r])) - span(held([])), abs(lead["degree"] - r["degree"]), r["id"])  # noqa: E731, B023
+                mine.append(min(ids, key=fit))
+                ids.remove(mine[-1])
+            out += [r["id"] for r in mine]
+        return out
+
+    for group in (4, 8):
+        got = reorder.packed_windows({c: x.astype(np.int64) for c, x in cols.items()}, there, group)
+        for w in range(60):
+            rows = [{c: int(x[w, p]) for c, x in cols.items()} for p in range(32) if there[w, p]]
+            n = len(rows)
+            assert got[w, :n].tolist() == alone(rows, group) and (got[w, n:] == -1).all()
+
+
+def test_labels_of_gathered_links(spark):
+    from quillmat.operators import graph
+
+    rng = random.Random(6)
+    for links in ([(i, i + 1) for i in range(500)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(9, 3), (3, 9), (4, 4)], []):
+        df = spark.createDataFrame(links, "src long, dst long")
+        assert triples(graph.components(df)) == triples(graph.components(df, local=0))
+
+
+def traversed(a, budget, local):
+    rows, components, rounds = reorder.traversal(a, budget, local)
+    return [tuple(r) for r in rows.orderBy("component", "level", "place").select("vid", "component", "level").collect()], components, rounds
+
+
+def test_gathered_graphs_are_traversed_alike(spark):
+    """One task for all, tasks for small components, and level by level until little is left give the same order."""
+    rng = random.Random(1)
+    a = matrix(spark, {(rng.randrange(60), rng.randrange(50), 1) for _ in range(70)}, 60, 50)
+    for budget in (2048, 7):
+        want = traversed(a, budget, 1 << 20)
+        for local in (0, 40):
+            assert traversed(a, budget, local) == want
+
+
+def test_a_path_of_more_levels_than_the_budget(spark):
+    a = matrix(spark, [(i, i, 1) for i in range(1500)] + [(i, i + 1, 1) for i in range(1499)], 1500, 1500)
+    started = time.monotonic()
+    p = reorder.plan(a)
+    assert time.monotonic() - started < 60
+    s = p.stats
+    assert (s["num_tiles"], s["coarse_components"], s["coarse_levels"], s["coarse_candidate_accepted"], s["accepted_row_windows"], s["accepted_inner_windows"]) == (562, 1, 2048, 0, 0, 0)
+    assert (s["active_rows"], s["active_inner"]) == (1500, 1500)
+    assert reorder.bijective(p.perm, "row", 1500) and reorder.bijective(p.perm, "inner", 1500)
+    proposal = reorder.coarse(a)[0]
+    assert reorder.tile_count(a, proposal) == 562 and reorder.bijective(proposal, "row", 1500)
