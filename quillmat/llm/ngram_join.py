@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 
 from . import bitmap, bpe, components, scratch
 
-#: Rows of a group are 2**GROUP_BITS neighbours; documents of a block; prefix shingles of a counting bucket.
-GROUP_BITS, MEET, BUCKET = 12, 512, 500_000
+#: Neighbouring rows of a group at most, and bytes of their long prefixes, where it has more than one row.
+GROUP_ROWS, GROUP_BYTES = 4096, 1 << 24
+#: Documents of a block; prefix shingles of a counting bucket.
+MEET, BUCKET = 512, 500_000
 #: Documents of a rare shingle; bytes of an entry's bitmap at most.
 FEW, SIGN_BYTES = 8, 64
 #: Characters of the texts that are hashed at once, about; a longer text is alone.
@@ -142,17 +144,28 @@ def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
 
 
 def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str) -> DataFrame:
-    """row, id, size, key (of the set), text (its digest), long (the long prefix), bits, sign (bits of bounded size)."""
+    """row, id, size, key (of the set), text (its digest), long (the long prefix), bits, sign (bits of bounded size), grp.
+
+    A group (``grp``, its first row) has neighbouring rows whose long prefixes are few bytes together.
+    """
     src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("size", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("key", "text", "long", "bits", "sign"))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("size", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("key", "text", "long", "bits", "sign")), T.StructField("grp", T.LongType())])
 
     def run(chunks):
+        group, rows, held = -1, GROUP_ROWS, 0
         for b in chunks:
             for lo, hi in bpe.batches(b.column(2), BATCH):
                 part = b.slice(lo, hi - lo)
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
                 sets = shingles(texts, n)
                 bits = [parity(x) if len(x) else b"" for x in sets]
+                groups = []
+                for row, x in zip(part.column(0).to_pylist(), sets, strict=True):
+                    size = 8 * bounds.long(len(x))
+                    if rows == GROUP_ROWS or held + size > GROUP_BYTES:
+                        group, rows, held = row, 0, 0
+                    groups.append(group)
+                    rows, held = rows + 1, held + size
                 cols = [
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
@@ -160,6 +173,7 @@ def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str)
                     pa.array([x[: bounds.long(len(x))].tobytes() for x in sets], pa.binary()),
                     pa.array(bits, pa.binary()),
                     pa.array([x if len(x) <= SIGN_BYTES else fold(np.frombuffer(x, np.uint8), SIGN_BYTES).tobytes() for x in bits], pa.binary()),
+                    pa.array(groups, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=[f.name for f in schema])
 
@@ -171,15 +185,14 @@ def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
 
     def gather(chunks):
         for b in chunks:
-            group = np.array(b.column(0).to_pylist(), np.int64) >> GROUP_BITS
+            group = b.column(0).to_numpy()
             for g in np.unique(group).tolist():
                 rows = np.flatnonzero(group == g)
                 token, count = np.unique(np.frombuffer(b"".join(b.column(1).take(pa.array(rows)).to_pylist()), np.uint64), return_counts=True)
                 where = (token % U(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                parts = [order[cuts[k] : cuts[k + 1]] for k in full]
+                full, cuts = np.unique(where[order], return_index=True)
+                parts = np.split(order, cuts[1:]) if len(full) else []
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([g] * len(full), pa.int64()), pa.array([token[p].tobytes() for p in parts], pa.binary()), pa.array([count[p].astype("<u4").tobytes() for p in parts], pa.binary())], names=["bucket", "grp", "tokens", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
@@ -193,7 +206,7 @@ def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
             out.append((x[n > 1].tobytes(), np.minimum(n[n > 1], 0xFFFFFFFF).astype("<u4").tobytes()))
         return pa.table({"grp": group["grp"], "tokens": pa.array([a for a, _ in out], pa.binary()), "counts": pa.array([b for _, b in out], pa.binary())})
 
-    parts = docs.select("row", "long").mapInArrow(gather, "bucket long, grp long, tokens binary, counts binary")
+    parts = docs.select("grp", "long").mapInArrow(gather, "bucket long, grp long, tokens binary, counts binary")
     return parts.groupBy("bucket").applyInArrow(count, "grp long, tokens binary, counts binary")
 
 
@@ -241,7 +254,7 @@ def entries(docs: DataFrame, counts: DataFrame, bounds: Bounds) -> DataFrame:
         signs = left["sign"].combine_chunks().take(pa.array(which, pa.int64()))
         return pa.table({**{name: pa.array(np.concatenate(c)).cast(k) for name, c, k in zip(names, cols, kinds, strict=False)}, "sign": signs})
 
-    grouped = docs.select("row", "size", "long", "sign", F.shiftright("row", GROUP_BITS).alias("grp")).groupBy("grp")
+    grouped = docs.select("row", "size", "long", "sign", "grp").groupBy("grp")
     return grouped.cogroup(counts.groupBy("grp")).applyInArrow(run, ENTRY)
 
 

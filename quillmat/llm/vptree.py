@@ -4,8 +4,9 @@ Vectors get one more component so that all have the largest norm; the largest in
 Euclidean distance, for which the triangle inequality holds. A leaf of a tree is left out where its distance bound
 times ``relax`` exceeds the k-th best distance so far: 1 is exact search, more visits fewer leaves and may miss some.
 
-Trees are built where their shard is, one row each, and meet the queries in blocks: a task holds one tree and one
-block at a time.
+Trees are built where their shard is, one row each. Stretches of trees meet stretches of query blocks, both of bounded
+bytes: a task takes each of its blocks through its trees, so the best found so far prune the trees after, and k rows a
+query leave it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from . import scratch
 
 #: Vectors of a shard and of a leaf, and queries of a block.
 SHARD, LEAF, BLOCK = 8192, 128, 512
+#: Bytes of the trees and of the query blocks that a task holds, about; one of each at least.
+TREES, BLOCKS = 1 << 25, 1 << 24
 
 
 def build(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,8 +50,11 @@ def build(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return order, np.cumsum([len(g) for g in groups]), table
 
 
-def search(x: np.ndarray, ids: np.ndarray, ends: np.ndarray, nodes: np.ndarray, top: float, q: np.ndarray, own: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(scores, ids) of the k best of a tree for each query, -inf where there are fewer; and the leaf visits."""
+def search(x: np.ndarray, ids: np.ndarray, ends: np.ndarray, nodes: np.ndarray, top: float, q: np.ndarray, own: np.ndarray, k: int, relax: float, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids) of the k best of a tree for each query, -inf where there are fewer; and the leaf visits.
+
+    ``best``: scores and ids from other trees, which take part and prune this one.
+    """
     m = len(q)
     norm = (q * q).sum(axis=1) + top * top
     low = np.zeros((m, 1))
@@ -63,7 +69,7 @@ def search(x: np.ndarray, ids: np.ndarray, ends: np.ndarray, nodes: np.ndarray,
             low = np.stack([inside, outside], axis=2).reshape(m, 2 * n)
             at += n
     starts = np.concatenate([[0], ends[:-1]])
-    scores, found = np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max)
+    scores, found = best or (np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max))
     slack, visits = 1e-9 * (1 + top * np.sqrt(norm)), 0
 
     def visit(leaf: int, who: np.ndarray) -> None:
@@ -74,19 +80,22 @@ def search(x: np.ndarray, ids: np.ndarray, ends: np.ndarray, nodes: np.ndarray,
         new[a, b] = (q[who[a]] * x[rows][b]).sum(axis=1)  # the same sum for equal vectors, unlike a matrix product
         both = np.concatenate([scores[who], new], axis=1)
         names = np.concatenate([found[who], np.where(new > -np.inf, ids[rows], np.iinfo(np.int64).max)], axis=1)
-        best = np.lexsort((names, -both), axis=1)[:, :k]
-        scores[who], found[who] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-
-    first = np.argmin(low, axis=1)
-    for leaf in np.unique(first).tolist():
-        visit(leaf, np.flatnonzero(first == leaf))
+        top_k = np.lexsort((names, -both), axis=1)[:, :k]
+        scores[who], found[who] = np.take_along_axis(both, top_k, 1), np.take_along_axis(names, top_k, 1)
+
+    first, at_once = np.argmin(low, axis=1), 0
+    near = low.min(axis=1) * relax <= np.sqrt(np.maximum(0, norm - 2 * scores[:, -1])) + slack
+    for leaf in np.unique(first[near]).tolist():
+        who = np.flatnonzero(near & (first == leaf))
+        at_once += len(who)
+        visit(leaf, who)
     for leaf in np.argsort(low.sum(axis=0), kind="stable").tolist():
         worst = np.sqrt(np.maximum(0, norm - 2 * scores[:, -1]))
         who = np.flatnonzero((first != leaf) & ~(low[:, leaf] * relax > worst + slack))
         visits += len(who)
         if len(who):
             visit(leaf, who)
-    return scores, found, visits + m
+    return scores, found, visits + at_once
 
 
 def usable(vector: Column) -> Column:
@@ -124,24 +133,30 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.0,
     pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("size", F.size("v").cast("long"))
     base, asked = pick(df), pick(queries)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
-    n, top = base.agg(F.count(F.lit(1)), F.max(norm)).first()
+    n, top, width = base.agg(F.count(F.lit(1)), F.max(norm), F.max("size")).first()
     blocks_of = max(1, -(-asked.count() // BLOCK))
     shards, top = max(1, -(-n // SHARD)), float(top or 0) * (1 + 1e-12)
     deal = lambda d, name, parts: d.withColumn(name, F.pmod(F.xxhash64(F.col("id"), F.col("v")), F.lit(parts)))
-    trees = scratch.table(packed(deal(base, "shard", shards), "shard", top), "trees")
-    blocks = packed(deal(asked, "block", blocks_of), "block", None).select("size", F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    met = trees.join(blocks, ["shard", "size"]).select("size", "ids", "x", "ends", "nodes", "q_ids", "q")
-
-    def run(chunks):
-        for b in chunks:
-            for i in range(b.num_rows):
-                size, ids, x, ends, nodes, q_ids, q = (b.column(c)[i].as_py() for c in range(7))
-                ids, ends, q_ids = (np.frombuffer(c, np.int64) for c in (ids, ends, q_ids))
-                x, q, nodes = np.frombuffer(x).reshape(-1, size), np.frombuffer(q).reshape(-1, size), np.frombuffer(nodes).reshape(-1, 5)
-                scores, found, _ = search(x, ids, ends, nodes, top, q, q_ids, k, relax)
-                has = scores > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, has.sum(axis=1))), pa.array(found[has]), pa.array(scores[has])], names=["query_id", "vec_id", "score"])
-
-    every = met.mapInArrow(run, "query_id long, vec_id long, score double")
+    held = [max(1, most // (8 * rows * max(1, width or 0))) for most, rows in ((TREES, SHARD), (BLOCKS, BLOCK))]
+    stretch = lambda c, n: F.floor(F.col(c) / n)
+    every = lambda parts, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit((parts - 1) // n).cast("long")))
+    trees = scratch.table(packed(deal(base, "shard", shards), "shard", top), "trees").withColumn("_s", stretch("shard", held[0])).withColumn("_b", every(blocks_of, held[1]))
+    blocks = packed(deal(asked, "block", blocks_of), "block", None).select("size", "ids", "x", stretch("block", held[1]).alias("_b"), every(shards, held[0]).alias("_s"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        size, out = (left if left.num_rows else right)["size"][0].as_py(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        floats = lambda c, n: np.frombuffer(c).reshape(-1, n)
+        ints = lambda c: np.frombuffer(c, np.int64)
+        forest = [(floats(t["x"], size), ints(t["ids"]), ints(t["ends"]), floats(t["nodes"], 5)) for t in left.to_pylist()]
+        for b in right.to_pylist():
+            q, q_ids, best = floats(b["x"], size), ints(b["ids"]), None
+            for x, ids, ends, nodes in forest:
+                best = search(x, ids, ends, nodes, top, q, q_ids, k, relax, best)[:2]
+            if best:
+                has = best[0] > -np.inf
+                out.append((np.repeat(q_ids, has.sum(axis=1)), best[1][has], best[0][has]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = trees.groupBy("_s", "_b", "size").cogroup(blocks.groupBy("_s", "_b", "size")).applyInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -852,5 +852,64 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert all(r["length"] <= 1024 for r in got)
 
 
+@pytest.mark.parametrize("trees, blocks", [(1, 1), (150 * 8 * 8 * 3, 40 * 8 * 8 * 2), (1 << 25, 1 << 24)])
+def test_stretches_of_trees_and_blocks(spark, monkeypatch, trees, blocks):
+    """However trees and query blocks are dealt, results are exact; and a task leaves k rows a query, not k a tree."""
+    monkeypatch.setattr(vptree, "SHARD", 150)
+    monkeypatch.setattr(vptree, "LEAF", 16)
+    monkeypatch.setattr(vptree, "BLOCK", 40)
+    monkeypatch.setattr(vptree, "TREES", trees)
+    monkeypatch.setattr(vptree, "BLOCKS", blocks)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0")
+    found = vptree.nearest(df, asked, k=5)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    for q in range(0, 1300, 10):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [got[q, k + 1] for k in range(5)] == np.argsort(-score, kind="stable")[:5].tolist()
+    stretches = -(-9 // max(1, trees // (8 * 150 * 8)))  # 9 shards
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        window = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "FlatMapCoGroupsInArrow" in window and stretches >= 1
+
+
+def test_best_of_other_trees_prunes():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(500, 4)) * 0.01 + c for c in np.eye(4)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q, own = x[::40], np.arange(0, 2000, 40)
+    parts = [np.arange(0, 2000, 2), np.arange(1, 2000, 2)]
+    made = [(x[p][o], p[o], e, n) for p in parts for o, e, n in [vptree.build(x[p], 1.0)]]
+    alone = [vptree.search(a, ids, e, n, 1.0, q, own, 10, 1.0) for a, ids, e, n in made]
+    best = alone[0][:2]
+    both = vptree.search(*made[1], 1.0, q, own, 10, 1.0, (best[0].copy(), best[1].copy()))
+    score = x @ q.T
+    score[own, np.arange(len(own))] = -np.inf
+    assert np.allclose(both[0], -np.sort(-score, axis=0)[:10].T)
+    assert both[2] <= alone[1][2]
+
+
+@pytest.mark.parametrize("rows, most", [(4096, 1 << 24), (3, 1 << 24), (4096, 4000)])
+def test_ngram_groups_are_small(spark, monkeypatch, rows, most):
+    """Groups end by rows and by bytes, whatever the documents' lengths, and links stay the same."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", most)
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (5, 40, 40, 2000, 2000, 300, 3, 0)]
+    texts = [t for b in base for t in (b, b + " tail", b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    docs = ngram_join.described(df, 3, ngram_join.Bounds(90, 100), "doc_id", "text")
+    sizes = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("long")).alias("b")).collect()
+    assert all(r["n"] <= rows and (r["n"] == 1 or r["b"] <= most) for r in sizes) and (len(sizes) > 2 or rows == 4096 and most == 1 << 24)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(df, n=3, num=90, den=100).collect()}
+    assert got == {3 * k + j: 3 * k + (j if not b else 1 if j == 1 and len(b.split()) < 30 else 0) for k, b in enumerate(base) for j in range(3)}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path, [])).count() == 0
