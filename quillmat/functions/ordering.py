@@ -87,7 +87,8 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column
     state = groups.select(*keys, "_n", "_lo", "_hi", asked).select(*keys, "_r._name", "_r._rank", "_n", "_lo", "_hi", F.lit(None).cast("double").alias("_found"))
     state = settled(state.where((F.col("_rank") >= 0) & (F.col("_rank") < F.col("_n"))))
     # halves, so that a range over all doubles doesn't overflow
-    inside = F.floor((x / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * RANGES)
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    inside = F.when(width > 0, F.floor((x / 2 - F.col("_lo") / 2) / width * RANGES)).otherwise(F.when(x == F.col("_hi"), RANGES).otherwise(0))
     at = F.when(x == F.lit(float("-inf")), F.lit(-1)).when(F.isnan(x), RANGES + 1).when(x == F.lit(float("inf")), RANGES)
     at = at.when(F.col("_lo") == F.col("_hi"), F.lit(0)).otherwise(F.least(inside, F.lit(RANGES - 1))).cast("int")
     first = True
