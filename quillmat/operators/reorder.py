@@ -20,7 +20,7 @@ from ..functions.columns import bit, degree_bucket, div, panel_sketches, popcoun
 from ..functions.ordering import delete_folder, numbered, running, settled, shared_dir
 from .graph import LOCAL_LINKS, components
 from .matrix import Matrix
-from .product import multiply, right_operand
+from .product import PLUS_TIMES, Semiring, multiply, right_operand
 from .tiles import DENSE, tiles, totals
 
 #: Window and group of ids and extent of the opposite panels, by axis; rounds of the traversal.
@@ -426,8 +426,59 @@ def external_plan(a: Matrix, perm: DataFrame, name: str) -> Plan:
     return finished(a, f"external:{name}", settled(perm), {})
 
 
+def cut(a: Matrix, rows: int | None = None, inner: int | None = None) -> Matrix:
+    """The part of a matrix before these ids on its axes, as a smaller matrix; entries beyond are left out."""
+    m, n = a.m if rows is None else min(rows, a.m), a.n if inner is None else min(inner, a.n)
+    keep = F.lit(True)
+    for c, size, whole in (("i", m, a.m), ("k", n, a.n)):
+        if size < whole:
+            keep &= F.col(c) < size
+    return Matrix(a.df.where(keep), m, n)
+
+
+def operands(a: Matrix, b: Matrix, made: Plan) -> tuple[Matrix, Matrix]:
+    """Both operands under the plan's order, cut at its active prefix: no tile row or inner tile beyond it exists, and rows
+    of B that no entry of A asks for are gone before they are sent anywhere.
+    """
+    rows, inner = made.stats["active_rows"], made.stats["active_inner"]
+    return cut(apply(a, made.perm), rows, inner), cut(apply_inner_to_rows(b, made.perm), inner)
+
+
 def multiply_reordered(a: Matrix, mode: str = "aat", b: Matrix | None = None, made: Plan | None = None) -> tuple[Matrix, Plan]:
-    """C = A B through an order: both operands renamed, multiplied, and C's rows put back. Without a plan, one is made."""
+    """C = A B through an order: both operands renamed and cut, multiplied, and C's rows put back. Without a plan, one is made."""
     right, made = right_operand(a, mode, b), made or plan(a)
-    c = multiply(apply(a, made.perm), "ab", apply_inner_to_rows(right, made.perm))
-    return restore_rows(c, made.perm, made.stats["active_rows"]), made
+    left, right = operands(a, right, made)
+    c = multiply(left, "ab", right)
+    return restore_rows(Matrix(c.df, a.m, c.n), made.perm, made.stats["active_rows"]), made
+
+
+@dataclass
+class Prepared:
+    """A left operand under its plan, written once in buckets of the inner index, for products with ever new B."""
+
+    table: str
+    m: int
+    n: int
+    made: Plan
+    buckets: int
+
+    def multiply(self, b: Matrix, semiring: Semiring = PLUS_TIMES) -> Matrix:
+        """C = A B. B is dealt by its rows to A's buckets; A isn't sent anywhere."""
+        if b.m != self.n:
+            raise ValueError("the inner dimensions differ")
+        left = self.made.perm.sparkSession.table(self.table)
+        right = cut(apply_inner_to_rows(b, self.made.perm), self.made.stats["active_inner"]).df.select(F.col("i").alias("_k"), F.col("k").alias("j"), F.col("v").alias("w"))
+        met = left.join(right.repartition(self.buckets, "_k").hint("merge"), left["k"] == F.col("_k"))
+        c = met.groupBy("i", "j").agg(semiring.add(semiring.times(F.col("v"), F.col("w"))).alias("v"))
+        return restore_rows(Matrix(c.select("i", F.col("j").alias("k"), "v"), self.m, b.n), self.made.perm, self.made.stats["active_rows"])
+
+
+def prepare(a: Matrix, made: Plan, table: str, path: str, buckets: int | None = None) -> Prepared:
+    """Write A under the plan to ``table`` (its files in ``path``), bucketed and sorted by the inner index.
+
+    The order itself is settled with the plan. The number of buckets is that of shuffle partitions unless given.
+    """
+    n = buckets or int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = cut(apply(a, made.perm), made.stats["active_rows"], made.stats["active_inner"])
+    moved.df.select("i", "k", "v").repartition(n, "k").write.mode("overwrite").option("path", path).bucketBy(n, "k").sortBy("k").saveAsTable(table)
+    return Prepared(table, a.m, a.n, made, n)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..functions.ordering import medians
+from ..functions.ordering import medians, shared_dir
 from ..operators import planner, product, reorder, symbolic, tiles
 from ..operators.matrix import Matrix
 from ..sources import mtx
-from . import data
+from . import data, report
 from .data import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -522,6 +523,59 @@ def reordered_product(spark, folder):
     return reorder.multiply_reordered(data.supplier_part(spark, folder), "aat")[0].df
 
 
+#: Lines of the largest quantities: many orders and parts have none.
+FEW = "few AS (SELECT l_orderkey AS i, l_partkey AS k, sum(l_quantity) AS v FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL)"
+
+
+def few_lines(spark: SparkSession, folder: str) -> tuple[Matrix, reorder.Plan]:
+    """Order x part of the largest quantities, and its order by degree, which puts empty ids last."""
+    whole = data.order_part(spark, folder, merged=False)
+    a = Matrix(whole.df.where("v >= 49"), whole.m, whole.n).merged()
+    return a, reorder.external_plan(a, reorder.by_degree(a), "degree")
+
+
+@query(w(FEW, "ps", *order_sql("few")) + "SELECT pk.new_id AS i, ps.k, ps.v FROM ps JOIN pk ON pk.old_id = ps.i WHERE pk.new_id < (SELECT count(DISTINCT k) FROM few)")
+def cut_right_operand(spark, folder):
+    """B's rows under the order of A's inner indices, without those that no entry of A asks for."""
+    a, plan = few_lines(spark, folder)
+    return reorder.operands(a, data.supplier_part(spark, folder).transpose(), plan)[1].df
+
+
+@query(w(FEW, *order_sql("few"), "n AS (SELECT ri // 8 AS tile_row, count(DISTINCT rk // 4) AS n FROM x GROUP BY 1)") + "SELECT r.range AS r, coalesce(sum(n) OVER (ORDER BY r.range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ptr FROM range((SELECT (count(DISTINCT i) + 7) // 8 + 1 FROM few)) r LEFT JOIN n ON n.tile_row = r.range")
+def cut_tile_row_ptr(spark, folder):
+    """Tile rows end with the active prefix."""
+    a, plan = few_lines(spark, folder)
+    left = reorder.operands(a, a.transpose(), plan)[0]
+    return tiles.row_pointer(tiles.tiles(left), (left.m + 7) // 8)
+
+
+@query(w(FEW, "ps") + "SELECT a.i, b.k, sum(a.v * b.v) AS v FROM few a JOIN ps b ON a.k = b.i GROUP BY ALL")
+def cut_product(spark, folder):
+    a, plan = few_lines(spark, folder)
+    return reorder.multiply_reordered(a, "ab", data.supplier_part(spark, folder).transpose(), plan)[0].df
+
+
+@query(w("sp") + "SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL")
+def prepared_product_sp(spark, folder):
+    """A written once in buckets of the inner index, under the order by degree."""
+    a = data.supplier_part(spark, folder)
+    name = f"quillmat_prepared_{uuid.uuid4().hex}"
+    plan = reorder.external_plan(a, reorder.by_degree(a), "degree")
+    return reorder.prepare(a, plan, name, f"{shared_dir(spark).rstrip('/')}/{name}").multiply(a.transpose()).df
+
+
+REPORT = {"tiles": "count(*)", "sparse_tiles": "count(*) FILTER (WHERE NOT dense)", "dense_tiles": "count(*) FILTER (WHERE dense)", "places": "sum(nnz)", "payload": "sum(span)", "most_places": "max(nnz)", "fill": "sum(nnz)::DOUBLE / (32 * count(*))"}
+
+
+@query(w("sp", tile_sql("sp", "ta"), tile_sql("sp", "tb", True), "c AS (SELECT i // 8 AS r, k // 8 AS c, count(*) AS n FROM (SELECT DISTINCT a.i, b.k FROM sp a JOIN sp b ON a.k = b.i) GROUP BY ALL)", *(f"{x} AS ({FULL} FROM t{x[1]})" for x in ("ua", "ub")))
+    + " UNION ALL ".join(f"SELECT '{x[1]}' AS name, '{k}' AS key, ({v})::DOUBLE AS value FROM {x}" for x in ("ua", "ub") for k, v in REPORT.items())
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT 'c', '{k}', coalesce({v}, 0)::DOUBLE FROM c" for k, v in {"tiles": "count(*)", "entries": "sum(n)", "most_entries": "max(n)", "fill": "sum(n)::DOUBLE / nullif(64 * count(*), 0)"}.items()))
+def product_report(spark, folder):
+    """Figures in tiles of both operands and of their product, A A with the suppliers as parts."""
+    a = data.supplier_part(spark, folder)
+    return report.product(a, Matrix(a.df, a.n, a.n))
+
+
 # exports
 
 
@@ -543,6 +597,14 @@ def super16_heatmap(spark, folder):
     return mtx.parent_heat_map(*both_ways(spark, folder), bins=8)
 
 
+@query(w("sp", SPT, CELLS, PARENTS, "kids AS (SELECT parent_row, parent_col, (SELECT count(DISTINCT (i // 8, k // 8)) FROM cells WHERE i // 16 = parent_row AND k // 16 = parent_col) AS n FROM (SELECT DISTINCT parent_row, parent_col FROM pa JOIN pb USING (pk)))")
+    + "SELECT key, value::BIGINT AS value FROM (SELECT 'parent_rows' AS key, (count(*) + 15) // 16 AS value FROM supplier UNION ALL SELECT 'parent_cols', (count(*) + 15) // 16 FROM supplier UNION ALL SELECT 'bins', 8 UNION ALL SELECT 'a_tiles', count(DISTINCT (i // 8, k // 4)) FROM sp UNION ALL SELECT 'b_tiles', count(DISTINCT (k // 4, i // 8)) FROM sp UNION ALL SELECT 'candidates', count(*) FROM kids UNION ALL SELECT 'nonempty', count(*) FROM kids WHERE n > 0 UNION ALL SELECT 'empty', count(*) FROM kids WHERE n = 0"
+    + "".join(f" UNION ALL SELECT 'children{x}', count(*) FROM kids WHERE n = {x}" for x in (1, 2, 3, 4)) + ")")
+def parent_meta(spark, folder):
+    a, b = both_ways(spark, folder)
+    return mtx.parent_heat_meta(mtx.parent_heat_map(a, b, bins=8), a, b, 8)
+
+
 @query("SELECT l_returnflag, median(l_quantity) AS middle, min(l_quantity) AS least, max(l_quantity) AS most, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_middle FROM lineitem GROUP BY 1")
 def sample_median_stats(spark, folder):
     lines = data.table(spark, folder, "lineitem")

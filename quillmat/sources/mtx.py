@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import heat_bin
-from ..functions.ordering import numbered
+from ..functions.ordering import numbered, settled
 from ..operators.matrix import Matrix
-from ..operators.reorder import Plan, apply, external_plan, summary
+from ..operators.reorder import Plan, apply, external_plan, operands, summary
 
 #: The words of a banner.
 BANNER, FIELDS, SCHEMES = "%%MatrixMarket", ("real", "complex", "pattern", "integer"), ("general", "symmetric", "hermitian", "skew-symmetric")
@@ -88,9 +88,15 @@ def write_reordered(a: Matrix, perm: DataFrame, path: str, one_file: bool = Fals
     write_mtx(apply(a, perm), path, True, one_file)
 
 
-def write_diagnostics(a: Matrix, plan: Plan, folder: str, bins: int = 256) -> None:
-    """A plan's files below ``folder``: permutation, stats, heatmap, heatmap_meta (CSV) and reordered (Matrix Market)."""
+def write_diagnostics(a: Matrix, plan: Plan, folder: str, bins: int = 256, b: Matrix | None = None, parent_bins: int = 64) -> None:
+    """A plan's files below ``folder``: permutation, stats, heatmap, heatmap_meta (CSV) and reordered (Matrix Market).
+
+    With the right operand ``b`` also parent_heatmap and parent_meta, of the operands under the plan.
+    """
     folder = folder.rstrip("/")
+    if b is not None:
+        left, right = operands(a, b, plan)
+        write_parent_diagnostics(left, right, folder, parent_bins)
     write_csv(permutation_rows(plan.perm), f"{folder}/permutation")
     write_csv(plan.table(), f"{folder}/stats")
     write_csv(heat_map(a, plan.perm, bins), f"{folder}/heatmap")
@@ -98,6 +104,21 @@ def write_diagnostics(a: Matrix, plan: Plan, folder: str, bins: int = 256) -> No
     write_reordered(a, plan.perm, f"{folder}/reordered")
 
 
+def write_parent_diagnostics(a: Matrix, b: Matrix, folder: str, bins: int = 64) -> None:
+    """parent_heatmap (the grid) and parent_meta (extents, bins and the grid's sums) as CSV; the grid is computed once."""
+    grid = settled(parent_heat_map(a, b, bins))
+    write_csv(grid, f"{folder}/parent_heatmap")
+    write_csv(parent_heat_meta(grid, a, b, bins), f"{folder}/parent_meta")
+
+
+def parent_heat_meta(grid: DataFrame, a: Matrix, b: Matrix, bins: int) -> DataFrame:
+    """key, value of a grid of parents: its extents, bins, and the sums of its columns."""
+    names = [c for c in grid.columns if c not in ("bin_row", "bin_col")]
+    sums = grid.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    rows = {"parent_rows": -(-a.m // 16), "parent_cols": -(-b.n // 16), "bins": bins} | {n: sums[n] for n in names}
+    return grid.sparkSession.createDataFrame([(k, int(v)) for k, v in rows.items()], "key string, value long").coalesce(1)
+
+
 def read_order(spark: SparkSession, path: str, size: int, name: str) -> DataFrame:
     """perm of one axis from a file of ``size`` old ids, blank-separated, the one at place p getting the new id p."""
     words = spark.read.text(path, wholetext=False).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "w"), F.monotonically_increasing_id().alias("line")).where("w <> ''")
@@ -120,6 +141,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="`Group` string, Name string, rows long, cols long, nonzeros long")
 
 
+def manifest_paths(spark: SparkSession, path: str, root: str) -> list[str]:
+    """The manifest's matrices that are below ``root``, in its order, wherever sets of matrices keep them."""
+    found: dict[str, list[str]] = {}
+    for r in find_matrices(spark, root).select("path").toLocalIterator():
+        found.setdefault(r["path"].rsplit("/", 1)[-1], []).append(r["path"])
+    out = []
+    for r in read_manifest(spark, path).toLocalIterator():
+        here = found.get(f"{r['Name']}.mtx", [])
+        out += [next((p for p in here if f"/{r['Group']}/" in p), here[0])] if here else []
+    return out
+
+
 def find_matrices(spark: SparkSession, folder: str) -> DataFrame:
     """path, length of all .mtx files below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mtx").option("recursiveFileLookup", True).load(folder)
@@ -145,8 +178,11 @@ def heat_map(a: Matrix, perm: DataFrame, bins: int = 256) -> DataFrame:
 def heat_meta(a: Matrix, plan: Plan, bins: int = 256) -> DataFrame:
     """key, value: dimensions, then the plan's figures under their names in heat-map files (fixed values)."""
     rename = {"num_tiles": "unified_tiles", "active_row_tiles": "unified_active_row_tiles", "active_k_tiles": "unified_active_k_tiles", "sparse_tiles": "unified_sparse_tiles", "dense_tiles": "unified_dense_tiles", "payload": "unified_payload", "row_tile_reduction": "exact_row_tile_reduction", "inner_tile_reduction": "exact_inner_tile_reduction"}
-    stats = {"rows": a.m, "cols": a.n, "nnz": a.df.count(), "bins": bins} | {rename.get(k, k): v for k, v in plan.stats.items()}
-    return a.df.sparkSession.createDataFrame([(k, None if v is None else str(v)) for k, v in stats.items()], "key string, value string")
+    moved = list(plan.stats)[: list(plan.stats).index("inner_displacement_sum") + 1]
+    tiles = [k for k, v in rename.items() if v.startswith("unified_")]
+    order = [*moved, *tiles, *(k for k in plan.stats if k not in moved and k not in tiles)]
+    stats = {"rows": a.m, "cols": a.n, "nnz": a.df.count(), "bins": bins} | {rename.get(k, k): plan.stats[k] for k in order}
+    return a.df.sparkSession.createDataFrame([(k, None if v is None else str(v)) for k, v in stats.items()], "key string, value string").coalesce(1)
 
 
 def movement(perm: DataFrame) -> DataFrame:
@@ -177,6 +213,12 @@ def parent_heat_map(a: Matrix, b: Matrix, bins: int = 64) -> DataFrame:
     return grid.select("bin_row", "bin_col", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("a_tiles", "b_tiles", "candidates", "nonempty", "empty", "children1", "children2", "children3", "children4")))
 
 
+def append_result(spark: SparkSession, row: tuple, path: str) -> None:
+    """One line more in a table of results: left, right, m, n, entries, pairs, entries of C, compression, ms, gflops, whether checked."""
+    schema = "a string, b string, m long, n long, nnz_a long, nnz_cub long, nnz_c long, compression double, ms double, gflops double, checked int"
+    write_csv(spark.createDataFrame([row], schema).coalesce(1), path, header=False, append=True)
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, append: bool = False) -> None:
     """A table as CSV; results are appended, diagnostics replaced."""
     df.write.mode("append" if append else "overwrite").option("header", header).csv(path)

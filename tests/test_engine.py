@@ -158,13 +158,23 @@ def test_command_line(spark, tmp_path):
         (tmp_path / f).write_text("\n".join(map(str, reversed(range(n)))))
     at = str(tmp_path)
     want = product.structure(a, a.transpose()).count()
-    for more in (["--aat"], [f"{at}/b.mtx"], ["--aat", "--reorder", "full", "--diagnostics", f"{at}/d"], ["--aat", "--row-order", f"{at}/rows", "--inner-order", f"{at}/inner", "--out", f"{at}/c"]):
-        out = run(spark, arguments([f"{at}/a.mtx", *more, "--runs", "1", "--check"]))
-        assert out["nnz_c"] == want and out["same_structure"] and out["rows"] == 40
+    for more in (["--aat"], [f"{at}/b.mtx", "--control", "original"], ["--aat", "--reorder", "full", "--diagnostics", f"{at}/d", "--heatmap-bins", "16", "--parent-diagnostics", "--control", "both", "--report"], ["--aat", "--row-order", f"{at}/rows", "--inner-order", f"{at}/inner", "--order-name", "mine-1", "--out", f"{at}/c"], ["--aat", "--no-reorder"]):
+        out = run(spark, arguments([f"{at}/a.mtx", *more, "--runs", "1", "--check", "--results", f"{at}/results"]))
+        assert out["nnz_c"] == want and out["same_structure"] and out["rows"] == 40 and out["min_ms"] <= out["ms"] <= out["max_ms"]
+        assert set(out.get("controls", {})) == {"original": {"original"}, "both": {"original", "same-order"}}.get(more[more.index("--control") + 1] if "--control" in more else "", set())
+    assert out["algorithm"] == "identity_baseline"
+    rows = spark.read.csv(f"{at}/results").collect()
+    assert len(rows) == 5 and {(r[2], r[3], r[4], r[6], r[10]) for r in rows} == {("40", "16", "60", str(want), "1")}
     assert mtx.read_mtx(spark, f"{at}/c")[0].df.count() == want
-    assert {r["key"] for r in spark.read.csv(f"{at}/d/heatmap_meta", header=True).collect()} >= {"rows", "unified_tiles", "moved_rows"}
-    assert spark.read.csv(f"{at}/d/permutation", header=True).count() == 56 and spark.read.csv(f"{at}/d/heatmap", header=True).count() == 256 * 256
-    for bad in (["--inner-order", "x"], ["--row-order", "x", "--reorder", "full"], ["b", "--aat"], ["--runs", "0"]):
+    meta = [r["key"] for r in spark.read.csv(f"{at}/d/heatmap_meta", header=True).collect()]
+    assert meta[:4] == ["rows", "cols", "nnz", "bins"] and meta[meta.index("inner_displacement_sum") + 1] == "unified_tiles" and meta[meta.index("unified_payload") + 1] == "accepted_row_windows"
+    assert spark.read.csv(f"{at}/d/permutation", header=True).count() == 56 and spark.read.csv(f"{at}/d/heatmap", header=True).count() == 16 * 16
+    parents = spark.read.csv(f"{at}/d/parent_heatmap", header=True, inferSchema=True)
+    sums = {r["key"]: int(r["value"]) for r in spark.read.csv(f"{at}/d/parent_meta", header=True).collect()}
+    assert parents.count() == 64 * 64 and all(sums[c] == parents.agg(F.sum(c)).first()[0] for c in parents.columns[2:]) and sums["parent_rows"] == 3
+    only = run(spark, arguments([f"{at}/a.mtx", "--aat", "--prepare-only", "--reorder", "fine", "--diagnostics", f"{at}/p"]))
+    assert "nnz_c" not in only and spark.read.csv(f"{at}/p/stats", header=True).count() == 32
+    for bad in (["--inner-order", "x"], ["--row-order", "x", "--reorder", "full"], ["b", "--aat"], ["--runs", "0"], ["--heatmap-bins", "15"], ["--heatmap-bins", "1025"], ["--order-name", "x"], ["--row-order", "x", "--order-name", "a b"], ["--row-order", "x", "--order-name", "y" * 64], ["--no-reorder", "--reorder", "full"], ["--no-reorder", "--row-order", "x"], ["--prepare-only"], ["--limit", "3"], ["b", "--batch"], ["--parent-diagnostics"]):
         with pytest.raises(SystemExit):
             arguments(["a", *bad])
     with pytest.raises(ValueError):
@@ -425,6 +435,112 @@ def test_product_follows_an_order(spark, entries):
     assert np.allclose(dense(triples(reorder.restore_rows(c, perm).df), 10, 10), dense(triples(product.multiply(a, "aat").df), 10, 10))
 
 
+def test_control_with_another_structure_is_an_error(spark, tmp_path, monkeypatch):
+    from quillmat import __main__ as command
+
+    mtx.write_mtx(matrix(spark, FOUR, 16, 8), str(tmp_path / "a.mtx"))
+    args = command.arguments([str(tmp_path / "a.mtx"), "--aat", "--runs", "1", "--control", "original"])
+    joined = product.joined
+    monkeypatch.setattr(product, "joined", lambda *a: joined(*a).where("i > 0"))
+    monkeypatch.setattr(product, "GAIN", 0)
+    with pytest.raises(command.CheckFailed):
+        command.run(spark, args)
+
+
+def test_batch_of_matrices(spark, tmp_path):
+    """Over a folder and a manifest; one that fails or takes too long doesn't end the others."""
+    from quillmat import __main__ as command
+
+    for name in ("G/a/a", "G/b/b", "H/a"):
+        mtx.write_mtx(matrix(spark, FOUR, 16, 8), str(tmp_path / "parts"), one_file=True)
+        target = tmp_path / f"{name}.mtx"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(next((tmp_path / "parts").glob("part-*")).read_text())
+    (tmp_path / "G" / "bad.mtx").write_text("x")
+    (tmp_path / "m.csv").write_text("Group,Name,rows,cols,nonzeros\nH,a,16,8,4\nG,b,16,8,4\nG,none,1,1,1\n")
+    lines = list(command.batch(spark, command.arguments([str(tmp_path / "G"), "--batch", "--aat", "--runs", "1", "--limit", "100", "--results", str(tmp_path / "r")])))
+    assert [(x["left"].rsplit("/", 1)[-1], x["outcome"].split(":")[0], x.get("nnz_c")) for x in lines] == [("a.mtx", "done", 4), ("b.mtx", "done", 4), ("bad.mtx", "ValueError", None)]
+    assert spark.read.csv(str(tmp_path / "r")).count() == 2
+    lines = list(command.batch(spark, command.arguments([str(tmp_path / "m.csv"), "--batch", "--root", str(tmp_path), "--aat", "--runs", "1"])))
+    assert [("/H/" in x["left"], x["outcome"]) for x in lines] == [(True, "done"), (False, "done")]
+    slow = lambda: spark.range(4).repartition(2).mapInPandas(lambda chunks: (time.sleep(60) or c for c in chunks), "id long").count()
+    started = time.monotonic()
+    assert command.limited(spark, 2.0, slow) == (None, "timeout") and time.monotonic() - started < 40
+    assert command.limited(spark, 30.0, lambda: {"x": spark.range(3).count()}) == ({"x": 3}, "done")
+
+
+def test_operands_end_with_the_active_prefix(spark):
+    a, b = matrix(spark, FOUR, 16, 8), matrix(spark, [(k, j, 1.0) for k in range(8) for j in range(3)], 8, 3)
+    made = reorder.plan(a)
+    left, right = reorder.operands(a, b, made)
+    assert (left.m, left.n, right.m, right.n) == (4, 4, 4, 3) and left.df.count() == 4 and right.df.count() == 12
+    assert triples(reorder.multiply_reordered(a, "ab", b, made)[0].df) == triples(product.multiply(a, "ab", b).df)
+    assert triples(reorder.cut(a, 9, 5).df) == [(0, 0, 1.0), (1, 4, 2.0), (8, 1, 3.0)]
+
+
+def test_prepared_operand_stays_where_it_is(spark, tmp_path):
+    a, x = matrix(spark, FORTY, 40, 16), dense(FORTY, 40, 16)
+    held = reorder.prepare(a, reorder.plan(a), "prepared_forty", str(tmp_path / "t"), 4)
+    rng = random.Random(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            e = [(rng.randrange(16), rng.randrange(9), rng.randrange(1, 5)) for _ in range(40)]
+            c = held.multiply(matrix(spark, e, 16, 9))
+            assert np.allclose(dense(triples(c.df), 40, 9), x @ dense(e, 16, 9))
+        met = held.multiply(matrix(spark, e, 16, 9)).df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = met.split("\n")
+    scan = next(k for k, line in enumerate(lines) if "prepared_forty" in line)
+    above = next(k for k in range(scan, -1, -1) if "SortMergeJoin" in lines[k])
+    assert not any("Exchange" in line for line in lines[above : scan + 1]) and "Bucketed: true" in lines[scan]
+    with pytest.raises(ValueError):
+        held.multiply(matrix(spark, [], 15, 9))
+
+
+def test_both_operands_change(spark, tmp_path):
+    """Batches that run again count once, folds change nothing, and a query goes on after a stop in the midst of a batch."""
+    rng = random.Random(11)
+    e, f = ([(rng.randrange(6), rng.randrange(6), rng.randrange(1, 4)) for _ in range(9)] for _ in range(2))
+    a, b = matrix(spark, e, 6, 6), matrix(spark, f, 6, 6)
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "side string, i long, k long, v double"
+    x, y, batches = dense(e, 6, 6), dense(f, 6, 6), []
+    for _ in range(5):
+        batches.append([(rng.choice("AB"), rng.randrange(6), rng.randrange(6), float(rng.randrange(-2, 3))) for _ in range(6)])
+    for n, rows in enumerate(batches[:4]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        delta.follow_both(a, b, spark.readStream.schema(schema).parquet(src), out, cp, every=2).awaitTermination(120)
+        for side, i, k, v in rows:
+            (x if side == "A" else y)[i, k] += v
+        assert np.allclose(dense(triples(delta.product_now(a, b, out).df), 6, 6), x @ y)
+        assert len(delta.parts(spark, f"{out}/C")["batch"]) <= 2
+    # the next batch writes the product's share, then is broken off before the operands' changes
+    change = spark.createDataFrame(batches[4], schema)
+    write, seen = delta.write, []
+
+    def broken(df, folder, name, number):
+        if folder.endswith("/A") and name == "batch":
+            raise OSError("lost")
+        seen.append(folder)
+        write(df, folder, name, number)
+
+    delta.write = broken
+    try:
+        with pytest.raises(OSError):
+            delta.step(change, 4, a, b, out, 2)
+    finally:
+        delta.write = write
+    assert seen[-1].endswith("/C")
+    for _ in range(2):  # as it runs again
+        delta.step(change, 4, a, b, out, 2)
+    for side, i, k, v in batches[4]:
+        (x if side == "A" else y)[i, k] += v
+    assert np.allclose(dense(triples(delta.product_now(a, b, out).df), 6, 6), x @ y)
+    assert np.allclose(dense(triples(delta.state(spark, f"{out}/A")), 6, 6) + dense(e, 6, 6), x)
+
+
 def test_stream_of_changes(spark, tmp_path):
     a = matrix(spark, FOUR, 16, 8)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
