@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data.
 
-Cards, bank accounts, social security numbers, phone numbers, network addresses, dates, quoted hexadecimal tokens and
-the names in mail addresses are found by pattern, validated (check digits, ranges, calendar), and replaced by another valid value of the same
+Cards, bank accounts, social security numbers, phone numbers, network addresses, dates in digits or with their month in
+English letters, hexadecimal tokens in quotes or after =, and the names in mail addresses are found by pattern, validated (check digits, ranges, calendar), and replaced by another valid value of the same
 format. A keyed Feistel network permutes each format's values, so equal values get equal pseudonyms in all documents
 and different ones stay different; no value is its own pseudonym. Whoever has the key can undo it.
 
@@ -66,13 +66,14 @@ class Feistel:
         return self._back((self._there(x) + step) % self.size)
 
 
+#: Each digit's double, less nine where that has two digits.
+DOUBLED = str.maketrans(DIGITS, "".join(str(2 * d - 9 * (d > 4)) for d in range(10)))
+
+
 def luhn(digits: str) -> int:
     """What the digits lack to a multiple of ten, the last being the check digit."""
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 * (d > 9)
-    return -total % 10
+    whole, twice = digits[::-2], digits[-2::-2].translate(DOUBLED)
+    return (48 * len(digits) - sum(whole.encode()) - sum(twice.encode())) % 10
 
 
 def mod97(account: str) -> int:
@@ -130,13 +131,13 @@ class Pseudonyms:
         return self.digits("account", text, own[:2] + f"{98 - mod97(own[:2] + '00' + body):02d}" + body)
 
     def security(self, text: str) -> str | None:
-        a, g, s = int(text[:3]), int(text[4:6]), int(text[7:])
+        a, g, s = int(text[:3]), int(text[4:6]), int(text[7:])  # with one mark between
         if not (0 < a < 900 and a != 666 and g and s):
             return None
         x = ((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + s - 1
         x, s = divmod(self.permute("security", 898 * 99 * 9999, x), 9999)
         a, g = divmod(x, 99)
-        return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
+        return text[3].join((f"{a + 1 + (a >= 665):03d}", f"{g + 1:02d}", f"{s + 1:04d}"))
 
     def phone(self, text: str) -> str | None:
         at = next(i for i in range(len(text)) if sum(c.isdigit() for c in text[i:]) == 10)
@@ -166,7 +167,7 @@ class Pseudonyms:
 
     def iso(self, text: str) -> str | None:
         new = self.day(text[:4], text[5:7], text[8:])
-        return new and "-".join(new)
+        return new and text[4].join(new)
 
     def dmy(self, text: str) -> str | None:
         new = self.day(text[6:], text[3:5], text[:2])
@@ -176,6 +177,21 @@ class Pseudonyms:
         new = self.day(text[6:], text[:2], text[3:5])
         return new and text[2].join((new[1], new[2], new[0]))
 
+    def worded(self, text: str, short: bool, padded: bool) -> str | None:
+        """A date with its month in letters. The new day and month may be of another kind, and are permuted on then."""
+        m = WORDED.fullmatch(text)
+        names = [n[:3] for n in MONTHS] if short else MONTHS
+        new = self.day(m["year"], str(names.index(m["month"]) + 1), m["day"] or m["first"])
+        if not new:
+            return None
+        day = new[2] if padded else str(int(new[2]))
+        parts = {"first": day, "day": day, "month": names[int(new[1]) - 1], "year": new[0]}
+        return "".join(parts.get(name, m[name]) for name in sorted((n for n in m.groupdict() if m[n] is not None), key=m.start))
+
+    def home(self, text: str) -> str | None:
+        """A number with its area code; the zero stays."""
+        return text[0] + self.digits("home", text[1:], self.letters("home", "".join(c for c in text[1:] if c.isdigit())))
+
     def abroad(self, text: str) -> str | None:
         """All but the country code, which is taken to be the first group or, where that is longer, two digits."""
         first = GROUP.search(text).group()
@@ -192,13 +208,14 @@ class Pseudonyms:
         if seen == 0:
             if len(self.known) > 200_000:
                 self.known.clear()
-            seen = self.known[kind, text] = getattr(self, kind)(text)
+            base, _, how = kind.partition("_")
+            seen = self.known[kind, text] = getattr(self, base)(text, *((how[0] == "s", how[1] == "p") if how else ()))
         return seen
 
-    def at(self, text: str, start: int) -> tuple[int, int, str] | None:
-        """The value that begins at ``start``: begin, end, kind."""
-        for kind, pattern in KINDS.items():
-            m = pattern.match(text, start)
+    def at(self, text: str, start: int, least: str | None = None) -> tuple[int, int, str] | None:
+        """The value that begins at ``start``: begin, end, kind; none before the kind ``least`` fits there."""
+        for kind in FROM[least]:
+            m = KINDS[kind].match(text, start)
             for end in spans(kind, m) if m else ():
                 if self.one(kind, text[start:end]) is not None:
                     return start, end, kind
@@ -207,11 +224,11 @@ class Pseudonyms:
     def first(self, text: str, pos: int) -> tuple[int, int, str] | None:
         """The first value from ``pos`` on."""
         while m := PATTERN.search(text, pos):
-            hit = self.at(text, m.start())
+            hit = self.at(text, m.start(), m.lastgroup)
             if hit and hit[2] == "card" and not usual("card", text[hit[0] : hit[1]]):
                 for g in GROUP.finditer(text, hit[0] + 1, hit[1]):
-                    later = self.at(text, g.start())
-                    if later and later[2] == "card" and usual("card", text[later[0] : later[1]]):
+                    later = self.at(text, g.start(), "card")
+                    if later and usual("card", text[later[0] : later[1]]) and later == self.at(text, g.start()):
                         return later
             if hit:
                 return hit
@@ -238,11 +255,11 @@ class Pseudonyms:
         return "".join(out) + text[done:]
 
 
-def usual(kind: str, text: str) -> bool:
-    """Whether a card's digits are grouped, or an account is as long, as usual."""
+def usual(kind: str, text: str, sizes: tuple[int, ...] | None = None) -> bool:
+    """Whether a card's digits are grouped (into ``sizes``), or an account is as long, as usual."""
     if kind == "card":
-        sizes = tuple(map(len, GROUP.findall(text)))
-        return len(sizes) == 1 or len(set(text) & {" ", "-"}) == 1 and sizes in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
+        sizes = tuple(map(len, GROUP.findall(text))) if sizes is None else sizes
+        return len(sizes) == 1 or sizes in GROUPED and (" " in text) != ("-" in text)
     return ACCOUNTS.get(text[:2]) == len(text.replace(" ", ""))
 
 
@@ -250,12 +267,19 @@ def spans(kind: str, m: re.Match) -> list[int]:
     """Ends of the spans to try of a match: the whole, or those of whole groups, usual and then long ones first."""
     if kind not in ("card", "account"):
         return [m.end()]
-    ends = [g.end() for g in GROUP.finditer(m.string, m.start(), m.end())]
-    sizes = {e: sum(map(len, GROUP.findall(m.string, m.start(), e))) for e in ends}
-    least = 13 if kind == "card" else 15
-    return sorted((e for e in ends if sizes[e] >= least), key=lambda e: (not usual(kind, m.string[m.start() : e]), -e))
-
-
+    text, start, least = m.string, m.start(), 13 if kind == "card" else 15
+    first, rest, sizes, total = [], [], (), 0
+    for g in GROUP.finditer(text, start, m.end()):
+        end = g.end()
+        sizes += (end - g.start(),)
+        total += sizes[-1]
+        if total >= least:
+            (first if usual(kind, text[start:end], sizes) else rest).append(end)
+    return first[::-1] + rest[::-1]
+
+
+#: Fixed value: how the digits of cards are grouped.
+GROUPED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
 GROUP = re.compile(r"[A-Za-z0-9]+")
 #: Characters before and after a value that may be read together with it.
 REACH = 400
@@ -269,24 +293,33 @@ ACCOUNTS = {
     }.items()
     for c in codes.split()
 }
+#: Fixed value: English months.
+MONTHS = "January February March April May June July August September October November December".split()
+LONG, BRIEF = "|".join(MONTHS), "|".join(n[:3] for n in MONTHS if n != "May")
+DAY = {"p": r"0[1-9]", "o": r"[1-9]", "t": r"[12]\d|3[01]"}
+WORDED = re.compile(rf"(?:(?P<first>\d\d?)(?P<gap> ))?(?P<month>{LONG}|{BRIEF})(?:(?P<space> )(?P<day>\d\d?))?(?P<mark>,? )(?P<year>\d{{4}})", re.ASCII)
 #: Texts without a match of this hold none of the values.
-HINT = re.compile(r"@|\d[\d().\-/ ]{6,}|[A-Z]{2}\d\d|[\"'][0-9a-f]{32}")
+HINT = re.compile(rf"@|\d[\d().\-/ ]{{6,}}|[A-Z]{{2}}\d\d|[\"'=][0-9a-f]{{32}}|(?:{LONG}|{BRIEF}),? \d")
+DIGIT_DATE = r"(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d)|(?<![\w-])\d{2}-\d{2}-\d{4}(?![\w]|-\d)"
 KINDS = {
     kind: re.compile(pattern, re.ASCII)
     for kind, pattern in {
-        "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+        "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9\u00a1-\uffff-]{1,63}(?:\.[A-Za-z0-9\u00a1-\uffff-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
         "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<![^\s.,;:\"'(\[-])\d{3}[ .-]|(?<!\d)\d{3}[.-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)",
         "abroad": r"(?<![\w+])\+[1-9](?:[ .-]?[()]?[ .-]?\d){7,14}(?![\w]|[.-]\d)",
-        "security": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
-        "iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?=T\d\d|(?![\w]|-\d))",
-        "dmy": r"(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d)",
-        "mdy": r"(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d)",
+        "home": r"(?<![\w+-])0\d{2,4} \d{3,4} \d{3,4}(?![\w]|[ .-]\d)",
+        "security": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)|(?<![\w-])(?<!\d )\d{3} \d{2} \d{4}(?![\w]|[- ]\d)",
+        "iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?=T\d\d|(?![\w]|-\d))|(?<![\w/])\d{4}/\d{2}/\d{2}(?![\w]|/\d)",
+        "dmy": DIGIT_DATE,
+        "mdy": DIGIT_DATE,
+        **{f"worded_{style}{form}{order}": rf"(?<!\w)(?:{f'(?:{day}) (?:{names}),?' if order == 'd' else f'(?:{names}) (?:{day}),?'}) \d{{4}}(?!\w)" for style, names in (("l", LONG), ("s", BRIEF)) for form, day in DAY.items() for order in "dm"},
         "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-        "secret": r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])",
+        "secret": r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])|(?<==)[0-9a-f]{32,64}(?!\w)",
         "card": r"(?<![\w])\d(?:[ -]?\d){12,18}(?![\w])",
     }.items()
 }
+FROM = {kind: list(KINDS)[k:] for k, kind in enumerate(KINDS)} | {None: list(KINDS)}
 PATTERN = re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in KINDS.items()), re.ASCII)
 
 
@@ -294,7 +327,9 @@ def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", count_col: s
     """``df`` with the values in ``text_col`` replaced under ``key``, and their number in ``count_col`` (None: no such column).
 
     Null texts stay null with 0 replaced, empty ones empty. Other columns and all rows stay; a column named
-    ``count_col`` is replaced. Dates outside 1900 to 2099, numbers whose check digits are wrong and addresses out of
+    ``count_col`` is replaced. Repeated rows get equal texts, an empty table gives none, very long texts are read whole in
+    time in proportion to their length. Under another key, as another session has without one of its own, pseudonyms
+    differ and don't link. Dates outside 1900 to 2099, numbers whose check digits are wrong and addresses out of
     range are no values and stay. A mail address without a letter or digit before the @ stays.
     """
     keep = [c for c in df.columns if c != count_col]

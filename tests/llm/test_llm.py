@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tempfile
+import time
 import unicodedata
 import zlib
 from string import ascii_lowercase, ascii_uppercase
@@ -458,7 +459,16 @@ NEIGHBOURS = {
     "call +4915112345678": "+4915112345678",
     "555 123 4567": "555 123 4567",
     "x\n555 123 4567 y": "555 123 4567",
+    "ring 020 7946 0958, please": "020 7946 0958",
+    "no 123 45 6789.": "123 45 6789",
+    "since 2020/05/06 only": "2020/05/06",
+    "(05-06-1990)": "05-06-1990",
+    "token=04dbebab91ab85687d33eeaaf9ac6991 set": "04dbebab91ab85687d33eeaaf9ac6991",
+    "to ann.e@exämple.com": "ann.e",
 }
+DATES = ["3 May 1990", "03 May 1990", "31 December 1999", "May 3, 1990", "May 03 1990", "12 Jan 2001", "1 Jun 2024", "09 Sep 1950", "Feb 29, 2024"]
+#: Numbers and words that are no personal data.
+CLEAN = ["see /2020/05/06/ and v1.2.3", "31 February 2001", "May 1990 was warm", "30 Mayors in 1990", "sha 04dbebab91ab85687d33eeaaf9ac6991", "0123 45678", "1 May 90", "3 may 1990", "12-34-56", "x=04dbebab91ab85687d33eeaaf9ac69919z"]
 
 
 @pytest.mark.parametrize("text", list(NEIGHBOURS))
@@ -471,6 +481,43 @@ def test_pseudonyms_beside_other_tokens(text, key):
     assert pii.Pseudonyms(key, undo=True).text(new, collections.Counter()) == text
 
 
+@pytest.mark.parametrize("text", DATES)
+def test_dates_in_words_keep_their_form(text):
+    form = lambda t: [re.sub(r"[1-9]", "1", w) if len(w) < 4 and w[0].isdigit() else "year" if w.isdigit() else "," in w for w in t.split()]
+    seen = set()
+    for key in (b"k", b"l", b"m", b"n"):
+        counts = collections.Counter()
+        new = pii.Pseudonyms(key).text(f"on {text}.", counts)
+        assert counts.total() == 1 and new != f"on {text}." and [len(x) if x.isdigit() else x for x in re.findall(r"[0-9]+|[ ,.]", new)] == [len(x) if x.isdigit() else x for x in re.findall(r"[0-9]+|[ ,.]", f"on {text}.")]
+        assert form(new[3:-1]) is not None and pii.Pseudonyms(key, undo=True).text(new, collections.Counter()) == f"on {text}."
+        seen.add(new)
+    assert len(seen) == 4
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_texts_stay(text):
+    assert pii.Pseudonyms(b"k").text(text, collections.Counter()) == text
+
+
+def test_cost_of_digits_grows_with_their_number():
+    """Under five seconds a MB on texts of nothing but groups of digits, were they ten times as long."""
+    for group in ("12-34-", "1 ", "1234 5678 "):
+        took = []
+        for n in (20_000, 80_000):
+            t0 = time.process_time()
+            pii.Pseudonyms(b"k").text(group * (n // len(group)), collections.Counter())
+            took.append(time.process_time() - t0)
+        assert took[1] < 8 * max(took[0], 0.05) and took[1] < 4
+
+
+def test_check_digits():
+    rng = random.Random(2)
+    for n in range(1, 20):
+        t = "".join(rng.choice("0123456789") for _ in range(n))
+        by_hand = sum(d if i % 2 == 0 else sum(map(int, str(2 * d))) for i, d in enumerate(map(int, reversed(t))))
+        assert pii.luhn(t) == -by_hand % 10
+
+
 def test_pseudonyms_of_digit_groups_can_be_undone():
     rng = random.Random(4)
     for i in range(300):
