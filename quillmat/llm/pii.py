@@ -236,7 +236,7 @@ class Pseudonyms:
         return None
 
     def text(self, text: str, counts: Counter) -> str:
-        if not HINT.search(text):
+        if not any(y in text for y in YEARS) and not HINT.search(text):
             return text
         out, done = [], 0
         while hit := self.first(text, done):
@@ -299,7 +299,9 @@ LONG, BRIEF = "|".join(MONTHS), "|".join(n[:3] for n in MONTHS if n != "May")
 DAY = {"p": r"0[1-9]", "o": r"[1-9]", "t": r"[12]\d|3[01]"}
 WORDED = re.compile(rf"(?:(?P<first>\d\d?)(?P<gap> ))?(?P<month>{LONG}|{BRIEF})(?:(?P<space> )(?P<day>\d\d?))?(?P<mark>,? )(?P<year>\d{{4}})", re.ASCII)
 #: Texts without a match of this hold none of the values.
-HINT = re.compile(rf"@|\d[\d().\-/ ]{{6,}}|[A-Z]{{2}}\d\d|[\"'=][0-9a-f]{{32}}|(?:{LONG}|{BRIEF}),? \d")
+HINT = re.compile(r"@|\d[\d().\-/ ]{6,}|[A-Z]{2}\d\d|[\"'=][0-9a-f]{32}")
+#: Nor do those without a year like these, where they have no match of HINT.
+YEARS = (" 19", " 20")
 DIGIT_DATE = r"(?<![\w/.])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w]|[/.]\d)|(?<![\w-])\d{2}-\d{2}-\d{4}(?![\w]|-\d)"
 KINDS = {
     kind: re.compile(pattern, re.ASCII)
