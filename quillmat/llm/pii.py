@@ -221,9 +221,10 @@ class Pseudonyms:
                     return start, end, kind
         return None
 
-    def first(self, text: str, pos: int) -> tuple[int, int, str] | None:
-        """The first value from ``pos`` on."""
-        while m := PATTERN.search(text, pos):
+    def first(self, text: str, pos: int, pattern: re.Pattern | None = None) -> tuple[int, int, str] | None:
+        """The first value from ``pos`` on. ``pattern``: one that misses no value of the text."""
+        pattern = pattern or PATTERN
+        while m := pattern.search(text, pos):
             hit = self.at(text, m.start(), m.lastgroup)
             if hit and hit[2] == "card" and not usual("card", text[hit[0] : hit[1]]):
                 for g in GROUP.finditer(text, hit[0] + 1, hit[1]):
@@ -236,10 +237,11 @@ class Pseudonyms:
         return None
 
     def text(self, text: str, counts: Counter) -> str:
-        if not any(y in text for y in YEARS) and not HINT.search(text):
+        years = any(y in text for y in YEARS)
+        if not years and not HINT.search(text):
             return text
         out, done = [], 0
-        while hit := self.first(text, done):
+        while hit := self.first(text, done, PATTERN if years else PLAIN):
             start, end, kind = hit
             # what stands before may be read together with the new value
             near = max(done, start - REACH)
@@ -322,7 +324,7 @@ KINDS = {
     }.items()
 }
 FROM = {kind: list(KINDS)[k:] for k, kind in enumerate(KINDS)} | {None: list(KINDS)}
-PATTERN = re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in KINDS.items()), re.ASCII)
+PATTERN, PLAIN = (re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in KINDS.items() if worded or not kind.startswith("worded")), re.ASCII) for worded in (True, False))
 
 
 def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = "n_replaced", undo: bool = False) -> DataFrame:
