@@ -1,12 +1,18 @@
-"""Fixed-size bitmaps of keys: which rows surely have none of some keys, without sending those rows anywhere."""
+"""Bitmaps of keys: which rows surely have none of some keys, without sending those rows anywhere."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a map, 2 MB in all however many keys there are. A map that fills up sends more rows to the exact way.
-BITS = 1 << 24
+#: Bits of a map (2 MB) unless it is sized by its keys, and at most (128 MB); bits for each key of a sized one. Of a map
+#: with too few more rows go the exact way.
+BITS, MOST_BITS, EACH = 1 << 24, 1 << 30, 16
+
+
+def sized(keys: int) -> int:
+    """Bits of a map of so many keys: about one row in EACH that has none of them goes the exact way, up to MOST_BITS."""
+    return min(MOST_BITS, max(BITS, 1 << (EACH * keys).bit_length()))
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -29,19 +35,19 @@ def marked(df: DataFrame, hashed: Column, wanted: DataFrame, name: str = "_hit",
     return rows.join(F.broadcast(maps), bucket, "left").select(*df.columns, hit.alias(name))
 
 
-def thinned(df: DataFrame, hashed: Column, wanted: DataFrame) -> DataFrame:
+def thinned(df: DataFrame, hashed: Column, wanted: DataFrame, bits: int = BITS) -> DataFrame:
     """Rows of ``df`` whose hash may be in ``wanted``."""
     hit = free(df, "_hit")
-    return marked(df, hashed, wanted, hit).where(F.col(hit)).select(*df.columns)
+    return marked(df, hashed, wanted, hit, bits).where(F.col(hit)).select(*df.columns)
 
 
-def within(df: DataFrame, hashed: Column, wanted: DataFrame, keep: DataFrame, on: Column, once: list[str] | None = None) -> DataFrame:
+def within(df: DataFrame, hashed: Column, wanted: DataFrame, keep: DataFrame, on: Column, once: list[str] | None = None, bits: int = BITS) -> DataFrame:
     """Rows of ``df`` that ``keep`` matches under ``on``, where every row without a match has its hash in ``wanted``.
 
     Rows whose hash isn't there stay without a join; the others are joined, and left once for each ``once``.
     """
     hit = free(df, "_hit")
-    rows = marked(df, hashed, wanted, hit)
+    rows = marked(df, hashed, wanted, hit, bits)
     exact = rows.where(F.col(hit)).join(keep, on, "left_semi")
     if once:
         exact = exact.dropDuplicates(once)

@@ -49,7 +49,7 @@ def dedup_lines(df: DataFrame, least_docs: int = 10, least_chars: int = 1, id_co
         maybe = bitmap.thinned(places, hashed, cold.select(hashed.alias("_hash")))
         drops = drops.unionByName(maybe.join(cold, "_key", "left_semi"))
     drops = scratch.table(drops.groupBy("_row").agg(F.collect_list("_pos").alias("_drop")), "drops")
-    marked = bitmap.marked(src.drop("_keys"), F.xxhash64("_row"), drops.select(F.xxhash64("_row").alias("_hash")))
+    marked = bitmap.marked(src.drop("_keys"), F.xxhash64("_row"), drops.select(F.xxhash64("_row").alias("_hash")), bits=bitmap.sized(drops.count()))
     # sorted and merged at every size: the places grow with the input, so what small inputs cost tells of large ones
     both = marked.where("_hit").join(drops.hint("merge"), "_row", "left")
     both = both.unionByName(marked.where("NOT _hit").withColumn("_drop", F.lit(None).cast("array<int>")))

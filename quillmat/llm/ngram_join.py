@@ -39,7 +39,7 @@ MEET, BUCKET = 512, 500_000
 #: Documents of a rare shingle; bytes of an entry's bitmap at most.
 FEW, SIGN_BYTES = 8, 64
 #: Characters of the texts that are hashed at once, about; a longer text is alone.
-BATCH = 1_000_000
+BATCH = 500_000
 #: Cost of a verification in list entries; the longest lengthening of a prefix.
 VERIFY, MOST_MATCHES = 8.0, 3
 
@@ -404,10 +404,10 @@ def near(pairs: DataFrame, docs: DataFrame, bounds: Bounds) -> DataFrame:
     return met.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFrame:
+def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str, bits: int = bitmap.BITS) -> DataFrame:
     """row, shingles: the sets of the documents in ``wanted`` (row, text digest), from their texts."""
     docs = df.select(F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL").select(F.unhex(F.md5("_text")).alias("text"), "_text")
-    docs = bitmap.thinned(docs, F.xxhash64("text"), wanted.select(F.xxhash64("text").alias("_hash")))
+    docs = bitmap.thinned(docs, F.xxhash64("text"), wanted.select(F.xxhash64("text").alias("_hash")), bits)
 
     def run(chunks):
         seen: set[bytes] = set()
@@ -428,7 +428,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFram
 def verified(pairs: DataFrame, docs: DataFrame, df: DataFrame, n: int, bounds: Bounds, text_col: str) -> DataFrame:
     """``pairs`` (a, b) with linked: whether the whole sets are."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = scratch.table(sets_of(df, docs.select("row", "text").join(ends, "row"), n, text_col), "sets")
+    sets = scratch.table(sets_of(df, docs.select("row", "text").join(ends, "row"), n, text_col, bitmap.sized(2 * pairs.count())), "sets")
     met = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("_y")), "b").join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("_x")), "a")
 
     def run(chunks):
@@ -463,7 +463,7 @@ def link(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     classes = scratch.table(some.groupBy("key").agg(F.min("row").alias("row"), best, F.count(F.lit(1)).alias("copies")), "classes")
     copied = classes.where("copies > 1").select(F.xxhash64("key").alias("_hash"))
     firsts = classes.select(F.col("row").alias("_first"))
-    reps = bitmap.within(some, F.xxhash64("key"), copied, firsts, F.col("row") == F.col("_first"))
+    reps = bitmap.within(some, F.xxhash64("key"), copied, firsts, F.col("row") == F.col("_first"), bits=bitmap.sized(copied.count()))
     total = docs.agg(F.sum(F.length("long") / 8)).first()[0] or 0
     counts = frequencies(reps, max(8, int(total // BUCKET) + 1))
     found = scratch.table(entries(reps, counts, bounds), "entries")

@@ -35,9 +35,9 @@ MODEL_ROWS = 1 << 20
 #: Labelled rows of the logistic fit at most, and of a labels table that is broadcast.
 FIT_ROWS, BROADCAST_ROWS = 50_000, 1_000_000
 #: Characters of the texts that are split into words at once, about; a longer text is alone.
-BATCH = 1_000_000
+BATCH = 500_000
 #: Stretches whose sums a worker keeps.
-KEPT = 200_000
+KEPT = 100_000
 
 U = np.uint64
 FACTOR = 0x9E3779B97F4A7C15

@@ -135,7 +135,7 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
     Very long urls are read whole. Beyond MOST_BITS for level 0 the keys are looked up by a join on the key instead,
     since every task holds a cascade's levels.
     """
-    listed = rules.select("action", F.concat(F.lower("host"), "path").alias("key"), F.struct((F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("n"), F.length("path").alias("m")).alias("shape"))
+    listed = rules.select("action", F.concat(F.translate("host", ascii_uppercase, ascii_lowercase), "path").alias("key"), F.struct((F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("n"), F.length("path").alias("m")).alias("shape"))
     # at most the labels of a host times the lengths of a path
     shapes = sorted((r["shape"]["n"], r["shape"]["m"]) for r in listed.select("shape").distinct().collect())
     host, path = host_and_path(F.col(url_col))

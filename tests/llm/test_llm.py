@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillmat.llm import bpe, components, exact_dedup, line_dedup, ngram_join, packing, pii, queries, scratch, token_files, toxicity, url_filter, vptree
+from quillmat.llm import bitmap, bpe, components, exact_dedup, line_dedup, ngram_join, packing, pii, queries, scratch, token_files, toxicity, url_filter, vptree
 from tests.oracle import same
 
 PATH = queries.tokenizer()
@@ -194,6 +194,22 @@ def test_url_rules_of_many_shapes(spark, monkeypatch, most):
     assert got == {i: brute_url(u, rules) for i, u in enumerate(urls)}
 
 
+def test_rule_hosts_beyond_ascii(spark):
+    """Only A-Z are lower-cased, in rules as in urls."""
+    pages = spark.createDataFrame([(1, "http://\u00c4.EXAMPLE.org/x"), (2, "http://\u00e4.example.org/x")], "page_id long, url string")
+    got = url_filter.judge(pages, url_filter.rules_table(spark, [url_filter.Rule("block", "\u00c4.Example.org", "/")]))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow"}
+
+
+def test_bitmaps_grow_with_their_keys(spark):
+    assert bitmap.sized(0) == bitmap.sized(1000) == bitmap.BITS and bitmap.sized(1 << 40) == bitmap.MOST_BITS
+    assert 16 * 10**7 <= bitmap.sized(10**7) <= 32 * 10**7
+    rows, wanted = spark.range(3000).select(F.xxhash64("id").alias("h")), spark.range(0, 3000, 7).select(F.xxhash64("id").alias("_hash"))
+    for bits in (bitmap.BITS, bitmap.sized(2 * 10**6)):
+        got = {r["h"] for r in bitmap.thinned(rows, F.col("h"), wanted, bits).collect()}
+        assert got >= {r["_hash"] for r in wanted.collect()} and len(got) < 500
+
+
 def test_url_list_by_join(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MOST_BITS", 1)
     df = spark.createDataFrame([(1, "http://a.example.org/es/x"), (2, "http://q.net/"), (3, None)], "page_id long, url string")
