@@ -21,9 +21,10 @@ def chosen(docs: DataFrame, decided: DataFrame, once: bool = True) -> DataFrame:
     key = lambda text: F.xxhash64("doc_id", text)
     rows = docs.withColumn(own, F.md5(F.coalesce("text", F.lit(""))))
     gone = decided.where("NOT kept").select(key("text_md5").alias("_hash"))
-    keep = bitmap.thinned(decided.where("kept"), key("text_md5"), gone).select(F.col("doc_id").alias(number), F.col("text_md5").alias(text))
+    bits = bitmap.sized(gone.count())
+    keep = bitmap.thinned(decided.where("kept"), key("text_md5"), gone, bits).select(F.col("doc_id").alias(number), F.col("text_md5").alias(text))
     same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.col(own) == F.col(text))
-    return bitmap.within(rows, key(own), gone, keep, same, ["doc_id", own] if once else None).select(*docs.columns)
+    return bitmap.within(rows, key(own), gone, keep, same, ["doc_id", own] if once else None, bits).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
