@@ -177,7 +177,7 @@ def described(df: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str)
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=[f.name for f in schema])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(scratch.lean(run), schema)
 
 
 def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
@@ -206,7 +206,7 @@ def frequencies(docs: DataFrame, buckets: int) -> DataFrame:
             out.append((x[n > 1].tobytes(), np.minimum(n[n > 1], 0xFFFFFFFF).astype("<u4").tobytes()))
         return pa.table({"grp": group["grp"], "tokens": pa.array([a for a, _ in out], pa.binary()), "counts": pa.array([b for _, b in out], pa.binary())})
 
-    parts = docs.select("grp", "long").mapInArrow(gather, "bucket long, grp long, tokens binary, counts binary")
+    parts = docs.select("grp", "long").mapInArrow(scratch.lean(gather), "bucket long, grp long, tokens binary, counts binary")
     return parts.groupBy("bucket").applyInArrow(count, "grp long, tokens binary, counts binary")
 
 
@@ -384,7 +384,7 @@ def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame
         if kept is not None and len(kept):
             yield from pairs(kept.combine_chunks())
 
-    return src.mapInArrow(run, "a long, b long, need long, token long")
+    return src.mapInArrow(scratch.lean(run), "a long, b long, need long, token long")
 
 
 def near(pairs: DataFrame, docs: DataFrame, bounds: Bounds) -> DataFrame:
@@ -401,7 +401,7 @@ def near(pairs: DataFrame, docs: DataFrame, bounds: Bounds) -> DataFrame:
                 keep.append(int(np.bitwise_count(both[0] ^ both[1]).sum()) <= bounds.differ(n, m))
             yield c.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return met.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(scratch.lean(run), "a long, b long")
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str, bits: int = bitmap.BITS) -> DataFrame:
@@ -421,7 +421,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, n: int, text_col: str, bits: int =
                 sets = shingles(list(new.values()), n) if new else []
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["text", "shingles"])
 
-    made = docs.mapInArrow(run, "text binary, shingles binary")
+    made = docs.mapInArrow(scratch.lean(run), "text binary, shingles binary")
     return made.join(wanted, "text").groupBy("row").agg(F.first("shingles").alias("shingles"))
 
 
@@ -440,7 +440,7 @@ def verified(pairs: DataFrame, docs: DataFrame, df: DataFrame, n: int, bounds: B
                 out.append(bounds.linked(shared, len(x), len(y)))
             yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
-    return met.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long, linked boolean")
+    return met.select("a", "b", "_x", "_y").mapInArrow(scratch.lean(run), "a long, b long, linked boolean")
 
 
 def link(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

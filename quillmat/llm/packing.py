@@ -98,7 +98,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, in
     return rows
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, kept: int = bpe.KEPT) -> DataFrame:
     """A row per piece, with its task and its rank among the task's pieces of that length."""
     kind = df.schema[id_col].dataType
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -106,6 +106,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
 
     def run(chunks):
         coder, task = bpe.coder(tokenizer, "library"), TaskContext.get().partitionId()
+        coder.kept.most = kept
         seen = np.zeros(capacity + 1, np.int64).tolist()
         for b in chunks:
             for lo, hi in bpe.batches(b.column(1)):
@@ -124,10 +125,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
                 ids = b.column(0).slice(lo, hi - lo).take(pa.array(of, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array([task] * len(of), pa.int64()), pa.array(cols[4], pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32", "_task", "_rank"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(scratch.lean(run), schema)
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", kept: int = bpe.KEPT) -> DataFrame:
     """Pack every whole text, ``end_id`` appended, into sequences of at most ``capacity`` tokens.
 
     A longer document is cut: its first piece takes what the others, all of ``capacity``, leave. Returns a row per
@@ -138,7 +139,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, i
     counts of the tasks before it, so no task ever holds all pieces of one length.
     """
     spark = df.sparkSession
-    made = scratch.table(pieces(df, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    made = scratch.table(pieces(df, tokenizer, capacity, end_id, id_col, text_col, kept), "pieces")
     sizes = made.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n"))
     counts = np.zeros(capacity + 1, np.int64)
     for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect():

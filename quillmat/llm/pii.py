@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import bpe
+from . import bpe, scratch
 
 ROUNDS = 10
 LOW, UP, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -353,4 +353,4 @@ def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", count_col: s
                 cols = [pa.array(texts, pa.string()) if c == text_col else part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(found, pa.int64())] if count_col else []), names=[f.name for f in schema])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(scratch.lean(run), schema)

@@ -7,12 +7,35 @@ nothing else.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def give_back() -> None:
+    """Hand memory that a worker no longer uses back to the system, so that it is there for others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run`` (batches to batches), after whose last batch a worker gives memory back."""
+
+    def wrapped(chunks):
+        try:
+            yield from run(chunks)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 _open: list[list[tuple[SparkSession, str]]] = []
 
 

@@ -94,7 +94,7 @@ def counted(df: DataFrame, order: int) -> DataFrame:
                             made.setdefault(g, [0, 0])[k] += n
                 yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([v[1] for v in made.values()], pa.int64()), pa.array([v[0] for v in made.values()], pa.int64())], names=["gram", "toxic", "ordinary"])
 
-    parts = df.select("_text", "_toxic").mapInArrow(run, "gram string, toxic long, ordinary long")
+    parts = df.select("_text", "_toxic").mapInArrow(scratch.lean(run), "gram string, toxic long, ordinary long")
     return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -279,7 +279,7 @@ def evidence(df: DataFrame, model: Model, order: int, margin: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made.values()], names=[*keep, *made])
 
     means = [(F.col(a) / F.greatest(n, F.lit(1))).alias(c) for a, n, c in (("_sum", "_words", "_strong"), ("_all", "_events", "_ratio"))]
-    seen = df.select(*keep, "_text").mapInArrow(run, schema)
+    seen = df.select(*keep, "_text").mapInArrow(scratch.lean(run), schema)
     if whole:
         return seen.select(*keep, *means)
 
