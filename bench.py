@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 #: Timed runs of each query after one that isn't timed; the figure is their median.
 RUNS = 3
-HEADLINE = ["spgemm_aat_sp", "spgemm_ata_op", "spgemm_structure_op", "split_accumulate_sp", "nnz_cub_ab", "compression", "semiring_minplus", "tile_totals", "tile_decode", "cand_tiles", "tile_work", "seed_order", "axis_profile_rows", "window_tiles_fanout", "heatmap_16"]
+HEADLINE = ["spgemm_aat_sp", "spgemm_ata_op", "spgemm_structure_op", "split_accumulate_sp", "nnz_cub_ab", "compression", "semiring_minplus", "numeric_tiles_c", "median_prices", "tile_totals", "tile_decode", "cand_tiles", "tile_work", "seed_order", "axis_profile_rows", "window_tiles_fanout", "heatmap_16"]
 #: Fixed inputs of the products: pairs of entries that meet, from counts.
 PRODUCTS = {"spgemm_aat_sp": "supplier_part", "spgemm_ata_op": "order_part"}
 

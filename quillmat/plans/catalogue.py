@@ -508,14 +508,19 @@ def reorder_plan(spark, folder):
     return reorder.plan(data.order_part(spark, folder)).perm
 
 
-@query(w("op") + "SELECT 'row' AS axis, count(*) AS ids, count(*) AS old_ids, count(*) AS new_ids, min(o_orderkey) AS least, max(o_orderkey) AS most, (SELECT count(DISTINCT (i // 8, k // 4)) FROM op) AS tiles_before, true AS fewer FROM orders UNION ALL SELECT 'inner', count(*), count(*), count(*), min(p_partkey), max(p_partkey), (SELECT count(DISTINCT (i // 8, k // 4)) FROM op), true FROM part")
+@query(w("op", "d AS (SELECT 'row' AS axis, i AS id, count(*) AS n FROM op GROUP BY ALL UNION ALL SELECT 'inner', k, count(*) FROM op GROUP BY ALL)", "m AS (SELECT axis, count(*) AS used, sum(n)::BIGINT AS entries, sum(n * n)::BIGINT AS squares FROM d GROUP BY 1)", "x AS (SELECT 'row' AS axis, count(DISTINCT o_orderkey) AS ids, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders UNION ALL SELECT 'inner', count(DISTINCT p_partkey), min(p_partkey), max(p_partkey) FROM part)")
+    + "SELECT axis, ids, ids AS old_ids, ids AS new_ids, least, most, used, entries, squares, (SELECT count(DISTINCT (i // 8, k // 4)) FROM op) AS tiles_before, true AS fewer FROM x JOIN m USING (axis)")
 def reorder_plan_effect(spark, folder):
-    """The plan of order x part is a bijection on both axes and gives fewer tiles."""
+    """The plan of order x part is a bijection on both axes that keeps entries and degrees, and gives fewer tiles."""
     a = data.order_part(spark, folder)
     made = reorder.plan(a)
     before = a.df.select(fn.div("i", 8), fn.div("k", 4)).distinct().count()
+    moved = reorder.apply(a, made.perm)
+    degrees = moved.row_counts().select(F.lit("row").alias("axis"), "entries").unionByName(moved.column_counts().select(F.lit("inner").alias("axis"), "entries"))
+    degrees = degrees.groupBy("axis").agg(F.count(F.lit(1)).alias("used"), F.sum("entries").alias("_sum"), F.sum(F.col("entries") * F.col("entries")).alias("squares")).withColumnRenamed("_sum", "entries")
     ids = made.perm.groupBy("axis").agg(F.count(F.lit(1)).alias("ids"), F.count_distinct("old_id").alias("old_ids"), F.count_distinct("new_id").alias("new_ids"), F.min("new_id").alias("least"), F.max("new_id").alias("most"))
-    return ids.withColumn("tiles_before", F.lit(before).cast("long")).withColumn("fewer", F.lit(reorder.tile_count(a, made.perm) < before))
+    fewer = made.stats["num_tiles"] < before
+    return ids.join(degrees, "axis").withColumn("tiles_before", F.lit(before).cast("long")).withColumn("fewer", F.lit(fewer))
 
 
 @query(w("sp") + "SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM sp a JOIN sp b ON a.k = b.k GROUP BY ALL")
