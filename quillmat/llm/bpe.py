@@ -400,7 +400,8 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Encode, decode, and return digests of both in one pass: the id column, n_tokens, ids_sha256, decoded_sha256.
 
     One row per input row, repeated or null ids included; null and empty texts have 0 tokens and the digests of
-    nothing. Other columns of ``df`` don't matter.
+    nothing; very long texts are encoded whole, alone in their batch; an empty table gives no rows. Other columns of
+    ``df`` don't matter.
     """
     kind = df.schema[id_col].dataType
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
