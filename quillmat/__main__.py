@@ -128,7 +128,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     out |= {"compression": out["nnz_cub"] / out["nnz_c"] if out["nnz_c"] else None, "gflops": 2 * out["nnz_cub"] / (out["ms"] * 1e6)}
     if args.check:
         want = settled(product.structure(a, right))
-        out["same_structure"] = product.structural_difference(c.df.selectExpr("i", "k AS j"), want).isEmpty()
+        out["same_structure"] = product.structural_difference(c.df.selectExpr("i", "k AS j"), want, c.m, c.n, 2 * out["nnz_c"]).isEmpty()
         if not out["same_structure"]:
             raise CheckFailed("the product's structure differs from that without an order")
     if args.control != "off":

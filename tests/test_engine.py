@@ -3,6 +3,7 @@ import tempfile
 import time
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -658,3 +659,40 @@ def test_a_path_of_more_levels_than_the_budget(spark):
     assert reorder.bijective(p.perm, "row", 1500) and reorder.bijective(p.perm, "inner", 1500)
     proposal = reorder.coarse(a)[0]
     assert reorder.tile_count(a, proposal) == 562 and reorder.bijective(proposal, "row", 1500)
+
+
+def test_cells_of_a_block_meet_packed(spark):
+    """Between groups and sums a cell takes few bytes, whatever its type, and blocks end no tile."""
+    from quillmat.operators import blocks
+
+    rng = np.random.default_rng(4)
+    grid = blocks.Grid.of(1000, 70, 30 * blocks.BLOCK)
+    at = np.unique(rng.integers(0, 70_000, 9000))
+    i, j = at // 70, at % 70
+    for v in (np.ones(len(at)), np.arange(len(at)) - 5.0, rng.random(len(at)), np.where(at % 2, -0.0, np.inf)):
+        sent = blocks.messages(i, j, v, grid)
+        got = []
+        for b in set(sent["_block"].to_pylist()):
+            x, y, z = blocks.combine(sent.filter(pc.equal(sent["_block"], b)), product.PLUS_TIMES, grid)
+            assert len({(p // 16 % grid.r, q // 16 % grid.s) for p, q in zip(x, y, strict=True)}) == 1
+            got += zip(x.tolist(), y.tolist(), map(repr, z.tolist()), strict=True)
+        assert sorted(got) == sorted(zip(i.tolist(), j.tolist(), map(repr, v.tolist()), strict=True))
+    assert sum(map(len, blocks.messages(i, j, np.ones(len(at)), grid)["places"].to_pylist())) <= 2 * len(at)
+
+
+def test_rows_that_are_shuffled_don_t_grow_with_pairs(spark):
+    """A product's sum gets a row for each group and block, parents none for each pair of inner ones."""
+    a = matrix(spark, [(i, k, 1.0) for i in range(160) for k in range(0, 320, 16)], 160, 320)
+    assert symbolic.parents(a, a.transpose()).count() == 100
+    assert tuple(symbolic.raw_pairs(a, a.transpose()).first()) == (2000, 100)
+    for df in (symbolic.parents(a, a.transpose()), product.multiply(a, "aat").df, planner.match_counts(a, a.transpose())):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroups" in plan and "Join" not in plan.split("FlatMapCoGroups")[0]
+
+
+def test_rows_are_put_back_without_a_second_product(spark):
+    """The checks look at the left operand's rows."""
+    a = matrix(spark, FORTY, 40, 16)
+    perm = reorder.by_degree(a)
+    boom = Matrix(spark.range(4).select(F.raise_error(F.lit("computed")).cast("long").alias("i"), F.col("id").alias("k"), F.lit(1.0).alias("v")), 40, 40)
+    assert reorder.restore_rows(boom, perm, 40, reorder.apply(a, perm)).m == 40
