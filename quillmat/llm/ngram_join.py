@@ -38,6 +38,8 @@ GROUP_ROWS, GROUP_BYTES = 4096, 1 << 24
 MEET, BUCKET = 512, 500_000
 #: Documents of a rare shingle; bytes of an entry's bitmap at most.
 FEW, SIGN_BYTES = 8, 64
+#: Bytes of an entry's bitmap where all pairs between parts are looked at; longer bitmaps stay at SIGN_BYTES.
+WIDE_BYTES = 1024
 #: Characters of the texts that are hashed at once, about; a longer text is alone.
 BATCH = 500_000
 #: Cost of a verification in list entries; the longest lengthening of a prefix.
@@ -264,10 +266,35 @@ def meeting(found: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("row"), parts)
     dealt = found.withColumn("side", own).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     dealt = dealt.withColumn("lo", F.least("side", "_j")).withColumn("hi", F.greatest("side", "_j")).drop("_j")
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sorted_blocks(dealt)
+
+
+def sorted_blocks(dealt: DataFrame) -> DataFrame:
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "row")
 
 
+def parting(found: DataFrame) -> DataFrame:
+    """As :func:`meeting`, for entries with a ``part``, of which only different ones meet.
+
+    The largest part of a shingle stays in blocks of its own, each entry once; the others come to each of these and meet
+    each other as before. So what is sent grows with those outside the largest part, not with the square of all.
+    """
+    sizes = found.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_n"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("_n", "part")).alias("_main"), F.sum("_n").alias("_all"))
+    main = main.where("_all > _main._n").select("token", F.col("_main.part").alias("_part"), F.ceil(F.col("_main._n") / MEET).cast("long").alias("_blocks"), F.ceil((F.col("_all") - F.col("_main._n")) / MEET).cast("long").alias("_rest"))
+    put = found.join(main, "token")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    # blocks of the largest part have lo < 0, and all sides there are different
+    own = put.where("part = _part").withColumn("lo", -one - F.pmod(F.xxhash64("row"), F.col("_blocks"))).withColumn("hi", zero).withColumn("side", zero)
+    rest = put.where("part <> _part")
+    over = rest.withColumn("lo", F.explode(F.sequence(-F.col("_blocks"), -one))).withColumn("hi", zero).withColumn("side", one)
+    many = rest.withColumn("side", F.pmod(F.xxhash64("row"), F.col("_rest"))).withColumn("_j", F.explode(F.sequence(zero, F.col("_rest") - 1)))
+    many = many.withColumn("lo", F.least("side", "_j")).withColumn("hi", F.greatest("side", "_j"))
+    dealt = own.unionByName(over).unionByName(many.drop("_j"))
+    return sorted_blocks(dealt.drop("_part", "_blocks", "_rest"))
+
+
 def aligned(signs: list[bytes], least: int) -> np.ndarray:
     """Bitmaps folded to ``least`` bytes, a row each."""
     rows = np.stack([np.frombuffer(s, np.uint8) if len(s) == least else fold(np.frombuffer(s, np.uint8), least) for s in signs])
@@ -333,7 +360,7 @@ def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame
     Those of a common shingle are a spanning forest of each block's graph, or (``all_between``) all of its pairs of
     different parts.
     """
-    src = meeting(found).select("token", "lo", "hi", "row", "held", "size", "matches", "common", "side", "sign", *(["part"] if all_between else []))
+    src = (parting if all_between else meeting)(found).select("token", "lo", "hi", "row", "held", "size", "matches", "common", "side", "sign", *(["part"] if all_between else []))
 
     def block(b: pa.Table, cross: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows of a common shingle's block."""
@@ -473,11 +500,17 @@ def link(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     links = scratch.table(verified(tried, docs, df, n, bounds, text_col).where("linked").select("a", "b"), "linked")
     parts = components.labels(links)
     failed = met.where("token IS NOT NULL").join(links, ["a", "b"], "left_anti")
-    split = scratch.table(failed.select("token").distinct(), "split")
+    at = lambda c: parts.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    failed = failed.join(at("a"), "a", "left").join(at("b"), "b", "left").select("token", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b")
+    split = scratch.table(failed.select("token", F.col("_a").alias("part")).unionByName(failed.select("token", F.col("_b").alias("part"))).distinct(), "split")
     if not split.isEmpty():
-        # two documents of a block that are near but in different parts had a failed pair between them in that block
-        marks = split.select(F.xxhash64("token").alias("_hash"))
-        parted = bitmap.thinned(found, F.xxhash64("token"), marks).join(split, "token", "left_semi").join(parts.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
+        # two documents of a block that are near but in different parts had a failed pair between them in that block, and
+        # so had each one's part
+        marks = split.select(F.xxhash64("token").alias("_hash")).distinct()
+        parted = bitmap.thinned(found, F.xxhash64("token"), marks).join(parts.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("part", F.coalesce("label", "row")).drop("label")
+        parted = parted.join(split, ["token", "part"], "left_semi")
+        wide = docs.select("row", F.when(F.length("bits") <= WIDE_BYTES, F.col("bits")).alias("_wide")).join(parted.select("row").distinct(), "row", "left_semi")
+        parted = scratch.table(parted.join(wide, "row").withColumn("sign", F.coalesce("_wide", "sign")).drop("_wide"), "parted")
         rest = candidates(parted, bounds, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         more = verified(scratch.table(near(scratch.table(rest, "pairs"), docs, bounds), "near"), docs, df, n, bounds, text_col)
         parts = components.labels(links.unionByName(scratch.table(more.where("linked").select("a", "b"), "linked")))

@@ -976,3 +976,16 @@ def test_ngram_groups_are_small(spark, monkeypatch, rows, most):
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path, [])).count() == 0
+
+
+def test_parts_of_a_common_shingle_meet_without_sending_its_largest_one_around(spark):
+    """Every pair of different parts meets; the largest part's entries are sent once, not to every block."""
+    main, others = 5000, 30
+    rows = [(7, r, main + others, 1 if r < main else r) for r in range(main + others)]
+    found = spark.createDataFrame(rows, "token long, row long, held long, part long")
+    sent = ngram_join.parting(found)
+    assert sent.count() <= main + others * (-(-main // ngram_join.MEET) + 1)
+    x, y = sent, sent.select("token", "lo", "hi", sent["row"].alias("_row"), sent["part"].alias("_part"), sent["side"].alias("_side"))
+    met = x.join(y, ["token", "lo", "hi"]).where("row < _row AND part <> _part AND (lo = hi OR side <> _side)")
+    assert met.select("row", "_row").distinct().count() == main * others + others * (others - 1) // 2
+    assert ngram_join.meeting(found).count() == (main + others) * (-(-(main + others) // ngram_join.MEET))
