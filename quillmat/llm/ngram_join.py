@@ -40,6 +40,8 @@ MEET, BUCKET = 512, 500_000
 FEW, SIGN_BYTES = 8, 64
 #: Bytes of an entry's bitmap where all pairs between parts are looked at; longer bitmaps stay at SIGN_BYTES.
 WIDE_BYTES = 1024
+#: There, the least shingles that an entry carries of its document: a pair is given at the least one that both carry.
+CARRIED = 32
 #: Characters of the texts that are hashed at once, about; a longer text is alone.
 BATCH = 500_000
 #: Cost of a verification in list entries; the longest lengthening of a prefix.
@@ -354,13 +356,33 @@ def rare_pairs(token: np.ndarray, row: np.ndarray, size: np.ndarray, matches: np
     return [np.minimum(row[i], row[j]), np.maximum(row[i], row[j]), need]
 
 
+def carrying(parted: DataFrame) -> DataFrame:
+    """``parted`` with ``carried``: the least of its row's shingles there, CARRIED at most."""
+    least = parted.groupBy("row").agg(F.slice(F.array_sort(F.collect_set("token")), 1, CARRIED).alias("carried"))
+    return parted.join(least, "row")
+
+
+def given_before(token: int, carried: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of rows (places in ``carried``) that meet at a shingle: which both carry a lesser one, where they meet too."""
+    row = np.repeat(np.arange(len(carried)), [len(c) for c in carried])
+    every = np.concatenate([np.zeros(0, np.int64), *carried])
+    below = every < token
+    names, at = np.unique(every[below], return_inverse=True)
+    held = np.zeros((len(carried), len(names) // 8 + 1), np.uint8)
+    np.bitwise_or.at(held, (row[below], at // 8), (1 << (at % 8)).astype(np.uint8))
+    out, step = np.zeros(len(x), bool), max(1, (1 << 26) // held.shape[1])
+    for s in range(0, len(x), step):
+        out[s : s + step] = (held[x[s : s + step]] & held[y[s : s + step]]).any(axis=1)
+    return out
+
+
 def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame:
     """a < b, need, token: pairs of rare shingles, which ``need`` of them must give; pairs of common ones, with a token.
 
     Those of a common shingle are a spanning forest of each block's graph, or (``all_between``) all of its pairs of
-    different parts.
+    different parts, but for those that an earlier shingle gives.
     """
-    src = (parting if all_between else meeting)(found).select("token", "lo", "hi", "row", "held", "size", "matches", "common", "side", "sign", *(["part"] if all_between else []))
+    src = (parting if all_between else meeting)(found).select("token", "lo", "hi", "row", "held", "size", "matches", "common", "side", "sign", *(["part", "carried"] if all_between else []))
 
     def block(b: pa.Table, cross: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows of a common shingle's block."""
@@ -369,13 +391,20 @@ def candidates(found: DataFrame, bounds: Bounds, all_between: bool) -> DataFrame
         first, second = [row[:0]], [row[:0]]
         if len(row) > 1 and not (all_between and len(np.unique(part)) < 2):
             signs, order = b["sign"].to_pylist(), np.argsort(size, kind="stable")
+            carried = b["carried"].to_pylist() if all_between else None
             sorted_ = size[order].astype(np.int64)
             gaps = np.flatnonzero(bounds.den * sorted_[:-1] < bounds.num * sorted_[1:]) + 1  # only like sizes can link
             for g in np.split(order, gaps):
                 if len(g) < 2:
                     continue
                 near = close(size[g].astype(np.int64), [signs[k] for k in g.tolist()], side[g] if cross else None, bounds)
-                x, y = np.nonzero(np.triu(near & (part[g][:, None] != part[g]))) if all_between else np.array(forest(near), np.int64).reshape(-1, 2).T
+                if all_between:
+                    x, y = np.nonzero(np.triu(near & (part[g][:, None] != part[g])))
+                    if len(x):
+                        new = ~given_before(b["token"][0].as_py(), [np.array(carried[k], np.int64) for k in g.tolist()], x, y)
+                        x, y = x[new], y[new]
+                else:
+                    x, y = np.array(forest(near), np.int64).reshape(-1, 2).T
                 first.append(row[g[x]])
                 second.append(row[g[y]])
         x, y = np.concatenate(first), np.concatenate(second)
@@ -511,7 +540,7 @@ def link(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
         parted = parted.join(split, ["token", "part"], "left_semi")
         wide = docs.select("row", F.when(F.length("bits") <= WIDE_BYTES, F.col("bits")).alias("_wide")).join(parted.select("row").distinct(), "row", "left_semi")
         parted = scratch.table(parted.join(wide, "row").withColumn("sign", F.coalesce("_wide", "sign")).drop("_wide"), "parted")
-        rest = candidates(parted, bounds, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        rest = candidates(carrying(parted), bounds, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         more = verified(scratch.table(near(scratch.table(rest, "pairs"), docs, bounds), "near"), docs, df, n, bounds, text_col)
         parts = components.labels(links.unionByName(scratch.table(more.where("linked").select("a", "b"), "linked")))
     named = classes.join(parts.select(F.col("node").alias("row"), "label"), "row", "left").select("key", "best", F.coalesce("label", "row").alias("label"))

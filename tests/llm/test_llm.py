@@ -989,3 +989,14 @@ def test_parts_of_a_common_shingle_meet_without_sending_its_largest_one_around(s
     met = x.join(y, ["token", "lo", "hi"]).where("row < _row AND part <> _part AND (lo = hi OR side <> _side)")
     assert met.select("row", "_row").distinct().count() == main * others + others * (others - 1) // 2
     assert ngram_join.meeting(found).count() == (main + others) * (-(-(main + others) // ngram_join.MEET))
+
+
+def test_pairs_between_parts_are_given_once_not_at_every_shingle(spark):
+    """Documents of different parts that share forty common shingles are a pair once, and no pair is lost."""
+    bounds, shared, docs = ngram_join.Bounds(80, 100), 40, 30
+    sets = [np.sort(ngram_join.mix(np.array([*range(shared), 1000 + r], np.uint64))) for r in range(docs)]
+    rows = [(t, r, docs, shared + 1, 1, shared, r // 3, bytearray(ngram_join.parity(x))) for r, x in enumerate(sets) for t in x.view(np.int64).tolist()]
+    parted = spark.createDataFrame(rows, "token long, row long, held long, size int, matches int, common int, part long, sign binary")
+    got = [(p["a"], p["b"]) for p in ngram_join.candidates(ngram_join.carrying(parted), bounds, True).collect()]
+    assert len(got) <= 2 * len(set(got))
+    assert set(got) == {(a, b) for a in range(docs) for b in range(a + 1, docs) if a // 3 != b // 3}
