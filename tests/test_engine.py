@@ -3,6 +3,7 @@ import tempfile
 import time
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
@@ -696,3 +697,23 @@ def test_rows_are_put_back_without_a_second_product(spark):
     perm = reorder.by_degree(a)
     boom = Matrix(spark.range(4).select(F.raise_error(F.lit("computed")).cast("long").alias("i"), F.col("id").alias("k"), F.lit(1.0).alias("v")), 40, 40)
     assert reorder.restore_rows(boom, perm, 40, reorder.apply(a, perm)).m == 40
+
+
+def test_slices_of_heavy_tiles_come_from_packed_lists_not_from_rows_of_steps(spark):
+    """As a plain count over the merged lists says, with lists that end apart, and without a row for each step."""
+    rng = np.random.default_rng(3)
+    left, right = {0: np.unique(rng.integers(0, 900, 300)), 70: np.unique(rng.integers(0, 70_000, 200))}, {5: np.unique(rng.integers(0, 900, 400)), 6: np.array([69_000])}
+    tile = [(side, x, t) for side, lists in enumerate((left, right)) for x, ts in lists.items() for t in ts.tolist()]
+    packed = spark.createDataFrame(tile, "side long, id long, tk long").groupBy("side", "id").applyInArrow(planner.packed_list, "side long, id long, kt string, gaps binary").toArrow()
+    heavy = pa.table({"tile_row": [0, 0, 70], "tile_col": [5, 6, 5], "chunks": [7, 2, 3]})
+    want = {}
+    for r, c, n in zip(*(heavy[x].to_pylist() for x in heavy.column_names), strict=True):
+        end = min(left[r].max(), right[c].max())
+        steps = [9.0 if t in left[r] and t in right[c] else 1.0 for t in np.union1d(left[r], right[c]) if t <= end]
+        before = 0.0
+        for x in steps:
+            key = (r, c, int(before * n / sum(steps)))
+            want[key] = (want.get(key, (0, 0.0))[0] + 1, want.get(key, (0, 0.0))[1] + x)
+            before += x
+    got = planner.sliced(heavy, packed, planner.Cost()).to_pylist()
+    assert {(x["tile_row"], x["tile_col"], x["chunk"]): (x["steps"], x["work"]) for x in got} == want and len(got) == len(want)
