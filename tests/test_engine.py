@@ -717,3 +717,18 @@ def test_slices_of_heavy_tiles_come_from_packed_lists_not_from_rows_of_steps(spa
             before += x
     got = planner.sliced(heavy, packed, planner.Cost()).to_pylist()
     assert {(x["tile_row"], x["tile_col"], x["chunk"]): (x["steps"], x["work"]) for x in got} == want and len(got) == len(want)
+
+
+def test_links_of_a_partition_become_stars_before_the_rounds(spark):
+    """As many links as vertices less one for each tree, whatever the links between them, and the same components."""
+    from quillmat.operators import graph
+
+    rng = np.random.default_rng(5)
+    src, dst = rng.integers(0, 40, (2, 4000))
+    far = np.repeat(np.arange(3) * 1000, 4000)
+    links = pa.RecordBatch.from_arrays([pa.array(np.tile(src, 3) + far), pa.array(np.tile(dst, 3) + far)], names=["src", "dst"])
+    (stars,) = graph.forests(iter([links.slice(0, 5000), links.slice(5000)]))
+    assert len(stars) == 3 * 39 and set(stars["dst"].to_pylist()) == {0, 1000, 2000}
+    df = spark.createDataFrame(pa.Table.from_batches([links]).to_pandas())
+    got = {r["vid"]: r["label"] for r in graph.components(df, local=0).collect()}
+    assert got == {1000 * c + v: 1000 * c for c in range(3) for v in range(40)}
