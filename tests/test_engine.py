@@ -732,3 +732,26 @@ def test_links_of_a_partition_become_stars_before_the_rounds(spark):
     df = spark.createDataFrame(pa.Table.from_batches([links]).to_pandas())
     got = {r["vid"]: r["label"] for r in graph.components(df, local=0).collect()}
     assert got == {1000 * c + v: 1000 * c for c in range(3) for v in range(40)}
+
+
+def random_matrix(spark, m, n, entries, seed):
+    rng = np.random.default_rng(seed)
+    return matrix(spark, sorted({(int(i), int(k), 1.0) for i, k in zip(rng.integers(0, m, entries), rng.integers(0, n, entries), strict=True)}), m, n)
+
+
+def test_output_tiles_are_not_joined_to_their_work(spark, monkeypatch):
+    """Lists go to the blocks of C, several here, where its cells are."""
+    from quillmat.operators import blocks
+
+    a, b = random_matrix(spark, 90, 120, 200, 1), random_matrix(spark, 120, 70, 200, 2)
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    work = planner.tile_work(a, b)
+    assert "Join" not in work._jdf.queryExecution().optimizedPlan().toString()
+    x, y = ([(r["i"], r["k"]) for r in d.df.collect()] for d in (a, b))
+    cells = {(i, j) for i, k in x for q, j in y if k == q}
+    want = {}
+    for r, c in {(i // 8, j // 8) for i, j in cells}:
+        left, right = {k // 4 for i, k in x if i // 8 == r}, {i // 4 for i, j in y if j // 8 == c}
+        both, end = len(left & right), min(max(left), max(right))
+        want[r, c] = (both, len({t for t in left | right if t <= end}), len(left | right), sum((i // 8, j // 8) == (r, c) for i, j in cells))
+    assert {(t[0], t[1]): tuple(t[2:6]) for t in work.collect()} == want
