@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TILE_K, TILE_M, bit, div
+from . import blocks
 from .matrix import Matrix
-from .product import deal, grouped, product_count, structure, structure_in_blocks
+from .product import deal, group_messages, grouped, product_count, structure, structure_in_blocks
 from .tiles import tiles
 
 
@@ -81,11 +82,27 @@ def mask_sizes(a: Matrix, b: Matrix) -> DataFrame:
 def children(a: Matrix, b: Matrix) -> DataFrame:
     """parent_row, parent_col, children (0 to 4 output tiles that hold entries) of every candidate parent.
 
-    Which tiles hold entries needs tile rows of A and tile columns of B alone, no single rows or columns of C.
+    Which tiles hold entries needs tile rows of A and tile columns of B alone, no single rows or columns of C. Tiles and
+    candidates meet in the blocks of one grid, so neither are rows before.
     """
-    tiles_ = structure(coarse(a, TILE_M, 1), coarse(b, 1, TILE_M))
-    quads = tiles_.groupBy(div("i", 2).alias("parent_row"), div("j", 2).alias("parent_col")).agg(F.count(F.lit(1)).alias("children"))
-    return parents(a, b).join(quads, ["parent_row", "parent_col"], "left").select("parent_row", "parent_col", F.coalesce("children", F.lit(0)).alias("children"))
+    left, right = coarse(a, TILE_M, 1), coarse(b, 1, TILE_M)
+    tiles_, grid = group_messages(left, right, deal(left, right), None)
+    two = grid.coarser(2)
+    left, right = parent_operands(a, b)
+    sent, _ = group_messages(left, right, deal(left, right), None, grid=two)
+
+    def counted(tile_rows: pa.Table, parent_rows_: pa.Table) -> pa.Table:
+        i, j, _ = blocks.combine(tile_rows, None, grid)
+        row, col, _ = blocks.combine(parent_rows_, None, two)
+        wide = np.int64(two.n + 1)
+        held, n = np.unique(i // 2 * wide + j // 2, return_counts=True)
+        key = row * wide + col
+        at = np.searchsorted(held, key)
+        at[at == len(held)] = 0
+        kids = np.where(held[at] == key, n[at], 0) if len(held) else np.zeros(len(key), np.int64)
+        return pa.table({"parent_row": row, "parent_col": col, "children": kids.astype(np.int64)})
+
+    return blocks.together([tiles_, sent], two, counted, "parent_row long, parent_col long, children long")
 
 
 def raw_pairs(a: Matrix, b: Matrix) -> DataFrame:

@@ -755,3 +755,16 @@ def test_output_tiles_are_not_joined_to_their_work(spark, monkeypatch):
         both, end = len(left & right), min(max(left), max(right))
         want[r, c] = (both, len({t for t in left | right if t <= end}), len(left | right), sum((i // 8, j // 8) == (r, c) for i, j in cells))
     assert {(t[0], t[1]): tuple(t[2:6]) for t in work.collect()} == want
+
+
+def test_candidates_are_not_joined_to_their_children(spark, monkeypatch):
+    from quillmat.operators import blocks
+
+    a, b = random_matrix(spark, 90, 120, 150, 3), random_matrix(spark, 120, 70, 150, 4)
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    kids = symbolic.children(a, b)
+    assert "Join" not in kids._jdf.queryExecution().optimizedPlan().toString()
+    x, y = ([(r["i"], r["k"]) for r in d.df.collect()] for d in (a, b))
+    tiles_ = {(i // 8, j // 8) for i, k in x for q, j in y if k == q}
+    want = {(i // 16, j // 16): sum((r // 2, c // 2) == (i // 16, j // 16) for r, c in tiles_) for i, k in x for q, j in y if k // 16 == q // 16}
+    assert {(r[0], r[1]): r[2] for r in kids.collect()} == want and 0 in want.values()
