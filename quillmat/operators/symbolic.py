@@ -69,16 +69,35 @@ def exact_masks(a: Matrix, b: Matrix) -> DataFrame:
     return structure_in_blocks(a, b, mask_rows, "tile_row long, tile_col long, mask_lo long, mask_hi long, nnz long")
 
 
+def tile_counts(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tile rows of the 8 x 8 tiles of distinct coordinates, by row and column, and how many each tile holds."""
+    wide = np.int64(j.max(initial=0) // TILE_M + 1)
+    tile, n = np.unique(i // TILE_M * wide + j // TILE_M, return_counts=True)
+    return tile // wide, n
+
+
 def mask_sizes(a: Matrix, b: Matrix) -> DataFrame:
     """nnz, n: how many output tiles hold so many entries."""
 
     def sizes(i: np.ndarray, j: np.ndarray, v=None) -> pa.Table:
-        nnz, n = np.unique(mask_rows(i, j).column("nnz").to_numpy(), return_counts=True)
+        nnz, n = np.unique(tile_counts(i, j)[1], return_counts=True)
         return pa.table({"nnz": nnz.astype(np.int64), "n": n.astype(np.int64)})
 
     return structure_in_blocks(a, b, sizes, "nnz long, n long").groupBy("nnz").agg(F.sum("n").alias("n"))
 
 
+def tile_rows_held(a: Matrix, b: Matrix) -> DataFrame:
+    """tile_row, tiles, nnz: of each tile row of C that has any, its tiles and their entries. Tiles are no rows before."""
+
+    def held(i: np.ndarray, j: np.ndarray, v=None) -> pa.Table:
+        row, n = tile_counts(i, j)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+        nnz = np.add.reduceat(n, first) if len(first) else n
+        return pa.table({"tile_row": row[first].astype(np.int64), "tiles": np.diff(np.append(first, len(row))).astype(np.int64), "nnz": nnz.astype(np.int64)})
+
+    return structure_in_blocks(a, b, held, "tile_row long, tiles long, nnz long").groupBy("tile_row").agg(F.sum("tiles").alias("tiles"), F.sum("nnz").alias("nnz"))
+
+
 def children(a: Matrix, b: Matrix) -> DataFrame:
     """parent_row, parent_col, children (0 to 4 output tiles that hold entries) of every candidate parent.
 

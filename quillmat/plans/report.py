@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import SLOTS
 from ..operators.matrix import Matrix
-from ..operators.symbolic import exact_masks
+from ..operators.symbolic import mask_sizes
 from ..operators.tiles import tiles
 
 
@@ -25,7 +25,7 @@ def operand(a: Matrix, name: str, right: bool = False) -> DataFrame:
 
 def product_tiles(a: Matrix, b: Matrix, name: str = "c") -> DataFrame:
     """name, key, value of C in 8 x 8 tiles: tiles that hold entries, entries, fill, entries a tile at most."""
-    t = exact_masks(a, b).agg(F.count(F.lit(1)).alias("tiles"), F.coalesce(F.sum("nnz"), F.lit(0)).alias("entries"), F.coalesce(F.max("nnz"), F.lit(0)).alias("most_entries"))
+    t = mask_sizes(a, b).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tiles"), F.coalesce(F.sum(F.col("nnz") * F.col("n")), F.lit(0)).alias("entries"), F.coalesce(F.max("nnz"), F.lit(0)).alias("most_entries"))
     return unpivoted(t.withColumn("fill", F.coalesce(F.try_divide("entries", 64 * F.col("tiles")), F.lit(0.0))), name)
 
 
