@@ -42,8 +42,12 @@ def offsets(t: DataFrame) -> DataFrame:
 
 def row_pointer(t: DataFrame, tile_rows: int) -> DataFrame:
     """r, ptr for r = 0..tile_rows: tiles of the tile rows before r, empty ones included."""
-    counts = t.groupBy(F.col("tile_row").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    every = t.sparkSession.range(tile_rows + 1).select(F.col("id").alias("r")).join(counts, "r", "left").select("r", F.coalesce("n", F.lit(0)).alias("n"))
+    return row_pointer_of(t.groupBy("tile_row").agg(F.count(F.lit(1)).alias("n")), tile_rows)
+
+
+def row_pointer_of(counts: DataFrame, tile_rows: int) -> DataFrame:
+    """The same from tile_row, n: the tiles of each tile row that has any."""
+    every = counts.sparkSession.range(tile_rows + 1).select(F.col("id").alias("r")).join(counts.withColumnRenamed("tile_row", "r"), "r", "left").select("r", F.coalesce("n", F.lit(0)).alias("n"))
     return running(every, ["r"], "n", "ptr").select("r", "ptr")
 
 
