@@ -815,3 +815,37 @@ def test_messages_take_the_bits_that_places_and_values_need():
         for n in (0, 1, 9):
             x = rng.integers(0, 200, n).astype(kind)
             assert (blocks.unpacked(blocks.packed(x), kind) == x).all()
+
+
+def test_a_pass_takes_whole_windows_as_profiles_and_costs_do(spark, monkeypatch):
+    """The plan's windows are packed where their entries are, without a join, and as the aggregates would."""
+    a = random_matrix(spark, 150, 90, 700, 6)
+    want = reorder.plan(a, "unguarded"), reorder.plan(a, "fine")
+    monkeypatch.setattr(reorder, "MOST_OF_ONE", 0)
+    for variant, p in zip(("unguarded", "fine"), want, strict=True):
+        q = reorder.plan(a, variant)
+        assert triples(p.perm) == triples(q.perm)
+        assert {k: v for k, v in p.stats.items() if not k.endswith("_ms")} == {k: v for k, v in q.stats.items() if not k.endswith("_ms")}
+    monkeypatch.setattr(reorder, "MOST_OF_ONE", 1 << 22)
+    monkeypatch.setattr(reorder, "profiles", None)
+    monkeypatch.setattr(reorder, "PACKED", 1)
+    assert triples(reorder.plan(a, "fine").perm) == triples(want[1].perm)
+
+
+def test_few_rounds_need_no_components(spark, monkeypatch):
+    a = matrix(spark, [(i, i, 1) for i in range(30)] + [(i, i + 1, 1) for i in range(20)], 30, 31)
+    want = traversed(a, 9, 1 << 20)
+    monkeypatch.setattr(reorder, "components", None)
+    assert traversed(a, 9, 0) == want and want[2] == 9
+
+
+def test_stars_that_share_vertices_are_a_smaller_graph(spark, monkeypatch):
+    """Links of the same components in many partitions: their centres are connected, no rounds over all links."""
+    from quillmat.operators import graph
+
+    rng = random.Random(9)
+    pairs = [(1000 * c + rng.randrange(200), 1000 * c + rng.randrange(200)) for c in range(4) for _ in range(2000)]
+    df = spark.createDataFrame(pairs, "src long, dst long").repartition(4)
+    want = triples(graph.components(df))
+    monkeypatch.setattr(graph, "rounds", None)
+    assert triples(graph.components(df, local=50, dealt=True)) == want and len({x for _, x in want}) == 4
