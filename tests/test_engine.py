@@ -849,3 +849,32 @@ def test_stars_that_share_vertices_are_a_smaller_graph(spark, monkeypatch):
     want = triples(graph.components(df))
     monkeypatch.setattr(graph, "rounds", None)
     assert triples(graph.components(df, local=50, dealt=True)) == want and len({x for _, x in want}) == 4
+
+
+def test_slices_look_at_single_steps_only_where_parts_begin():
+    """164 million steps of 4096 tiles, which a merge of the lists would take one by one; some tiles against that merge."""
+    rng = np.random.default_rng(4)
+    rows, cols = ([np.sort(rng.choice(40_000, 20_000, replace=False)) for _ in range(64)] for _ in range(2))
+    cols[3], cols[4] = cols[3][:900], rows[7]
+    parts = [planner.packed_list(pa.table({"side": [side] * len(t), "id": [x] * len(t), "tk": t})) for side, ts in enumerate((rows, cols)) for x, t in enumerate(ts)]
+    r, c = (x.ravel() for x in np.indices((64, 64)))
+    heavy = pa.table({"tile_row": r, "tile_col": c, "chunks": 1 + (r + c) % 8})
+    started = time.monotonic()
+    got = planner.sliced(heavy, pa.concat_tables(parts), planner.Cost())
+    assert time.monotonic() - started < 2
+    at, found = (got[x].to_numpy() for x in ("tile_row", "tile_col")), list(zip(*(got[x].to_pylist() for x in ("chunk", "steps", "work")), strict=True))
+    at = np.stack(list(at), axis=1)
+    for x, y in ((0, 0), (7, 4), (9, 3), (63, 62), (7, 7)):
+        end, n = min(rows[x][-1], cols[y][-1]), 1 + (x + y) % 8
+        both = np.union1d(rows[x], cols[y])
+        both = both[both <= end]
+        weight = np.where(np.isin(both, rows[x]) & np.isin(both, cols[y]), 9, 1)
+        part = (np.cumsum(weight) - weight) * n // weight.sum()
+        want = [(p, int((part == p).sum()), float(weight[part == p].sum())) for p in np.unique(part).tolist()]
+        assert [found[t] for t in np.flatnonzero((at == (x, y)).all(axis=1))] == want
+
+
+def test_lists_take_the_bits_that_their_gaps_need():
+    tk = np.sort(np.random.default_rng(2).choice(1_800_000, 5000, replace=False))
+    packed = planner.packed_list(pa.table({"side": [0] * 5000, "id": [1] * 5000, "tk": tk})).to_pylist()[0]
+    assert len(packed["gaps"]) < 1.5 * len(tk) and (planner.listed(packed["gaps"], packed["kt"]) == tk).all()
