@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import TILE_K, TILE_M, bit, div
 from . import blocks
 from .matrix import Matrix
-from .product import deal, group_messages, grouped, product_count, structure, structure_in_blocks
+from .product import deal, group_messages, grouped, product_count, structure, structure_in_blocks, structure_messages
 from .tiles import tiles
 
 
@@ -107,8 +107,7 @@ def children(a: Matrix, b: Matrix) -> DataFrame:
     left, right = coarse(a, TILE_M, 1), coarse(b, 1, TILE_M)
     tiles_, grid = group_messages(left, right, deal(left, right), None)
     two = grid.coarser(2)
-    left, right = parent_operands(a, b)
-    sent, _ = group_messages(left, right, deal(left, right), None, grid=two)
+    sent = structure_messages(*parent_operands(a, b), two)
 
     def counted(tile_rows: pa.Table, parent_rows_: pa.Table) -> pa.Table:
         i, j, _ = blocks.combine(tile_rows, None, grid)

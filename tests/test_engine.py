@@ -878,3 +878,20 @@ def test_lists_take_the_bits_that_their_gaps_need():
     tk = np.sort(np.random.default_rng(2).choice(1_800_000, 5000, replace=False))
     packed = planner.packed_list(pa.table({"side": [0] * 5000, "id": [1] * 5000, "tk": tk})).to_pylist()[0]
     assert len(packed["gaps"]) < 1.5 * len(tk) and (planner.listed(packed["gaps"], packed["kt"]) == tk).all()
+
+
+def test_crowded_structures_come_from_stripes(spark, monkeypatch):
+    """Where pairs are many times the cells, blocks OR the operands that cross them; no cells of groups are sent."""
+    a, b = random_matrix(spark, 90, 50, 1500, 3), random_matrix(spark, 50, 70, 1200, 4)
+    hollow = Matrix(a.df.where("i < 20 OR k < 9"), 90, 50)
+    want = [triples(product.grouped(x, b, product.deal(x, b), None, finish=blocks.places, schema="i long, j long")) for x in (a, hollow)]
+    kids = triples(symbolic.children(a, b))
+    monkeypatch.setattr(product, "CROWDED", 0)
+    monkeypatch.setattr(product, "STRIPED", 1000)
+    monkeypatch.setattr(product, "SLAB", 100)
+    monkeypatch.setattr(product, "group_cells", None)
+    assert [triples(product.structure(x, b)) for x in (a, hollow)] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(product, "CROWDED", 0)
+    monkeypatch.setattr(product, "CELLS", 8)
+    assert triples(symbolic.children(a, b)) == kids and triples(product.structure(a, b)) == want[0]
