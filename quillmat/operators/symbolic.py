@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TILE_K, TILE_M, bit, div
+from ..functions.ordering import Tables
 from . import blocks
 from .matrix import Matrix
-from .product import deal, group_messages, grouped, product_count, structure, structure_in_blocks, structure_messages
+from .product import deal, group_messages, grouped, structure, structure_count, structure_in_blocks, structure_messages
 from .tiles import tiles
 
 
@@ -43,8 +44,10 @@ def candidates(a: Matrix, b: Matrix) -> DataFrame:
 
 
 def parent_operands(a: Matrix, b: Matrix) -> tuple[Matrix, Matrix]:
-    """The 16 x 16 parents of both operands."""
-    return coarse(a, 16, 16), coarse(b, 16, 16)
+    """The 16 x 16 parents of both operands, kept: counts and blocks read them again."""
+    tables = Tables(a.df.sparkSession)
+    keep = lambda name, m: Matrix(tables.put(name, m.df.select("i", "k")).withColumn("v", F.lit(1.0)), m.m, m.n)
+    return keep("left", coarse(a, 16, 16)), keep("right", coarse(b, 16, 16))
 
 
 def parents(a: Matrix, b: Matrix) -> DataFrame:
@@ -126,8 +129,8 @@ def children(a: Matrix, b: Matrix) -> DataFrame:
 def raw_pairs(a: Matrix, b: Matrix) -> DataFrame:
     """raw_pairs, parents: pairs of parents that share an inner one, from counts alone, and how many different ones."""
     left, right = parent_operands(a, b)
-    pairs = product_count(left, right).select(F.col("nnz_cub").alias("raw_pairs"), F.lit(1).alias("_x"))
-    return pairs.join(structure(left, right).agg(F.count(F.lit(1)).alias("parents")).withColumn("_x", F.lit(1)), "_x").drop("_x")
+    made = deal(left, right)
+    return structure_count(left, right, made).select(F.lit(made.pairs).cast("long").alias("raw_pairs"), F.col("nnz_c").alias("parents"))
 
 
 def parent_rows(a: Matrix) -> DataFrame:

@@ -895,3 +895,12 @@ def test_crowded_structures_come_from_stripes(spark, monkeypatch):
     monkeypatch.setattr(product, "CROWDED", 0)
     monkeypatch.setattr(product, "CELLS", 8)
     assert triples(symbolic.children(a, b)) == kids and triples(product.structure(a, b)) == want[0]
+
+
+def test_raw_pairs_come_from_one_count_of_the_parents(spark, monkeypatch):
+    a, b = random_matrix(spark, 90, 120, 300, 5), random_matrix(spark, 120, 70, 300, 6)
+    x, y = ({(r["i"] // 16, r["k"] // 16) for r in d.df.collect()} for d in (a, b))
+    met = [(i, j) for i, k in x for q, j in y if k == q]
+    monkeypatch.setattr(product, "product_count", None)
+    monkeypatch.setattr(symbolic, "product_count", None, raising=False)
+    assert [tuple(r) for r in symbolic.raw_pairs(a, b).collect()] == [(len(met), len(set(met)))]
